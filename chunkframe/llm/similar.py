@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, components, prepare, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
-CELLS, CHUNKS, BLOCK, ROUNDS, BLOOM_BITS = 1 << 17, 64, 128, 2, 1 << 23
+CELLS, CHUNKS, BLOCK, ROUNDS, BLOOM_BITS = 1 << 20, 64, 128, 2, 1 << 23
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -56,6 +56,10 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
+def name_of(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def prefix_length(n: int, at_least: int = AT_LEAST) -> int:
     return n + (-at_least * n) // 100 + 1
 
@@ -73,7 +77,7 @@ def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
             sets = [shingles(t, width) for t in b.column(0).to_pylist()]
             if sets:
                 h = np.concatenate(sets)
-                sums[:CELLS] += np.bincount((h >> np.uint64(47)).astype(np.int64), minlength=CELLS)
+                sums[:CELLS] += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS)
                 sums[CELLS:] += np.bincount((h >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         if sums.any():
             data = [zlib.compress(sums[i * size : (i + 1) * size].astype("<i8").tobytes(), 1) for i in range(CHUNKS)]
@@ -98,7 +102,7 @@ def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set's shingles, rare ones first."""
-    level = np.minimum(levels[0][(found >> np.uint64(47)).astype(np.int64)], levels[1][(found >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)])
+    level = np.minimum(levels[0][(found >> np.uint64(44)).astype(np.int64)], levels[1][(found >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)])
     return found[np.lexsort((found, level))]
 
 
@@ -112,9 +116,9 @@ def signatures(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH) ->
             found = shingles(t, width)
             n = len(found)
             out["n"].append(n)
-            out["sid"].append(xxhash.xxh3_128_intdigest(found.tobytes()).to_bytes(16, "little") if n else None)
+            out["sid"].append(name_of(found) if n else None)
             out["prefix"].append(ordered(found, shared.value)[: prefix_length(n, at_least)].view(np.int64) if n else [])
-            out["sketch"].append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes() if n else None)
+            out["sketch"].append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() if n else None)
         return out
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, sid binary, prefix array<long>, sketch binary")
@@ -125,12 +129,12 @@ def too_far(n_a, n_b, distance, at_least: int = AT_LEAST):
     return 100 * (n_a + n_b - distance) < at_least * (n_a + n_b + distance)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, at_least: int, width: int) -> DataFrame:
-    """(a, b, distance) of candidate pairs, computed on the whole texts of (sid, rep) in ``owner``.
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: int, width: int) -> DataFrame:
+    """(a, b, n_a, n_b, distance) of candidate pairs of sets, computed on the whole texts of their first rows.
 
     A bitmap of fixed size keeps most other texts out of the shuffle; the join decides.
     """
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(owner, "sid"), "need")
+    need = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", "sid", "rep"), "set"), "need")
     bit = F.pmod(F.xxhash64("rep"), F.lit(BLOOM_BITS))
     marks = need.select(bit.cast("int").alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 4096).alias("w")).agg(F.collect_list(F.col("bit") % 4096).alias("bits")).collect()
     seen = np.zeros(BLOOM_BITS, bool)
@@ -145,16 +149,16 @@ def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, at_least: int,
 
     doc_bit = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(wanted(doc_bit))
-    rows = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "doc_id", "text")
+    rows = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id")
 
-    def check(x):  # an id can have several texts: keep the one whose set has the name
-        keep = [(s, t) for s, t in zip(x["sid"], x["text"], strict=True) if xxhash.xxh3_128_intdigest(shingles(t, width).tobytes()).to_bytes(16, "little") == s]
-        return {"sid": [s for s, _ in keep], "text": [t for _, t in keep]}
+    def check(x):  # an id can have several texts: keep those whose set has the name
+        keep = [(s, t) for s, i, t in zip(x["set"], x["sid"], x["text"], strict=True) if name_of(shingles(t, width)) == i]
+        return {"set": [s for s, _ in keep], "text": [t for _, t in keep]}
 
-    named = written(arrow_map(rows.select("sid", "text"), check, "sid binary, text string").dropDuplicates(["sid"]), "texts")
-    one, two = named.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), named.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+    named = written(arrow_map(rows.select("set", "sid", "text"), check, "set long, text string"), "texts")
+    one, two = named.select(F.col("set").alias("a"), F.col("text").alias("text_a")), named.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    held: dict[bytes, np.ndarray] = {}
+    held: dict[int, np.ndarray] = {}
 
     def measure(x):
         out = {"a": x["a"], "b": x["b"], "n_a": [], "n_b": [], "distance": []}
@@ -169,7 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, at_least: int,
             out["distance"].append(len(sa) + len(sb) - 2 * len(np.intersect1d(sa, sb, assume_unique=True)))
         return out
 
-    return arrow_map(both, measure, "a binary, b binary, n_a int, n_b int, distance int")
+    return arrow_map(both, measure, "a long, b long, n_a int, n_b int, distance int")
 
 
 def _series(values):
@@ -179,41 +183,41 @@ def _series(values):
 
 
 def far_sketches(a: bytes, b: bytes) -> int:
-    return int(np.abs(np.frombuffer(a, "<u2").astype(np.int32) - np.frombuffer(b, "<u2").astype(np.int32)).sum())
+    return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int32) - np.frombuffer(b, np.uint8).astype(np.int32)).sum())
 
 
 def near_by_sketch(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
     """The pairs (a, b) whose histograms allow a link."""
-    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    one = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    two = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(x):
         keep = [i for i, (p, q, u, v) in enumerate(zip(x["n_a"], x["n_b"], x["s_a"], x["s_b"], strict=True)) if not too_far(p, q, far_sketches(u, v), at_least)]
         return {c: [x[c][i] for i in keep] for c in ("a", "b")}
 
-    return arrow_map(pairs.join(one, "a").join(two, "b"), run, "a binary, b binary")
+    return arrow_map(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
 
 
 def cell_pairs(rows: DataFrame, at_least: int) -> DataFrame:
     """(a, b, sure): pairs of different components in each list that sizes, places, hubs and histograms allow.
 
-    ``rows``: key, sid, n, pos, component, hub, distance, sketch. Lists are dealt into cells of two blocks.
+    ``rows``: key, set, n, pos, component, hub, distance, sketch. Lists are dealt into cells of two blocks.
     """
     counts = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")), "blocks")
-    dealt = rows.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
+    dealt = rows.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
     cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("low", F.least("i", "j")).withColumn("high", F.greatest("i", "j"))
-    columns = ["key", "low", "high", "i", "sid", "n", "pos", "component", "hub", "distance", "sketch"]
-    sorted_ = cells.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "sid")
+    columns = ["key", "low", "high", "i", "set", "n", "pos", "component", "hub", "distance", "sketch"]
+    sorted_ = cells.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
 
     def pairs_of(group: list[tuple]) -> tuple[list, list, list]:
         a, b, sure = [], [], []
         if len({r[7] for r in group}) < 2:
             return a, b, sure
         i, n, pos = (np.array([r[k] for r in group], np.int64) for k in (3, 5, 6))
-        comp, hub = (np.unique([r[k] or b"" for r in group], return_inverse=True)[1] for k in (7, 8))
+        comp, hub = (np.array([-1 if r[k] is None else r[k] for r in group], np.int64) for k in (7, 8))
         known = np.array([r[8] is not None for r in group])
         far = np.array([r[9] if r[9] is not None else 0 for r in group], np.int64)
-        hist = np.stack([np.frombuffer(r[10], "<u2") for r in group]).astype(np.int32)
+        hist = np.stack([np.frombuffer(r[10], np.uint8) for r in group]).astype(np.int32)
         cross = group[0][1] != group[0][2]  # two blocks: pairs inside one of them have a cell of their own
         stop = np.searchsorted(n, n * 100 // at_least, side="right")
         for x in range(len(group) - 1):
@@ -243,59 +247,50 @@ def cell_pairs(rows: DataFrame, at_least: int) -> DataFrame:
                         to.extend(new)
                     group = []
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.array(found[2], pa.bool_())], names=["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.bool_())], names=["a", "b", "sure"])
         if group:
             a, b, sure = pairs_of(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
-    out = sorted_.mapInArrow(run, "a binary, b binary, sure boolean")
+    out = sorted_.mapInArrow(run, "a long, b long, sure boolean")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def measured_none(classes: DataFrame) -> DataFrame:
-    """No set has a hub."""
-    return classes.where("false").select("sid", F.col("sid").alias("hub"), F.lit(0).alias("distance"))
-
-
 def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     sig = written(signatures(docs, at_least, width), "signatures")
-    some = sig.where("n > 0")
-    classes = written(some.groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    owner = classes.select("sid", "rep").where("rep is not null")
-    firsts = some.join(owner, "sid").where("doc_id = rep").select("sid", "n", "prefix")
-    rows = firsts.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
+    some = sig.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    classes = written(some.withColumn("set", F.monotonically_increasing_id()), "classes")  # the sets, numbered
+    rows = classes.where("rep is not null").select("set", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "keys")
-    lists = written(rows.join(shared, "key").dropDuplicates(["key", "sid"]).select("key", "sid", "n", "pos"), "lists")
-    links: list[DataFrame] = []
-    label, hubs_of = None, None
-    state = lists.withColumn("component", F.col("sid"))
+    lists = written(rows.join(shared, "key").select("key", "set", "n", "pos"), "lists")
+    nothing = classes.where("false").select(F.col("set").alias("a"), F.col("set").alias("b"))
+    links, hubs_of = [nothing], nothing.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.lit(0).alias("distance"))
+    state = lists.withColumn("component", F.col("set"))
+    linked = ~too_far(F.col("n_a"), F.col("n_b"), F.col("distance"), at_least)
     for turn in range(rounds + 1):
         mixed = written(state.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key"), "mixed")
         state = written(state.join(mixed, "key"), "state")
         if turn == rounds:
             break
-        rank = F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
-        hubs = written(state.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "sid", "n", "component")).alias("hub")), "hubs")
+        hub = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("rank"), "set", "n", "component"))
+        hubs = written(state.groupBy("key").agg(hub.alias("hub")), "hubs")
         met = state.join(hubs, "key").where("hub.component <> component").where(f"100 * least(n, hub.n) >= {at_least} * greatest(n, hub.n)")
-        chosen = met.groupBy(F.col("sid").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.sid").alias("b"))
+        chosen = met.groupBy(F.col("set").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.set").alias("b"))
         near = written(near_by_sketch(chosen, classes, at_least), "near")
-        measured = written(verified(near, docs, owner, at_least, width), "measured")
-        if hubs_of is None:
-            hubs_of = measured.select(F.col("a").alias("sid"), F.col("b").alias("hub"), "distance")
-            hubs_of = written(hubs_of.union(measured.select(F.col("b").alias("sid"), F.col("b").alias("hub"), F.lit(0).alias("distance"))).groupBy("sid").agg(F.min_by(F.struct("hub", "distance"), "distance").alias("s")).select("sid", "s.hub", "s.distance"), "hubs_of")
-        links.append(measured.where(~too_far(F.col("n_a"), F.col("n_b"), F.col("distance"), at_least)).select("a", "b"))
-        label = components(reduce(DataFrame.union, links))
-        state = state.drop("component").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    if hubs_of is None:
-        hubs_of = measured_none(classes)
-    full = state.join(hubs_of, "sid", "left").join(classes.select("sid", "sketch"), "sid").select("key", "sid", "n", "pos", "component", "hub", "distance", "sketch")
+        measured = written(verified(near, docs, classes, at_least, width), "measured")
+        if turn == 0:
+            to_hub = measured.select(F.col("a").alias("set"), F.col("b").alias("hub"), "distance").union(measured.select("b", "b", F.lit(0)))
+            hubs_of = written(to_hub.groupBy("set").agg(F.min_by(F.struct("hub", "distance"), "distance").alias("s")).select("set", "s.hub", "s.distance"), "hubs_of")
+        links.append(measured.where(linked).select("a", "b"))
+        label = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
+        state = state.drop("component").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    full = state.join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").select("key", "set", "n", "pos", "component", "hub", "distance", "sketch")
     left = written(cell_pairs(full, at_least), "pairs")
-    measured = written(verified(left.where("not sure"), docs, owner, at_least, width), "measured")
-    links += [left.where("sure").select("a", "b"), measured.where(~too_far(F.col("n_a"), F.col("n_b"), F.col("distance"), at_least)).select("a", "b")]
-    label = components(reduce(DataFrame.union, links))
-    named = classes.select("sid", "rep").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = written(named, "named")
+    measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
+    links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
+    label = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
+    named = written(classes.select("set", "sid", "rep").join(label, "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
     ids = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "ids")
     of_set = written(named.join(ids, "component").select("sid", "component_id"), "of_set")
     got = sig.select("doc_id", "n", "sid").where("n > 0").join(of_set, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
