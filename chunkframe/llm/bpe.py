@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Words in the automaton, words a worker remembers, and the share of a partition's words that makes one a candidate.
-LEXICON_WORDS, REMEMBERED, SHARE = 32_768, 300_000, 1 / 65_536
+LEXICON_WORDS, REMEMBERED, SHARE = 32_768, 200_000, 1 / 65_536
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

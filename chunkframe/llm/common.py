@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts can be long, so batches stay small.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system; idle workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow with columns as lists: ``fn`` gets and returns a dict of lists per batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,6 +56,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
             if batch.num_rows:
                 out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

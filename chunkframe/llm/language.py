@@ -36,7 +36,7 @@ def letter(code: int) -> np.ndarray:
 def gram(key: int) -> np.ndarray:
     """``key``: code points, 21 bits each."""
     if key not in _grams:
-        if len(_grams) > 50_000:
+        if len(_grams) > 20_000:
             _grams.clear()
         codes = [key >> 21 * i & 0x1FFFFF for i in range(GRAM)]
         v = np.ones(DIMENSIONS, np.int8)
@@ -61,8 +61,8 @@ def bundle(texts: list[str | None]) -> np.ndarray:
     for begin in range(0, len(texts), 64):
         counted = [gram_counts(t) for t in texts[begin : begin + 64]]
         keys = np.unique(np.concatenate([k for k, _ in counted]))
-        for low in range(0, len(keys), 8192):
-            part = keys[low : low + 8192]
+        for low in range(0, len(keys), 2048):
+            part = keys[low : low + 2048]
             weight = np.zeros((len(counted), len(part)), np.float32)
             for i, (k, n) in enumerate(counted):
                 at = np.searchsorted(part, k)

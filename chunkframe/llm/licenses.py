@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map
 
-GRAM, WINDOW, BAND, COVERAGE, REMEMBERED = 3, 2, 8, 0.7, 400_000
+GRAM, WINDOW, BAND, COVERAGE, REMEMBERED = 3, 2, 8, 0.7, 150_000
 # Notices as projects write them, by licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",

@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +78,8 @@ def fit(count: np.ndarray, found: list[tuple[int, ...]], sweeps: int = 25) -> li
     return x
 
 
-def plan(count: np.ndarray, roundings: tuple[float, ...] = (0.5, 0.0, -np.inf)) -> pd.DataFrame:
-    """Rows (length, lo, n, copies, sequence, offset): rank r in [lo, lo + n) goes to sequence + (r - lo) // copies, at offset + (r - lo) % copies * length.
+def plan(count: np.ndarray, roundings: tuple[float, ...] = (0.5, 0.0, -np.inf)) -> dict[str, np.ndarray]:
+    """Columns length, lo, n, copies, sequence, offset: rank r in [lo, lo + n) goes to sequence + (r - lo) // copies, at offset + (r - lo) % copies * length.
 
     Repeat counts are rounded to the nearest number, down, and to none; the fewest sequences win.
     """
@@ -88,7 +88,7 @@ def plan(count: np.ndarray, roundings: tuple[float, ...] = (0.5, 0.0, -np.inf))
     return min((_rounded(count, found, x, r) for r in roundings), key=lambda t: t[0])[1]
 
 
-def _rounded(count: np.ndarray, found: list[tuple[int, ...]], fitted: list[float], rounding: float) -> tuple[int, pd.DataFrame]:
+def _rounded(count: np.ndarray, found: list[tuple[int, ...]], fitted: list[float], rounding: float) -> tuple[int, dict[str, np.ndarray]]:
     size, left, given = len(count) - 1, count.astype(int).tolist(), [0] * len(count)
     rows, sequences = [], 0
 
@@ -125,7 +125,8 @@ def _rounded(count: np.ndarray, found: list[tuple[int, ...]], fitted: list[float
                 if to and m:
                     room.setdefault(to, []).append((at, m))
                     free[to] = True
-    return sequences, pd.DataFrame(rows, columns=["length", "lo", "n", "copies", "sequence", "offset"]).sort_values(["length", "lo"], ignore_index=True)
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 6).T
+    return sequences, dict(zip(("length", "lo", "n", "copies", "sequence", "offset"), columns, strict=True))
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
@@ -139,15 +140,15 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         histogram[r["length"]] = r["n"]
     steps = plan(histogram)
-    key = (steps["length"].to_numpy(np.int64) << 42) + steps["lo"].to_numpy(np.int64)
-    lo, copies, sequence, offset = (steps[c].to_numpy(np.int64) for c in ("lo", "copies", "sequence", "offset"))
+    key = (steps["length"] << 42) + steps["lo"]
+    lo, copies, sequence, offset = (steps[c] for c in ("lo", "copies", "sequence", "offset"))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        size_, rank_ = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        size_, rank_ = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (length, rank))
         at = np.searchsorted(key, (size_ << 42) + rank_, side="right") - 1
         nth = rank_ - lo[at]
-        return pd.DataFrame({"sequence_id": sequence[at] + nth // copies[at], "offset": offset[at] + nth % copies[at] * size_})
+        return pa.StructArray.from_arrays([pa.array(sequence[at] + nth // copies[at]), pa.array(offset[at] + nth % copies[at] * size_)], names=["sequence_id", "offset"])
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

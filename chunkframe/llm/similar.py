@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, prepare, written
+from .common import arrow_map, components, give_back, prepare, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
 CELLS, CHUNKS, BLOCK, ROUNDS, BLOOM_BITS = 1 << 20, 64, 128, 2, 1 << 23
@@ -79,9 +79,11 @@ def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
                 h = np.concatenate(sets)
                 sums[:CELLS] += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS)
                 sums[CELLS:] += np.bincount((h >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        if sums.any():
+        if sums.any():  # chunk by chunk: the counters are the largest thing a worker holds
             data = [zlib.compress(sums[i * size : (i + 1) * size].astype("<i8").tobytes(), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "data": pa.array(data, pa.binary())})
+        del sums
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
@@ -142,10 +144,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: in
         seen[np.array(r["bits"], int) + 4096 * r["w"]] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
-    @F.pandas_udf("boolean")
-    def wanted(b):
-        b = b.to_numpy(np.int64)
-        return _series((shared.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def wanted(b: pa.Array) -> pa.Array:
+        b = b.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
 
     doc_bit = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(wanted(doc_bit))
@@ -176,12 +178,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: in
     return arrow_map(both, measure, "a long, b long, n_a int, n_b int, distance int")
 
 
-def _series(values):
-    import pandas as pd
-
-    return pd.Series(values)
-
-
 def far_sketches(a: bytes, b: bytes) -> int:
     return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int32) - np.frombuffer(b, np.uint8).astype(np.int32)).sum())
 

@@ -19,14 +19,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
 
-CHAIN, REMEMBERED = 2, 400_000
+CHAIN, REMEMBERED = 2, 150_000
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or that the their they this to was were which with you "
@@ -109,19 +108,19 @@ def with_next(docs: DataFrame, per_task: int = 16) -> DataFrame:
     bounds = sorted(set(ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if not ids.isEmpty() else []
     cuts = np.array(bounds, np.float64)
 
-    @F.pandas_udf("long")
-    def range_of(doc_id: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, doc_id.to_numpy(np.float64, na_value=-np.inf), side="right")
-        return pd.Series(np.where(doc_id.isna(), 0, at + 1))
+    @F.arrow_udf("long")
+    def range_of(doc_id: pa.Array) -> pa.Array:
+        at = np.searchsorted(cuts, doc_id.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
+        return pa.array(np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, at + 1).astype(np.int64))
 
     rows = docs.select("doc_id", "text", range_of("doc_id").alias("bucket"))
     top = {r["bucket"]: r["top"] for r in docs.select(range_of("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     used = sorted(top)
     send = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}  # the range above; the highest sends to the lowest
 
-    @F.pandas_udf("array<long>")
-    def targets(doc_id: pd.Series, bucket: pd.Series) -> pd.Series:
-        return pd.Series([[b, -1 - send[b]] if (d is None or d != d or d == top[b]) else [b] for d, b in zip(doc_id.astype(object).tolist(), bucket.tolist(), strict=True)], dtype=object)
+    @F.arrow_udf("array<long>")
+    def targets(doc_id: pa.Array, bucket: pa.Array) -> pa.Array:
+        return pa.array([[b, -1 - send[b]] if d is None or d == top[b] else [b] for d, b in zip(doc_id.to_pylist(), bucket.to_pylist(), strict=True)], pa.list_(pa.int64()))
 
     out = rows.withColumn("to", F.explode(targets("doc_id", "bucket")))
     extra = F.col("to") < 0

@@ -100,12 +100,12 @@ def test_plan_places_every_rank_once():
         steps = packing.plan(count)
         filled = defaultdict(int)
         for length in range(1, 257):
-            own = steps[steps["length"] == length]
-            ranks = sorted(r for lo, n in zip(own["lo"], own["n"], strict=True) for r in range(lo, lo + n))
+            own = steps["length"] == length
+            ranks = sorted(r for lo, n in zip(steps["lo"][own], steps["n"][own], strict=True) for r in range(lo, lo + n))
             assert ranks == list(range(count[length]))
-        for r in steps.itertuples():
-            for k in range(r.n):
-                filled[r.sequence + k // r.copies] += r.length
+        for length, _, n, copies, sequence, _ in zip(*steps.values(), strict=True):
+            for k in range(n):
+                filled[sequence + k // copies] += length
         assert max(filled.values()) <= 256
         assert len(filled) <= -(-int((count * np.arange(257)).sum()) // 256) * 1.03 + 1
 
