@@ -197,10 +197,10 @@ def near_by_sketch(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFram
 def cell_pairs(rows: DataFrame, at_least: int) -> DataFrame:
     """(a, b, sure): pairs of different components in each list that sizes, places, hubs and histograms allow.
 
-    ``rows``: key, set, n, pos, component, hub, distance, sketch. Lists are dealt into cells of two blocks.
+    ``rows``: key, m (the list's length), set, n, pos, component, hub, distance, sketch. Lists are
+    dealt into cells of two blocks.
     """
-    counts = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")), "blocks")
-    dealt = rows.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
+    dealt = rows.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
     cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("low", F.least("i", "j")).withColumn("high", F.greatest("i", "j"))
     columns = ["key", "low", "high", "i", "set", "n", "pos", "component", "hub", "distance", "sketch"]
     sorted_ = cells.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
@@ -265,14 +265,18 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
     state = lists.withColumn("component", F.col("set"))
     linked = ~too_far(F.col("n_a"), F.col("n_b"), F.col("distance"), at_least)
     for turn in range(rounds + 1):
-        mixed = written(state.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key"), "mixed")
-        state = written(state.join(mixed, "key"), "state")
+        # one pass over the lists: which are still mixed, how long they are, and their hubs
+        hub = F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "n", "component")).alias("hub")
+        of_key = state.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), *([hub] if turn < rounds else [F.count(F.lit(1)).alias("m")]))
+        mixed = written(of_key.where("p < q").drop("p", "q"), "mixed")
         if turn == rounds:
+            state = written(state.join(mixed, "key"), "state")
             break
-        hub = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("rank"), "set", "n", "component"))
-        hubs = written(state.groupBy("key").agg(hub.alias("hub")), "hubs")
-        met = state.join(hubs, "key").where("hub.component <> component").where(f"100 * least(n, hub.n) >= {at_least} * greatest(n, hub.n)")
-        chosen = met.groupBy(F.col("set").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.set").alias("b"))
+        mixed = mixed.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("set", "n", "component")))
+        state = written(state.join(mixed, "key"), "state")
+        met = state.where("hub_component <> component").where(f"100 * least(n, hub_n) >= {at_least} * greatest(n, hub_n)")
+        first = F.min(F.struct(F.xxhash64("hub_set", F.lit(turn)), "hub_set")).alias("hub")
+        chosen = met.groupBy(F.col("set").alias("a")).agg(first).select("a", F.col("hub.hub_set").alias("b"))
         near = written(near_by_sketch(chosen, classes, at_least), "near")
         measured = written(verified(near, docs, classes, at_least, width), "measured")
         if turn == 0:
@@ -280,8 +284,8 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
             hubs_of = written(to_hub.groupBy("set").agg(F.min_by(F.struct("hub", "distance"), "distance").alias("s")).select("set", "s.hub", "s.distance"), "hubs_of")
         links.append(measured.where(linked).select("a", "b"))
         label = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
-        state = state.drop("component").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    full = state.join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").select("key", "set", "n", "pos", "component", "hub", "distance", "sketch")
+        state = state.select("key", "set", "n", "pos").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    full = state.join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").select("key", "m", "set", "n", "pos", "component", "hub", "distance", "sketch")
     left = written(cell_pairs(full, at_least), "pairs")
     measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
     links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
