@@ -104,3 +104,55 @@ def infer_axes(shape: list[int], few: int = 10) -> list[str]:
         return [names[i] for i in range(len(shape))]
     by_rank = {1: "x", 2: "yx", 3: "zyx", 4: "czyx", 5: "tczyx"}
     return list(by_rank[len(shape)]) if len(shape) in by_rank else [f"dim_{i}" for i in range(len(shape))]
+
+
+def numpy_type(code: Column) -> Column:
+    """uint16 for <u2 and the like; other texts stay."""
+    kind = F.when(code.substr(2, 1) == "u", "uint").when(code.substr(2, 1) == "i", "int").otherwise("float")
+    name = F.concat(kind, (code.substr(3, 1).try_cast("int") * 8).cast("string"))
+    return F.when(code.rlike("^(\\|[ui]1|[<>][ui][248]|[<>]f[48])$"), name).otherwise(code)
+
+
+def human_size(size: Column) -> Column:
+    """Bytes with one decimal in the largest unit, up to PB, that keeps them under 1024."""
+    text = lambda k, unit: F.format_string(f"%.1f {unit}", size / 1024.0**k)
+    found = F.when(size < 1024, text(0, "B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        found = found.when(size < 1024 ** (k + 1), text(k, unit))
+    return found.otherwise(text(5, "PB"))
+
+
+def is_native(path: Column) -> Column:
+    """Whether a path is an address or has a part that ends in .zarr, .n5 or .precomputed."""
+    return path.contains("://") | F.exists(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: F.lower(p).rlike("[^.].*\\.(zarr|n5|precomputed)$"))
+
+
+def output_path(file: Column, source: str, target: str, suffix: str = ".zarr") -> Column:
+    """The file's place under ``source``, under ``target`` instead, with another suffix."""
+    inner = F.substring(file, len(source.rstrip("/")) + 2, 1 << 20)
+    return F.concat(F.lit(target.rstrip("/") + "/"), F.regexp_replace(inner, r"(?<=[^/])\.[^./]*$", ""), F.lit(suffix))
+
+
+def job_name(file: Column, target: str, prefix: str = "job") -> Column:
+    """prefix_suffix_to_target_stem of a path's last part, without blanks, 128 characters at most."""
+    last = F.element_at(F.split(file, "/"), -1)
+    stem, suffix = F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(last, r".\.([^.]*)$", 1)
+    return F.substring(F.replace(F.concat(F.lit(f"{prefix}_"), suffix, F.lit(f"_to_{target}_"), stem), F.lit(" "), F.lit("_")), 1, 128)
+
+
+def axes_look_swapped(x: Column, y: Column, z: Column) -> Column:
+    """Of three sizes exactly two differ, and z is not the odd one."""
+    return (F.size(F.array_distinct(F.array(x, y, z))) == 2) & (x != y)
+
+
+def axes_by_rank(rank: Column, times: Column, channels: Column) -> Column:
+    """Axis letters by rank; a fourth axis is time only where there are several times and one channel."""
+    fourth = F.when((times > 1) & (channels == 1), "tzyx").otherwise("czyx")
+    return F.when(rank == 2, "yx").when(rank == 3, "zyx").when(rank == 4, fourth).when(rank == 5, "tczyx")
+
+
+def extent_voxel_nm(low: Column, high: Column, n: Column, unit: Column) -> Column:
+    """Size of a voxel in nanometres from an extent; without a unit, below 1 means micrometres."""
+    size = (high - low) / n
+    named = F.when(F.trim(F.coalesce(unit, F.lit(""))) != "", unit).when(size < 1, "um").otherwise("nm")
+    return to_nanometers(size, named)

@@ -506,6 +506,73 @@ def job_resources(spark, d):
     return rows(spark, "bytes, shards, cores", "(1000000L, 40, 4)", "(2147483648L, 100, 8)").select("bytes", "shards", F.ceil(F.col("shards") * per / (F.col("cores") * F.lit(0.7))).alias("seconds"))
 
 
+CODES = ("('|u1')", "('<u2')", "('>i4')", "('<f8')", "('float32')", "('<f2')")
+
+
+@query("SELECT * FROM (VALUES ('|u1', 'uint8'), ('<u2', 'uint16'), ('>i4', 'int32'), ('<f8', 'float64'), ('float32', 'float32'), ('<f2', '<f2')) AS t(code, name)")
+def numpy_types(spark, d):
+    return rows(spark, "code", *CODES).select("code", M.numpy_type(F.col("code")).alias("name"))
+
+
+SIZED = ("(0)", "(1023)", "(1024)", "(1536)", "(1048576)", "(5368709120)", "(1125899906842624)", "(2251799813685248)")
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CASE WHEN n < 1024 THEN printf('%.1f B', n * 1.0::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) WHEN n < 1125899906842624 THEN printf('%.1f TB', n / 1099511627776.0::DOUBLE) ELSE printf('%.1f PB', n / 1125899906842624.0::DOUBLE) END AS size FROM {vals('n', *SIZED)}")
+def human_sizes(spark, d):
+    return rows(spark, "n", *SIZED).select(F.col("n").cast("long").alias("n"), M.human_size(F.col("n").cast("double")).alias("size"))
+
+
+PLACES = ("('/in/a/tile 0.tif')", "('/in/v.zarr/raw/s0')", "('s3://b/k')", "('/in/B.N5/x')", "('/in/x.czi')", "('/in/noext')")
+
+
+@query(f"SELECT path, contains(path, '://') OR regexp_matches(lower(path) || '/', '[^/.][^/]*\\.(zarr|n5|precomputed)/') AS native FROM {vals('path', *PLACES)}")
+def native_sources(spark, d):
+    return rows(spark, "path", *PLACES).select("path", M.is_native(F.col("path")).alias("native"))
+
+
+@query("SELECT * FROM (VALUES ('/in/a/tile 0.tif', '/out/a/tile 0.zarr', 'job_tif_to_zarr3_tile_0'), ('/in/x.czi', '/out/x.zarr', 'job_czi_to_zarr3_x'), ('/in/noext', '/out/noext.zarr', 'job__to_zarr3_noext'), ('/in/a.b/c.d.nd2', '/out/a.b/c.d.zarr', 'job_nd2_to_zarr3_c.d')) AS t(path, target, job)")
+def output_names(spark, d):
+    table = rows(spark, "path", PLACES[0], PLACES[4], PLACES[5], "('/in/a.b/c.d.nd2')")
+    return table.select("path", M.output_path(F.col("path"), "/in/", "/out").alias("target"), M.job_name(F.col("path"), "zarr3").alias("job"))
+
+
+VOXELS = ("(8, 8, 40)", "(40, 8, 8)", "(8, 8, 8)", "(8, 9, 10)", "(8, 40, 8)")
+
+
+@query(f"SELECT x, y, z, x <> y AND (x = z OR y = z) AS swapped FROM {vals('x, y, z', *VOXELS)}")
+def axis_voxel_check(spark, d):
+    return rows(spark, "x, y, z", *VOXELS).select("x", "y", "z", M.axes_look_swapped(F.col("x"), F.col("y"), F.col("z")).alias("swapped"))
+
+
+RANKS = ("(2, 1, 1)", "(3, 1, 1)", "(4, 1, 3)", "(4, 5, 1)", "(4, 1, 1)", "(4, 5, 3)", "(5, 2, 3)")
+
+
+@query(f"SELECT r, t, c, CASE r WHEN 2 THEN 'yx' WHEN 3 THEN 'zyx' WHEN 5 THEN 'tczyx' ELSE CASE WHEN t > 1 AND c = 1 THEN 't' ELSE 'c' END || 'zyx' END AS axes FROM {vals('r, t, c', *RANKS)}")
+def axes_by_rank(spark, d):
+    return rows(spark, "r, t, c", *RANKS).select("r", "t", "c", M.axes_by_rank(F.col("r"), F.col("t"), F.col("c")).alias("axes"))
+
+
+EXTENTS = ("(0, 64, 128, '')", "(0, 4096, 128, '')", "(0, 64, 128, 'um')", "(-32, 32, 128, 'nm')", "(0, 128, 128, NULL)")
+
+
+@query(f"SELECT low, high, n, (high - low) / CAST(n AS DOUBLE) * CASE WHEN unit = 'um' OR coalesce(unit, '') = '' AND high - low < n THEN 1000 ELSE 1 END AS nm FROM {vals('low, high, n, unit', *EXTENTS)}")
+def extent_voxel_size(spark, d):
+    return rows(spark, "low, high, n, unit", *EXTENTS).select("low", "high", "n", M.extent_voxel_nm(F.col("low"), F.col("high"), F.col("n"), F.col("unit")).alias("nm"))
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS i, i < 3 AS active, 'linear' AS family, CASE WHEN i = 0 THEN 'AABBCC' WHEN i = 1 THEN '00FF00' ELSE ['FF0000', '00FF00', '0000FF', 'FF00FF', '00FFFF', 'FFFF00'][i % 6 + 1] END AS color, CASE WHEN i = 0 THEN 'DAPI' WHEN i = 1 THEN 'Em 525nm' ELSE 'Channel ' || i END AS label, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, 'color' AS model FROM (SELECT c AS i, min(v) AS low, max(v) AS high FROM {img('channels')} GROUP BY c)")
+def omero_block(spark, d):
+    known = rows(spark, "i, name, color, em", "(0, 'DAPI', 'AABBCC', 450.0D)", "(1, NULL, NULL, 525.0D)")
+    windows = fixtures.channels(spark, d).groupBy(F.col("c").cast("int").alias("i")).agg(F.min("v").cast("long").alias("low"), F.max("v").cast("long").alias("high"))
+    n = windows.agg(F.count(F.lit(1)).alias("n"))
+    table = windows.join(F.broadcast(known), "i", "left").withColumn("n", F.lit(n.first()["n"]))  # channels: a handful
+    none = F.lit(None)
+    color = M.channel_color(F.col("color"), F.col("em"), none.cast("double"), F.col("i"), F.col("n"))
+    label = M.channel_label(F.col("name"), F.col("em"), none.cast("double"), none.cast("string"), F.col("i"))
+    model = F.when((F.col("n") > 1) & (F.col("n") < 8), "color").otherwise("greyscale")
+    return table.select("i", (F.col("i") < 3).alias("active"), F.lit("linear").alias("family"), color.alias("color"), label.alias("label"), "low", "high", model.alias("model"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Crop, rebase, and two chained mean levels."""
     base = domain.rebase(domain.crop(fixtures.image(spark, d), y=(100, 200), x=(8, 32)), y=100, x=8)
