@@ -12,6 +12,9 @@ from chunkframe.llm.registry import tokenizer_path
 #: A text whose best cosine is below this is in no language that was learned.
 LEAST_COSINE = 0.05
 
+#: Near duplicates: words of a shingle, and the least Jaccard similarity in per cent.
+NEAR_WIDTH, NEAR_AT_LEAST = 5, 80
+
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, or unlike all, go."""
@@ -28,11 +31,15 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones."""
-    groups = written(similar.similar_components(docs), "groups")
-    firsts = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(firsts.where("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each group of similar texts: that with the smallest id, a null id counting as larger than any.
+
+    Rows are told apart by a number of their own, since different texts can share an id.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = similar.similar_components(rows.select(F.col("_row").alias("doc_id"), "text"), at_least=NEAR_AT_LEAST, width=NEAR_WIDTH)
+    of_row = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    firsts = of_row.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(firsts.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
