@@ -1,10 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams (and of itself), so
-an unseen misspelling shares most of it. A window of ``WINDOW`` words is the average of its
-words' vectors, a linear softmax gives its two classes, and a text is as toxic as its worst
-window, which is also the one that learns. The model is fitted on at most ``SAMPLE`` labelled
-rows of each class, chosen by a hash of the id; scoring reads whole texts.
+an unseen misspelling shares most of it. A run of more than ``LONGEST`` letters is read as pieces of
+``PIECE``, one from every ``STEP``-th letter and one at its end, so all of it is seen. A
+window of ``WINDOW`` words or pieces, one from every start, is the average of their vectors (a text
+of fewer is one window), a linear softmax gives its two classes, and a text is as toxic as its
+worst window, which is also the one that learns. The model is fitted on at most ``SAMPLE``
+labelled rows of each class, chosen by a hash of the id; scoring reads whole texts.
 
 Defined cases: null texts and texts without a word get the score of an empty window; without
 training rows of both classes every score is 0; ties and repeated rows score alike.
@@ -23,11 +25,22 @@ from pyspark.sql import functions as F
 from .common import arrow_map, held_out
 
 BUCKETS, DIMENSIONS, WINDOW, SAMPLE, EPOCHS, GRAMS, LEAST_ROWS, REMEMBERED, RATE, SMOOTH = 1 << 19, 8, 4, 1000, 25, (3, 6), 5, 100_000, 0.02, 3.0
+LONGEST, PIECE, STEP = 40, 12, 4  # letters
 _WORD = re.compile(r"[^\W_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text between marks; a run of more than ``LONGEST`` letters as overlapping pieces that cover it."""
+    out = []
+    for w in _WORD.findall((text or "").lower()):
+        s, last = f"<{w}>", len(w) + 2 - PIECE
+        out += [s] if len(w) <= LONGEST else [s[i : i + PIECE] for i in (*range(0, last, STEP), last)]
+    return out
+
+
 def subwords(word: str) -> list[int]:
-    s = f"<{word[:40]}>".encode("utf-32-le")
+    """Buckets of a marked word or piece: its n-grams, and itself."""
+    s = word.encode("utf-32-le")
     n = len(s) // 4
     return [zlib.crc32(s[4 * i : 4 * (i + k)]) % BUCKETS for k in range(GRAMS[0], GRAMS[1] + 1) for i in range(n - k + 1)] + [zlib.crc32(s) % BUCKETS]
 
@@ -40,7 +53,7 @@ def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
     starts at the smoothed log odds of a subword's texts, so that the first windows are telling ones.
     """
     number: dict[str, int] = defaultdict(lambda: len(number))
-    words = [np.array([number[w] for w in _WORD.findall(t.lower())] or [number[""]], np.int32) for t in texts]
+    words = [np.array([number[w] for w in words_of(t)] or [number["<>"]], np.int32) for t in texts]
     grams = [np.array(subwords(w), np.int32) for w in number]
     flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     texts_with = np.zeros((2, BUCKETS))
@@ -51,9 +64,10 @@ def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
     length = np.bincount(owner, minlength=len(grams))
     begin, share = np.cumsum(length) - length, 1 / np.maximum(length, 1)
     seq, size = np.concatenate(words), np.array([len(w) for w in words])
-    starts = np.concatenate([np.arange(0, n, WINDOW) + b for n, b in zip(size, np.cumsum(size) - size, strict=True)])
-    n_win = -(-size // WINDOW)
-    win_of, span = np.cumsum(n_win) - n_win, np.diff([*starts, len(seq)])
+    n_win = np.maximum(1, size - WINDOW + 1)  # a window from every start
+    starts = np.concatenate([np.arange(n) + b for n, b in zip(n_win, np.cumsum(size) - size, strict=True)])
+    win_of, span = np.cumsum(n_win) - n_win, np.repeat(np.minimum(size, WINDOW), n_win)
+    places = [(np.minimum(starts + i, len(seq) - 1), i < span) for i in range(WINDOW)]
     y = np.array(toxic, float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rng = np.random.default_rng(7)
@@ -64,7 +78,8 @@ def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
     g_e, g_w, g_b = np.full(BUCKETS, 1e-10), np.full(w.shape, 1e-10), np.full(2, 1e-10)
     for _ in range(EPOCHS):
         logit = np.bincount(owner, (e @ (w[:, 1] - w[:, 0]))[flat], len(grams)) * share
-        score = np.add.reduceat(logit[seq], starts) / span
+        of_word = logit[seq]
+        score = sum(of_word[at] * has for at, has in places) / span
         best = np.maximum.reduceat(score, win_of)
         hit = np.nonzero(score == np.repeat(best, n_win))[0]
         top = hit[np.unique(np.repeat(np.arange(len(texts)), n_win)[hit], return_index=True)[1]]
@@ -118,7 +133,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> list[float]:
         out = []
         for t in texts:
-            words = _WORD.findall((t or "").lower())
+            words = words_of(t)
             if len(self.seen) > REMEMBERED:
                 self.seen.clear()
             seen = self.seen
@@ -128,8 +143,8 @@ class Scorer:
             worst = 0.0
             if words:
                 d = np.fromiter(map(seen.__getitem__, words), float, len(words))
-                starts = np.arange(0, len(d), WINDOW)
-                worst = float((np.add.reduceat(d, starts) / np.diff([*starts, len(d)])).max())
+                k = min(WINDOW, len(d))
+                worst = float(sum(d[i : len(d) - k + 1 + i] for i in range(k)).max() / k)
             out.append(float(1 / (1 + np.exp(-np.clip(worst + self.model[-1], -50, 50)))))
         return out
 

@@ -88,6 +88,23 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert toxicity.toxicity(odd, spark.createDataFrame([(6, 1, 1), (7, 1, 0), (8, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")).count() == odd.count()
 
 
+def test_toxicity_sees_every_place():
+    clean = [f"the {a} of the {b} is near a {c}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city") for c in ("tree", "road", "hill")]
+    toxic = [f"you worthless idiot said the {a} of the {b}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city")]
+    score = toxicity.Scorer(toxicity.fit(clean + toxic, [0] * len(clean) + [1] * len(toxic)))
+    fill = "the house of the friend is near a road".split()
+    at = score([" ".join(fill[:k] + ["worthless", "idiot"] + fill[k:]) for k in range(3, 7)])
+    assert min(at) > 0.5 > score([" ".join(fill)])[0] and max(at) - min(at) < 0.2
+    same = score([" ".join(["xyzzy"] * k + ["near", "worthless", "idiot", "near"] + ["xyzzy"] * 8) for k in range(4, 8)])
+    assert len(set(same)) == 1
+    plain = "houseofthefriend" * 4
+    assert score([plain + "worthlessidiot"])[0] > 0.5 > score([plain])[0]
+    assert score([plain + "worthlessidiot" + plain])[0] > 0.5
+    for n in (41, 42, 43, 44, 45, 400):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        assert set(run) <= set("".join(toxicity.words_of(run)))
+
+
 def test_license_spans(odd, docs, empty):
     index = licenses.Index()
     text = "Foo bar.\nThis work is licensed under the GNU General Public License, version 3.\nMore words."
