@@ -4,10 +4,12 @@ Templates are few and known, so their index travels with the code. A text is rea
 hashes of its ``GRAM`` words in a row are winnowed (the least of every ``WINDOW``) and looked up
 in the inverted index. Hits vote for a template and a diagonal, and around each the template is
 aligned with the text word by word in a band of up to ``BAND`` words. A match is reported with the
-share of the template it covers and its span in the text, in characters.
+share of the template it covers and its span in the text, in characters. The words that tell a
+licence from its siblings (name, version) must stand in it.
 
 Defined cases: null and empty texts, and texts shorter than a gram, have no match; overlapping
-matches of one template count once, where it covers most; ties go to the earlier span, then the
+matches of one template count once, where it covers most, and of templates that share more than half of
+a span the one with most words matched less words missed; ties go to the earlier span, then the
 template that sorts first; repeated rows repeat their matches; an empty table gives no rows.
 """
 
@@ -23,6 +25,11 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 GRAM, WINDOW, BAND, COVERAGE, REMEMBERED = 3, 2, 8, 0.7, 150_000
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
 # Notices as projects write them, by licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -36,7 +43,31 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause": _BSD[0] + _BSD[2],
+    "BSD-3-Clause": _BSD[0] + _BSD[1] + _BSD[2],
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "MPL-1.1": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-only-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
 }
+for _code, _name in {"SA": "ShareAlike", "ND": "NoDerivatives", "NC": "NonCommercial", "NC-SA": "NonCommercial-ShareAlike", "NC-ND": "NonCommercial-NoDerivatives"}.items():
+    TEMPLATES[f"CC-BY-{_code}-4.0-notice"] = f"This work is licensed under a Creative Commons Attribution-{_name} 4.0 International License."
+    TEMPLATES.setdefault(f"CC-BY-{_code}-4.0", f"Licensed under CC BY-{_code} 4.0.")
+# What must stand word by word in a match, since sibling licences differ in nothing else.
+TELLING = {
+    "Apache-2.0": ["apache license version 2 0"], "Apache-2.0-notice": ["apache license version 2 0"], "Apache-1.1": ["apache license version 1 1"],
+    "MPL-2.0": ["mozilla public license v 2 0"], "MPL-1.1": ["mozilla", "version 1 1"], "MIT": ["mit license"], "BSD-3-Clause": ["endorse or promote products"],
+    "GPL-2.0": ["gnu general public license version 2"], "GPL-2.0-notice": ["gnu general public license", "version 2 of"], "GPL-2.0-only-notice": ["gnu general public license version 2 as"],
+    "GPL-3.0": ["gnu general public license version 3"], "GPL-3.0-notice": ["gnu general public license", "version 3 of"],
+    "LGPL-2.1-notice": ["gnu lesser general public license", "version 2 1 of"], "LGPL-3.0-notice": ["gnu lesser general public license", "version 3 of"], "AGPL-3.0-notice": ["gnu affero general public license", "version 3 of"],
+} | {n: [re.search(r"(creative commons|cc) .* 4 0", " ".join(re.findall(r"[^\W_]+", t.lower())))[0]] for n, t in TEMPLATES.items() if n.startswith("CC-")}
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _hashes: dict[str, int] = {}
@@ -73,6 +104,7 @@ class Index:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = sorted(templates)
         self.words = [_numbers(_WORD.findall(templates[n].lower())) for n in self.names]
+        self.telling = [[_numbers(p.split()) for p in (TELLING.get(n, []) if TEMPLATES.get(n) == templates[n] else [])] for n in self.names]
         where = defaultdict(list)
         for t, w in enumerate(self.words):
             grams, at = winnowed(w)
@@ -107,14 +139,24 @@ class Index:
                     continue  # the band of the last one holds this diagonal
                 last = d
                 matched, first, stop = align(self.words[t], numbers, d, band)
-                if matched >= COVERAGE * len(self.words[t]):
+                if matched >= COVERAGE * len(self.words[t]) and all(stands_in(p, numbers[first:stop]) for p in self.telling[t]):
                     own.append((-matched, first, stop))
             taken: list[tuple[int, int]] = []
             for matched, first, stop in sorted(own):
                 if all(stop <= a or first >= b for a, b in taken):
                     taken.append((first, stop))
-                    found.append((self.names[t], round(-matched / len(self.words[t]), 6), -matched, spans[first][0], spans[stop - 1][1]))
-        return sorted(found, key=lambda f: (f[3], f[0], f[4]))
+                    found.append((len(self.words[t]) + 2 * matched, first, self.names[t], stop, (self.names[t], round(-matched / len(self.words[t]), 6), -matched, spans[first][0], spans[stop - 1][1])))
+        best: list[tuple] = []  # the most words matched less words missed first
+        for f in sorted(found):
+            if all(2 * (min(f[3], b[3]) - max(f[1], b[1])) <= min(f[3] - f[1], b[3] - b[1]) for b in best):
+                best.append(f)
+        return sorted((f[4] for f in best), key=lambda f: (f[3], f[0], f[4]))
+
+
+def stands_in(phrase: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the words of a phrase stand in a row in a text."""
+    n = len(text) - len(phrase) + 1
+    return n > 0 and bool(np.logical_and.reduce([text[i : n + i] == p for i, p in enumerate(phrase)]).any())
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:

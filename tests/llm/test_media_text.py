@@ -124,3 +124,17 @@ def test_license_spans(odd, docs, empty):
     assert plain <= {(r["doc_id"], r["template"]) for r in rows}
     assert [r["template"] for r in licenses.scan_licenses(odd).collect()] == ["Apache-2.0"]
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_sibling_licenses_are_told_apart():
+    names = lambda text: [f[0] for f in licenses.Index().scan(f"Some words first. {text} And more of them.")]
+    for name, template in licenses.TEMPLATES.items():
+        assert names(template) == [name]
+    gpl3, gpl2 = licenses.TEMPLATES["GPL-3.0-notice"], licenses.TEMPLATES["GPL-2.0-notice"]
+    assert names(gpl3.replace("version 3", "version 2")) == ["GPL-2.0-notice"] and names(gpl2.replace("version 2", "version 4")) == []
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == ["CC-BY-SA-4.0-notice"]
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 International License.") == []
+    assert names("Licensed under the Apache License, Version 1.1.") == ["Apache-1.1"] and names("Licensed under the Apache License, Version 1.0.") == []
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0-line"] and names("Licensed under CC BY-NC 3.0.") == []
+    bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("3. Neither", "* Neither").replace("the copyright holder nor", "Foo Inc nor")
+    assert names(bsd) == ["BSD-3-Clause"]
