@@ -361,6 +361,16 @@ def upsample_linear_2d(spark, d):
     return resample.upsample(domain.crop(fixtures.image(spark, d), y=(0, 50)), {"y": (50, 80), "x": (64, 100)})
 
 
+LIN_HEIGHT = "WITH h AS (SELECT max(vec_id) + 1 AS n FROM embeddings), p AS (SELECT n, unnest(range(n * 8 // 5)) AS k FROM h), q AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) * n / (n * 8 // 5) - 0.5::DOUBLE, 0), n - 1) AS s FROM p) SELECT k, CAST(floor(s) AS BIGINT) AS i, 1 - (s - floor(s)) AS w FROM q UNION ALL SELECT k, least(CAST(floor(s) AS BIGINT) + 1, n - 1), s - floor(s) FROM q WHERE s > floor(s)"
+
+
+@query(f"SELECT a.k AS y, b.k AS x, CAST(floor(round(sum(v * a.w * b.w), 6) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN ({LIN_HEIGHT}) a ON a.i = y JOIN {lin(64, 100)} b ON b.i = x GROUP BY 1, 2")
+def upsample_linear_2d_whole(spark, d):
+    """The whole image, however high."""
+    n = _height(spark, d)
+    return resample.upsample(fixtures.image(spark, d), {"y": (n, n * 8 // 5), "x": (64, 100)})
+
+
 ZOOM = ("(32, 9.0::DOUBLE, 9.0::DOUBLE)", "(16, 20.0::DOUBLE, 9.0::DOUBLE)", "(5, 1.0::DOUBLE, 2.0::DOUBLE)")
 
 

@@ -81,3 +81,9 @@ def test_errors_and_plans(spark):
     assert [lv["shape"] for lv in levels] == [[64, 1024, 1024], [32, 512, 512], [16, 256, 256]]
     assert pyramid.factors([40.0, 8.0, 8.0], ["z", "y", "x"]) == [1, 2, 2]
     assert math.prod(levels[-1]["cumulative"]) == 64
+
+
+def test_two_axis_upsampling_grows_with_the_image(spark):
+    for sf, height in ((SF, 500), ("/root/testdata/sf0.1", 2000)):
+        out = catalog.queries()["upsample_linear_2d_whole"](spark, sf)
+        assert out.count() == height * 8 // 5 * 100
