@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,18 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Other Arrow batches for what is run within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Return what a worker has freed to the system; idle workers stay for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -66,24 +79,31 @@ def held_out(remainder: int) -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of ``links(a, b)``: rows (node, component), smallest node first.
 
-    Each round points every node at its smallest neighbour, renames the links and drops
-    those that became loops; what is left shrinks fast and lives in the shared folder.
+    Each round points every node at the first of its neighbours by a hash order, renames the links and drops
+    those that became loops. The order is random for chains of any kind, so that a share of the nodes goes
+    each round; what is left lives in the shared folder. At the end a component takes the name of its smallest node.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    label = written(both(edges).select(F.col("u").alias("node"), F.col("u").alias("component")).distinct(), "label")
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit("order")).alias("h"), F.col(c).alias("x"))
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    label = None
     for _ in range(rounds):
         if edges.isEmpty():
-            return label
-        parent = both(edges).groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        parent = written(parent, "parent")
+            break
+        parent = written(both(edges).groupBy("u").agg(F.min(rank("v")).alias("p")).select("u", F.least("p", rank("u"))["x"].alias("p")), "parent")
         at = lambda c, to: parent.select(F.col("u").alias(c), F.col("p").alias(to))
         moved = edges.join(at("a", "pa"), "a").join(at("b", "pb"), "b")
         edges = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "links")
-        label = written(label.join(at("component", "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "label")
-    if edges.isEmpty():
-        return label
-    raise RuntimeError("components did not converge")
+        if label is None:
+            label = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            label = written(label.join(at("component", "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "label")
+    else:
+        raise RuntimeError("components did not converge")
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = label.groupBy("component").agg(F.min("node").alias("least"))
+    return written(label.join(least, "component").select("node", F.col("least").alias("component")), "label")

@@ -6,25 +6,32 @@ are, then by hash, so that common passages stay out of the prefixes. Prefixes ma
 
 Set relations save most of the work on a list:
 
-* answers are derived: every set is compared with one hub that shares a list with it, and takes
-  the hub's component when they link. Lists whose sets are all in one component are done, and for
-  two sets with the same hub the two known distances often decide the pair: at most their sum,
-  at least their difference, apart;
-* lists are skipped in blocks: what is left of a list is sorted by set size, dealt into cells of at
-  most two blocks, and each set starts and stops where sizes and places of the shared shingle
-  allow a link. A 64-cell histogram of each set bounds the distance from below before texts are read.
-
-Every pair that could link is either verified on whole texts, decided by those bounds, or already
-in one component, so components are exact. No list, however long, meets in one task, and
-distances travel as pairs of numbers.
+* answers are derived: every set is compared with one hub that shares a list with it (the one whose
+  shared shingle comes first in its prefix), and takes the hub's component when they link. Lists
+  whose sets are all in one component are done, and for two sets with the same hub the two known
+  distances often decide the pair: at most their sum, at least their difference, apart;
+* lists are skipped in blocks: what is left of a long list is cut by set size into runs that overlap
+  by the size ratio of a link, dealt into cells of two blocks, and each set skips those
+  whose sizes and places of the shared shingle forbid a link. A bitmap of the parities of each set's
+  hashes, two to four bits a shingle, bounds the distance from below before texts are read.
+
+A cell reports a forest: one candidate for any two of its components, however many pairs could
+join them. Candidates are verified on whole texts, links rename the components, refused
+pairs are remembered, and the lists that are still mixed are read again; after ``FORESTS`` such
+rounds the few pairs that neither bound nor component decides are all verified. So every pair that could link is
+verified, decided by those bounds, or already in one component, and components are exact. No list, however
+long, meets in one task, and distances travel as pairs of numbers.
 
 Defined cases: a null text or one without words has the empty set, links with nothing, and is its
-own component; repeated rows share a component; a null id counts as larger than any other when a
-component is named; an empty table gives an empty result.
+own component; repeated rows share a component, ties included; a null id counts as larger than any other when a
+component is named (null where no other is there), and its text links like any other; several texts of one id
+are several rows; a very long text is one set like any other; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -35,10 +42,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, give_back, prepare, written
+from .common import arrow_map, batch_rows, components, give_back, prepare, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
-CELLS, CHUNKS, BLOCK, ROUNDS, BLOOM_BITS = 1 << 20, 64, 128, 2, 1 << 23
+CELLS, CHUNKS, BLOCK, ROUNDS, FORESTS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 2, 3, 64, 1 << 23
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -64,6 +71,28 @@ def prefix_length(n: int, at_least: int = AT_LEAST) -> int:
     return n + (-at_least * n) // 100 + 1
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Whether an odd number of hashes fall on each bit of a bitmap of two to four bits a shingle.
+
+    Bitmaps of two sets, the longer one folded to the length of the shorter, differ in at most as many bits as the sets in shingles.
+    """
+    bits = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    one, two = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    words = min(len(one), len(two))
+    return int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum())
+
+
 def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """Two rows of ``CELLS`` counters over the sets of all texts, as levels from 0 (nothing special).
 
@@ -109,21 +138,25 @@ def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, sid, prefix, sketch): a set's size, its name, its first shingles, its histogram."""
+    """(doc_id, named, rid, n, sid, prefix, sketch): a row's key, a set's size, its name, its first shingles, its parities.
+
+    Rows are fetched again by ``rid``: their id, or where that is null (not ``named``) a hash of the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(commonness(docs, width))  # 2 * CELLS bytes
 
     def run(x):
-        out = {"doc_id": x["doc_id"], "n": [], "sid": [], "prefix": [], "sketch": []}
+        out = {k: x[k] for k in ("doc_id", "named", "rid")} | {"n": [], "sid": [], "prefix": [], "sketch": []}
         for t in x["text"]:
             found = shingles(t, width)
             n = len(found)
             out["n"].append(n)
             out["sid"].append(name_of(found) if n else None)
             out["prefix"].append(ordered(found, shared.value)[: prefix_length(n, at_least)].view(np.int64) if n else [])
-            out["sketch"].append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() if n else None)
+            out["sketch"].append(parities(found) if n else None)
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n int, sid binary, prefix array<long>, sketch binary")
+    rows = docs.select("doc_id", F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
+    return arrow_map(rows, run, "doc_id long, named boolean, rid long, n int, sid binary, prefix array<long>, sketch binary")
 
 
 def too_far(n_a, n_b, distance, at_least: int = AT_LEAST):
@@ -134,164 +167,247 @@ def too_far(n_a, n_b, distance, at_least: int = AT_LEAST):
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: int, width: int) -> DataFrame:
     """(a, b, n_a, n_b, distance) of candidate pairs of sets, computed on the whole texts of their first rows.
 
+    At most ``SHARED`` partners of ``b`` meet in a group, and its text is sent once to each group.
     A bitmap of fixed size keeps most other texts out of the shuffle; the join decides.
     """
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", "sid", "rep"), "set"), "need")
-    bit = F.pmod(F.xxhash64("rep"), F.lit(BLOOM_BITS))
+    spark = docs.sparkSession
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("int").alias("groups"))
+    dealt = pairs.select("a", "b").join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int"))
+    sides = dealt.select(F.col("a").alias("set"), "b", "part").union(dealt.select(F.col("b").alias("set"), "b", "part").distinct())
+    need = written(sides.join(classes.select("set", "sid", "named", "rid"), "set"), "need")
+    bit = F.pmod(F.xxhash64("rid"), F.lit(BLOOM_BITS))
     marks = need.select(bit.cast("int").alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 4096).alias("w")).agg(F.collect_list(F.col("bit") % 4096).alias("bits")).collect()
     seen = np.zeros(BLOOM_BITS, bool)
     for r in marks:  # at most BLOOM_BITS small numbers
         seen[np.array(r["bits"], int) + 4096 * r["w"]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
+    shared = spark.sparkContext.broadcast(np.packbits(seen))
 
     @F.arrow_udf("boolean")
     def wanted(b: pa.Array) -> pa.Array:
         b = b.to_numpy(zero_copy_only=False)
         return pa.array((shared.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
 
-    doc_bit = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(wanted(doc_bit))
-    rows = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id")
-
-    def check(x):  # an id can have several texts: keep those whose set has the name
-        keep = [(s, t) for s, i, t in zip(x["set"], x["sid"], x["text"], strict=True) if name_of(shingles(t, width)) == i]
-        return {"set": [s for s, _ in keep], "text": [t for _, t in keep]}
-
-    named = written(arrow_map(rows.select("set", "sid", "text"), check, "set long, text string"), "texts")
-    one, two = named.select(F.col("set").alias("a"), F.col("text").alias("text_a")), named.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    held: dict[int, np.ndarray] = {}
-
-    def measure(x):
-        out = {"a": x["a"], "b": x["b"], "n_a": [], "n_b": [], "distance": []}
-        for b, ta, tb in zip(x["b"], x["text_a"], x["text_b"], strict=True):
-            if b not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[b] = shingles(tb, width)
-            sa, sb = shingles(ta, width), held[b]
-            out["n_a"].append(len(sa))
-            out["n_b"].append(len(sb))
-            out["distance"].append(len(sa) + len(sb) - 2 * len(np.intersect1d(sa, sb, assume_unique=True)))
-        return out
-
-    return arrow_map(both, measure, "a long, b long, n_a int, n_b int, distance int")
+    with_id = docs.where("doc_id is not null").select(F.lit(True).alias("named"), F.col("doc_id").alias("rid"), "text")
+    nameless = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("rid")).agg(F.first("text").alias("text")).select(F.lit(False).alias("named"), "rid", "text")
+    texts = with_id.where(wanted(bit)).union(nameless)
+    met = texts.join(need, ["named", "rid"]).select("b", "part", (F.col("set") != F.col("b")).alias("later"), "set", "sid", "text")
+    met = met.repartition("b", "part").sortWithinPartitions("b", "part", "later", "set")
+    names = ("a", "b", "n_a", "n_b", "distance")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = at = None
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for b, part, later, one, sid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = shingles(text, width)
+                if name_of(found) != sid:
+                    continue  # an id can have several texts: only those whose set has the name
+                if not later:
+                    held, at = found, (b, part)
+                elif at == (b, part):
+                    apart = len(found) + len(held) - 2 * len(np.intersect1d(found, held, assume_unique=True))
+                    for to, v in zip(out, (one, b, len(found), len(held), apart), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=list(names))
+        give_back()
 
-def far_sketches(a: bytes, b: bytes) -> int:
-    return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int32) - np.frombuffer(b, np.uint8).astype(np.int32)).sum())
+    prepare(spark)
+    return met.mapInArrow(measure, "a long, b long, n_a int, n_b int, distance int").distinct()
 
 
 def near_by_sketch(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
-    """The pairs (a, b) whose histograms allow a link."""
+    """The pairs (a, b) whose bitmaps allow a link."""
     one = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(x):
-        keep = [i for i, (p, q, u, v) in enumerate(zip(x["n_a"], x["n_b"], x["s_a"], x["s_b"], strict=True)) if not too_far(p, q, far_sketches(u, v), at_least)]
+        keep = [i for i, (p, q, u, v) in enumerate(zip(x["n_a"], x["n_b"], x["s_a"], x["s_b"], strict=True)) if not too_far(p, q, bits_apart(u, v), at_least)]
         return {c: [x[c][i] for i in keep] for c in ("a", "b")}
 
     return arrow_map(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
 
 
-def cell_pairs(rows: DataFrame, at_least: int) -> DataFrame:
-    """(a, b, sure): pairs of different components in each list that sizes, places, hubs and histograms allow.
+_CELL = ("key", "run", "low", "high", "block", "guest", "set", "n", "pos", "component", "hub", "distance", "sketch", "refused")
+
+
+def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> list[tuple[int, int, bool]]:
+    """(a, b, sure) of one cell: a forest over its components, or (``whole``) all pairs that are still open.
 
-    ``rows``: key, m (the list's length), set, n, pos, component, hub, distance, sketch. Lists are
-    dealt into cells of two blocks.
+    Each set outside the largest component meets the sets of all others; sure links join components
+    at once, and a candidate, the nearest by its bitmap, stands for all between two components.
     """
-    dealt = rows.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
-    cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("low", F.least("i", "j")).withColumn("high", F.greatest("i", "j"))
-    columns = ["key", "low", "high", "i", "set", "n", "pos", "component", "hub", "distance", "sketch"]
-    sorted_ = cells.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
-
-    def pairs_of(group: list[tuple]) -> tuple[list, list, list]:
-        a, b, sure = [], [], []
-        if len({r[7] for r in group}) < 2:
-            return a, b, sure
-        i, n, pos = (np.array([r[k] for r in group], np.int64) for k in (3, 5, 6))
-        comp, hub = (np.array([-1 if r[k] is None else r[k] for r in group], np.int64) for k in (7, 8))
-        known = np.array([r[8] is not None for r in group])
-        far = np.array([r[9] if r[9] is not None else 0 for r in group], np.int64)
-        hist = np.stack([np.frombuffer(r[10], np.uint8) for r in group]).astype(np.int32)
-        cross = group[0][1] != group[0][2]  # two blocks: pairs inside one of them have a cell of their own
-        stop = np.searchsorted(n, n * 100 // at_least, side="right")
-        for x in range(len(group) - 1):
-            y = np.arange(x + 1, stop[x])
-            y = y[(comp[y] != comp[x]) & ((i[y] != i[x]) == cross)]
-            if not len(y):
-                continue
-            shared = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
-            y = y[~too_far(n[x], n[y], n[x] + n[y] - 2 * shared, at_least)]
-            same = (hub[y] == hub[x]) & known[y] & known[x]
-            y, same = (z[~(same & too_far(n[x], n[y], np.abs(far[y] - far[x]), at_least))] for z in (y, same))
-            ok = same & ~too_far(n[x], n[y], far[y] + far[x], at_least)
-            near = ok | ~too_far(n[x], n[y], np.abs(hist[y] - hist[x]).sum(axis=1), at_least)
-            for k, s in zip(y[near].tolist(), ok[near].tolist(), strict=True):
-                a.append(group[x][4])
-                b.append(group[k][4])
-                sure.append(s)
-        return a, b, sure
+    codes = np.unique(np.array(cell["component"], np.int64), return_inverse=True)[1]
+    if not codes.any():
+        return []
+    n, pos, block = (np.array(cell[c], np.int64) for c in ("n", "pos", "block"))
+    guest = np.array(cell["guest"], bool)
+    hub, far = (np.array([-1 if v is None else v for v in cell[c]], np.int64) for c in ("hub", "distance"))
+    cross = cell["low"][0] != cell["high"][0]  # two blocks: pairs inside one of them have a cell of their own
+    bitmaps = [np.frombuffer(s, "<u8") for s in cell["sketch"]]
+    words = np.array([len(s) for s in bitmaps])
+    stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_length(size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in stacked:  # every bitmap of that length or more, and where it stands
+            has = words >= size
+            stacked[size] = np.stack([folded(bitmaps[i], size) for i in np.nonzero(has)[0]]), np.cumsum(has) - 1
+        return stacked[size]
+
+    refused = [set(r or ()) for r in cell["refused"]]
+    sets, root, found = cell["set"], list(range(int(codes.max()) + 1)), []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def tell(x: int, y: int, sure: bool) -> None:
+        p, q = find(codes[x]), find(codes[y])
+        if p != q:
+            found.append((min(sets[x], sets[y]), max(sets[x], sets[y]), sure))
+            if sure or not whole:
+                root[p] = q
+
+    ahead = np.ones(len(n), bool)
+    for x in np.nonzero(codes != np.bincount(codes).argmax())[0].tolist():
+        ahead[x] = False
+        shared = 1 + np.minimum(n[x] - pos[x] - 1, n - pos - 1)
+        ok = ahead & (codes != codes[x]) & ((block != block[x]) == cross) & ~(guest & guest[x])
+        y = np.nonzero(ok & ~too_far(n[x], n, n[x] + n - 2 * np.minimum(shared, np.minimum(n, n[x])), at_least))[0]
+        if not len(y):
+            continue
+        same = (hub[y] == hub[x]) & (hub[x] >= 0)
+        open_ = ~(same & too_far(n[x], n[y], np.abs(far[y] - far[x]), at_least))
+        y, same = y[open_], same[open_]
+        sure = same & ~too_far(n[x], n[y], far[y] + far[x], at_least)
+        for k in y[sure].tolist():
+            tell(x, k, True)
+        here = find(codes[x])
+        y = y[~sure]
+        y = y[[find(c) != here for c in codes[y].tolist()]] if len(y) else y
+        near: list[tuple[int, int]] = []
+        for size in np.unique(np.minimum(words[y], words[x])).tolist():
+            part = y[np.minimum(words[y], words[x]) == size]
+            table, where = at_length(size)
+            apart = np.bitwise_count(table[where[part]] ^ table[where[x]]).sum(axis=1, dtype=np.int64)
+            keep = ~too_far(n[x], n[part], apart, at_least)
+            near += [(a, sets[k], k) for a, k in zip(apart[keep].tolist(), part[keep].tolist(), strict=True) if sets[k] not in refused[x] and sets[x] not in refused[k]]
+        for _, _, k in sorted(near):
+            tell(x, k, False)
+    return found
+
+
+def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame:
+    """(a, b, sure): what ``near_pairs`` finds in each list.
+
+    ``rows``: key, m (the list's length), set, n, pos, component, hub, distance, sketch, refused. A list of more than
+    ``BLOCK`` sets is cut by size: a set goes to the run of its size, and as a guest to that of the next larger
+    sizes; runs are dealt into cells of two blocks.
+    """
+    own = F.floor(F.log("n") / (math.log(100 / at_least) + 1e-6)).cast("int")  # sizes of a link are in one run or the next
+    short = rows.where(F.col("m") <= BLOCK).select("*", *(F.lit(0).alias(c) for c in ("run", "low", "high", "block")), F.lit(False).alias("guest"))
+    long = rows.where(F.col("m") > BLOCK).withColumn("stay", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("run", own + F.col("stay")).withColumn("guest", F.col("stay") == 1)
+    sizes = long.groupBy("key", "run").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"), F.min("guest").alias("only")).where("not only").drop("only")
+    dealt = long.join(sizes, ["key", "run"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("low", F.least("block", "j")).withColumn("high", F.greatest("block", "j"))
+    cells = short.select(*_CELL).union(dealt.select(*_CELL)).repartition("key", "run", "low", "high").sortWithinPartitions("key", "run", "low", "high", "set")
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        """The pairs of the whole cells of a table."""
+        found: list[tuple[int, int, bool]] = []
+        if table.num_rows:
+            marks = np.stack([table.column(c).to_numpy() for c in _CELL[:4]])
+            cuts = [0, *(np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1).tolist(), table.num_rows]
+            data = {c: table.column(c).to_pylist() for c in _CELL}
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                if q - p > 1:
+                    found += near_pairs({c: v[p:q] for c, v in data.items()}, at_least, whole)
+        a, b, sure = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            found: tuple[list, list, list] = ([], [], [])
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    for to, new in zip(found, pairs_of(group), strict=True):
-                        to.extend(new)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.bool_())], names=["a", "b", "sure"])
-        if group:
-            a, b, sure = pairs_of(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
-
-    out = sorted_.mapInArrow(run, "a long, b long, sure boolean")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+            if not batch.num_rows:
+                continue
+            mark = [batch.column(i)[-1].as_py() for i in range(4)]
+            if held and [held[-1].column(i)[-1].as_py() for i in range(4)] == mark == [batch.column(i)[0].as_py() for i in range(4)]:
+                held.append(batch)  # all of the cell that is being gathered
+                continue
+            same = np.logical_and.reduce([batch.column(i).to_numpy() == mark[i] for i in range(4)])
+            tail = int(same.sum())
+            yield emit(pa.Table.from_batches([*held, batch.slice(0, batch.num_rows - tail)]))
+            held = [batch.slice(batch.num_rows - tail)]
+        if held:
+            yield emit(pa.Table.from_batches(held))
+        give_back()
+
+    out = cells.mapInArrow(run, "a long, b long, sure boolean")
+    return out.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     sig = written(signatures(docs, at_least, width), "signatures")
-    some = sig.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    first = F.min(F.struct((~F.col("named")).alias("nameless"), "rid")).alias("first")
+    some = sig.where("n > 0").groupBy("sid", "n").agg(first, F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    some = some.select("sid", "n", (~F.col("first.nameless")).alias("named"), "first.rid", "least_id", "sketch", "prefix")
     classes = written(some.withColumn("set", F.monotonically_increasing_id()), "classes")  # the sets, numbered
-    rows = classes.where("rep is not null").select("set", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "keys")
-    lists = written(rows.join(shared, "key").select("key", "set", "n", "pos"), "lists")
+    rows = classes.select("set", "n", F.posexplode("prefix").alias("pos", "key"))
     nothing = classes.where("false").select(F.col("set").alias("a"), F.col("set").alias("b"))
-    links, hubs_of = [nothing], nothing.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.lit(0).alias("distance"))
-    state = lists.withColumn("component", F.col("set"))
+    links, refused, hubs_of = [nothing], [nothing], nothing.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.lit(0).alias("distance"))
     linked = ~too_far(F.col("n_a"), F.col("n_b"), F.col("distance"), at_least)
-    for turn in range(rounds + 1):
-        # one pass over the lists: which are still mixed, how long they are, and their hubs
-        hub = F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "n", "component")).alias("hub")
-        of_key = state.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), *([hub] if turn < rounds else [F.count(F.lit(1)).alias("m")]))
-        mixed = written(of_key.where("p < q").drop("p", "q"), "mixed")
-        if turn == rounds:
-            state = written(state.join(mixed, "key"), "state")
-            break
-        mixed = mixed.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("set", "n", "component")))
-        state = written(state.join(mixed, "key"), "state")
-        met = state.where("hub_component <> component").where(f"100 * least(n, hub_n) >= {at_least} * greatest(n, hub_n)")
-        first = F.min(F.struct(F.xxhash64("hub_set", F.lit(turn)), "hub_set")).alias("hub")
-        chosen = met.groupBy(F.col("set").alias("a")).agg(first).select("a", F.col("hub.hub_set").alias("b"))
+    # the lists of at least two sets, each with its hub: first the set whose shared shingle comes first, then one of any component
+
+    def hubs(rows: DataFrame, turn: int) -> DataFrame:
+        order = [F.col("pos").alias("o0"), F.xxhash64("set").alias("o1")]
+        if turn:
+            order = [F.xxhash64("component", F.lit(turn)).alias("o2"), *order]
+        best = F.min(F.struct(*order, "set", "n", "component", "pos")).alias("best")
+        found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("p"), F.max("component").alias("q"), best).where("p < q")
+        return written(found.select("key", "m", *(F.col(f"best.{c}").alias(f"hub_{c}") for c in ("set", "n", "component", "pos"))), "lists")
+
+    rows = rows.withColumn("component", F.col("set"))
+    state = written(rows.join(hubs(rows, 0), "key"), "state")
+    relabel = lambda: components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
+    base = ["key", "set", "n", "pos"]
+
+    def renamed(state: DataFrame, turn: int) -> DataFrame:
+        """``state`` with new components, the lists that are still mixed, and their hubs."""
+        now = state.select(*base).join(relabel(), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        now = written(now, "renamed")
+        return written(now.join(hubs(now, turn), "key"), "state")
+
+    for turn in range(rounds):
+        least = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"), "n", "hub_n")
+        met = state.where("hub_component <> component").where(~too_far(F.col("n"), F.col("hub_n"), F.col("n") + F.col("hub_n") - 2 * least, at_least))
+        chosen = met.groupBy(F.col("set").alias("a")).agg(F.min(F.struct("hub_pos", F.xxhash64("hub_set"), "hub_set")).alias("hub")).select("a", F.col("hub.hub_set").alias("b"))
         near = written(near_by_sketch(chosen, classes, at_least), "near")
         measured = written(verified(near, docs, classes, at_least, width), "measured")
         if turn == 0:
             to_hub = measured.select(F.col("a").alias("set"), F.col("b").alias("hub"), "distance").union(measured.select("b", "b", F.lit(0)))
             hubs_of = written(to_hub.groupBy("set").agg(F.min_by(F.struct("hub", "distance"), "distance").alias("s")).select("set", "s.hub", "s.distance"), "hubs_of")
         links.append(measured.where(linked).select("a", "b"))
-        label = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
-        state = state.select("key", "set", "n", "pos").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    full = state.join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").select("key", "m", "set", "n", "pos", "component", "hub", "distance", "sketch")
-    left = written(cell_pairs(full, at_least), "pairs")
-    measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
-    links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
-    label = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
-    named = written(classes.select("set", "sid", "rep").join(label, "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
-    ids = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "ids")
+        refused.append(measured.where(~linked).select("a", "b"))
+        state = renamed(state, turn + 1)
+    for turn in range(FORESTS + 1):
+        if state.isEmpty():
+            break
+        no = reduce(DataFrame.union, refused).groupBy(F.col("a").alias("set")).agg(F.collect_set("b").alias("refused"))
+        full = state.select("m", *base, "component").join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").join(no, "set", "left")
+        with batch_rows(spark, 2000):
+            left = written(cell_pairs(full, at_least, whole=turn == FORESTS), "pairs")
+        if left.isEmpty():
+            break
+        measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
+        links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
+        refused.append(measured.where(~linked).select("a", "b"))
+        if turn < FORESTS:
+            state = renamed(state, turn + 1)
+    named = written(classes.select("set", "sid", "least_id").join(relabel(), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
+    ids = written(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "ids")
     of_set = written(named.join(ids, "component").select("sid", "component_id"), "of_set")
     got = sig.select("doc_id", "n", "sid").where("n > 0").join(of_set, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return got.union(sig.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
