@@ -13,11 +13,11 @@ Set relations save most of the work on a list:
 * lists are skipped in blocks: what is left of a long list is cut by set size into runs that overlap
   by the size ratio of a link, dealt into cells of two blocks, and each set skips those
   whose sizes and places of the shared shingle forbid a link. A bitmap of the parities of each set's
-  hashes, two to four bits a shingle, bounds the distance from below before texts are read.
+  hashes bounds the distance from below before texts are read.
 
 A cell reports a forest: one candidate for any two of its components, however many pairs could
-join them. Candidates are verified on whole texts, links rename the components, refused
-pairs are remembered, and the lists that are still mixed are read again; after ``FORESTS`` such
+join them, and which of its rows had one. Candidates are verified on whole texts, links rename the components, refused
+pairs are remembered, and those rows of lists that are still mixed are read again; after ``FORESTS`` such
 rounds the few pairs that neither bound nor component decides are all verified. So every pair that could link is
 verified, decided by those bounds, or already in one component, and components are exact. No list, however
 long, meets in one task, and distances travel as pairs of numbers.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_rows, components, give_back, prepare, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
-CELLS, CHUNKS, BLOCK, ROUNDS, FORESTS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 2, 3, 64, 1 << 23
+CELLS, CHUNKS, BLOCK, ROUNDS, FORESTS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 1, 3, 64, 1 << 23
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -71,12 +71,13 @@ def prefix_length(n: int, at_least: int = AT_LEAST) -> int:
     return n + (-at_least * n) // 100 + 1
 
 
-def parities(found: np.ndarray) -> bytes:
-    """Whether an odd number of hashes fall on each bit of a bitmap of two to four bits a shingle.
+def parities(found: np.ndarray, at_least: int = AT_LEAST) -> bytes:
+    """Whether an odd number of hashes fall on each bit of a bitmap.
 
     Bitmaps of two sets, the longer one folded to the length of the shorter, differ in at most as many bits as the sets in shingles.
+    They have 6 to 12 bits for each shingle that two linked sets of this size may differ in.
     """
-    bits = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    bits = 1 << max(6, (12 * len(found) * (100 - at_least) // (100 + at_least)).bit_length())
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -152,7 +153,7 @@ def signatures(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH) ->
             out["n"].append(n)
             out["sid"].append(name_of(found) if n else None)
             out["prefix"].append(ordered(found, shared.value)[: prefix_length(n, at_least)].view(np.int64) if n else [])
-            out["sketch"].append(parities(found) if n else None)
+            out["sketch"].append(parities(found, at_least) if n else None)
         return out
 
     rows = docs.select("doc_id", F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
@@ -231,15 +232,15 @@ def near_by_sketch(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFram
 _CELL = ("key", "run", "low", "high", "block", "guest", "set", "n", "pos", "component", "hub", "distance", "sketch", "refused")
 
 
-def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> list[tuple[int, int, bool]]:
-    """(a, b, sure) of one cell: a forest over its components, or (``whole``) all pairs that are still open.
+def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> tuple[list[tuple[int, int, bool]], set[int]]:
+    """(a, b, sure) of one cell: a forest over its components, or (``whole``) all pairs that are still open; and the sets with a candidate.
 
     Each set outside the largest component meets the sets of all others; sure links join components
     at once, and a candidate, the nearest by its bitmap, stands for all between two components.
     """
     codes = np.unique(np.array(cell["component"], np.int64), return_inverse=True)[1]
     if not codes.any():
-        return []
+        return [], set()
     n, pos, block = (np.array(cell[c], np.int64) for c in ("n", "pos", "block"))
     guest = np.array(cell["guest"], bool)
     hub, far = (np.array([-1 if v is None else v for v in cell[c]], np.int64) for c in ("hub", "distance"))
@@ -255,7 +256,7 @@ def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> list[tuple[
         return stacked[size]
 
     refused = [set(r or ()) for r in cell["refused"]]
-    sets, root, found = cell["set"], list(range(int(codes.max()) + 1)), []
+    sets, root, found, open_sets = cell["set"], list(range(int(codes.max()) + 1)), [], set()
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -295,11 +296,12 @@ def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> list[tuple[
             near += [(a, sets[k], k) for a, k in zip(apart[keep].tolist(), part[keep].tolist(), strict=True) if sets[k] not in refused[x] and sets[x] not in refused[k]]
         for _, _, k in sorted(near):
             tell(x, k, False)
-    return found
+            open_sets |= {sets[x], sets[k]}
+    return found, open_sets
 
 
 def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame:
-    """(a, b, sure): what ``near_pairs`` finds in each list.
+    """(a, b, sure, key): what ``near_pairs`` finds in each list; pairs without a key, and rows (key, a) that had a candidate.
 
     ``rows``: key, m (the list's length), set, n, pos, component, hub, distance, sketch, refused. A list of more than
     ``BLOCK`` sets is cut by size: a set goes to the run of its size, and as a guest to that of the next larger
@@ -314,17 +316,19 @@ def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame
     cells = short.select(*_CELL).union(dealt.select(*_CELL)).repartition("key", "run", "low", "high").sortWithinPartitions("key", "run", "low", "high", "set")
 
     def emit(table: pa.Table) -> pa.RecordBatch:
-        """The pairs of the whole cells of a table."""
-        found: list[tuple[int, int, bool]] = []
+        """The findings of the whole cells of a table."""
+        found: list[tuple] = []
         if table.num_rows:
             marks = np.stack([table.column(c).to_numpy() for c in _CELL[:4]])
             cuts = [0, *(np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1).tolist(), table.num_rows]
             data = {c: table.column(c).to_pylist() for c in _CELL}
             for p, q in zip(cuts, cuts[1:], strict=False):
                 if q - p > 1:
-                    found += near_pairs({c: v[p:q] for c, v in data.items()}, at_least, whole)
-        a, b, sure = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+                    pairs, rows = near_pairs({c: v[p:q] for c, v in data.items()}, at_least, whole)
+                    found += [(*pair, None) for pair in pairs]
+                    found += [(one, None, None, data["key"][p]) for one in sorted(rows)]
+        columns = zip(*found, strict=True) if found else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["a", "b", "sure", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -343,8 +347,7 @@ def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame
             yield emit(pa.Table.from_batches(held))
         give_back()
 
-    out = cells.mapInArrow(run, "a long, b long, sure boolean")
-    return out.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return cells.mapInArrow(run, "a long, b long, sure boolean, key long")
 
 
 def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
@@ -398,14 +401,16 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
         no = reduce(DataFrame.union, refused).groupBy(F.col("a").alias("set")).agg(F.collect_set("b").alias("refused"))
         full = state.select("m", *base, "component").join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").join(no, "set", "left")
         with batch_rows(spark, 2000):
-            left = written(cell_pairs(full, at_least, whole=turn == FORESTS), "pairs")
+            told = written(cell_pairs(full, at_least, whole=turn == FORESTS), "told")
+        left = written(told.where("key is null").groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
         if left.isEmpty():
             break
         measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
         links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
         refused.append(measured.where(~linked).select("a", "b"))
         if turn < FORESTS:
-            state = renamed(state, turn + 1)
+            alive = told.where("key is not null").select("key", F.col("a").alias("set")).distinct()
+            state = renamed(state.join(alive, ["key", "set"], "left_semi"), turn + 1)
     named = written(classes.select("set", "sid", "least_id").join(relabel(), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
     ids = written(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "ids")
     of_set = written(named.join(ids, "component").select("sid", "component_id"), "of_set")
