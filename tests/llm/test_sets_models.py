@@ -110,7 +110,46 @@ def test_context_model_is_a_distribution():
     assert np.isclose((10 ** m.log10(counts_) * words).sum() + 10 ** m.log10(np.array([0])).sum(), 1)
 
 
+def test_score_equals_a_model_counted_by_hand(spark, odd, monkeypatch):
+    """Chances come from the same sampler; every count, class, context and sum is made here by dictionaries."""
+    monkeypatch.setattr(pitman_yor, "CLASSES", 6)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 9)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(rng.randrange(0, 60)))) for i in range(120)]
+    table = spark.createDataFrame([*rows, (None, "w1 w2"), (500, None)], "doc_id long, text string")
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in table.collect()]
+    train = [ws for d, ws in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    c = Counter(w for ws in train for w in ws)
+    bin_of = lambda n: math.floor(math.log2(n) * 32 + 1e-9)
+    frequent = []
+    for b in sorted({bin_of(n) for n in c.values()}, reverse=True):
+        new = [w for w in c if bin_of(c[w]) == b]
+        if len(frequent) + len(new) > 13:
+            break
+        frequent += new
+    frequent.sort(key=lambda w: (-c[w], w))
+    classes, seconds = frequent[:4], frequent[4:]
+    dish = lambda w: 0 if w is None else 2 + classes.index(w) if w in classes else 1
+    context = lambda w: 6 if w is None else 2 + classes.index(w) if w in classes else 7 + zlib.crc32(w[-2:]) % pitman_yor.TAILS
+    counts = np.zeros((7 + pitman_yor.TAILS, 6), np.int64)
+    for ws in train:
+        for u, w in zip([None, *ws], [*ws, None], strict=True):
+            counts[context(u), dish(w)] += 1
+    far = {w: n for w, n in c.items() if w not in frequent}
+    table_, other = pitman_yor.context_model(counts), pitman_yor.dish_model(np.array([*(c[w] for w in seconds), sum(far.values())]))
+    bins = sorted({bin_of(n) for n in far.values()})
+    groups = [[n for n in far.values() if bin_of(n) == b] for b in bins]
+    last = pitman_yor.CountModel(np.array([round(sum(g) / len(g)) for g in groups]), np.array([len(g) for g in groups], float))
+    want = {}
+    for d, ws in rows:
+        total = sum(table_[context(u), dish(w)] for u, w in zip([None, *ws], [*ws, None], strict=True))
+        total += sum(other[seconds.index(w)] if w in seconds else other[-1] + last.log10(np.array([far.get(w, 0)]))[0] for w in ws if w not in classes)
+        want[d] = total
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(table).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[d], want[d]) for d in want)
+
+
 def test_tables_need_customers():
     rng = np.random.default_rng(3)
-    t = pitman_yor.tables(np.array([0, 1, 5, 100_000]), np.full(4, 0.5), 0.5, rng)
+    t = pitman_yor.tables(np.array([0, 1, 5, 100_000]), 1.0, np.full(4, 0.25), 0.5, rng)
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 5000
