@@ -4,8 +4,9 @@
 their ids into a shared-suffix automaton whose edge outputs add up to a word's number, ships
 its bytes once, lets every Python worker memory-map them, and merges unseen words exactly.
 
-Defined cases: null text is the empty text (0 ids); ties and repeated rows give equal rows;
-an empty table gives an empty result; other columns are ignored unless named in ``keep``.
+Defined cases: null text is the empty text (0 ids); a very long text is merged word by word, and a very long word by
+a heap in n log n steps; ties and repeated rows give equal rows; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, most_frequent, prepare, written
 
-#: Words in the automaton, words a worker remembers, and the share of a partition's words that makes one a candidate.
-LEXICON_WORDS, REMEMBERED, SHARE = 32_768, 200_000, 1 / 65_536
+#: Words in the automaton, and words a worker remembers.
+LEXICON_WORDS, REMEMBERED = 32_768, 200_000
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,6 +43,9 @@ def pretokens(text: str) -> list[str]:
     return (PATTERN if _BEYOND.search(text) else _LATIN).findall(text)
 
 
+_ID, _NO_MERGE = (1 << 20) - 1, 1 << 62
+
+
 class Vocabulary:
     """A tokenizer file: merges by pair of ids, bytes by id, special strings."""
 
@@ -59,26 +63,27 @@ class Vocabulary:
             self.pieces[i] = bytes(byte[c] for c in s)
         for s, i in self.special.items():
             self.pieces[i] = s.encode()
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.decimal = list(map(str, range(len(self.pieces))))
+        self.merges: dict[int, int] = {}  # rank, then the new id
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the lowest-ranked pair first, as training merged them."""
-        ids, merges = [self.first[b] for b in word], self.merges
+        ids, get = [self.first[b] for b in word], self.merges.get
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                m = merges.get(ids[i] << 20 | ids[i + 1])
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        pairs = [get(a << 20 | b, _NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs and (best := min(pairs)) < _NO_MERGE:
+            i = pairs.index(best)
+            ids[i : i + 2] = [best & _ID]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], _NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = get(ids[i] << 20 | ids[i + 1], _NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -88,8 +93,8 @@ class Vocabulary:
         heap = []
 
         def put(i: int) -> None:
-            if i >= 0 and after[i] < n and (m := merges.get(ids[i] << 20 | ids[after[i]])):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]], m[1]))
+            if i >= 0 and after[i] < n and (m := merges.get(ids[i] << 20 | ids[after[i]])) is not None:
+                heapq.heappush(heap, (m >> 20, i, ids[i], ids[after[i]], m & _ID))
 
         for i in range(n - 1):
             put(i)
@@ -107,7 +112,7 @@ class Vocabulary:
 
     def parts(self, text: str) -> list[str]:
         """Plain stretches at even places, special strings at odd ones."""
-        return self.split.split(text) if self.split else [text]
+        return self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -264,34 +269,28 @@ def by_library(path: str) -> WordCodec:
 
 
 def frequent_words(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts.
-
-    Each batch of rows reports the words that make up at least ``SHARE`` of its own, so any word
-    with that share of the corpus is reported by some batch, and a batch reports at most
-    1 / SHARE words.
-    """
+    """The most frequent words of all texts, at most ``top``."""
 
     def count(batches):
         import pyarrow as pa
 
         c: Counter = Counter()
+
+        def told():
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+
         for b in batches:
-            own: Counter = Counter()
             for text in b.column(0).to_pylist():
                 for part in vocabulary(path).parts(text or "")[::2]:
-                    own.update(pretokens(part))
-            least = sum(own.values()) * SHARE
-            for w, n in own.items():
-                if n >= least:
-                    c[w] += n
+                    c.update(pretokens(part))
             if len(c) > REMEMBERED:
-                yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+                yield told()
                 c.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+        yield told()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
-    rows = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top).collect()
-    return [r["word"] for r in rows]
+    prepare(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [w for w, _ in most_frequent(written(counts, "words"), top)]
 
 
 def compile_lexicon(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> bytes:
@@ -325,7 +324,7 @@ def round_trip(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> DataFram
             ids = np.frombuffer(packed, "<u4").tolist()
             out["doc_id"].append(doc_id)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(codec.vocab.decimal.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(codec.vocab.decode(ids).encode()).hexdigest())
         return out
 

@@ -79,6 +79,29 @@ def held_out(remainder: int) -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
+def count_bin(c: "F.Column") -> "F.Column":
+    """Counts within a 32nd of a doubling; those up to 45 are apart."""
+    return F.floor(F.log2(c.cast("double")) * 32 + 1e-9).cast("int")
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple]:
+    """(word, n) of the words in the highest bins of counts that hold at most ``most`` words together, most frequent first.
+
+    ``counts``: a stored table (word, n). The driver gets a number for each bin and at most ``most`` words.
+    """
+    least, total = None, 0
+    bins = counts.groupBy(count_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect()
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["bin"]
+    if least is None:
+        return []
+    rows = counts.where(count_bin(F.col("n")) >= least).select("word", "n").collect()  # at most ``most`` words
+    return sorted(((r["word"], r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of ``links(a, b)``: rows (node, component), smallest node first.
 
