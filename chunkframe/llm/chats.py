@@ -8,8 +8,9 @@ prefix of a longer one go by anti-join; equal ones keep the smallest id and the
 Only DataFrame functions run here.
 
 Defined cases: the place of a turn is its rank by turn, role and text (nulls first) and a null
-role or text differs from an empty one; rows with a null conv_id form one conversation; an
-empty table gives an empty result; repeated rows are turns of their own.
+role or text differs from an empty one; a very long turn is hashed whole; rows with a null conv_id form one
+conversation; of conversations that tie, the smallest id stays, null before any; an empty table gives an empty result; repeated
+rows are turns of their own; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -23,10 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...]):
+    """Deletes the tables ``written`` within, but for those named in ``keep``, which the result still reads."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        done = _scratch.pop()
+        if _scratch:
+            _scratch[-1] += [(name, path) for name, path in done if name in keep]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name, path in done:
+            if name not in keep:
+                place = hadoop(path)
+                place.getFileSystem(conf).delete(place, True)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append((name, path))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,6 +97,14 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, schema)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(remainder: int) -> "F.Column":
     """Whether crc32 of the decimal doc_id leaves ``remainder`` modulo 5 (null ids: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder, F.lit(False))

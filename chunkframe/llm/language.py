@@ -6,23 +6,24 @@ the sum of its training texts' directions, and a text goes to the prototype with
 cosine. Prototypes are learned from at most ``per_lang`` labelled rows of each language, chosen
 by a hash of the id, and summed where the rows are; only the sums reach the driver.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the
-language that sorts first; with no training rows all are ``und``; an empty table gives no rows.
+Defined cases: null texts and texts without a letter (``\\p{L}``: numerals such as "½" or "Ⅻ" are none) are ``und`` with score 0; ties go to the
+language that sorts first; a very long text is one sum of n-grams; repeated rows count and are predicted each; columns named like the
+results are kept under ``keep`` only if ``into`` names others; with no training rows all are ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out
 
 DIMENSIONS, GRAM, PER_LANG, CELLS = 1024, 3, 3000, 4096
-_GAPS = re.compile(r"[\W\d_]+")
+_GAPS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _letters: dict[int, np.ndarray] = {}
 _grams: dict[int, np.ndarray] = {}
 
@@ -47,9 +48,9 @@ def gram(key: int) -> np.ndarray:
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the n-grams of letters; words are apart by one blank."""
+    """Keys and counts of the n-grams of letters and their marks; words are apart by one blank."""
     words = _GAPS.sub(" ", (text or "").lower()).strip()
-    if not words:
+    if not _LETTER.search(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype(np.int64)
     return np.unique(a[:-2] | a[1:-1] << 21 | a[2:] << 42, return_counts=True)

@@ -10,7 +10,8 @@ licence from its siblings (name, version) must stand in it.
 Defined cases: null and empty texts, and texts shorter than a gram, have no match; overlapping
 matches of one template count once, where it covers most, and of templates that share more than half of
 a span the one with most words matched less words missed; ties go to the earlier span, then the
-template that sorts first; repeated rows repeat their matches; an empty table gives no rows.
+template that sorts first; a very long text is scanned whole, in time linear in its words and hits; repeated rows repeat
+their matches; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ decreasing, all on counts. The plan has a bounded number of rows: each gives the
 length with ranks in an interval a place. Ranks are made by Spark in (length, bucket) groups, so
 no length, however common, meets in one task.
 
-Defined cases: null and empty texts are the end id alone (one piece of length 1); repeated rows
-are packed as often as they occur; an empty table gives an empty result; null ids are kept.
+Defined cases: null and empty texts are the end id alone (one piece of length 1); very long texts are cut
+into pieces; repeated rows are packed as often as they occur; pieces of one length are ranked by their place in the
+stored table, which settles ties; null ids are kept; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,10 +79,10 @@ def fit(count: np.ndarray, found: list[tuple[int, ...]], sweeps: int = 25) -> li
     return x
 
 
-def plan(count: np.ndarray, roundings: tuple[float, ...] = (0.5, 0.0, -np.inf)) -> dict[str, np.ndarray]:
+def plan(count: np.ndarray, roundings: tuple[float, ...] = (0.5, 0.0, -1.0, -3.0)) -> dict[str, np.ndarray]:
     """Columns length, lo, n, copies, sequence, offset: rank r in [lo, lo + n) goes to sequence + (r - lo) // copies, at offset + (r - lo) % copies * length.
 
-    Repeat counts are rounded to the nearest number, down, and to none; the fewest sequences win.
+    Repeat counts are rounded to the nearest number, down, and down after one or three are left to the residual; the fewest sequences win.
     """
     found = patterns(count)
     x = fit(count, found)
@@ -130,10 +131,10 @@ def _rounded(count: np.ndarray, found: list[tuple[int, ...]], fitted: list[float
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """``cut`` with sequence_id and offset; ``cut`` is a stored table with doc_id, piece and length."""
+    """``cut`` with sequence_id and offset; ``cut`` is a stored table with doc_id, piece, length and a number ``row``."""
     spark = cut.sparkSession
     buckets = max(2048, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "lengths")
     histogram = np.zeros(size + 1, int)
@@ -152,11 +153,12 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = cut.withColumn("nth", F.row_number().over(within)).join(base, ["length", "bucket"])
     placed = ranked.withColumn("at", place("length", F.col("base") + F.col("nth") - 1))
     return placed.select(*[c for c in cut.columns if c != "bucket"], "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFrame:
-    return pack(written(pieces(docs, path, size, end), "pieces"), size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = pieces(docs, path, size, end).withColumn("row", F.monotonically_increasing_id())  # a stored number: no id, null or repeated, fills a bucket
+    return pack(written(cut, "pieces"), size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

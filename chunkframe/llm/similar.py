@@ -33,8 +33,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_rows, components, give_back, prepare, written
+from .common import arrow_map, batch_rows, components, give_back, prepare, scratch, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
 CELLS, CHUNKS, BLOCK, ROUNDS, FORESTS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 1, 3, 64, 1 << 23
+Features = Callable[[str | None], np.ndarray]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -94,7 +95,7 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum())
 
 
-def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+def commonness(docs: DataFrame, features: Features = shingles) -> np.ndarray:
     """Two rows of ``CELLS`` counters over the sets of all texts, as levels from 0 (nothing special).
 
     Partitions send their counters in compressed chunks; the sum has a fixed size.
@@ -104,7 +105,7 @@ def commonness(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2 * CELLS, np.int64)
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(0).to_pylist()]
+            sets = [features(t) for t in b.column(0).to_pylist()]
             if sets:
                 h = np.concatenate(sets)
                 sums[:CELLS] += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS)
@@ -138,17 +139,17 @@ def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, level))]
 
 
-def signatures(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH) -> DataFrame:
+def signatures(docs: DataFrame, at_least: int = AT_LEAST, features: Features = shingles) -> DataFrame:
     """(doc_id, named, rid, n, sid, prefix, sketch): a row's key, a set's size, its name, its first shingles, its parities.
 
     Rows are fetched again by ``rid``: their id, or where that is null (not ``named``) a hash of the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(commonness(docs, width))  # 2 * CELLS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(commonness(docs, features))  # 2 * CELLS bytes
 
     def run(x):
         out = {k: x[k] for k in ("doc_id", "named", "rid")} | {"n": [], "sid": [], "prefix": [], "sketch": []}
         for t in x["text"]:
-            found = shingles(t, width)
+            found = features(t)
             n = len(found)
             out["n"].append(n)
             out["sid"].append(name_of(found) if n else None)
@@ -165,7 +166,7 @@ def too_far(n_a, n_b, distance, at_least: int = AT_LEAST):
     return 100 * (n_a + n_b - distance) < at_least * (n_a + n_b + distance)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: int, width: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: int, features: Features) -> DataFrame:
     """(a, b, n_a, n_b, distance) of candidate pairs of sets, computed on the whole texts of their first rows.
 
     At most ``SHARED`` partners of ``b`` meet in a group, and its text is sent once to each group.
@@ -201,7 +202,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, at_least: in
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for b, part, later, one, sid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = shingles(text, width)
+                found = features(text)
                 if name_of(found) != sid:
                     continue  # an id can have several texts: only those whose set has the name
                 if not later:
@@ -350,10 +351,18 @@ def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame
     return cells.mapInArrow(run, "a long, b long, sure boolean, key long")
 
 
-def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = WIDTH, rounds: int = ROUNDS, features: Features | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    ``features``: another function from a text to its set, sorted distinct well-mixed 64-bit hashes.
+    """
+    with scratch(docs.sparkSession, keep=("signatures", "of_set")):
+        return _joined(docs, at_least, rounds, features or partial(shingles, width=width))
+
+
+def _joined(docs: DataFrame, at_least: int, rounds: int, features: Features) -> DataFrame:
     spark = docs.sparkSession
-    sig = written(signatures(docs, at_least, width), "signatures")
+    sig = written(signatures(docs, at_least, features), "signatures")
     first = F.min(F.struct((~F.col("named")).alias("nameless"), "rid")).alias("first")
     some = sig.where("n > 0").groupBy("sid", "n").agg(first, F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     some = some.select("sid", "n", (~F.col("first.nameless")).alias("named"), "first.rid", "least_id", "sketch", "prefix")
@@ -365,14 +374,15 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
     # the lists of at least two sets, each with its hub: first the set whose shared shingle comes first, then one of any component
 
     def hubs(rows: DataFrame, turn: int) -> DataFrame:
-        order = [F.col("pos").alias("o0"), F.xxhash64("set").alias("o1")]
-        if turn:
-            order = [F.xxhash64("component", F.lit(turn)).alias("o2"), *order]
-        best = F.min(F.struct(*order, "set", "n", "component", "pos")).alias("best")
-        found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("p"), F.max("component").alias("q"), best).where("p < q")
-        return written(found.select("key", "m", *(F.col(f"best.{c}").alias(f"hub_{c}") for c in ("set", "n", "component", "pos"))), "lists")
-
-    rows = rows.withColumn("component", F.col("set"))
+        """Every mixed list's length, and its hub while there is a round of hubs to come."""
+        order = [F.xxhash64("component", F.lit(turn)).alias("o")] if turn else []
+        best = F.min(F.struct(*order, "pos", "set", "n", "component")).alias("best")
+        mixed = [F.min("component").alias("p"), F.max("component").alias("q")]
+        found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *(mixed if turn else []), *([best] if turn < rounds else [])).where("p < q" if turn else "m > 1")
+        hub = [F.col(f"best.{c}").alias(f"hub_{c}") for c in ("set", "n", "component", "pos")] if turn < rounds else []
+        return written(found.select("key", "m", *hub), "lists")
+
+    rows = rows.select("*", F.col("set").alias("component"))
     state = written(rows.join(hubs(rows, 0), "key"), "state")
     relabel = lambda: components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
     base = ["key", "set", "n", "pos"]
@@ -388,7 +398,7 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
         met = state.where("hub_component <> component").where(~too_far(F.col("n"), F.col("hub_n"), F.col("n") + F.col("hub_n") - 2 * least, at_least))
         chosen = met.groupBy(F.col("set").alias("a")).agg(F.min(F.struct("hub_pos", F.xxhash64("hub_set"), "hub_set")).alias("hub")).select("a", F.col("hub.hub_set").alias("b"))
         near = written(near_by_sketch(chosen, classes, at_least), "near")
-        measured = written(verified(near, docs, classes, at_least, width), "measured")
+        measured = written(verified(near, docs, classes, at_least, features), "measured")
         if turn == 0:
             to_hub = measured.select(F.col("a").alias("set"), F.col("b").alias("hub"), "distance").union(measured.select("b", "b", F.lit(0)))
             hubs_of = written(to_hub.groupBy("set").agg(F.min_by(F.struct("hub", "distance"), "distance").alias("s")).select("set", "s.hub", "s.distance"), "hubs_of")
@@ -405,7 +415,7 @@ def similar_components(docs: DataFrame, at_least: int = AT_LEAST, width: int = W
         left = written(told.where("key is null").groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
         if left.isEmpty():
             break
-        measured = written(verified(left.where("not sure"), docs, classes, at_least, width), "measured")
+        measured = written(verified(left.where("not sure"), docs, classes, at_least, features), "measured")
         links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
         refused.append(measured.where(~linked).select("a", "b"))
         if turn < FORESTS:

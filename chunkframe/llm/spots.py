@@ -4,10 +4,13 @@ A spot is a common word (the anchor) with the chain of the next ``CHAIN`` conten
 text's fingerprint is the set of its spots' 32-bit hashes, with the set's length in front. Texts
 without a spot use chains behind every word, texts with fewer words than that their words, and
 texts without words their raw characters, so equal texts always agree and others rarely do.
-Fingerprints are compared by Jaccard similarity, pruned by the two lengths first.
+Fingerprints are compared by Jaccard similarity, pruned by the two lengths first. ``near_classes``
+joins all texts by their spots: inverted lists of a set's rarest spots, in partitions of the set's length.
 
-Defined cases: a null text is the empty text; two empty texts are alike (1.0); repeated ids are
-ordered by text; rows with a null id come last; an empty table gives an empty result.
+Defined cases: a null text is the empty text; two empty texts are alike (1.0); repeated ids, ties included, are
+ordered by text; rows with a null id come last, ordered by a hash of the text; a very long text is one set of spots, and
+its edited text is as long as its half and the next one's start; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import prepare
 
 CHAIN, REMEMBERED = 2, 150_000
@@ -96,35 +100,39 @@ def length_partitions(longest: int, threshold: float) -> list[int]:
 
 
 def with_next(docs: DataFrame, per_task: int = 16) -> DataFrame:
-    """(bucket, extra, doc_id, text): rows in ranges of ids, each range with the row that follows it.
+    """(bucket, extra, at, text, doc_id): rows in ranges of ``at``, each range with the row that follows it.
 
-    Going down, the row after the last of a range is the first of the range below; it is sent there
-    a second time (``extra``). The lowest range gets the very first row. The driver holds one
-    number per range; texts are shuffled once.
+    ``at`` is the id, or for rows without one a hash of the text; these have as many ranges below the others. Going down, the
+    row after the last of a range is the first of the range below; it is sent there a second time
+    (``extra``). The lowest range gets the very first row. The driver holds one number per range; texts are shuffled once.
     """
     spark = docs.sparkSession
     ranges = per_task * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id").where("doc_id is not null")
     bounds = sorted(set(ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if not ids.isEmpty() else []
     cuts = np.array(bounds, np.float64)
+    wide = -(-(1 << 64) // ranges)
 
     @F.arrow_udf("long")
-    def range_of(doc_id: pa.Array) -> pa.Array:
-        at = np.searchsorted(cuts, doc_id.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
-        return pa.array(np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, at + 1).astype(np.int64))
-
-    rows = docs.select("doc_id", "text", range_of("doc_id").alias("bucket"))
-    top = {r["bucket"]: r["top"] for r in docs.select(range_of("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    def range_of(at: pa.Array, named: pa.Array) -> pa.Array:
+        a, has = at.to_numpy(zero_copy_only=False), named.to_numpy(zero_copy_only=False)
+        by_id = np.searchsorted(cuts, a.astype(np.float64), side="right") + 1
+        by_hash = ((a.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(wide)).astype(np.int64) - ranges
+        return pa.array(np.where(has.astype(bool), by_id, by_hash).astype(np.int64))
+
+    at = F.coalesce("doc_id", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", at.alias("at"), range_of(at, F.col("doc_id").isNotNull()).alias("bucket"))
+    top = {r["bucket"]: r["top"] for r in rows.select("bucket", "at").groupBy("bucket").agg(F.max("at").alias("top")).collect()}
     used = sorted(top)
     send = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}  # the range above; the highest sends to the lowest
 
-    @F.arrow_udf("array<long>")
-    def targets(doc_id: pa.Array, bucket: pa.Array) -> pa.Array:
-        return pa.array([[b, -1 - send[b]] if d is None or d == top[b] else [b] for d, b in zip(doc_id.to_pylist(), bucket.to_pylist(), strict=True)], pa.list_(pa.int64()))
+    @F.arrow_udf("array<struct<bucket:long,extra:boolean>>")
+    def targets(at: pa.Array, bucket: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("bucket", pa.int64()), ("extra", pa.bool_())]))
+        to = [[(b, False), (send[b], True)] if a == top[b] else [(b, False)] for a, b in zip(at.to_pylist(), bucket.to_pylist(), strict=True)]
+        return pa.array([[{"bucket": b, "extra": e} for b, e in t] for t in to], kind)
 
-    out = rows.withColumn("to", F.explode(targets("doc_id", "bucket")))
-    extra = F.col("to") < 0
-    return out.select(F.when(extra, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), extra.alias("extra"), "doc_id", "text")
+    return rows.withColumn("to", F.explode(targets("at", "bucket"))).select("to.bucket", "to.extra", "at", "text", "doc_id")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -148,7 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             return (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(mine), fingerprint(other), jaccard(mine, other), jaccard(mine, found), len(mine), int(np.searchsorted(bounds, len(mine), side="right")))
 
         for batch in batches:
-            for bucket, extra, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, extra, _, text, doc_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
                 if held is not None and held[0] == bucket:
                     found = spots(text)
@@ -160,5 +168,22 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 yield emit(out)
                 out = []
 
-    moved = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    moved = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc("at"), F.desc_nulls_last("text"))
     return moved.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots long, length_partition long")
+
+
+def mixed_spots(text: str | None) -> np.ndarray:
+    """The spots of a text as sorted 64-bit hashes."""
+    h = spots(text).astype(np.uint64) * _MIX[0]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    return np.unique(h ^ h >> np.uint64(32))
+
+
+def near_classes(docs: DataFrame, at_least: int = 80) -> DataFrame:
+    """(doc_id, n_spots, class_id): texts whose spot sets have a Jaccard similarity of ``at_least`` per cent share a class, and chains of them.
+
+    The join is that of ``similar``: each set is listed under its rarest spots only, lists are cut by set length
+    into partitions as wide as the threshold allows, and lengths and places rule out pairs before sets are compared.
+    """
+    return similar.similar_components(docs, at_least, features=mixed_spots).withColumnsRenamed({"n_shingles": "n_spots", "component_id": "class_id"})

@@ -5,8 +5,10 @@ Read: both byte orders, chained directories, strips and tiles, chunky and planar
 horizontal and the floating-point predictor. Written (for round trips): 8-bit grey pages in
 strips or tiles with any of these four.
 
-Defined cases: a null or malformed file gives one row with ``error`` set and null pixels; an
-empty table gives an empty result; repeated rows give repeated rows.
+Defined cases: a null or malformed file gives one row with ``error`` set and null pixels, and so does one whose
+directory promises more pixels than its bytes can hold, or none; a very long text is a file of many pages; an
+empty table gives an empty result; repeated rows give repeated rows and ties equal values; a column named like the results
+cannot be the key, others are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import arrow_map
 # Fixed values of the format: tag numbers, compression numbers, bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, T_WIDTH, T_HEIGHT, T_OFFSETS, T_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: No compression here makes more than so many bytes of one (LZW: 4095 from 12 bits).
+MOST_EXPANDED = 2731
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
 
@@ -152,7 +156,7 @@ def expand(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data[:size]
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)[:size]
+        return zlib.decompressobj().decompress(data, size)  # no more than asked for
     if compression == PACKBITS:
         return unpack_bits(data, size)
     if compression == LZW:
@@ -191,6 +195,12 @@ def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
     tiled = T_OFFSETS in tags
     wide, high = (tags[T_WIDTH][0], tags[T_HEIGHT][0]) if tiled else (width, min(one(ROWS, height), height))
     offsets, counts = (tags[T_OFFSETS], tags[T_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError(f"page {number}: an extent of 0")
+    if width * height * samples * kind.itemsize > MOST_EXPANDED * len(data):
+        raise ValueError(f"page {number}: more pixels than {len(data)} bytes can hold")
+    if tiled and wide * high > MOST_EXPANDED * len(data):
+        raise ValueError(f"page {number}: larger tiles than {len(data)} bytes can hold")
     across, down = -(-width // wide), -(-height // high)
     image = np.zeros((height, width, samples), kind.newbyteorder("="))
     for plane in range(planes):
@@ -216,12 +226,14 @@ def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
     return Page(number, width, height, samples, bits, compression, image)
 
 
-def write_grey(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, rows: int = 64, order: str = "<") -> bytes:
-    """A file of 8-bit grey pages, in strips of ``rows`` or tiles of ``tile`` (a multiple of 16)."""
-    shrink = {NONE: bytes, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits, LZW: lzw_encode}[compression]
+def write_grey(images: list[np.ndarray], compression: int | list[int] = DEFLATE, predictor: int = 1, tile: int = 0, rows: int = 64, order: str = "<") -> bytes:
+    """A file of 8-bit grey pages, in strips of ``rows`` or tiles of ``tile`` (a multiple of 16); ``compression``: of all, or of each."""
+    by_number = {NONE: bytes, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits, LZW: lzw_encode}
+    each = [compression] * len(images) if isinstance(compression, int) else compression
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    for image in images:
+    for image, compression in zip(images, each, strict=True):
+        shrink = by_number[compression]
         height, width = image.shape
         high, wide = (tile, tile) if tile else (rows, width)
         offsets, counts = [], []
@@ -280,7 +292,7 @@ def tiff_pages(files: DataFrame, key: str = "doc_id", column: str = "media") ->
             rows = []
             try:
                 rows = [(p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.tobytes(), feature(p.pixels), None) for p in pages(data or b"")]
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error) as e:
                 rows.append((*[None] * 8, f"{type(e).__name__}: {e}"[:200]))
             for row in rows:
                 out[key].append(k)
@@ -291,15 +303,15 @@ def tiff_pages(files: DataFrame, key: str = "doc_id", column: str = "media") ->
     return arrow_map(files.select(key, column), run, f"`{key}` {kind}, page int, width int, height int, samples int, bits int, compression int, pixels binary, feature string, error string")
 
 
-#: The query's files: pages 576 samples wide and at most so many rows high.
+#: The query's files: pages 576 samples wide. The first has a row by LZW, the second one by PackBits, all others at most so many rows by deflate.
 PAYLOAD_WIDTH, PAGE_ROWS = 576, 4096
 
 
 def text_files(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as a TIFF file, padded with 255 to whole rows.
 
-    The number of its rows chooses the form, so that each decoder is at work: PackBits in
-    strips, deflate in tiles of 64, or deflate with differences in strips.
+    All files are laid out alike, so that each decoder is at work: a page for the first row, by LZW, one for the
+    second, by PackBits, and pages of up to ``PAGE_ROWS`` for the rest, by deflate; all with differences along the rows.
     """
 
     def run(x):
@@ -308,9 +320,10 @@ def text_files(docs: DataFrame) -> DataFrame:
             raw = (t or "").encode()
             payload = raw + b"\xff" * (PAYLOAD_WIDTH - len(raw) if not raw else -len(raw) % PAYLOAD_WIDTH)
             image = np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_WIDTH)
-            form = ({"compression": PACKBITS}, {"compression": DEFLATE, "tile": 64}, {"compression": DEFLATE, "predictor": 2})[len(image) % 3]
+            cuts = [0, 1, *range(2, len(image), PAGE_ROWS)]
+            parts = [p for p in np.split(image, cuts[1:]) if len(p)]
             out["n_bytes"].append(len(raw))
-            out["media"].append(write_grey([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], **form))
+            out["media"].append(write_grey(parts, ([LZW, PACKBITS] + [DEFLATE] * len(parts))[: len(parts)], predictor=2))
         return out
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")

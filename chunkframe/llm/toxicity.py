@@ -9,7 +9,8 @@ worst window, which is also the one that learns. The model is fitted on at most
 labelled rows of each class, chosen by a hash of the id; scoring reads whole texts.
 
 Defined cases: null texts and texts without a word get the score of an empty window; without
-training rows of both classes every score is 0; ties and repeated rows score alike.
+training rows of both classes every score is 0; ties and repeated rows score alike; an empty table gives no rows; columns
+named like the results are kept under ``keep`` only if ``into`` names others.
 """
 
 from __future__ import annotations
@@ -45,12 +46,13 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(s[4 * i : 4 * (i + k)]) % BUCKETS for k in range(GRAMS[0], GRAMS[1] + 1) for i in range(n - k + 1)] + [zlib.crc32(s) % BUCKETS]
 
 
-def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
+def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, telling_start: bool = True, seed: int = 7) -> np.ndarray:
     """Logit of each subword (toxic less clean, bias last): embeddings times softmax weights; NaN where none was learned.
 
     A subword of fewer than ``LEAST_ROWS`` texts has no vector. The worst window of each text is found
     with the scalar logits of all words; only its words get vectors and gradients. The first dimension
-    starts at the smoothed log odds of a subword's texts, so that the first windows are telling ones.
+    starts at the smoothed log odds of a subword's texts, so that the first windows are telling ones
+    (``telling_start``; else all start at random).
     """
     number: dict[str, int] = defaultdict(lambda: len(number))
     words = [np.array([number[w] for w in words_of(t)] or [number["<>"]], np.int32) for t in texts]
@@ -70,13 +72,14 @@ def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
     places = [(np.minimum(starts + i, len(seq) - 1), i < span) for i in range(WINDOW)]
     y = np.array(toxic, float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    rng = np.random.default_rng(7)
+    rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
-    e[:, 0] = np.log((texts_with[1] + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((texts_with[0] + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
-    w[0] = (-3.0, 3.0)
-    b[1] = -2.0
+    if telling_start:
+        e[:, 0] = np.log((texts_with[1] + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((texts_with[0] + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
+        w[0] = (-3.0, 3.0)
+        b[1] = -2.0
     g_e, g_w, g_b = np.full(BUCKETS, 1e-10), np.full(w.shape, 1e-10), np.full(2, 1e-10)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         logit = np.bincount(owner, (e @ (w[:, 1] - w[:, 0]))[flat], len(grams)) * share
         of_word = logit[seq]
         score = sum(of_word[at] * has for at, has in places) / span
@@ -103,9 +106,9 @@ def fit(texts: list[str], toxic: list[int]) -> np.ndarray:
         g_e[touched] += (d_e**2).mean(axis=1)
         g_w += d_w**2
         g_b += d_b**2
-        e[touched] -= RATE * d_e / np.sqrt(g_e[touched])[:, None]
-        w -= RATE * d_w / np.sqrt(g_w)
-        b -= RATE * d_b / np.sqrt(g_b)
+        e[touched] -= rate * d_e / np.sqrt(g_e[touched])[:, None]
+        w -= rate * d_w / np.sqrt(g_w)
+        b -= rate * d_b / np.sqrt(g_b)
     return np.append(np.where(kept, e @ (w[:, 1] - w[:, 0]), np.nan), b[1] - b[0])
 
 

@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,6 +34,23 @@ def test_tiff_table_reports_broken_files(spark):
     assert {r["doc_id"] for r in rows if r["error"]} == {2, 3}
 
 
+def test_hostile_files_are_errors_not_crashes(spark):
+    good = tiff.write_grey([np.arange(12, dtype=np.uint8).reshape(3, 4)], tiff.NONE)
+
+    def with_tag(tag, value):
+        data = bytearray(good)
+        at = struct.unpack_from("<I", data, 4)[0]
+        for e in range(at + 2, at + 2 + 12 * struct.unpack_from("<H", data, at)[0], 12):
+            if struct.unpack_from("<H", data, e)[0] == tag:
+                struct.pack_into("<I", data, e + 8, value)
+        return data
+
+    files = [with_tag(t, v) for t in (tiff.WIDTH, tiff.HEIGHT, tiff.ROWS, tiff.SAMPLES, tiff.OFFSETS, tiff.COUNTS) for v in (0, 2**31)]
+    rows = tiff.tiff_pages(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    assert {r["doc_id"] for r in rows if r["error"]} >= {0, 1, 2, 3, 4, 6, 7, 9, 10} and len(rows) == len(files)
+    assert tiff.expand(zlib.compress(bytes(10**7)), tiff.DEFLATE, 100) == bytes(100)
+
+
 def test_text_payloads(odd, empty):
     text = {}
     for r in odd.collect():
@@ -38,6 +59,15 @@ def test_text_payloads(odd, empty):
         raw = text[r["doc_id"]].encode()
         whole = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+    files = {r["doc_id"]: bytes(r["media"]) for r in tiff.text_files(odd.where("doc_id <> 7")).collect()}
+    pages = {}
+    for r in tiff.tiff_pages(tiff.text_files(odd.where("doc_id <> 7"))).collect():
+        pages.setdefault(r["doc_id"], {})[r["page"]] = (r["compression"], bytes(r["pixels"]), r["feature"])
+    assert {k: [p[0] for _, p in sorted(v.items())] for k, v in pages.items()}[6] == [tiff.LZW, tiff.PACKBITS, tiff.DEFLATE]
+    for r in tiff.payload_digests(tiff.text_files(odd.where("doc_id <> 7"))).collect():
+        mine = [p for _, p in sorted(pages[r["doc_id"]].items())]
+        assert r["media_bytes"] == len(files[r["doc_id"]]) and r["media_sha256"] == hashlib.sha256(files[r["doc_id"]]).hexdigest()
+        assert r["feature"] == "|".join(p[2] for p in mine) and r["payload_sha256"] == hashlib.sha256(b"".join(p[1] for p in mine)).hexdigest()
     assert tiff.payload_digests(tiff.text_files(empty)).count() == 0
 
 
@@ -66,6 +96,33 @@ def test_spots_of_equal_and_near_texts():
     assert spots.jaccard(spots.spots("!!"), spots.spots("??")) == 0.0 and spots.jaccard(spots.spots(None), spots.spots("")) == 1.0
 
 
+def test_fingerprints_name_their_spots(docs):
+    rows = {r["doc_id"]: r for r in spots.fingerprint_edits(docs).collect()}
+    for r in docs.collect():
+        found = sorted(set(spots.spots(r["text"]).tolist()))
+        assert rows[r["doc_id"]]["fingerprint"] == f"{len(found)}:" + base64.b64encode(struct.pack(f"<{len(found)}I", *found)).decode()
+
+
+def test_near_classes_equal_brute_force(spark, docs, odd, empty):
+    for table in (docs, odd):
+        rows = [(r["doc_id"], set(spots.mixed_spots(r["text"]).tolist())) for r in table.select("doc_id", "text").collect()]
+        group = list(range(len(rows)))
+        for i, (_, a) in enumerate(rows):
+            for j, (_, b) in enumerate(rows[:i]):
+                if 100 * len(a & b) >= 80 * len(a | b) and group[i] != group[j]:
+                    group = [group[j] if g == group[i] else g for g in group]
+        least = {g: min((d for (d, _), h in zip(rows, group, strict=True) if h == g and d is not None), default=None) for g in set(group)}
+        want = Counter((d, len(s), least[g]) for (d, s), g in zip(rows, group, strict=True))
+        assert Counter(tuple(r) for r in spots.near_classes(table).collect()) == want
+    assert spots.near_classes(empty).count() == 0
+
+
+def test_letters_only():
+    for text in ("½", "² ³", "Ⅻ", "12_34", "\u0301"):
+        assert not len(language.gram_counts(text)[0]), text
+    assert len(language.gram_counts("a\u0301b")[0]) == 3
+
+
 def test_language_on_held_out_rows(docs, odd, empty):
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
@@ -88,6 +145,29 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert toxicity.toxicity(odd, spark.createDataFrame([(6, 1, 1), (7, 1, 0), (8, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")).count() == odd.count()
 
 
+def test_toxicity_learns_beyond_its_start(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"] or "", r["toxic"]) for r in docs.join(labels, "doc_id").where("toxic is not null").orderBy("doc_id").collect()]
+    out = [(t, y) for d, t, y in rows if zlib.crc32(str(d).encode()) % 5 == 0]
+    for seed in (1, 2):
+        some = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows)) if zlib.crc32(str(rows[i][0]).encode()) % 5]
+        some = [r for r in some if r[2]][:1000] + [r for r in some if not r[2]][:1000]
+        right = lambda **kw: np.mean([(s >= 0.5) == y for s, (_, y) in zip(toxicity.Scorer(toxicity.fit([r[1] for r in some], [r[2] for r in some], seed=seed, **kw))([t for t, _ in out]), out, strict=True)])  # noqa: B023, E731
+        assert right() > right(epochs=0) + 0.01 and right(telling_start=False, rate=0.2) > 0.9
+
+
+def test_score_is_that_of_the_worst_window():
+    rng = np.random.default_rng(4)
+    model = rng.normal(0, 1, toxicity.BUCKETS + 1)
+    for text in ("", "one", "a few words", "You worthless idiot, said the man of the house to the dog and went away", "x" * 90 + " y"):
+        words = toxicity.words_of(text)
+        of = [np.mean([model[b] for b in toxicity.subwords(w)]) for w in words]
+        windows = [of[i : i + 4] for i in range(max(1, len(of) - 3))]
+        worst = max(sum(w) / len(w) for w in windows) if of else 0.0
+        assert np.isclose(toxicity.Scorer(model)([text])[0], 1 / (1 + np.exp(-(worst + model[-1]))))
+
+
 def test_toxicity_sees_every_place():
     clean = [f"the {a} of the {b} is near a {c}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city") for c in ("tree", "road", "hill")]
     toxic = [f"you worthless idiot said the {a} of the {b}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city")]
@@ -126,6 +206,39 @@ def test_license_spans(odd, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_equal_brute_force(docs):
+    """Both ways: every match stands up to a plain alignment, and wherever a plain alignment holds, a match lies over it."""
+    index, word = licenses.Index(), re.compile(r"[^\W_]+")
+    templates = {n: word.findall(t.lower()) for n, t in licenses.TEMPLATES.items()}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    seen = 0
+    for r in docs.where("text is not null").collect():
+        ws = word.findall(r["text"].lower())
+        spans = [m.span() for m in word.finditer(r["text"].lower())]
+        found = index.scan(r["text"])
+        for name, coverage, matched, a, b in found:
+            inside = [w for w, (p, q) in zip(ws, spans, strict=True) if p >= a and q <= b]
+            assert common(templates[name], inside) >= matched >= 0.7 * len(templates[name]) and np.isclose(coverage, matched / len(templates[name]), atol=1e-6)
+            seen += 1
+        for name, t in templates.items():
+            have = np.array([w in set(t) for w in ws], int)
+            sums = np.convolve(have, np.ones(len(t), int))[len(t) - 1 :] if len(ws) else have
+            for i in np.nonzero(sums >= 0.7 * len(t))[0].tolist():
+                window = ws[i : i + len(t)]
+                if common(t, window) >= 0.7 * len(t) and all(f" {p} " in f" {' '.join(window)} " for p in licenses.TELLING.get(name, [])):
+                    assert any(a < spans[min(i + len(t), len(ws)) - 1][1] and b > spans[i][0] for _, _, _, a, b in found), (r["doc_id"], name)
+    assert seen
+
+
 def test_sibling_licenses_are_told_apart():
     names = lambda text: [f[0] for f in licenses.Index().scan(f"Some words first. {text} And more of them.")]
     for name, template in licenses.TEMPLATES.items():

@@ -21,6 +21,14 @@ def test_pipeline_stages(spark, sf_dir, odd):
     assert {7, None} <= kept and not {8, 9, 10} & kept
 
 
+def test_stages_take_empty_tables_and_clashing_columns(spark, sf_dir, odd, empty):
+    more = odd.selectExpr("*", "1 AS _lang", "2 AS _cosine", "3 AS _score", "4 AS _toxic", "5 AS _row", "6 AS row", "7 AS lang_pred")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        out = stage(spark, more, sf_dir)
+        assert out.count() and (name == "packing" or out.columns == more.columns)
+
+
 def test_near_copies_are_found_at_five_words_and_080(spark, sf_dir):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(10**6)}"
