@@ -1,4 +1,10 @@
-"""A corpus from raw documents: language, toxicity, near duplicates, packing."""
+"""A corpus from raw documents: language, toxicity, near duplicates, packing.
+
+Defined cases, for every stage: an empty table gives an empty one; columns beyond those of ``documents``, whatever their
+names, stay in all but the last; repeated rows are judged alike. Null and empty texts are in no language
+and go with the first stage; given to the others, they are not toxic, near no text, and packed as the end id alone. A very long
+text is read whole. Null ids are kept like others; of near texts that tie by id, one row stays.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkframe.llm import language, packing, similar, toxicity
-from chunkframe.llm.common import written
+from chunkframe.llm.common import fresh, written
 from chunkframe.llm.registry import tokenizer_path
 
 #: A text whose best cosine is below this is in no language that was learned.
@@ -19,15 +25,17 @@ NEAR_WIDTH, NEAR_AT_LEAST = 5, 80
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, or unlike all, go."""
     names, prototypes = language.train(docs)
-    seen = language.predict(docs, names, prototypes, keep=docs.columns, into=("_lang", "_cosine"))
-    return seen.where((F.col("_lang") != "und") & (F.col("_cosine") >= LEAST_COSINE)).select(*docs.columns)
+    lang, cosine = fresh(docs, "_lang"), fresh(docs, "_cosine")
+    seen = language.predict(docs, names, prototypes, keep=docs.columns, into=(lang, cosine))
+    return seen.where((F.col(lang) != "und") & (F.col(cosine) >= LEAST_COSINE)).select(*docs.columns)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    seen = toxicity.score(docs, model, keep=docs.columns, into=("_score", "_toxic"))
-    return seen.where("_toxic = 0").select(*docs.columns)
+    score, toxic = fresh(docs, "_score"), fresh(docs, "_toxic")
+    seen = toxicity.score(docs, model, keep=docs.columns, into=(score, toxic))
+    return seen.where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +43,12 @@ def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are told apart by a number of their own, since different texts can share an id.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = similar.similar_components(rows.select(F.col("_row").alias("doc_id"), "text"), at_least=NEAR_AT_LEAST, width=NEAR_WIDTH)
-    of_row = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    firsts = of_row.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    return rows.join(firsts.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = similar.similar_components(rows.select(F.col(row).alias("doc_id"), "text"), at_least=NEAR_AT_LEAST, width=NEAR_WIDTH)
+    of_row = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    firsts = of_row.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return rows.join(firsts.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
