@@ -17,6 +17,7 @@ import json
 import mmap
 import re
 import tempfile
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -208,23 +209,27 @@ class Lexicon:
 
 
 class WordCodec:
-    """Texts to packed ids through a bounded memory of words; ``ids_of`` encodes those it has not met."""
+    """Texts to packed ids through a bounded memory of words; ``ids_of`` encodes those it has not met.
+
+    The memory has two halves: when the newer one is full it becomes the older one, and words met again move on.
+    """
 
     def __init__(self, vocab: Vocabulary, ids_of):
-        self.vocab, self.ids_of, self.seen = vocab, ids_of, {}
+        self.vocab, self.ids_of, self.seen, self.older = vocab, ids_of, {}, {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [[pretokens(p) if i % 2 == 0 else p for i, p in enumerate(self.vocab.parts(t))] for t in texts]
-        seen = self.seen
-        new = list({w for parts in split for words in parts[::2] for w in words if w not in seen})
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list({w for parts in split for words in parts[::2] for w in words})
-        if new:
-            seen.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, self.ids_of(new), strict=True))
-        special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocab.special.items()}
-        get = seen.__getitem__
+        used = {w for parts in split for words in parts[::2] for w in words}
+        new = used.difference(self.seen)
+        if len(self.seen) + len(new) > REMEMBERED // 2:
+            self.seen, self.older, new = {}, self.seen, used
+        older = new.intersection(self.older)
+        self.seen.update((w, self.older[w]) for w in older)
+        if new := list(new.difference(older)):
+            self.seen.update((w, array("I", ids).tobytes()) for w, ids in zip(new, self.ids_of(new), strict=True))
+        special = {s: array("I", [i]).tobytes() for s, i in self.vocab.special.items()}
+        get = self.seen.__getitem__
         return [b"".join(map(get, parts[0])) if len(parts) == 1 else b"".join(special[p] if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)) for parts in split]
 
 

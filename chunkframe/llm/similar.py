@@ -376,14 +376,13 @@ def _joined(docs: DataFrame, at_least: int, rounds: int, features: Features) ->
     def hubs(rows: DataFrame, turn: int) -> DataFrame:
         """Every mixed list's length, and its hub while there is a round of hubs to come."""
         order = [F.xxhash64("component", F.lit(turn)).alias("o")] if turn else []
-        best = F.min(F.struct(*order, "pos", "set", "n", "component")).alias("best")
+        best = F.min(F.struct(*order, "pos", "set", "n", *(["component"] if turn else []))).alias("best")
         mixed = [F.min("component").alias("p"), F.max("component").alias("q")]
         found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *(mixed if turn else []), *([best] if turn < rounds else [])).where("p < q" if turn else "m > 1")
-        hub = [F.col(f"best.{c}").alias(f"hub_{c}") for c in ("set", "n", "component", "pos")] if turn < rounds else []
+        hub = [F.col(f"best.{c}").alias(f"hub_{name}") for name, c in (("set", "set"), ("n", "n"), ("pos", "pos"), ("component", "component" if turn else "set"))] if turn < rounds else []
         return written(found.select("key", "m", *hub), "lists")
 
-    rows = rows.select("*", F.col("set").alias("component"))
-    state = written(rows.join(hubs(rows, 0), "key"), "state")
+    state = written(rows.join(hubs(rows, 0), "key"), "state").withColumn("component", F.col("set"))  # each set its own at first
     relabel = lambda: components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
     base = ["key", "set", "n", "pos"]
 
