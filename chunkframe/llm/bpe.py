@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, most_frequent, prepare, written
 
 #: Words in the automaton, and words a worker remembers.
-LEXICON_WORDS, REMEMBERED = 32_768, 200_000
+LEXICON_WORDS, REMEMBERED = 131_072, 200_000
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
