@@ -23,7 +23,7 @@ def axis_unit(a: Column, space: str = "nanometer") -> Column:
 
 def to_nanometers(value: Column, unit: Column) -> Column:
     u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
-    factor = F.when(u == "", 1.0).when(u.isin("nm", "nanometer", "nanometers") | u.contains("nanom"), 1.0).when(u.isin("um", "µm", "μm", "micron", "microns") | u.contains("microm"), 1e3).when((u == "mm") | u.contains("millim"), 1e6).when(u.isin("m", "meter", "meters", "metre"), 1e9).otherwise(1e3)
+    factor = F.when(u == "", 1.0).when(u.isin("nm") | u.contains("nanom"), 1.0).when(u.isin("um", "µm", "μm") | u.contains("microm") | u.contains("micron"), 1e3).when((u == "mm") | u.contains("millim"), 1e6).when(u.isin("m", "meter", "meters", "metre", "metres"), 1e9).otherwise(1e3)
     return F.when(value.isNull(), 1.0).otherwise(value * factor)
 
 
@@ -31,12 +31,14 @@ def is_segmentation(dtype: Column) -> Column:
     return dtype.isin("uint32", "uint64", "int32", "int64")
 
 
+# Words in a name that tell labels.
+LABEL_WORDS = "label|mask|seg|annotation|roi|binary|instance"
+
+
 def classify(name: Column, dtype: Column, encoding: Column) -> Column:
-    """segmentation or image: the encoding decides, then words in the name, then the element type."""
-    return (
-        F.when(encoding.isin("compressed_segmentation", "compresso"), "segmentation").when(encoding.isin("jpeg", "png"), "image")
-        .when(F.lower(name).rlike("label|mask|seg|annotation|instance"), "segmentation").when(is_segmentation(dtype), "segmentation").otherwise("image")
-    )
+    """segmentation or image: compressed segmentation is one, then words in the name tell, then the element type."""
+    compressed = F.coalesce(encoding == "compressed_segmentation", F.lit(False))
+    return F.when(compressed | F.lower(name).rlike(LABEL_WORDS) | is_segmentation(dtype), "segmentation").otherwise("image")
 
 
 def auto_method(path: Column) -> Column:
@@ -70,7 +72,7 @@ def channel_label(name: Column, em: Column, ex: Column, dye: Column, index: Colu
 
 def dtype_window(dtype: Column) -> tuple[Column, Column]:
     low = F.when(dtype == "int8", -128.0).when(dtype == "int16", -32768.0).otherwise(0.0)
-    high = F.when(dtype == "uint8", 255.0).when(dtype == "int8", 127.0).when(dtype == "int16", 32767.0).when(dtype == "uint32", 4294967295.0).when(dtype.isin("float32", "float64"), 1.0).otherwise(65535.0)
+    high = F.when(dtype == "uint8", 255.0).when(dtype == "int8", 127.0).when(dtype == "int16", 32767.0).when(dtype.isin("float32", "float64"), 1.0).otherwise(65535.0)
     return low, high
 
 
@@ -95,6 +97,12 @@ def parse_ints(text: Column) -> Column:
     return F.when(ok, F.transform(parts, lambda x: x.try_cast("long"))).otherwise(F.raise_error(F.concat(F.lit("bad shape "), text)).cast("array<bigint>"))
 
 
+def natural_key(name: Column) -> Column:
+    """A text that sorts as the name does when its runs of digits compare as numbers."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
 def infer_axes(shape: list[int], few: int = 10) -> list[str]:
     """Names by extent: short axes are channels or times, long ones z, y, x from the right."""
     short = [i for i, n in enumerate(shape) if n <= few]
@@ -156,3 +164,47 @@ def extent_voxel_nm(low: Column, high: Column, n: Column, unit: Column) -> Colum
     size = (high - low) / n
     named = F.when(F.trim(F.coalesce(unit, F.lit(""))) != "", unit).when(size < 1, "um").otherwise("nm")
     return to_nanometers(size, named)
+
+
+def data_type(asked: Column, is_label: Column, dtype: Column) -> Column:
+    """labels or image: as asked for, by the flag, or (auto) by the element type."""
+    return F.when((asked == "labels") | is_label, "labels").when((asked == "auto") & is_segmentation(dtype), "labels").otherwise("image")
+
+
+def subgroup(asked: Column, is_label: Column, nested: Column, label_key: Column, image_key: Column) -> Column:
+    """Where the output goes in a nested container; null where that is known only later, or nothing is nested."""
+    return F.when(~nested, None).when(is_label | (asked == "labels"), F.concat(F.lit("labels/"), label_key)).when(asked == "image", image_key)
+
+
+def upsample_method(asked: Column, is_label: Column) -> Column:
+    return F.when(is_label, "nearest").when(asked == "auto", "trilinear").otherwise(asked)
+
+
+def provenance_key(url: Column) -> Column:
+    """The last part of an address, with the one before where it starts with v or is a number."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(url, "/+$", ""), "^precomputed://", ""), "/")
+    last = F.element_at(parts, -1)
+    return F.when((F.size(parts) > 1) & last.rlike("^(v.*|[0-9]+)$"), F.concat_ws("_", F.element_at(parts, -2), last)).otherwise(last)
+
+
+def store_of(path: Column) -> Column:
+    """s3, gs, http or file."""
+    scheme = F.regexp_extract(path, "(?:^|://)([a-z0-9]+)://", 1)
+    return F.when(scheme.isin("https", "http"), "http").when(scheme == "", "file").otherwise(scheme)
+
+
+def bucket_of(path: Column) -> Column:
+    return F.when(store_of(path).isin("s3", "gs"), F.regexp_extract(path, "(?:s3|gs)://([^/]+)", 1))
+
+
+# Endings of files, by format.
+SUFFIXES = {"tiff": ("tif", "tiff"), "nd2": ("nd2",), "ims": ("ims",), "hdf5": ("h5", "hdf5"), "czi": ("czi",)}
+
+
+def format_of(path: Column) -> Column:
+    """The format an address is read as, by its ending or a part of it."""
+    low = F.lower(path)
+    found = F.when(low.rlike(r"\.n5(/|$)"), "n5").when(low.rlike(r"\.zarr(/|$)"), "zarr").when(low.contains("precomputed://") | low.endswith(".precomputed"), "precomputed")
+    for name, ends in SUFFIXES.items():
+        found = found.when(F.element_at(F.split(low, r"\."), -1).isin(*ends), name)
+    return found.otherwise("other")

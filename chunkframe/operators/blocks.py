@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 METHODS = ("mean", "mode", "median", "min", "max", "stride")
 
 
-def half_even(total: Column, count: Column) -> Column:
-    """total / count for integers, ties to the even number."""
-    q = F.floor(total / count).cast("long")
-    r = total - q * count
-    return F.when(2 * r > count, q + 1).when(2 * r < count, q).otherwise(q + F.pmod(q, F.lit(2)))
+def half_even(total: str, count: str) -> Column:
+    """total / count for integers (as SQL), ties to the even number; no value passes through a double."""
+    r = F.expr(f"pmod({total}, {count})")
+    q, n = F.expr(f"({total} - pmod({total}, {count})) div {count}"), F.expr(count)
+    return F.when(2 * r > n, q + 1).when(2 * r < n, q).otherwise(q + F.pmod(q, F.lit(2)))
 
 
 def downsample(df: DataFrame, method: str = "mean", **factor: int) -> DataFrame:
@@ -31,7 +31,7 @@ def downsample(df: DataFrame, method: str = "mean", **factor: int) -> DataFrame:
             df = df.where(F.col(a) % f == 0)
         return df.withColumns(at)
     whole = kind in ("tinyint", "smallint", "int", "bigint")
-    mean = half_even(F.sum(F.col("v").cast("long")), F.count("v")) if whole else F.avg("v")
+    mean = half_even("sum(CAST(v AS BIGINT))", "count(v)") if whole else F.avg("v")
     agg = {"mean": mean, "mode": F.mode("v", True), "median": F.expr("percentile_disc(0.5) within group (order by v)"), "min": F.min("v"), "max": F.max("v")}[method]
     return df.groupBy(*other, *[c.alias(a) for a, c in at.items()]).agg(agg.cast(kind).alias("v"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 NON_SPATIAL = ("c", "t", "v", "channel")
 # The ranges of the integer element types.
-RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "uint32": (0, 2**32 - 1), "int8": (-128, 127), "int16": (-32768, 32767), "int32": (-(2**31), 2**31 - 1), "int64": (-(2**63), 2**63 - 1)}
+RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "uint32": (0, 2**32 - 1), "int8": (-128, 127), "int16": (-32768, 32767), "int32": (-(2**31), 2**31 - 1), "int64": (-(2**63), 2**63 - 1), "uint64": (0, 2**64 - 1)}
 SPARK = {"uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double"}
 
 
@@ -48,10 +48,17 @@ def expand(df: DataFrame, axes: str = "tczyx", values: tuple[str, ...] = ("v",))
 
 
 def cast_value(v: Column, dtype: str, from_float: bool = False) -> Column:
-    """A value clipped into ``dtype``; floats are cut towards zero."""
+    """A value clipped into ``dtype``; floats are cut towards zero. Float targets take any value."""
+    if dtype in ("float32", "float64"):
+        return v.cast(SPARK[dtype])
     low, high = RANGES[dtype]
-    clipped = F.least(F.greatest(v, F.lit(low).cast("double" if from_float else "bigint")), F.lit(high).cast("double" if from_float else "bigint"))
-    return clipped.cast(SPARK[dtype])
+    if dtype in ("uint64", "int64") and from_float:  # doubles next to these bounds aren't exact: clip as decimals
+        wide = F.least(F.greatest(v, F.lit(-1e20)), F.lit(1e20)).cast("decimal(38,10)")
+        whole = F.when(wide < 0, F.ceil(wide)).otherwise(F.floor(wide)).cast("decimal(38,0)")
+        return F.least(F.greatest(whole, F.lit(str(low)).cast("decimal(38,0)")), F.lit(str(high)).cast("decimal(38,0)")).cast(SPARK[dtype])
+    kind = "double" if from_float else "decimal(20,0)" if dtype == "uint64" else "bigint"
+    bound = lambda n: F.lit(str(n)).cast(kind)
+    return F.least(F.greatest(v.cast(kind), bound(low)), bound(high)).cast(SPARK[dtype])
 
 
 def value_range(df: DataFrame, dtype: str, by: tuple[str, ...] = ()) -> DataFrame:

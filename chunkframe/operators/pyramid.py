@@ -26,10 +26,16 @@ def factors(voxel: list[float], axes: list[str], low: float = 0.5, high: float =
     return out
 
 
+def power_of_two_error(magnification: float) -> float:
+    nearest = 2 ** round(math.log2(magnification))
+    return abs(magnification - nearest) / nearest
+
+
 def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int = 1, least_bytes: int = 64**3, least_shape: int = 64, most: int = 20) -> list[dict]:
     """One dict per level from 0: shape, factor, cumulative factor, voxel size and translation.
 
-    Stops when a level would be smaller than a chunk in bytes or along every axis, or after ``most``.
+    Stops when a level would be smaller than a chunk in bytes or along every axis, when the whole magnification
+    of a spatial axis would be 4 % off a power of 2, or after ``most``.
     """
     levels = [{"level": 0, "shape": list(shape), "factor": [1] * len(shape), "cumulative": [1] * len(shape), "voxel": list(voxel), "translation": [0.0] * len(shape)}]
     floor_shape = list(shape)
@@ -39,6 +45,8 @@ def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int
         floor_shape = [max(1, n // k) for n, k in zip(floor_shape, f, strict=True)]
         if math.prod(floor_shape) * item_bytes < least_bytes or all(n < least_shape for n, a in zip(floor_shape, axes, strict=True) if a in SPATIAL):
             break
+        if any(power_of_two_error(n / m) > 0.04 for n, m, a in zip(shape, floor_shape, axes, strict=True) if a in SPATIAL):
+            break
         cumulative = [c * k for c, k in zip(last["cumulative"], f, strict=True)]
         levels.append({
             "level": len(levels), "factor": f, "cumulative": cumulative,

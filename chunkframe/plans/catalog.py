@@ -25,10 +25,14 @@ def query(sql: str | None = None):
 
 
 def queries():
+    from . import containers, layouts  # noqa: F401  their queries register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    from . import containers, layouts  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -426,7 +430,7 @@ def channel_color_label(spark, d):
 DTYPES = ("('uint8')", "('uint16')", "('int16')", "('float32')", "('uint32')", "('int8')")
 
 
-@query(f"SELECT dtype, CAST(CASE dtype WHEN 'int8' THEN -128 WHEN 'int16' THEN -32768 ELSE 0 END AS DOUBLE) AS low, CAST(CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 WHEN 'int16' THEN 32767 WHEN 'uint32' THEN 4294967295 WHEN 'float32' THEN 1 ELSE 65535 END AS DOUBLE) AS high, dtype IN ('uint32', 'uint64', 'int32', 'int64') AS segmentation FROM {vals('dtype', *DTYPES)}")
+@query(f"SELECT dtype, CAST(CASE dtype WHEN 'int8' THEN -128 WHEN 'int16' THEN -32768 ELSE 0 END AS DOUBLE) AS low, CAST(CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 WHEN 'int16' THEN 32767 WHEN 'float32' THEN 1 ELSE 65535 END AS DOUBLE) AS high, dtype IN ('uint32', 'uint64', 'int32', 'int64') AS segmentation FROM {vals('dtype', *DTYPES)}")
 def dtype_window(spark, d):
     low, high = M.dtype_window(F.col("dtype"))
     return rows(spark, "dtype", *DTYPES).select("dtype", low.alias("low"), high.alias("high"), M.is_segmentation(F.col("dtype")).alias("segmentation"))
@@ -454,7 +458,7 @@ def adaptive_chunk(spark, d):
 NAMES = ("('em_raw', 'uint8', NULL)", "('cell_labels', 'uint8', NULL)", "('s', 'uint64', NULL)", "('seg', 'uint64', 'jpeg')", "('x', 'uint8', 'compressed_segmentation')")
 
 
-@query(f"SELECT name, CASE WHEN encoding = 'compressed_segmentation' THEN 'segmentation' WHEN encoding = 'jpeg' THEN 'image' WHEN regexp_matches(lower(name), 'label|mask|seg|annotation|instance') THEN 'segmentation' WHEN dtype IN ('uint32', 'uint64', 'int32', 'int64') THEN 'segmentation' ELSE 'image' END AS kind FROM {vals('name, dtype, encoding', *NAMES)}")
+@query(f"SELECT name, CASE WHEN encoding = 'compressed_segmentation' THEN 'segmentation' WHEN regexp_matches(lower(name), 'label|mask|seg|annotation|roi|binary|instance') THEN 'segmentation' WHEN dtype IN ('uint32', 'uint64', 'int32', 'int64') THEN 'segmentation' ELSE 'image' END AS kind FROM {vals('name, dtype, encoding', *NAMES)}")
 def classify_datasets(spark, d):
     return rows(spark, "name, dtype, encoding", *NAMES).select("name", M.classify(F.col("name"), F.col("dtype"), F.col("encoding").cast("string")).alias("kind"))
 

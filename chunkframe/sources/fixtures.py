@@ -41,3 +41,31 @@ SQL = {
     "channels": "SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS BIGINT) AS c, CAST(hour(ts) AS BIGINT) AS x, count(*) AS v FROM events GROUP BY ALL",
     "labels": "SELECT vec_id // 20 AS y, vec_id % 20 AS x, CAST(label AS INTEGER) AS v FROM embeddings",
 }
+
+
+#: Words and element types that volumes take in turn.
+WORDS = ("raw", "em_image", "cell_labels", "seg_v2", "nuclei_mask", "Roi_3", "binary_map", "instance", "annotation", "data")
+TYPES = ("uint8", "uint16", "uint32", "uint64", "int8", "int16", "int32", "int64", "float32", "float64")
+ENCODINGS = (None, "raw", "jpeg", "compressed_segmentation", "png")
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One made-up volume for each order: k, r, shape, voxel, axes, dtype, word, encoding; ranks 3 to 6."""
+    k = F.col("o_orderkey")
+    turn = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
+    cut = lambda *values: F.slice(F.array(*values), 7 - F.col("r"), F.col("r"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), (3 + F.pmod(k, F.lit(4))).cast("int").alias("r"))
+    k = F.col("k")
+    shape = cut(F.lit(2).cast("long"), 1 + k * 3 % 15, 1 + k % 12, 11 + k % 700, 20 + k * 7 % 3000, 20 + k * 13 % 3000)
+    sizes = [turn(v, i) for v, i in (((8.0, 16.0, 40.0, 100.0, 8.0), k), ((8.0, 8.0, 4.0, 100.0), k * 3), ((8.0, 4.0, 4.0, 100.0, 8.0, 12.0), k * 5))]
+    return rows.select("k", "r", shape.alias("shape"), cut(F.lit(1.0), F.lit(1.0), F.lit(1.0), *sizes).alias("voxel"), cut(*map(F.lit, "vtczyx")).alias("axes"), turn(TYPES, k).alias("dtype"), turn(WORDS, k * 7).alias("word"), turn(ENCODINGS, k).cast("string").alias("encoding"))
+
+
+def _list(values, kind: str = "") -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}{kind}" for v in values) + "]"
+
+
+#: The same for DuckDB.
+SQL["volumes"] = f"""SELECT k, r, list_slice([2::BIGINT, 1 + k * 3 % 15, 1 + k % 12, 11 + k % 700, 20 + k * 7 % 3000, 20 + k * 13 % 3000], 7 - r, 6) AS shape,
+list_slice([1.0::DOUBLE, 1.0, 1.0, [8.0::DOUBLE, 16, 40, 100, 8][k % 5 + 1], [8.0::DOUBLE, 8, 4, 100][k * 3 % 4 + 1], [8.0::DOUBLE, 4, 4, 100, 8, 12][k * 5 % 6 + 1]], 7 - r, 6) AS voxel,
+list_slice({_list('vtczyx')}, 7 - r, 6) AS axes, {_list(TYPES)}[k % 10 + 1] AS dtype, {_list(WORDS)}[k * 7 % 10 + 1] AS word, {_list(ENCODINGS)}[k % 5 + 1] AS encoding FROM (SELECT o_orderkey AS k, CAST(3 + o_orderkey % 4 AS INTEGER) AS r FROM orders)"""
