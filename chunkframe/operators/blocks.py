@@ -76,9 +76,13 @@ def rechunk(df: DataFrame, shape: dict[str, int], chunk: dict[str, int]) -> Data
     return df.groupBy(chunk_id(shape, chunk).alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*axes, "v"))).alias("s")).select("chunk_id", "n", F.col("s.v").alias("values"))
 
 
-def to_chunks(df: DataFrame, shape: dict[str, int], chunk: dict[str, int], fill: int = 0) -> DataFrame:
-    """(chunk_id, <axis>_start.., payload): dense little-endian 64-bit integers of each chunk."""
-    axes, sizes = list(shape), list(chunk.values())
+#: What an element type is in a table.
+SPARK_TYPES = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double"}
+
+
+def to_chunks(df: DataFrame, shape: dict[str, int], chunk: dict[str, int], fill: float = 0, dtype: str = "int64") -> DataFrame:
+    """(chunk_id, origin, extent, payload): dense little-endian values of each chunk; other types than int64 have a column dtype."""
+    axes, sizes, kind = list(shape), list(chunk.values()), np.dtype(dtype).newbyteorder("<").str
     counts = [-(-shape[a] // chunk[a]) for a in axes]
 
     def pack(pdf):
@@ -87,27 +91,40 @@ def to_chunks(df: DataFrame, shape: dict[str, int], chunk: dict[str, int], fill:
         number = int(pdf["chunk_id"].iloc[0])
         start = [int(i) * c for i, c in zip(np.unravel_index(number, counts), sizes, strict=True)]
         extent = [min(c, shape[a] - s) for a, c, s in zip(axes, sizes, start, strict=True)]
-        block = np.full(extent, fill, "<i8")
-        block[tuple(pdf[a].to_numpy() - s for a, s in zip(axes, start, strict=True))] = pdf["v"].to_numpy()
-        return pd.DataFrame({"chunk_id": [number], "origin": [start], "extent": [extent], "payload": [block.tobytes()]})
+        block = np.full(extent, fill, kind)
+        values = pdf["v"].to_numpy()
+        block[tuple(pdf[a].to_numpy() - s for a, s in zip(axes, start, strict=True))] = [int(v) for v in values] if values.dtype == object else values
+        return pd.DataFrame({"chunk_id": [number], "origin": [start], "extent": [extent], "payload": [block.tobytes()]} | ({"dtype": [kind]} if typed else {}))
+
+    typed = dtype != "int64"
+    keyed = df.select(chunk_id(shape, chunk).alias("chunk_id"), *[F.col(a).cast("long") for a in axes], F.col("v").cast(SPARK_TYPES[dtype]))
+    return keyed.groupBy("chunk_id").applyInPandas(pack, "chunk_id long, origin array<long>, extent array<long>, payload binary" + ", dtype string" * typed)
+
 
-    keyed = df.select(chunk_id(shape, chunk).alias("chunk_id"), *[F.col(a).cast("long") for a in axes], F.col("v").cast("long"))
-    return keyed.groupBy("chunk_id").applyInPandas(pack, "chunk_id long, origin array<long>, extent array<long>, payload binary")
+def from_chunks(chunks: DataFrame, axes: list[str], dtype: str = "int64") -> DataFrame:
+    """Chunks back to one row per element, as ``dtype``; an error where a value would change."""
+    schema = ", ".join(f"{a} long" for a in axes) + f", v {SPARK_TYPES[dtype]}"
+    typed, target = "dtype" in chunks.columns, np.dtype(dtype)
 
+    def values(payload: bytes, kind: str):
+        import decimal
 
-def from_chunks(chunks: DataFrame, axes: list[str]) -> DataFrame:
-    """Chunks back to one row per element."""
-    schema = ", ".join(f"{a} long" for a in axes) + ", v long"
+        stored = np.frombuffer(payload, kind)
+        out = stored.astype(target)
+        if target.kind != "f" and (stored.dtype.kind == "f" or (stored.dtype.kind != target.kind and stored.size and (int(stored.max()) > np.iinfo(target).max or int(stored.min()) < np.iinfo(target).min))):
+            raise ValueError(f"values of {kind} do not fit {dtype}")
+        return [decimal.Decimal(int(v)) for v in out] if dtype == "uint64" else out
 
     def unpack(batches):
         import pandas as pd
 
         for pdf in batches:
-            for origin, extent, payload in zip(pdf["origin"], pdf["extent"], pdf["payload"], strict=True):
+            kinds = pdf["dtype"] if typed else ["<i8"] * len(pdf)
+            for origin, extent, payload, kind in zip(pdf["origin"], pdf["extent"], pdf["payload"], kinds, strict=True):
                 at = np.indices(tuple(extent)).reshape(len(axes), -1) + np.asarray(origin)[:, None]
-                yield pd.DataFrame(dict(zip(axes, at, strict=True)) | {"v": np.frombuffer(payload, "<i8")})
+                yield pd.DataFrame(dict(zip(axes, at, strict=True)) | {"v": values(payload, kind)})
 
-    return chunks.select("origin", "extent", "payload").mapInPandas(unpack, schema)
+    return chunks.select("origin", "extent", "payload", *(["dtype"] if typed else [])).mapInPandas(unpack, schema)
 
 
 def reduce_chunks(chunks: DataFrame, factor: list[int], method: str = "mean") -> DataFrame:

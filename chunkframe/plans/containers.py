@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
-from ..operators import discovery
-from ..sources import fixtures
+from ..operators import blocks, discovery
+from ..sources import fixtures, zarr
 from ..sources.fixtures import SQL
 from .catalog import query
 from .layouts import VOL
@@ -125,6 +127,31 @@ def source_summaries(spark, d):
     return _volumes(spark, d).select("k", F.array_join("axes", "").alias("order_"), F.array_join(F.transform("shape", lambda n: n.cast("string")), "x").alias("extent"), F.when(_is_label(), "segmentation").otherwise("image").alias("hint"), (F.array_max("voxel") > F.array_min("voxel")).alias("anisotropic"))
 
 
+# -- stored arrays --------------------------------------------------------------------------
+
+
+@query("SELECT vec_id AS y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")
+def sharded_float_array(spark, d):
+    """A float32 image written as a sharded Zarr v3 array (zstd) and read back."""
+    rows = fixtures.table(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    n = rows.agg(F.max("y").alias("n")).first()["n"] + 1
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    chunks = blocks.to_chunks(rows, {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="float32")
+    zarr.write_chunks(chunks, path, [n, 64], [64, 16], "float32", codec="zstd", shard=[256, 32])
+    return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "float64")
+
+
+@query("SELECT vec_id AS y, x, CASE WHEN vec_id < 64 THEN CAST(18446744073709551615 - vec_id * 16 - x AS DECIMAL(20, 0)) ELSE CAST(7 AS DECIMAL(20, 0)) END AS v FROM embeddings, (SELECT unnest(range(16)) AS x)")
+def stored_unsigned_array(spark, d):
+    """64-bit unsigned values; chunks that were never written hold the fill value."""
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    rows = spark.range(64).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
+    rows = rows.withColumn("v", F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("y") * 16 - F.col("x"))
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    zarr.write_chunks(blocks.to_chunks(rows, {"y": n, "x": 16}, {"y": 32, "x": 16}, fill=7, dtype="uint64"), path, [n, 16], [32, 16], "uint64", "zarr2", "zlib", fill=7)
+    return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "uint64")
+
+
 # -- listings -------------------------------------------------------------------------------
 
 #: What the ten files of a folder are called, by the kind of folder; {k} is a number.

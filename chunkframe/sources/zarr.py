@@ -1,8 +1,9 @@
-"""Zarr v2 and v3 arrays (raw, gzip, zlib or zstd chunks) and N5 blocks: read and written by Spark tasks.
+"""Zarr v2 and v3 arrays (raw, gzip, zlib or zstd chunks, sharded or not), N5 blocks and precomputed volumes, by Spark tasks.
 
-Metadata is small JSON read on the driver through Spark's reader; chunks are files, one per row
-of the chunk table, decoded and encoded in tasks. Paths go through Spark's file sources, so any
-store Spark can read works; writing uses the task's own file system and a shared folder.
+Metadata is small JSON read on the driver through Hadoop's file systems; chunks (or shards) are files, listed and
+read by Spark, decoded in tasks. Chunk tables carry their element type, so floats and 64-bit integers stay what they
+are; chunks that were never stored are made of the fill value. Writing goes through Arrow's file systems, so a path can
+be a local folder all tasks share or an address (s3, gs, hdfs).
 """
 
 from __future__ import annotations
@@ -13,12 +14,34 @@ import math
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Element types by their names in the formats.
+# Element types by their names in the formats; what marks a chunk that a shard does not hold.
 DTYPES = {"uint8": "u1", "uint16": "u2", "uint32": "u4", "uint64": "u8", "int8": "i1", "int16": "i2", "int32": "i4", "int64": "i8", "float32": "f4", "float64": "f8"}
+ABSENT = 2**64 - 1
+CHUNK_SCHEMA = "origin array<long>, extent array<long>, payload binary, dtype string"
+
+
+def crc32c(data: bytes, polynomial: int = 0x82F63B78) -> int:
+    """The Castagnoli checksum, a byte at a time."""
+    if polynomial not in _tables:
+        table = []
+        for n in range(256):
+            for _ in range(8):
+                n = n >> 1 ^ (polynomial if n & 1 else 0)
+            table.append(n)
+        _tables[polynomial] = table
+    crc, table = 0xFFFFFFFF, _tables[polynomial]
+    for b in data:
+        crc = crc >> 8 ^ table[(crc ^ b) & 255]
+    return crc ^ 0xFFFFFFFF
+
+
+_tables: dict[int, list[int]] = {}
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -38,25 +61,87 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 def describe(spark: SparkSession, path: str) -> dict:
     """format, shape, chunk, dtype, codec, fill and attributes of an array."""
     if m := read_json(spark, f"{path}/zarr.json"):
-        codecs = {c["name"]: c.get("configuration", {}) for c in m["codecs"]}
-        codec = next((c for c in ("gzip", "zstd") if c in codecs), None)
-        if set(codecs) - {"bytes", "gzip", "zstd", "crc32c"}:
-            raise ValueError(f"codecs {sorted(codecs)}")
-        order = "<" if codecs.get("bytes", {}).get("endian", "little") == "little" else ">"
-        return {"format": "zarr3", "shape": m["shape"], "chunk": m["chunk_grid"]["configuration"]["chunk_shape"], "dtype": order + DTYPES[m["data_type"]], "codec": codec, "fill": m.get("fill_value") or 0, "order": "C", "names": m.get("dimension_names"), "attributes": m.get("attributes", {}), "crc": "crc32c" in codecs}
+        outer, inner = _codecs(m["codecs"]), None
+        if "shard" in outer:
+            inner = _codecs(outer["shard"]["codecs"])
+        kind = DTYPES[m["data_type"]]
+        key = m.get("chunk_key_encoding", {"name": "default"})
+        separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
+        return {"format": "zarr3", "shape": m["shape"], "chunk": outer["shard"]["chunk_shape"] if inner else m["chunk_grid"]["configuration"]["chunk_shape"], "shard": m["chunk_grid"]["configuration"]["chunk_shape"] if inner else None, "dtype": (inner or outer)["endian"] + kind, "fill": _fill(m.get("fill_value"), kind), "codecs": inner or outer, "index": outer.get("shard"), "prefix": "c" if key["name"] == "default" else "", "separator": separator, "names": m.get("dimension_names"), "attributes": m.get("attributes", {})}
     if m := read_json(spark, f"{path}/.zarray"):
         codec = (m.get("compressor") or {}).get("id")
         if codec not in (None, "gzip", "zlib", "zstd") or m.get("filters"):
             raise ValueError(f"compressor {codec}")
-        return {"format": "zarr2", "shape": m["shape"], "chunk": m["chunks"], "dtype": m["dtype"], "codec": codec, "fill": m.get("fill_value") or 0, "order": m.get("order", "C"), "separator": m.get("dimension_separator", "."), "names": None, "attributes": read_json(spark, f"{path}/.zattrs") or {}, "crc": False}
+        return {"format": "zarr2", "shape": m["shape"], "chunk": m["chunks"], "dtype": m["dtype"], "fill": _fill(m.get("fill_value"), m["dtype"][1:]), "codecs": {"transpose": None, "order": m.get("order", "C"), "steps": [codec] if codec else []}, "prefix": "", "separator": m.get("dimension_separator", "."), "names": None, "attributes": read_json(spark, f"{path}/.zattrs") or {}}
     if m := read_json(spark, f"{path}/attributes.json"):
         codec = m.get("compression", {}).get("type", "raw")
         if codec not in ("raw", "gzip"):
             raise ValueError(f"compression {codec}")
-        return {"format": "n5", "shape": m["dimensions"], "chunk": m["blockSize"], "dtype": ">" + DTYPES[m["dataType"]], "codec": None if codec == "raw" else codec, "fill": 0, "order": "F", "names": m.get("axes"), "attributes": m, "crc": False}
+        return {"format": "n5", "shape": m["dimensions"], "chunk": m["blockSize"], "dtype": ">" + DTYPES[m["dataType"]], "fill": 0, "codecs": {"transpose": None, "order": "F", "steps": [] if codec == "raw" else [codec]}, "prefix": "", "separator": "/", "names": m.get("axes"), "attributes": m}
+    if m := read_json(spark, f"{path}/info"):
+        scale = m["scales"][0]
+        if scale["encoding"] != "raw" or scale.get("sharding"):
+            raise ValueError(f"encoding {scale['encoding']}, sharding {scale.get('sharding')}")
+        return {"format": "precomputed", "shape": [*scale["size"], m["num_channels"]], "chunk": [*scale["chunk_sizes"][0], m["num_channels"]], "dtype": "<" + DTYPES[m["data_type"]], "fill": 0, "codecs": {"transpose": None, "order": "F", "steps": []}, "prefix": scale["key"], "separator": "_", "offset": [*scale.get("voxel_offset", [0, 0, 0]), 0], "names": ["x", "y", "z", "c"], "attributes": m}
     raise FileNotFoundError(f"no array at {path}")
 
 
+def _fill(value, kind: str):
+    """The fill value of a format's JSON: numbers, NaN and infinities by name, nothing as 0."""
+    if isinstance(value, str):
+        return float(value.replace("Infinity", "inf")) if kind[0] == "f" else int(value, 0)
+    return value or 0
+
+
+def _codecs(chain: list[dict]) -> dict:
+    """transpose, order, endian and the byte steps of a chain; ``shard`` holds the inner chain, if there is one."""
+    out: dict = {"transpose": None, "order": "C", "endian": "<", "steps": []}
+    for c in chain:
+        name, conf = c["name"], c.get("configuration", {})
+        if name == "transpose":
+            out["transpose"] = conf["order"]
+        elif name == "bytes":
+            out["endian"] = "<" if conf.get("endian", "little") == "little" else ">"
+        elif name == "sharding_indexed":
+            if out["transpose"] or conf.get("index_location", "end") not in ("start", "end"):
+                raise ValueError(f"sharding {conf}")
+            out["shard"] = conf
+        elif name in ("gzip", "zstd", "crc32c"):
+            out["steps"].append(name)
+        else:
+            raise ValueError(f"codec {name}")
+    return out
+
+
+def decode_block(data: bytes, codecs: dict, dtype: str, size: list[int]) -> np.ndarray:
+    """The values of one chunk, steps undone from the last."""
+    for step in reversed(codecs["steps"]):
+        if step == "crc32c":
+            data, told = data[:-4], int.from_bytes(data[-4:], "little")
+            if crc32c(data) != told:
+                raise ValueError("a chunk's checksum differs")
+        else:
+            data = decode(data, step)
+    if order := codecs["transpose"]:
+        stored = np.frombuffer(data, dtype).reshape([size[i] for i in order])
+        return stored.transpose(np.argsort(order))
+    return np.frombuffer(data, dtype).reshape(tuple(size), order=codecs["order"])
+
+
+def shard_parts(data: bytes, info: dict) -> Iterator[tuple[list[int], np.ndarray | None]]:
+    """(place in the shard, values) of every chunk of a shard, None for those it does not hold."""
+    counts = [s // c for s, c in zip(info["shard"], info["chunk"], strict=True)]
+    total, checked = math.prod(counts), any(c["name"] == "crc32c" for c in info["index"].get("index_codecs", []))
+    size = 16 * total + 4 * checked
+    head = data[:size] if info["index"].get("index_location") == "start" else data[-size:]
+    if checked and crc32c(head[:-4]) != int.from_bytes(head[-4:], "little"):
+        raise ValueError("a shard index's checksum differs")
+    entries = np.frombuffer(head[: 16 * total], "<u8").reshape(total, 2).tolist()
+    for n, (at, length) in enumerate(entries):
+        place = [int(i) for i in np.unravel_index(n, counts)]
+        yield place, None if at == ABSENT else decode_block(data[at : at + length], info["codecs"], info["dtype"], info["chunk"])
+
+
 def decode(data: bytes, codec: str | None) -> bytes:
     if codec == "gzip":
         return gzip.decompress(data)
@@ -81,77 +166,186 @@ def encode(data: bytes, codec: str | None, level: int = 5) -> bytes:
     return data
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, extent, payload): stored chunks, values as little-endian 64-bit integers, cut at the edges."""
+def _places(path: str, info: dict) -> list[int] | None:
+    """The grid place that a chunk's (or shard's) file name tells; None for other files."""
+    n, separator = len(info["shape"]), re.escape(info["separator"])
+    if info["format"] == "precomputed":
+        m = re.search(r"/(\d+)-\d+_(\d+)-\d+_(\d+)-\d+$", path)
+        return [(int(v) - o) // c for v, o, c in zip((*m.groups(), 0), info["offset"], info["chunk"], strict=True)] if m else None
+    front = r"(?:^|/)c/" if info["prefix"] else "/"
+    m = re.search(front + rf"(\d+(?:{separator}\d+){{{n - 1}}})$", path)
+    return [int(i) for i in m.group(1).split(info["separator"])] if m else None
+
+
+def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> DataFrame:
+    """(origin, extent, payload, dtype): an array's chunks, cut at its edges, in their own type (little-endian).
+
+    Chunks without a file hold the fill value; their places come from an anti-join of the grid with the names of the files.
+    """
     info = describe(spark, path)
-    shape, chunk, n = info["shape"], info["chunk"], len(info["shape"])
-    inside = r"(\d+(?:[./]\d+)*)$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/c" if info["format"] == "zarr3" else path)
+    shape, chunk = info["shape"], info["chunk"]
+    step, kind = info.get("shard") or chunk, "<" + info["dtype"].lstrip("<>|=")
+    counts = [-(-s // c) for s, c in zip(shape, step, strict=True)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{info['prefix']}" if info["prefix"] else path)
+
+    def rows_of(origin: list[int], block: np.ndarray | None):
+        extent = [min(c, s - o) for c, s, o in zip(chunk, shape, origin, strict=True)]
+        if min(extent) > 0:
+            block = np.full(extent, info["fill"], kind) if block is None else block[tuple(slice(0, e) for e in extent)]
+            yield origin, list(block.shape), np.ascontiguousarray(block).astype(kind).tobytes(), kind
+
+    def of_file(place: list[int], data: bytes | None):
+        start = [i * c for i, c in zip(place, step, strict=True)]
+        if info.get("shard"):
+            if data is None:
+                inner = np.ndindex(*[s // c for s, c in zip(step, chunk, strict=True)])
+                parts: Iterator = ((list(p), None) for p in inner)
+            else:
+                parts = shard_parts(data, info)
+            for at, block in parts:
+                yield from rows_of([o + i * c for o, i, c in zip(start, at, chunk, strict=True)], block)
+        elif data is None:
+            yield from rows_of(start, None)
+        else:
+            size = chunk
+            if info["format"] == "n5":
+                mode, dims = int.from_bytes(data[:2], "big"), int.from_bytes(data[2:4], "big")
+                size = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "big") for i in range(dims)]
+                data = data[4 + 4 * dims + (4 if mode == 1 else 0) :]
+            elif info["format"] == "precomputed":
+                size = [min(c, s - o) for c, s, o in zip(chunk, shape, start, strict=True)]
+            yield from rows_of(start, decode_block(data, info["codecs"], info["dtype"], size))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = []
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                m = re.search(inside, name)
-                at = [int(i) for i in re.split(r"[./]", m.group(1))][-n:] if m else []
-                if len(at) != n:
-                    continue  # metadata
-                if info["format"] == "n5":
-                    mode, dims = int.from_bytes(data[:2], "big"), int.from_bytes(data[2:4], "big")
-                    size = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "big") for i in range(dims)]
-                    data = data[4 + 4 * dims + (4 if mode == 1 else 0) :]
-                else:
-                    size = chunk
-                block = np.frombuffer(decode(data[:-4] if info["crc"] else data, info["codec"]), info["dtype"]).reshape(tuple(size), order=info["order"])
-                origin = [i * c for i, c in zip(at, chunk, strict=True)]
-                block = block[tuple(slice(0, s - o) for s, o in zip(shape, origin, strict=True))]
-                rows.append((origin, list(block.shape), np.ascontiguousarray(block).astype("<i8").tobytes()))
-            yield pd.DataFrame(rows, columns=["origin", "extent", "payload"])
+                place = _places(name, info)
+                if place is not None:
+                    yield pd.DataFrame(list(of_file(place, data)), columns=["origin", "extent", "payload", "dtype"])
+
+    stored = files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
+    if not fill_missing:
+        return stored
+
+    def named(batches):
+        import pandas as pd
 
-    return files.select("path", "content").mapInPandas(run, "origin array<long>, extent array<long>, payload binary")
+        for pdf in batches:
+            found = [_places(p, info) for p in pdf["path"]]
+            yield pd.DataFrame({"n": [int(np.ravel_multi_index(p, counts)) for p in found if p is not None]})
+
+    def filled(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for n in pdf["n"]:
+                yield pd.DataFrame(list(of_file([int(i) for i in np.unravel_index(n, counts)], None)), columns=["origin", "extent", "payload", "dtype"])
+
+    have = files.select("path").mapInPandas(named, "n long")
+    missing = spark.range(math.prod(counts)).withColumnRenamed("id", "n").join(have, "n", "left_anti")
+    return stored.union(missing.mapInPandas(filled, CHUNK_SCHEMA))
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def put(path: str, data: bytes) -> None:
+    """A whole file: beside its place and then moved where names can be taken over, else in one put."""
+    system, at = _file_system(path)
+    if system.type_name == "local":
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(f"{at}.{os.getpid()}.tmp", "wb") as f:
+            f.write(data)
+        os.replace(f"{at}.{os.getpid()}.tmp", at)
+    else:
+        with system.open_output_stream(at) as f:
+            f.write(data)
 
 
-def write_chunks(chunks: DataFrame, path: str, shape: list[int], chunk: list[int], dtype: str = "int32", format: str = "zarr3", codec: str | None = "gzip", attributes: dict | None = None, names: list[str] | None = None) -> int:
-    """Each row one chunk file, written beside and renamed; metadata last. ``path``: a folder all tasks share."""
-    local = path.removeprefix("file://")
+def packed_shard(blocks: dict[int, bytes], total: int) -> bytes:
+    """The chunks of a shard by their numbers, then the index and its checksum."""
+    body, index = bytearray(), np.full((total, 2), ABSENT, "<u8")
+    for n, data in sorted(blocks.items()):
+        index[n] = len(body), len(data)
+        body += data
+    return bytes(body) + index.tobytes() + crc32c(index.tobytes()).to_bytes(4, "little")
+
+
+def write_chunks(chunks: DataFrame, path: str, shape: list[int], chunk: list[int], dtype: str = "int32", format: str = "zarr3", codec: str | None = "gzip", attributes: dict | None = None, names: list[str] | None = None, shard: list[int] | None = None, fill: float = 0) -> int:
+    """Each row one chunk, in a file of its own or (zarr3 with ``shard``) in that of its shard; metadata last. The number of chunks.
+
+    ``path``: a folder that all tasks share, or an address. A shard is gathered in one task, so its size is bounded by ``shard``.
+    """
     kind = (">" if format == "n5" else "<") + DTYPES[dtype]
     n = len(shape)
+    if shard and (format != "zarr3" or any(s % c for s, c in zip(shard, chunk, strict=True))):
+        raise ValueError("shards are whole chunks, and zarr3 only")
+
+    def block_of(row) -> np.ndarray:
+        values = np.frombuffer(row["payload"], row.get("dtype", "<i8")).reshape(tuple(row["extent"]))
+        return values.astype(kind)
+
+    def whole(block: np.ndarray) -> bytes:
+        full = np.full(chunk, fill, kind)
+        full[tuple(slice(0, e) for e in block.shape)] = block
+        return encode(full.tobytes(), codec)
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for origin, extent, payload in zip(pdf["origin"], pdf["extent"], pdf["payload"], strict=True):
-                block = np.frombuffer(payload, "<i8").reshape(tuple(extent)).astype(kind)
-                at = [str(int(o) // c) for o, c in zip(origin, chunk, strict=True)]
+            for row in pdf.to_dict("records"):
+                block = block_of(row)
+                at = [str(int(o) // c) for o, c in zip(row["origin"], chunk, strict=True)]
                 if format == "n5":
-                    head = (0).to_bytes(2, "big") + n.to_bytes(2, "big") + b"".join(int(e).to_bytes(4, "big") for e in extent)
+                    head = (0).to_bytes(2, "big") + n.to_bytes(2, "big") + b"".join(int(e).to_bytes(4, "big") for e in block.shape)
                     data = head + encode(block.tobytes(order="F"), codec)
                 else:
-                    full = np.zeros(chunk, kind)
-                    full[tuple(slice(0, e) for e in extent)] = block
-                    data = encode(full.tobytes(), codec)
-                to = os.path.join(local, *(["c"] if format == "zarr3" else []), *at)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(f"{to}.{os.getpid()}.tmp", "wb") as f:
-                    f.write(data)
-                os.replace(f"{to}.{os.getpid()}.tmp", to)
+                    data = whole(block)
+                put("/".join([path, *(["c"] if format == "zarr3" else []), *at]), data)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    done = sum(r["n"] for r in chunks.select("origin", "extent", "payload").mapInPandas(run, "n long").collect())
+    def run_shard(pdf):
+        import pandas as pd
+
+        counts, blocks = [s // c for s, c in zip(shard, chunk, strict=True)], {}
+        for row in pdf.to_dict("records"):
+            inner = [int(o) % s // c for o, s, c in zip(row["origin"], shard, chunk, strict=True)]
+            blocks[int(np.ravel_multi_index(inner, counts))] = whole(block_of(row))
+        at = [str(int(o) // s) for o, s in zip(pdf["origin"].iloc[0], shard, strict=True)]
+        put("/".join([path, "c", *at]), packed_shard(blocks, math.prod(counts)))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    rows = chunks.select("origin", "extent", "payload", *(["dtype"] if "dtype" in chunks.columns else []))
+    if shard:
+        home = F.array(*[F.floor(F.get("origin", F.lit(i)) / s) for i, s in enumerate(shard)])
+        written = rows.groupBy(home.alias("home")).applyInPandas(lambda pdf: run_shard(pdf), "n long")
+    else:
+        written = rows.mapInPandas(run, "n long")
+    done = written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bytes_ = [{"name": "bytes", "configuration": {"endian": "little"}}]
+    steps = bytes_ + ([{"name": codec, "configuration": {"level": 5} | ({"checksum": False} if codec == "zstd" else {})}] if codec else [])
+    codecs = [{"name": "sharding_indexed", "configuration": {"chunk_shape": chunk, "codecs": steps, "index_codecs": [*bytes_, {"name": "crc32c"}], "index_location": "end"}}] if shard else steps
     meta = {
-        "zarr3": {"zarr.json": {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {"level": 5} | ({"checksum": False} if codec == "zstd" else {})}] if codec else []), "dimension_names": names, "attributes": attributes or {}}},
-        "zarr2": {".zarray": {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": kind if kind[1:] not in ("u1", "i1") else "|" + kind[1:], "compressor": {"id": codec, "level": 5} if codec else None, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}, ".zattrs": attributes or {}},
+        "zarr3": {"zarr.json": {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": shard or chunk}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill, "codecs": codecs, "dimension_names": names, "attributes": attributes or {}}},
+        "zarr2": {".zarray": {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": kind if kind[1:] not in ("u1", "i1") else "|" + kind[1:], "compressor": {"id": codec, "level": 5} if codec else None, "fill_value": fill, "order": "C", "filters": None, "dimension_separator": "/"}, ".zattrs": attributes or {}},
         "n5": {"attributes.json": {"dimensions": shape, "blockSize": chunk, "dataType": dtype, "compression": {"type": codec or "raw"} | ({"level": 5} if codec else {})} | (attributes or {})},
     }[format]
-    os.makedirs(local, exist_ok=True)
     for name, value in meta.items():
-        with open(os.path.join(local, name), "w") as f:
-            json.dump(value, f)
+        put(f"{path}/{name}", json.dumps(value).encode())
     return done
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; one under the warehouse where none is set."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
 def total_chunks(shape: list[int], chunk: list[int]) -> int:
     return math.prod(-(-s // c) for s, c in zip(shape, chunk, strict=True))
