@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, most_frequent, prepare, written
 
-#: Words in the automaton, and words a worker remembers.
-LEXICON_WORDS, REMEMBERED = 131_072, 200_000
+#: Words in the automaton, words a worker remembers, and words that the library reads as one text.
+LEXICON_WORDS, REMEMBERED, JOINED = 131_072, 200_000, 512
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -220,7 +220,7 @@ class WordCodec:
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [[pretokens(p) if i % 2 == 0 else p for i, p in enumerate(self.vocab.parts(t))] for t in texts]
-        used = {w for parts in split for words in parts[::2] for w in words}
+        used = set().union(*(words for parts in split for words in parts[::2]))
         new = used.difference(self.seen)
         if len(self.seen) + len(new) > REMEMBERED // 2:
             self.seen, self.older, new = {}, self.seen, used
@@ -269,7 +269,25 @@ def by_library(path: str) -> WordCodec:
         t.no_truncation()
         t.no_padding()
         run = getattr(t, "encode_batch_fast", t.encode_batch)
-        _workers[key] = WordCodec(vocabulary(path), lambda words: [e.ids for e in run(words, add_special_tokens=False)])
+
+        blank = np.array([piece.startswith(b" ") for piece in vocabulary(path).pieces])
+
+        def ids_of(words: list[str]) -> list[list[int]]:
+            """Words with a blank in front go many at a time: no merge crosses a blank behind a sign that is none."""
+            out: list[list[int]] = [[]] * len(words)
+            plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace()]
+            groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+            alone = list(set(range(len(words))).difference(plain))
+            for group, e in zip(groups, run(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = e.ids
+                cuts = [*np.nonzero(blank[ids])[0].tolist(), len(ids)]  # a word's only blank starts its first piece
+                for i, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
+                    out[i] = ids[a:b]
+            for i, e in zip(alone, run([words[i] for i in alone], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+            return out
+
+        _workers[key] = WordCodec(vocabulary(path), ids_of)
     return _workers[key]
 
 
