@@ -11,6 +11,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, most_frequent, prepare, written
 
 #: Words in the automaton, words a worker remembers, and words that the library reads as one text.
-LEXICON_WORDS, REMEMBERED, JOINED = 131_072, 200_000, 512
+LEXICON_WORDS, REMEMBERED, JOINED = 131_072, 800_000, 512
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -209,7 +210,7 @@ class Lexicon:
 
 
 class WordCodec:
-    """Texts to packed ids through a bounded memory of words; ``ids_of`` encodes those it has not met.
+    """Texts to packed ids through a bounded memory of words; ``ids_of`` gives the packed ids of those it has not met.
 
     The memory has two halves: when the newer one is full it becomes the older one, and words met again move on.
     """
@@ -218,7 +219,16 @@ class WordCodec:
         self.vocab, self.ids_of, self.seen, self.older = vocab, ids_of, {}, {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text; nothing here makes cycles, so their collector can wait."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._packed(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         split = [[pretokens(p) if i % 2 == 0 else p for i, p in enumerate(self.vocab.parts(t))] for t in texts]
         used = set().union(*(words for parts in split for words in parts[::2]))
         new = used.difference(self.seen)
@@ -227,7 +237,7 @@ class WordCodec:
         older = new.intersection(self.older)
         self.seen.update((w, self.older[w]) for w in older)
         if new := list(new.difference(older)):
-            self.seen.update((w, array("I", ids).tobytes()) for w, ids in zip(new, self.ids_of(new), strict=True))
+            self.seen.update(zip(new, self.ids_of(new), strict=True))
         special = {s: array("I", [i]).tobytes() for s, i in self.vocab.special.items()}
         get = self.seen.__getitem__
         return [b"".join(map(get, parts[0])) if len(parts) == 1 else b"".join(special[p] if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)) for parts in split]
@@ -250,7 +260,7 @@ def by_lexicon(path: str, blob: bytes) -> WordCodec:
 
         def ids_of(words: list[str]) -> list[list[int]]:
             raw = [w.encode() for w in words]
-            return [ids if ids is not None else vocab.merge(w) for w, ids in zip(raw, lexicon.find(raw), strict=True)]
+            return [array("I", ids if ids is not None else vocab.merge(w)).tobytes() for w, ids in zip(raw, lexicon.find(raw), strict=True)]
 
         _workers[key] = WordCodec(vocab, ids_of)
     return _workers[key]
@@ -272,19 +282,19 @@ def by_library(path: str) -> WordCodec:
 
         blank = np.array([piece.startswith(b" ") for piece in vocabulary(path).pieces])
 
-        def ids_of(words: list[str]) -> list[list[int]]:
+        def ids_of(words: list[str]) -> list[bytes]:
             """Words with a blank in front go many at a time: no merge crosses a blank behind a sign that is none."""
-            out: list[list[int]] = [[]] * len(words)
+            out = [b""] * len(words)
             plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace()]
             groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
             alone = list(set(range(len(words))).difference(plain))
             for group, e in zip(groups, run(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-                ids = e.ids
-                cuts = [*np.nonzero(blank[ids])[0].tolist(), len(ids)]  # a word's only blank starts its first piece
+                ids = np.array(e.ids, "<u4")
+                data, cuts = ids.tobytes(), [*(4 * np.nonzero(blank[ids])[0]).tolist(), 4 * len(ids)]  # a word's only blank starts its first piece
                 for i, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
-                    out[i] = ids[a:b]
+                    out[i] = data[a:b]
             for i, e in zip(alone, run([words[i] for i in alone], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+                out[i] = array("I", e.ids).tobytes()
             return out
 
         _workers[key] = WordCodec(vocabulary(path), ids_of)
@@ -306,7 +316,7 @@ def frequent_words(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> list
             for text in b.column(0).to_pylist():
                 for part in vocabulary(path).parts(text or "")[::2]:
                     c.update(pretokens(part))
-            if len(c) > REMEMBERED:
+            if len(c) > REMEMBERED // 4:
                 yield told()
                 c.clear()
         yield told()

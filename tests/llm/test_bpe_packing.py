@@ -39,7 +39,7 @@ def test_split_and_merges_equal_the_library(library):
     texts = ["".join(chr(c) for c in rng.choice(pool, 40)) for _ in range(300)] + ["  a  b\n\n c'll we'VE 'd x" * 3, "ab" * 400, " " * 301 + "x", "\x1c\x1d a\x1f b"]
     texts += ["".join(rng.choice(list("  \n\t\xa0\0ab1,'s"), rng.integers(0, 12))) for _ in range(3000)]
     vocab = bpe.vocabulary(PATH)
-    for codec in (bpe.WordCodec(vocab, lambda ws: [vocab.merge(w.encode()) for w in ws]), bpe.by_library(PATH)):
+    for codec in (bpe.WordCodec(vocab, lambda ws: [np.array(vocab.merge(w.encode()), "<u4").tobytes() for w in ws]), bpe.by_library(PATH)):
         for t, packed in zip(texts, codec.packed(texts), strict=True):
             assert np.frombuffer(packed, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
