@@ -2,15 +2,17 @@
 
 A log that repeats an earlier one and adds turns makes the earlier one redundant. Every turn has
 a hash of its place, role and text; the sum of the hashes up to a turn (two 64-bit hashes, each
-kept as two exact sums of 32-bit halves) names that prefix. Sums come from blocks of
-``BLOCK`` turns, so one huge conversation is shared out. Conversations whose full sum is a proper
+kept as two exact sums of 32-bit halves) names that prefix. Turns are sorted once over the whole
+table; a block is what one sorted partition holds of a conversation, and places and sums come from those of
+the blocks before, so one huge conversation is shared out. Conversations whose full sum is a proper
 prefix of a longer one go by anti-join; equal ones keep the smallest id and the number of copies.
 Only DataFrame functions run here.
 
 Defined cases: the place of a turn is its rank by turn, role and text (nulls first) and a null
 role or text differs from an empty one; a very long turn is hashed whole; rows with a null conv_id form one
-conversation; of conversations that tie, the smallest id stays, null before any; an empty table gives an empty result; repeated
-rows are turns of their own; other columns, whatever their names, are ignored.
+conversation, spread like any long one; of conversations that tie, the smallest id stays, null before any; an empty table gives an
+empty result; repeated rows are turns of their own, and copies of one turn are spread too (those that share conv_id, turn, role and
+``SORTED`` or more first letters are sorted in one task); other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,44 +22,57 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK, SEGMENT = 64, 64
+#: Letters of a text that choose its partition in the sort, and turns of a rendered row.
+SORTED, SEGMENT = 256, 64
 
 
-def placed(turns: DataFrame) -> DataFrame:
-    """``conv_id, block, place, role, text``: places from 0, by counts of blocks of turn numbers."""
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)
-    rows = turns.select("conv_id", "turn", "role", "text", block.alias("block"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    numbered = rows.withColumn("nth", F.row_number().over(within) - 1).alias("r")
-    same = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block"))
-    return numbered.join(base.alias("b"), same).select("r.conv_id", "r.block", (F.col("base") + F.col("nth")).alias("place"), "r.role", "r.text")
+def placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with ``conv_id, block, at`` in their order, and ``conv_id, block, base, first, last`` of every block.
+
+    The place of a turn is ``base + at - first``; ``last`` is the last place of its conversation. Ranges of the sort are
+    chosen by the start of a text, so that what is sampled for them stays small; a text that is shorter is known
+    whole there, and its copies may go to several partitions.
+    """
+    keys = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role")]
+    start, copy = F.substring("text", 1, SORTED), F.when(F.length("text") >= SORTED, F.lit(0)).otherwise(F.monotonically_increasing_id())
+    rows = turns.select("conv_id", "turn", "role", "text", start.alias("start"), copy.alias("copy"))
+    spread = rows.repartitionByRange(*keys, F.asc_nulls_first("start"), "copy").sortWithinPartitions(*keys, F.asc_nulls_first("text"))
+    at = F.monotonically_increasing_id()  # the partition's number, then that of the row in it
+    rows = written(spread.select("conv_id", "role", "text", at.alias("at")).withColumn("block", F.shiftright("at", 33)), "turns")
+    of_conv = Window.partitionBy("conv_id")
+    before = of_conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    base = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return rows, blocks.select("conv_id", "block", base.alias("base"), "first", (F.sum("n").over(of_conv) - 1).alias("last"))
+
 
+def with_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows joined with the columns of their blocks; a long conversation has many blocks, so no key is hot."""
+    b = blocks.select(*[F.col(c).alias(f"{c}_b" if c in ("conv_id", "block") else c) for c in blocks.columns])
+    return rows.join(b, F.col("conv_id").eqNullSafe(F.col("conv_id_b")) & (F.col("block") == F.col("block_b"))).drop("conv_id_b", "block_b")
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """``placed`` rows with ``key``, the name of the conversation up to that turn."""
+
+def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``conv_id, block, place, last, role, text`` of the turns, and ``conv_id, place, last, key``, the names of the conversations up to them."""
+    rows, blocks = placed(turns)
+    rows = with_block(rows, blocks).withColumn("place", F.col("base") + F.col("at") - F.col("first"))
     said = F.to_json(F.struct("place", "role", "text"))
     one, two = F.xxhash64(said), F.xxhash64(F.lit("second"), said, F.length("text"))
     halves = {"h0": one.bitwiseAND(0xFFFFFFFF), "h1": F.shiftrightunsigned(one, 32), "h2": two.bitwiseAND(0xFFFFFFFF), "h3": F.shiftrightunsigned(two, 32)}
-    hashed = written(placed(turns).withColumns(halves), "turns")
+    upto = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = written(rows.withColumns(halves).select("conv_id", "block", "place", "last", "role", "text", *[F.sum(h).over(upto).alias(h) for h in halves]), "sums")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = hashed.groupBy("conv_id", "block").agg(*[F.sum(h).alias(h) for h in halves])
+    totals = summed.groupBy("conv_id", "block").agg(*[F.max(h).alias(h) for h in halves])  # sums only grow
     totals = totals.select("conv_id", "block", *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"{h}_base") for h in halves])
-    upto = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = hashed.select("conv_id", "block", "place", "role", "text", *[F.sum(h).over(upto).alias(h) for h in halves]).alias("r")
-    same = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block"))
     key = F.concat_ws("-", F.col("place") + 1, *[F.col(h) + F.col(f"{h}_base") for h in halves])
-    return rows.join(totals.alias("b"), same).select("r.conv_id", "place", "role", "text", key.alias("key"))
+    return summed.drop(*halves), with_block(summed.drop("role", "text"), totals).select("conv_id", "place", "last", key.alias("key"))
 
 
 def maximal(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All turns, and (conv_id, n_turns, copies) of conversations that no longer one starts with."""
-    rows = written(prefixes(turns), "prefixes")
-    length = rows.groupBy("conv_id").agg(F.max("place").alias("last"), F.max_by("key", "place").alias("key"))
-    whole = length.groupBy("key").agg(F.min_by("conv_id", F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("conv_id"), F.max("last").alias("last"), F.count(F.lit(1)).alias("copies"))
-    ends = length.select(F.col("conv_id").alias("c"), F.col("last").alias("l"))
-    proper = rows.select("conv_id", "place", "key").join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") < F.col("l"))).select("key").distinct()
+    rows, keys = prefixes(turns)
+    whole = keys.where("place = last").groupBy("key").agg(F.min_by("conv_id", F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("conv_id"), F.max("last").alias("last"), F.count(F.lit(1)).alias("copies"))
+    proper = keys.where("place < last").select("key").distinct()
     kept = whole.join(proper, "key", "left_anti").select("conv_id", (F.col("last") + 1).alias("n_turns"), "copies")
     return rows, kept
 
@@ -66,10 +81,11 @@ def render(turns: DataFrame) -> DataFrame:
     """(conv_id, segment, n_turns, copies, text): kept conversations in the chat format, at most ``SEGMENT`` turns a row."""
     rows, kept = maximal(turns)
     kept = kept.withColumnRenamed("conv_id", "kept_id")
+    blocks = rows.select("conv_id", "block").distinct().join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    chosen = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
     return (
-        chosen.groupBy("conv_id", F.floor(F.col("place") / SEGMENT).alias("segment"))
+        with_block(rows, blocks)
+        .groupBy("conv_id", F.floor(F.col("place") / SEGMENT).alias("segment"))
         .agg(F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("said"))
         .select("conv_id", "segment", "n_turns", "copies", F.concat_ws("", F.col("said.line")).alias("text"))
     )

@@ -85,6 +85,21 @@ def test_chats_equal_sql(spark, empty):
     assert chats.render(table.where("false")).count() == 0
 
 
+def test_long_conversations_are_spread(spark):
+    copies = [(None, 0, "u", "same")] * 40 + [(None, 1, "u", "x" * 300 + str(i % 7)) for i in range(40)] + [(1, t, "u", "same") for t in range(40)]
+    table = spark.createDataFrame(copies, "conv_id long, turn long, role string, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would all go to one
+    try:
+        rows, blocks = chats.placed(table)
+        assert blocks.where("conv_id is null").count() > 1
+        said = "".join(r["text"] for r in chats.render(table).where("conv_id is null").orderBy("segment").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in blocks.groupBy("conv_id").agg({"last": "max"}).orderBy("conv_id").collect()] == [(None, 79), (1, 39)]
+    want = sorted([t for c, _, _, t in copies if c is None and t != "same"])
+    assert said == "".join(f"<|u|>\n{t}\n<|end|>\n" for t in ["same"] * 40 + want)
+
+
 def test_language_model(spark, docs, odd, empty):
     for table in (docs, odd):
         rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in table.collect()]
