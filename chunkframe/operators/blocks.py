@@ -127,35 +127,62 @@ def from_chunks(chunks: DataFrame, axes: list[str], dtype: str = "int64") -> Dat
     return chunks.select("origin", "extent", "payload", *(["dtype"] if typed else [])).mapInPandas(unpack, schema)
 
 
+def sorted_blocks(a: np.ndarray, factor: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of ``a`` sorted by block and value, and where each block begins and how many it has."""
+    counts = [-(-n // f) for n, f in zip(a.shape, factor, strict=True)]
+    of = np.ravel_multi_index([i // f for i, f in zip(np.indices(a.shape), factor, strict=True)], counts).ravel()
+    by = np.lexsort((a.ravel(), of))
+    n = np.bincount(of)
+    return a.ravel()[by], np.cumsum(n) - n, n
+
+
+def reduce_block(a: np.ndarray, factor: list[int], method: str) -> np.ndarray:
+    """One chunk reduced; ties of the mode go to the smallest value, the median is the lower one."""
+    cut = [np.arange(0, n, f) for n, f in zip(a.shape, factor, strict=True)]
+    if method == "stride":
+        return a[tuple(slice(None, None, f) for f in factor)]
+    if method in ("min", "max"):
+        for axis, c in enumerate(cut):
+            a = (np.minimum if method == "min" else np.maximum).reduceat(a, c, axis=axis)
+        return a
+    if method == "mean":
+        wide = float if a.dtype.kind == "f" else "<u8" if a.dtype.kind == "u" else "<i8"
+        out, n = a.astype(wide), np.ones(a.shape, wide)
+        for axis, c in enumerate(cut):
+            out, n = np.add.reduceat(out, c, axis=axis), np.add.reduceat(n, c, axis=axis)
+        if a.dtype.kind == "f":
+            return out / n
+        q, r = np.divmod(out, n)
+        return q + ((2 * r > n) | ((2 * r == n) & (q % 2 == 1))).astype(wide)
+    if method not in METHODS:
+        raise ValueError(method)
+    values, start, n = sorted_blocks(a, factor)
+    if method == "median":
+        return values[start + (n - 1) // 2].reshape([len(c) for c in cut])
+    block = np.repeat(np.arange(len(n)), n)
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)  # of each run of equal values in a block
+    run = np.diff(np.append(first, len(values)))
+    best = np.lexsort((first, -run, block[first]))
+    return values[first[best[np.unique(block[first][best], return_index=True)[1]]]].reshape([len(c) for c in cut])
+
+
 def reduce_chunks(chunks: DataFrame, factor: list[int], method: str = "mean") -> DataFrame:
-    """Blocks inside chunks reduced where they are; chunk origins must be multiples of the factors."""
+    """Blocks inside chunks reduced where they are, in their own type; chunk origins must be multiples of the factors."""
+    typed = "dtype" in chunks.columns
 
     def block(pdfs):
         import pandas as pd
 
         for pdf in pdfs:
-            rows = []
-            for number, origin, extent, payload in zip(pdf["chunk_id"], pdf["origin"], pdf["extent"], pdf["payload"], strict=True):
+            rows, kinds = [], pdf["dtype"] if typed else ["<i8"] * len(pdf)
+            for number, origin, extent, payload, kind in zip(pdf["chunk_id"], pdf["origin"], pdf["extent"], pdf["payload"], kinds, strict=True):
                 if any(o % f for o, f in zip(origin, factor, strict=True)):
                     raise ValueError("a block crosses chunks: rechunk first")
-                a = np.frombuffer(payload, "<i8").reshape(tuple(extent))
-                ones = np.ones(a.shape, np.int64)
-                cut = [np.arange(0, n, f) for n, f in zip(extent, factor, strict=True)]
-                if method == "stride":
-                    out = a[tuple(slice(None, None, f) for f in factor)]
-                elif method in ("min", "max"):
-                    out = a
-                    for axis, c in enumerate(cut):
-                        out = (np.minimum if method == "min" else np.maximum).reduceat(out, c, axis=axis)
-                elif method == "mean":
-                    out, n = a, ones
-                    for axis, c in enumerate(cut):
-                        out, n = np.add.reduceat(out, c, axis=axis), np.add.reduceat(n, c, axis=axis)
-                    q, r = np.divmod(out, n)
-                    out = q + ((2 * r > n) | ((2 * r == n) & (q % 2 == 1)))
-                else:
-                    raise ValueError(method)
-                rows.append((number, [o // f for o, f in zip(origin, factor, strict=True)], list(out.shape), np.ascontiguousarray(out, "<i8").tobytes()))
-            yield pd.DataFrame(rows, columns=["chunk_id", "origin", "extent", "payload"])
-
-    return chunks.mapInPandas(block, "chunk_id long, origin array<long>, extent array<long>, payload binary")
+                out = reduce_block(np.frombuffer(payload, kind).reshape(tuple(extent)), factor, method)
+                rows.append((number, [o // f for o, f in zip(origin, factor, strict=True)], list(out.shape), np.ascontiguousarray(out, kind).tobytes(), kind))
+            yield pd.DataFrame(rows, columns=["chunk_id", "origin", "extent", "payload", "dtype"]).iloc[:, : 4 + typed]
+
+    kept = chunks.select("chunk_id", "origin", "extent", "payload", *(["dtype"] if typed else []))
+    return kept.mapInPandas(block, "chunk_id long, origin array<long>, extent array<long>, payload binary" + ", dtype string" * typed)

@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import containers, layouts  # noqa: F401  their queries register themselves
+    from . import containers, layouts, upsampling  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import containers, layouts  # noqa: F401
+    from . import containers, layouts, upsampling  # noqa: F401
 
     return dict(_SQL)
 
