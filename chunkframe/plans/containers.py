@@ -11,7 +11,7 @@ from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
 from ..operators import blocks, discovery
-from ..sources import fixtures, zarr
+from ..sources import elements, fixtures, zarr
 from ..sources.fixtures import SQL
 from .catalog import query
 from .layouts import VOL
@@ -152,6 +152,16 @@ def stored_unsigned_array(spark, d):
     return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "uint64")
 
 
+@query(f"SELECT y, x, v FROM ({SQL['image']}) AS src WHERE y >= 70 AND y < 210 AND x >= 10 AND x < 40")
+def stored_box(spark, d):
+    """A1, D16, S: a box of a stored image by the data source, which opens only the chunks it touches."""
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    zarr.write_chunks(blocks.to_chunks(fixtures.image(spark, d), {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32"), path, [n, 64], [64, 16], codec="zstd", names=["y", "x"])
+    elements.register(spark)
+    return spark.read.format(elements.ChunkedArray.name()).option("box", "y=70:210,x=10:40").load(path)
+
+
 # -- listings -------------------------------------------------------------------------------
 
 #: What the ten files of a folder are called, by the kind of folder; {k} is a number.

@@ -14,7 +14,7 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +60,12 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 def describe(spark: SparkSession, path: str) -> dict:
     """format, shape, chunk, dtype, codec, fill and attributes of an array."""
-    if m := read_json(spark, f"{path}/zarr.json"):
+    return described(path, lambda at: read_json(spark, at))
+
+
+def described(path: str, read: Callable[[str], dict | None]) -> dict:
+    """``describe`` with any way to ``read`` a JSON file (None: there is none)."""
+    if m := read(f"{path}/zarr.json"):
         outer, inner = _codecs(m["codecs"]), None
         if "shard" in outer:
             inner = _codecs(outer["shard"]["codecs"])
@@ -68,17 +73,17 @@ def describe(spark: SparkSession, path: str) -> dict:
         key = m.get("chunk_key_encoding", {"name": "default"})
         separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
         return {"format": "zarr3", "shape": m["shape"], "chunk": outer["shard"]["chunk_shape"] if inner else m["chunk_grid"]["configuration"]["chunk_shape"], "shard": m["chunk_grid"]["configuration"]["chunk_shape"] if inner else None, "dtype": (inner or outer)["endian"] + kind, "fill": _fill(m.get("fill_value"), kind), "codecs": inner or outer, "index": outer.get("shard"), "prefix": "c" if key["name"] == "default" else "", "separator": separator, "names": m.get("dimension_names"), "attributes": m.get("attributes", {})}
-    if m := read_json(spark, f"{path}/.zarray"):
+    if m := read(f"{path}/.zarray"):
         codec = (m.get("compressor") or {}).get("id")
         if codec not in (None, "gzip", "zlib", "zstd") or m.get("filters"):
             raise ValueError(f"compressor {codec}")
-        return {"format": "zarr2", "shape": m["shape"], "chunk": m["chunks"], "dtype": m["dtype"], "fill": _fill(m.get("fill_value"), m["dtype"][1:]), "codecs": {"transpose": None, "order": m.get("order", "C"), "steps": [codec] if codec else []}, "prefix": "", "separator": m.get("dimension_separator", "."), "names": None, "attributes": read_json(spark, f"{path}/.zattrs") or {}}
-    if m := read_json(spark, f"{path}/attributes.json"):
+        return {"format": "zarr2", "shape": m["shape"], "chunk": m["chunks"], "dtype": m["dtype"], "fill": _fill(m.get("fill_value"), m["dtype"][1:]), "codecs": {"transpose": None, "order": m.get("order", "C"), "steps": [codec] if codec else []}, "prefix": "", "separator": m.get("dimension_separator", "."), "names": None, "attributes": read(f"{path}/.zattrs") or {}}
+    if m := read(f"{path}/attributes.json"):
         codec = m.get("compression", {}).get("type", "raw")
         if codec not in ("raw", "gzip"):
             raise ValueError(f"compression {codec}")
         return {"format": "n5", "shape": m["dimensions"], "chunk": m["blockSize"], "dtype": ">" + DTYPES[m["dataType"]], "fill": 0, "codecs": {"transpose": None, "order": "F", "steps": [] if codec == "raw" else [codec]}, "prefix": "", "separator": "/", "names": m.get("axes"), "attributes": m}
-    if m := read_json(spark, f"{path}/info"):
+    if m := read(f"{path}/info"):
         scale = m["scales"][0]
         if scale["encoding"] != "raw" or scale.get("sharding"):
             raise ValueError(f"encoding {scale['encoding']}, sharding {scale.get('sharding')}")
@@ -177,44 +182,54 @@ def _places(path: str, info: dict) -> list[int] | None:
     return [int(i) for i in m.group(1).split(info["separator"])] if m else None
 
 
-def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> DataFrame:
-    """(origin, extent, payload, dtype): an array's chunks, cut at its edges, in their own type (little-endian).
+def file_of(info: dict, place: list[int]) -> str:
+    """The name of the file at a grid place, under the array's folder."""
+    if info["format"] == "precomputed":
+        low = [i * c for i, c in zip(place, info["chunk"], strict=True)][:3]
+        high = [min(o + c, s) for o, c, s in zip(low, info["chunk"], info["shape"], strict=False)]
+        return info["prefix"] + "/" + "_".join(f"{lo + o}-{hi + o}" for lo, hi, o in zip(low, high, info["offset"], strict=False))
+    name = info["separator"].join(map(str, place))
+    return f"{info['prefix']}{info['separator']}{name}" if info["prefix"] else name
 
-    Chunks without a file hold the fill value; their places come from an anti-join of the grid with the names of the files.
-    """
-    info = describe(spark, path)
+
+def rows_of_file(info: dict, place: list[int], data: bytes | None) -> Iterator[tuple]:
+    """(origin, extent, payload, dtype) of the chunks in the file (None: never stored) at a grid place."""
     shape, chunk = info["shape"], info["chunk"]
     step, kind = info.get("shard") or chunk, "<" + info["dtype"].lstrip("<>|=")
-    counts = [-(-s // c) for s, c in zip(shape, step, strict=True)]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{info['prefix']}" if info["prefix"] else path)
+    start = [i * c for i, c in zip(place, step, strict=True)]
 
-    def rows_of(origin: list[int], block: np.ndarray | None):
+    def row(origin: list[int], block: np.ndarray | None):
         extent = [min(c, s - o) for c, s, o in zip(chunk, shape, origin, strict=True)]
         if min(extent) > 0:
             block = np.full(extent, info["fill"], kind) if block is None else block[tuple(slice(0, e) for e in extent)]
             yield origin, list(block.shape), np.ascontiguousarray(block).astype(kind).tobytes(), kind
 
-    def of_file(place: list[int], data: bytes | None):
-        start = [i * c for i, c in zip(place, step, strict=True)]
-        if info.get("shard"):
-            if data is None:
-                inner = np.ndindex(*[s // c for s, c in zip(step, chunk, strict=True)])
-                parts: Iterator = ((list(p), None) for p in inner)
-            else:
-                parts = shard_parts(data, info)
-            for at, block in parts:
-                yield from rows_of([o + i * c for o, i, c in zip(start, at, chunk, strict=True)], block)
-        elif data is None:
-            yield from rows_of(start, None)
-        else:
-            size = chunk
-            if info["format"] == "n5":
-                mode, dims = int.from_bytes(data[:2], "big"), int.from_bytes(data[2:4], "big")
-                size = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "big") for i in range(dims)]
-                data = data[4 + 4 * dims + (4 if mode == 1 else 0) :]
-            elif info["format"] == "precomputed":
-                size = [min(c, s - o) for c, s, o in zip(chunk, shape, start, strict=True)]
-            yield from rows_of(start, decode_block(data, info["codecs"], info["dtype"], size))
+    if info.get("shard"):
+        absent: Iterator = ((list(at), None) for at in np.ndindex(*[s // c for s, c in zip(step, chunk, strict=True)]))
+        for at, block in absent if data is None else shard_parts(data, info):
+            yield from row([o + i * c for o, i, c in zip(start, at, chunk, strict=True)], block)
+    elif data is None:
+        yield from row(start, None)
+    else:
+        size = chunk
+        if info["format"] == "n5":
+            mode, dims = int.from_bytes(data[:2], "big"), int.from_bytes(data[2:4], "big")
+            size = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "big") for i in range(dims)]
+            data = data[4 + 4 * dims + (4 if mode == 1 else 0) :]
+        elif info["format"] == "precomputed":
+            size = [min(c, s - o) for c, s, o in zip(chunk, shape, start, strict=True)]
+        yield from row(start, decode_block(data, info["codecs"], info["dtype"], size))
+
+
+def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> DataFrame:
+    """(origin, extent, payload, dtype): an array's chunks, cut at its edges, in their own type (little-endian).
+
+    Chunks without a file hold the fill value; their places come from an anti-join of the grid with the names of the files.
+    """
+    info = describe(spark, path)
+    shape, chunk = info["shape"], info["chunk"]
+    counts = [-(-s // c) for s, c in zip(shape, info.get("shard") or chunk, strict=True)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{info['prefix']}" if info["prefix"] else path)
 
     def run(batches):
         import pandas as pd
@@ -223,7 +238,7 @@ def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> Da
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 place = _places(name, info)
                 if place is not None:
-                    yield pd.DataFrame(list(of_file(place, data)), columns=["origin", "extent", "payload", "dtype"])
+                    yield pd.DataFrame(list(rows_of_file(info, place, data)), columns=["origin", "extent", "payload", "dtype"])
 
     stored = files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
     if not fill_missing:
@@ -241,7 +256,7 @@ def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> Da
 
         for pdf in batches:
             for n in pdf["n"]:
-                yield pd.DataFrame(list(of_file([int(i) for i in np.unravel_index(n, counts)], None)), columns=["origin", "extent", "payload", "dtype"])
+                yield pd.DataFrame(list(rows_of_file(info, [int(i) for i in np.unravel_index(n, counts)], None)), columns=["origin", "extent", "payload", "dtype"])
 
     have = files.select("path").mapInPandas(named, "n long")
     missing = spark.range(math.prod(counts)).withColumnRenamed("id", "n").join(have, "n", "left_anti")
@@ -254,6 +269,16 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def fetch(path: str) -> bytes | None:
+    """A whole file, None where there is none."""
+    system, at = _file_system(path)
+    try:
+        with system.open_input_stream(at, compression=None) as f:
+            return f.read()
+    except (FileNotFoundError, NotADirectoryError):
+        return None
+
+
 def put(path: str, data: bytes) -> None:
     """A whole file: beside its place and then moved where names can be taken over, else in one put."""
     system, at = _file_system(path)
