@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chats, language, licenses, packing, pitman_yor, similar, spots, tiff, toxicity
+from . import bpe, cascade, chats, language, licenses, middle, packing, pitman_yor, similar, spots, tiff, toxicity, whitening
 
 #: The tokenizer of the packing and encoding queries.
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,10 +60,22 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_distinct_middle(spark, sf_dir):
+    return middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_rule_cascade(spark, sf_dir):
+    return cascade.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_welford_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    found = [op1_spotsigs, op2_chat_snapshots, op3_pattern_packing, op4_tiff, op5_transducer_bpe, op6_subword_toxicity, op7_hyperdimensional_language, op8_similar_sets, op9_pitman_yor, op10_license_scan]
+    found = [op1_spotsigs, op2_chat_snapshots, op3_pattern_packing, op4_tiff, op5_transducer_bpe, op6_subword_toxicity, op7_hyperdimensional_language, op8_similar_sets, op9_pitman_yor, op10_license_scan, op11_distinct_middle, op12_rule_cascade, op13_welford_whitening]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_snapshots": chats.RENDER_SQL}
+    return {"op2_chat_snapshots": chats.RENDER_SQL, "op11_distinct_middle": middle.MIDDLE_SQL, "op12_rule_cascade": cascade.JUDGE_SQL}
