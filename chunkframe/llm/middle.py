@@ -2,9 +2,10 @@
 
 Texts meet under the SHA-256 of their bytes. What is found under a digest is compared by content: a digest with two different
 texts stops the job, so documents that share an entry have the same text. The text of an entry travels once, combined
-before the shuffle; of each document only its id and digest do. The entries' boundaries (where each line ends, in code points) are
-packed as an Elias-Fano list of about 2 + log2(length of a line) bits for each line, and joined back to the documents; each
-then selects its two cuts from the list by its seed. The ids are the side that is built into a table of hashes; texts are not sorted for the join.
+before the shuffle; of each document only its id and digest do, gathered by digest and joined to the entry where it lies. An entry's
+boundaries (where each line ends, in code points) are packed once as an Elias-Fano list of about 2 + log2(length of a line) bits for
+each line; each of its documents then selects its two cuts from that list by its seed. The ids are the side that is built into a table
+of hashes; texts are not sorted for the join.
 
 Texts with very many copies are dealt over several tasks: a digest with more than ``HOT`` rows and at least one of
 ``HOT_SHARE`` of all has one entry for every ``HOT`` rows. There are at most ``HOT_SHARE`` such digests, whatever the size of the
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from .common import give_back, prepare, scratch, written
+from .common import BATCH_ROWS, give_back, prepare, scratch, written
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Documents in a hundred that are cut, and those of them with the suffix first.
 RATE, SUFFIX_FIRST, SEED = 100, 50, "7"
 HOT, HOT_SHARE = 64, 10_000
+#: Documents of one text that go to a worker together at most.
+PIECE = 1024
 #: One place of the upper bits is noted for so many boundaries.
 _STRIDE = 64
 
@@ -135,19 +138,28 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def index(texts: DataFrame) -> DataFrame:
-    """(digest, text, ends) of the distinct texts of ``texts`` (digest, text), verified by content."""
+def distinct(texts: DataFrame) -> DataFrame:
+    """(digest, text) of the distinct texts of ``texts`` (digest, text), verified by content."""
     found = texts.groupBy("digest").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts with one SHA-256")))
-    return found.select("digest", one.alias("text")).withColumn("ends", boundaries("text"))
+    return found.select("digest", one.alias("text"))
 
 
-def located(docs: DataFrame, hot: int = HOT, hot_share: int = HOT_SHARE) -> DataFrame:
-    """(doc_id, text, ends) of every row of ``docs`` (doc_id, text): the index joined back to the documents."""
+def index(docs: DataFrame) -> DataFrame:
+    """(digest, text, ends): the distinct texts of ``docs`` with their packed boundaries, as a table."""
+    text = F.coalesce("text", F.lit(""))
+    return distinct(docs.select(text.alias("text")).select(digest(F.col("text")).alias("digest"), "text")).withColumn("ends", boundaries("text"))
+
+
+def entries(docs: DataFrame, hot: int = HOT, hot_share: int = HOT_SHARE) -> DataFrame:
+    """(text, ids) of ``docs`` (doc_id, text): each distinct text with the documents that have it, ``hot`` or so in a row where they are very many.
+
+    The join is by digest, which is what the texts were grouped by, so it moves ids only.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text")).select(digest(F.col("text")).alias("digest"), "text")
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest")), "rows")
+    rows = written(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("id"), digest(text).alias("digest")), "rows")
     least = max(hot, rows.count() // hot_share)
     many = rows.groupBy("digest").count().where(F.col("count") > least).collect()  # at most ``hot_share``, a row each
     few_rows, few_texts = rows, texts
@@ -155,13 +167,15 @@ def located(docs: DataFrame, hot: int = HOT, hot_share: int = HOT_SHARE) -> Data
         groups = [(bytes(r["digest"]), -(-r["count"] // hot)) for r in many]
         dealt = F.broadcast(spark.createDataFrame(groups, StructType([StructField("digest", BinaryType()), StructField("dealt", IntegerType())])))
         few_rows, few_texts = (df.join(dealt, "digest", "left_anti") for df in (rows, texts))
-    out = few_rows.hint("shuffle_hash").join(index(few_texts), "digest").select("doc_id", "text", "ends")
+    listed = few_rows.groupBy("digest").agg(F.collect_list("id").alias("ids"))  # at most ``least`` of a digest
+    out = listed.hint("shuffle_hash").join(distinct(few_texts), "digest").select("text", "ids")
     if many:
-        salted = rows.join(dealt, "digest").withColumn("salt", F.floor(F.rand(7) * F.col("dealt")).cast("int"))
-        entries = index(texts.join(dealt.select("digest"), "digest", "left_semi")).join(dealt, "digest")
-        entries = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).drop("dealt")
-        out = out.union(salted.hint("shuffle_hash").join(entries, ["digest", "salt"]).select("doc_id", "text", "ends"))
-    return out
+        salted = rows.join(dealt, "digest").withColumn("salt", F.floor(F.rand(7) * F.col("dealt")).cast("int")).groupBy("digest", "salt").agg(F.collect_list("id").alias("ids"))
+        copies = distinct(texts.join(dealt.select("digest"), "digest", "left_semi")).join(dealt, "digest")
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).drop("dealt")
+        out = out.union(salted.hint("shuffle_hash").join(copies, ["digest", "salt"]).select("text", "ids"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(PIECE)), lambda i: F.slice("ids", i, PIECE))
+    return out.select("text", F.explode(pieces).alias("ids"))
 
 
 def rendered(docs: DataFrame, rate: int = RATE) -> DataFrame:
@@ -179,21 +193,31 @@ def _cut(docs: DataFrame, rate: int, more: dict) -> DataFrame:
     kinds = {"doc_id": pa.int64(), "n": pa.int64(), "form": pa.string(), "prefix_chars": pa.int64(), "middle_chars": pa.int64()} | {k: v[0] for k, v in more.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
         for batch in batches:
-            rows = []
-            for doc_id, text, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, ends = seeds(doc_id), EliasFano(ends)
-                form = form_of(text, h, rate)
-                first, second = cuts(ends, h) if form != "plain" else (None, None)
-                output = arrange(text, form, first, second)
-                rows.append((doc_id, ends.n, form, first, None if first is None else second - first, *(f(output, form) for _, f in more.values())))
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            for text, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends = EliasFano(EliasFano.pack(line_ends(text)))  # once for the text
+                for doc_id in (i["doc_id"] for i in ids):
+                    h = seeds(doc_id)
+                    form = form_of(text, h, rate)
+                    first, second = cuts(ends, h) if form != "plain" else (None, None)
+                    output = arrange(text, form, first, second)
+                    held.append((doc_id, ends.n, form, first, None if first is None else second - first, *(f(output, form) for _, f in more.values())))
+                if len(held) >= BATCH_ROWS:
+                    yield emit()
+        if held:
+            yield emit()
         give_back()
 
     prepare(docs.sparkSession)
     with scratch(docs.sparkSession, keep=("rows",)):
-        return located(docs).mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in kinds.items()))
+        return entries(docs).mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in kinds.items()))
 
 
 MIDDLE_SQL = """

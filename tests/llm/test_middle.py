@@ -44,22 +44,41 @@ def test_fill_in_middle_equals_brute_force_and_sql(spark, odd, empty):
     assert all(middle.restore(r["output"], r["form"]) == texts_of[d] for d, r in outputs.items())
 
 
-def test_hot_texts_have_several_entries(spark):
+def test_hot_texts_have_several_entries(spark, monkeypatch):
     df = spark.createDataFrame([(i, "one\ntwo\n" if i % 3 else f"text {i}\nof its own") for i in range(900)], "doc_id long, text string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would all go to one
     try:
-        plan = middle.located(df, hot=50, hot_share=100)
-        spread = plan.where("text = 'one\ntwo\n'").groupBy(middle.F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in spread) == 600 and len(spread) > 1 and plan.count() == 900
+        plan = middle.entries(df, hot=50, hot_share=100)
+        spread = plan.where("text = 'one\ntwo\n'").groupBy(middle.F.spark_partition_id()).agg(middle.F.sum(middle.F.size("ids")).alias("n")).collect()
+        assert sum(r["n"] for r in spread) == 600 and len(spread) > 1 and plan.count() > 303
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(middle, "PIECE", 7)
+    got = middle.entries(df, hot=1000).collect()
+    assert max(len(r["ids"]) for r in got) == 7 and sorted(i["doc_id"] for r in got for i in r["ids"]) == list(range(900))
     assert {r["form"] for r in middle.rendered(df, rate=0).collect()} == {"plain"}
 
 
+def test_texts_move_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 40}\n") for i in range(80)], "doc_id long, text string")
+    plan = middle.entries(df)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2  # ids, and texts; the join needs no other
+
+
+def test_the_index_holds_each_text_once(spark, odd):
+    got = middle.index(odd).collect()
+    texts = {r["text"] or "" for r in odd.collect()}
+    assert len(got) == len(texts) and {r["text"] for r in got} == texts
+    for r in got:
+        ends = middle.EliasFano(bytes(r["ends"]))
+        assert [ends.get(i) for i in range(ends.n)] == middle.line_ends(r["text"]).tolist() and bytes(r["digest"]) == hashlib.sha256(r["text"].encode()).digest()
+
+
 def test_different_texts_under_one_digest_stop_the_job(spark):
     table = spark.createDataFrame([(b"d", "a"), (b"d", "b"), (b"e", "c")], "digest binary, text string")
     with pytest.raises(Exception, match="two texts with one SHA-256"):
-        middle.index(table).collect()
+        middle.distinct(table).collect()
 
 
 @pytest.mark.parametrize("seed", range(12))
