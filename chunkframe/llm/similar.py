@@ -15,10 +15,12 @@ Set relations save most of the work on a list:
   whose sizes and places of the shared shingle forbid a link. A bitmap of the parities of each set's
   hashes bounds the distance from below before texts are read.
 
-A cell reports a forest: one candidate for any two of its components, however many pairs could
-join them, and which of its rows had one. Candidates are verified on whole texts, links rename the components, refused
-pairs are remembered, and those rows of lists that are still mixed are read again; after ``FORESTS`` such
-rounds the few pairs that neither bound nor component decides are all verified. So every pair that could link is
+A cell reports a forest: one candidate for any two of its trees, however many pairs could
+join them, and which of its rows are open: those with a partner that may link, is not refused, and is in another component by
+sure links alone. Candidates are verified on whole texts, links rename the components, refused
+pairs are remembered, and the open rows of lists that are still mixed are read again, until no row is open. From turn to turn
+each row tells twice as many candidates beside the forest, so the turns are few (at most as many as a cell's rows have binary digits,
+and one more) and verified pairs at most about twice those that had to be. So every pair that could link is
 verified, decided by those bounds, or already in one component, and components are exact. No list, however
 long, meets in one task, and distances travel as pairs of numbers.
 
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_rows, components, give_back, prepare, scratch, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
-CELLS, CHUNKS, BLOCK, ROUNDS, FORESTS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 1, 3, 64, 1 << 23
+CELLS, CHUNKS, BLOCK, ROUNDS, TURNS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 1, 40, 64, 1 << 23
 Features = Callable[[str | None], np.ndarray]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -233,11 +235,12 @@ def near_by_sketch(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFram
 _CELL = ("key", "run", "low", "high", "block", "guest", "set", "n", "pos", "component", "hub", "distance", "sketch", "refused")
 
 
-def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> tuple[list[tuple[int, int, bool]], set[int]]:
-    """(a, b, sure) of one cell: a forest over its components, or (``whole``) all pairs that are still open; and the sets with a candidate.
+def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tuple[int, int, bool]], set[int]]:
+    """(a, b, sure) of one cell, and the sets that have an open partner: near by the bitmaps, not refused, not surely in one component.
 
-    Each set outside the largest component meets the sets of all others; sure links join components
-    at once, and a candidate, the nearest by its bitmap, stands for all between two components.
+    Each set outside the largest component meets the sets of all others. Sure links join components at once. Of candidates,
+    the nearest by its bitmap stands for all between two trees of a second forest, in which candidates join too,
+    and each set tells ``more`` others; a candidate joins no components, so what it stands for stays open until it is verified.
     """
     codes = np.unique(np.array(cell["component"], np.int64), return_inverse=True)[1]
     if not codes.any():
@@ -256,26 +259,19 @@ def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> tuple[list[
             stacked[size] = np.stack([folded(bitmaps[i], size) for i in np.nonzero(has)[0]]), np.cumsum(has) - 1
         return stacked[size]
 
-    refused = [set(r or ()) for r in cell["refused"]]
-    sets, root, found, open_sets = cell["set"], list(range(int(codes.max()) + 1)), [], set()
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
+    sets, refused = np.array(cell["set"], np.int64), [np.array(r or (), np.int64) for r in cell["refused"]]
+    sure_tree, tree, is_open, found = codes.copy(), codes.copy(), np.zeros(len(n), bool), []
 
     def tell(x: int, y: int, sure: bool) -> None:
-        p, q = find(codes[x]), find(codes[y])
-        if p != q:
-            found.append((min(sets[x], sets[y]), max(sets[x], sets[y]), sure))
-            if sure or not whole:
-                root[p] = q
+        found.append((int(min(sets[x], sets[y])), int(max(sets[x], sets[y])), sure))
+        for trees in (sure_tree, tree) if sure else (tree,):
+            trees[trees == trees[x]] = trees[y]
 
     ahead = np.ones(len(n), bool)
     for x in np.nonzero(codes != np.bincount(codes).argmax())[0].tolist():
         ahead[x] = False
         shared = 1 + np.minimum(n[x] - pos[x] - 1, n - pos - 1)
-        ok = ahead & (codes != codes[x]) & ((block != block[x]) == cross) & ~(guest & guest[x])
+        ok = ahead & (sure_tree != sure_tree[x]) & ((block != block[x]) == cross) & ~(guest & guest[x])
         y = np.nonzero(ok & ~too_far(n[x], n, n[x] + n - 2 * np.minimum(shared, np.minimum(n, n[x])), at_least))[0]
         if not len(y):
             continue
@@ -284,25 +280,32 @@ def near_pairs(cell: dict[str, list], at_least: int, whole: bool) -> tuple[list[
         y, same = y[open_], same[open_]
         sure = same & ~too_far(n[x], n[y], far[y] + far[x], at_least)
         for k in y[sure].tolist():
-            tell(x, k, True)
-        here = find(codes[x])
-        y = y[~sure]
-        y = y[[find(c) != here for c in codes[y].tolist()]] if len(y) else y
-        near: list[tuple[int, int]] = []
-        for size in np.unique(np.minimum(words[y], words[x])).tolist():
-            part = y[np.minimum(words[y], words[x]) == size]
+            if sure_tree[k] != sure_tree[x]:
+                tell(x, k, True)
+        y = y[~sure & (sure_tree[y] != sure_tree[x])]
+        if len(refused[x]):
+            y = y[~np.isin(sets[y], refused[x])]
+        apart, least = np.zeros(len(y), np.int64), np.minimum(words[y], words[x])
+        for size in np.unique(least).tolist():
             table, where = at_length(size)
-            apart = np.bitwise_count(table[where[part]] ^ table[where[x]]).sum(axis=1, dtype=np.int64)
-            keep = ~too_far(n[x], n[part], apart, at_least)
-            near += [(a, sets[k], k) for a, k in zip(apart[keep].tolist(), part[keep].tolist(), strict=True) if sets[k] not in refused[x] and sets[x] not in refused[k]]
-        for _, _, k in sorted(near):
+            part = least == size
+            apart[part] = np.bitwise_count(table[where[y[part]]] ^ table[where[x]]).sum(axis=1, dtype=np.int64)
+        near = ~too_far(n[x], n[y], apart, at_least)
+        y = y[near][np.lexsort((sets[y[near]], apart[near]))]  # the nearest first
+        if not len(y):
+            continue
+        is_open[x] = is_open[y] = True
+        firsts = np.unique(tree[y], return_index=True)[1]
+        firsts = firsts[tree[y[firsts]] != tree[x]]
+        for k in y[firsts].tolist():
             tell(x, k, False)
-            open_sets |= {sets[x], sets[k]}
-    return found, open_sets
+        for k in np.delete(y, firsts)[:more].tolist():
+            found.append((int(min(sets[x], sets[k])), int(max(sets[x], sets[k])), False))
+    return found, set(sets[is_open].tolist())
 
 
-def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame:
-    """(a, b, sure, key): what ``near_pairs`` finds in each list; pairs without a key, and rows (key, a) that had a candidate.
+def cell_pairs(rows: DataFrame, at_least: int, more: int = 0) -> DataFrame:
+    """(a, b, sure, key): what ``near_pairs`` finds in each list; pairs without a key, and rows (key, a) that are open.
 
     ``rows``: key, m (the list's length), set, n, pos, component, hub, distance, sketch, refused. A list of more than
     ``BLOCK`` sets is cut by size: a set goes to the run of its size, and as a guest to that of the next larger
@@ -325,7 +328,7 @@ def cell_pairs(rows: DataFrame, at_least: int, whole: bool = False) -> DataFrame
             data = {c: table.column(c).to_pylist() for c in _CELL}
             for p, q in zip(cuts, cuts[1:], strict=False):
                 if q - p > 1:
-                    pairs, rows = near_pairs({c: v[p:q] for c, v in data.items()}, at_least, whole)
+                    pairs, rows = near_pairs({c: v[p:q] for c, v in data.items()}, at_least, more)
                     found += [(*pair, None) for pair in pairs]
                     found += [(one, None, None, data["key"][p]) for one in sorted(rows)]
         columns = zip(*found, strict=True) if found else [()] * 4
@@ -404,22 +407,24 @@ def _joined(docs: DataFrame, at_least: int, rounds: int, features: Features) ->
         links.append(measured.where(linked).select("a", "b"))
         refused.append(measured.where(~linked).select("a", "b"))
         state = renamed(state, turn + 1)
-    for turn in range(FORESTS + 1):
+    for turn in range(TURNS):
         if state.isEmpty():
             break
-        no = reduce(DataFrame.union, refused).groupBy(F.col("a").alias("set")).agg(F.collect_set("b").alias("refused"))
+        pairs = reduce(DataFrame.union, refused)
+        no = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy(F.col("a").alias("set")).agg(F.collect_set("b").alias("refused"))
         full = state.select("m", *base, "component").join(hubs_of, "set", "left").join(classes.select("set", "sketch"), "set").join(no, "set", "left")
         with batch_rows(spark, 2000):
-            told = written(cell_pairs(full, at_least, whole=turn == FORESTS), "told")
+            told = written(cell_pairs(full, at_least, more=(1 << turn) - 1), "told")
         left = written(told.where("key is null").groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
         if left.isEmpty():
             break
         measured = written(verified(left.where("not sure"), docs, classes, at_least, features), "measured")
         links += [left.where("sure").select("a", "b"), measured.where(linked).select("a", "b")]
         refused.append(measured.where(~linked).select("a", "b"))
-        if turn < FORESTS:
-            alive = told.where("key is not null").select("key", F.col("a").alias("set")).distinct()
-            state = renamed(state.join(alive, ["key", "set"], "left_semi"), turn + 1)
+        alive = told.where("key is not null").select("key", F.col("a").alias("set")).distinct()
+        state = renamed(state.join(alive, ["key", "set"], "left_semi"), rounds + turn + 1)
+    else:
+        raise RuntimeError("candidates are left that were neither linked nor refused")
     named = written(classes.select("set", "sid", "least_id").join(relabel(), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
     ids = written(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "ids")
     of_set = written(named.join(ids, "component").select("sid", "component_id"), "of_set")

@@ -54,6 +54,73 @@ def test_similar_components_equal_brute_force(spark, docs, empty, odd):
     assert len(got) == odd.count() and {r["component_id"] for r in got if r["doc_id"] in (7, 8, 9, 10)} == {7}
 
 
+def near_threshold_group(rng, g, at_least=90):
+    """Texts of some clusters, each pair near the threshold from either side."""
+    n = rng.randrange(40, 120)
+    word = lambda: f"g{g}w{rng.randrange(10**6)}"
+    base, texts = [word() for _ in range(n)], []
+    for _ in range(rng.randrange(2, 4)):  # clusters at 0.85 to 0.95 of each other
+        centre = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            centre[rng.randrange(n)] = word()
+        for _ in range(rng.randrange(2, 5)):
+            one = list(centre)
+            for _ in range(rng.randrange(0, 3)):
+                one[rng.randrange(n)] = word()
+            texts.append(" ".join(one[: n - rng.randrange(0, 3)]))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rounds_of_a_cell_lose_no_link(seed):
+    rng = random.Random(seed)
+    for g in range(500):
+        found = [np.unique(similar.shingles(t)) for t in near_threshold_group(rng, g)]
+        found = list({s.tobytes(): s for s in found}.values())
+        m = len(found)
+        share = lambda a, b: len(np.intersect1d(found[a], found[b]))  # noqa: B023, E731
+        linked = lambda a, b: 100 * share(a, b) >= 90 * (len(found[a]) + len(found[b]) - share(a, b))  # noqa: B023, E731
+
+        def named(links, m=m):
+            of = list(range(m))
+            for _ in range(m):
+                for a, b in links:
+                    of[a] = of[b] = min(of[a], of[b])
+            return of
+
+        want = named([(a, b) for a in range(m) for b in range(a) if linked(a, b)])
+        at, links, refused = list(range(m)), [], [set() for _ in range(m)]
+        for more in (0, 1, 3, 7, 15, 31, 63):
+            of = named(links)
+            cell = {"component": [of[i] for i in at], "n": [len(found[i]) for i in at], "pos": [0] * len(at), "block": [0] * len(at), "guest": [False] * len(at), "hub": [None] * len(at), "distance": [None] * len(at), "low": [0], "high": [0]}
+            cell |= {"sketch": [similar.parities(found[i]) for i in at], "set": at, "refused": [sorted(refused[i]) for i in at]}
+            pairs, still = similar.near_pairs(cell, 90, more)
+            assert len({p[:2] for p in pairs}) == len(pairs) <= (1 + more) * len(at)
+            if not pairs:
+                break
+            for a, b, _ in pairs:
+                if linked(a, b):
+                    links.append((a, b))
+                else:
+                    refused[a].add(b)
+                    refused[b].add(a)
+            at = [i for i in at if i in still]
+        else:
+            raise AssertionError("candidates are left")
+        assert named(links) == want
+
+
+def test_similar_components_of_many_groups_near_the_threshold(spark):
+    rng, rows, want = random.Random(11), [], []
+    for g in range(400):
+        group = [(len(rows) + i, t) for i, t in enumerate(near_threshold_group(rng, g))]
+        rows += group
+        want += brute_components(group)
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in similar.similar_components(table).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 100])
 def test_prefix_length(n):
     assert similar.prefix_length(n) == n - math.ceil(0.9 * n - 1e-9) + 1
