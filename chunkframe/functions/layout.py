@@ -56,17 +56,17 @@ def product(a: Column) -> Column:
 
 
 def default_chunk(shape: Column, item_bytes: Column, budget: int = 32 << 20) -> Column:
-    """Whole planes and as many z as a budget of bytes holds; for ranks other than 3 the same root of the budget along each axis."""
+    """Whole planes and as many z as a budget of bytes holds; for ranks other than 3 the same root of the budget along each axis, cut to an integer as floats give it."""
     items = F.floor(F.lit(budget) / item_bytes)
     plane = F.get(shape, F.lit(1)) * F.get(shape, F.lit(2))
     deep = F.greatest(F.lit(1).cast("long"), F.least(F.get(shape, F.lit(0)), F.floor(items / plane)))
-    side = F.floor(F.pow(items.cast("double"), 1.0 / F.size(shape)) + 1e-9)
+    side = F.floor(F.pow(items.cast("double"), 1.0 / F.size(shape)))
     return F.when(F.size(shape) == 3, F.array(deep, F.get(shape, F.lit(1)), F.get(shape, F.lit(2)))).otherwise(F.transform(shape, lambda n: F.least(n, side)))
 
 
 def default_shard(chunk: Column, shape: Column, chunks: int = 512) -> Column:
-    """About ``chunks`` chunks, the same number along each axis, no longer than the volume."""
-    along = F.floor(F.pow(F.lit(float(chunks)), 1.0 / F.size(chunk)) + 1e-9)
+    """About ``chunks`` chunks, the same number along each axis (a root of floats, cut: 7 for 512 along three), no longer than the volume."""
+    along = F.floor(F.pow(F.lit(float(chunks)), 1.0 / F.size(chunk)))
     return F.zip_with(chunk, shape, lambda c, n: F.least(c * along, n))
 
 
@@ -131,3 +131,46 @@ def translation(scale: Column, scale0: Column, method: Column) -> Column:
     """Half the difference of the scales for block methods (and none given), else 0."""
     block = method.isNull() | method.isin("mean", "mode", "median", "min", "max")
     return F.when(block, F.zip_with(scale, scale0, lambda a, b: (a - b) * 0.5)).otherwise(F.transform(scale, lambda a: F.lit(0.0)))
+
+
+def chunk_counts(shape: Column, chunk: Column) -> Column:
+    """How many chunks there are along each axis."""
+    return F.zip_with(shape, chunk, lambda n, c: F.ceil(n / c).cast("long"))
+
+
+def enumerated(shape: Column, chunk: Column) -> Column:
+    """(id, start, stop) of every chunk in row-major order, cut at the edges."""
+    counts = chunk_counts(shape, chunk)
+    # how many chunks one step along an axis passes: the product of the counts behind it
+    behind = F.transform(places(shape), lambda i: product(F.slice(counts, i + 2, F.size(counts) - i - 1)))
+    axes = F.arrays_zip(shape.alias("n"), chunk.alias("c"), counts.alias("g"), behind.alias("b"))
+
+    def one(number: Column) -> Column:
+        start = F.transform(axes, lambda x: (F.floor(number / x["b"]) % x["g"]) * x["c"])
+        stop = F.zip_with(axes, start, lambda x, s: F.least(s + x["c"], x["n"]))
+        return F.struct(number.alias("id"), start.alias("start"), stop.alias("stop"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), product(counts) - 1), one)
+
+
+def shard_of(start: Column, shape: Column, shard: Column) -> Column:
+    """The row-major number of the shard that a chunk begins in."""
+    steps = F.arrays_zip(F.zip_with(start, shard, lambda a, s: F.floor(a / s)).alias("at"), chunk_counts(shape, shard).alias("g"))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda out, x: out * x["g"] + x["at"])
+
+
+def work_ranges(total: Column, jobs: Column) -> Column:
+    """(job, start, stop): ranges whose sizes differ by one at most, larger ones first."""
+    q, r = F.floor(total / jobs), total % jobs
+    start = lambda j: j * q + F.least(j, r)
+    return F.transform(F.sequence(F.lit(0).cast("long"), jobs - 1), lambda j: F.struct(j.alias("job"), start(j).alias("start"), start(j + 1).alias("stop")))
+
+
+def running_products(values: Column) -> Column:
+    """The product of each value and all before it."""
+    return F.transform(places(values), lambda i: product(F.slice(values, 1, i + 1)))
+
+
+def consecutive(numbers: Column) -> Column:
+    """How many of 1, 2, 3, ... are there before the first that lacks."""
+    return F.size(F.filter(F.array_distinct(numbers), lambda n: (n > 0) & F.forall(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda i: F.array_contains(numbers, i))))

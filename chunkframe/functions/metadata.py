@@ -16,9 +16,9 @@ def axis_type(a: Column) -> Column:
     return F.when(a.isin("c", "channel"), "channel").when(a.isin("t", "v"), "time").otherwise("space")
 
 
-def axis_unit(a: Column, space: str = "nanometer") -> Column:
-    kind = axis_type(a)
-    return F.when(kind == "space", space).when(kind == "time", "millisecond")
+def axis_unit(a: Column, space: str = "nanometer", time: str = "millisecond") -> Column:
+    """The unit of x, y, z and t; other axes have none."""
+    return F.when(F.lower(a).isin("x", "y", "z"), space).when(F.lower(a) == "t", time)
 
 
 def to_nanometers(value: Column, unit: Column) -> Column:
@@ -37,11 +37,13 @@ LABEL_WORDS = "label|mask|seg|annotation|roi|binary|instance"
 
 def classify(name: Column, dtype: Column, encoding: Column) -> Column:
     """segmentation or image: compressed segmentation is one, then words in the name tell, then the element type."""
-    compressed = F.coalesce(encoding == "compressed_segmentation", F.lit(False))
-    return F.when(compressed | F.lower(name).rlike(LABEL_WORDS) | is_segmentation(dtype), "segmentation").otherwise("image")
+    compressed = F.coalesce(F.lower(encoding) == "compressed_segmentation", F.lit(False))
+    return F.when(compressed | F.lower(name).rlike(LABEL_WORDS) | is_segmentation(F.lower(dtype)), "segmentation").otherwise("image")
 
 
 def auto_method(path: Column) -> Column:
+    """mode where one of the last four parts of a path names labels, else mean; backslashes separate parts too."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
     tail = F.array_join(F.slice(F.split(F.lower(path), "/"), -4, 4), " ")
     return F.when(F.when(F.size(F.split(path, "/")) < 4, F.lower(path)).otherwise(tail).rlike("label|mask|seg|annotation|binary|instance"), "mode").otherwise("mean")
 
@@ -57,17 +59,29 @@ def wavelength_color(nm: Column) -> Column:
 
 
 # The six colours channels take in turn.
-CYCLE = ("FF0000", "00FF00", "0000FF", "FF00FF", "00FFFF", "FFFF00")
+CYCLE = ("FF0000", "00FF00", "0000FF", "FF00FF", "FFFF00", "00FFFF")
+
+
+def told_color(color: Column) -> Column:
+    """RRGGBB of a colour as it is told: six letters with or without marks in front, or a signed 32-bit RGBA number; null for anything else."""
+    bare = F.regexp_replace(color, "^#+", "")
+    return F.when(F.length(bare) == 6, F.upper(bare)).otherwise(rgba_hex(F.trim(bare).try_cast("long")))
 
 
 def channel_color(color: Column, em: Column, ex: Column, index: Column, n: Column) -> Column:
     turn = F.element_at(F.array(*map(F.lit, CYCLE)), (index % len(CYCLE) + 1).cast("int"))
-    return F.coalesce(color, F.when(n == 1, "808080"), F.when(em.isNotNull(), wavelength_color(em)), F.when(ex.isNotNull(), wavelength_color(ex)), turn)
+    return F.coalesce(told_color(color), F.when(n == 1, "808080"), F.when(em.isNotNull(), wavelength_color(em)), F.when(ex.isNotNull(), wavelength_color(ex)), turn)
+
+
+def wavelength_label(nm: Column) -> Column:
+    """A wavelength as a name: whole numbers without a point."""
+    return F.when(nm == F.floor(nm), nm.cast("long").cast("string")).otherwise(nm.cast("string"))
 
 
 def channel_label(name: Column, em: Column, ex: Column, dye: Column, index: Column) -> Column:
-    nm = lambda c, w: F.when(c.isNotNull(), F.concat(F.lit(w), c.cast("int").cast("string"), F.lit("nm")))
-    return F.coalesce(F.when(name != "", name), nm(em, "Em "), nm(ex, "Ex "), dye, F.concat(F.lit("Channel "), index.cast("string")))
+    """The name, else a wavelength, else the dye, else a number."""
+    said = lambda c: F.when(c != "", c)
+    return F.coalesce(said(name), wavelength_label(em), wavelength_label(ex), said(dye), F.concat(F.lit("Channel "), index.cast("string")))
 
 
 def dtype_window(dtype: Column) -> tuple[Column, Column]:
@@ -103,17 +117,6 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
-def infer_axes(shape: list[int], few: int = 10) -> list[str]:
-    """Names by extent: short axes are channels or times, long ones z, y, x from the right."""
-    short = [i for i, n in enumerate(shape) if n <= few]
-    long = [i for i in range(len(shape)) if i not in short]
-    if 2 <= len(long) <= 3 and len(short) <= 2:
-        names = dict(zip(long[::-1], ("x", "y", "z"), strict=False)) | dict(zip(short, ("c",) if len(short) == 1 else ("t", "c"), strict=False))
-        return [names[i] for i in range(len(shape))]
-    by_rank = {1: "x", 2: "yx", 3: "zyx", 4: "czyx", 5: "tczyx"}
-    return list(by_rank[len(shape)]) if len(shape) in by_rank else [f"dim_{i}" for i in range(len(shape))]
-
-
 def numpy_type(code: Column) -> Column:
     """uint16 for <u2 and the like; other texts stay."""
     kind = F.when(code.substr(2, 1) == "u", "uint").when(code.substr(2, 1) == "i", "int").otherwise("float")
@@ -123,7 +126,7 @@ def numpy_type(code: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     """Bytes with one decimal in the largest unit, up to PB, that keeps them under 1024."""
-    text = lambda k, unit: F.format_string(f"%.1f {unit}", size / 1024.0**k)
+    text = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(size / 1024.0**k, 1))
     found = F.when(size < 1024, text(0, "B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         found = found.when(size < 1024 ** (k + 1), text(k, unit))
@@ -131,8 +134,8 @@ def human_size(size: Column) -> Column:
 
 
 def is_native(path: Column) -> Column:
-    """Whether a path is an address or has a part that ends in .zarr, .n5 or .precomputed."""
-    return path.contains("://") | F.exists(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: F.lower(p).rlike("[^.].*\\.(zarr|n5|precomputed)$"))
+    """Whether a path is an address or has a part that ends in .zarr or .n5."""
+    return path.contains("://") | F.exists(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: F.lower(p).rlike("[^.].*\\.(zarr|n5)$"))
 
 
 def output_path(file: Column, source: str, target: str, suffix: str = ".zarr") -> Column:
@@ -156,7 +159,8 @@ def axes_look_swapped(x: Column, y: Column, z: Column) -> Column:
 def axes_by_rank(rank: Column, times: Column, channels: Column) -> Column:
     """Axis letters by rank; a fourth axis is time only where there are several times and one channel."""
     fourth = F.when((times > 1) & (channels == 1), "tzyx").otherwise("czyx")
-    return F.when(rank == 2, "yx").when(rank == 3, "zyx").when(rank == 4, fourth).when(rank == 5, "tczyx")
+    by_number = F.array_join(F.transform(F.sequence(F.lit(0), rank - 1), lambda i: F.concat(F.lit("dim_"), i.cast("string"))), ",")
+    return F.when(rank == 2, "yx").when(rank == 3, "zyx").when(rank == 4, fourth).when(rank == 5, "tczyx").otherwise(by_number)
 
 
 def extent_voxel_nm(low: Column, high: Column, n: Column, unit: Column) -> Column:

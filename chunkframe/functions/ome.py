@@ -85,6 +85,81 @@ def channels(xml: Column) -> Column:
         text(t, "ExcitationWavelength").try_cast("double").alias("ex"), text(t, "Fluor").alias("dye")))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of an element's opening tag; null where it is absent."""
+    pattern = rf'^<[^>]*?\s{name}\s*=\s*"([^"]*)"'
+    return F.when(tag.rlike(pattern), unescaped(F.regexp_extract(tag, pattern, 1)))
+
+
+def _element(tag: Column, name: str) -> Column:
+    """The text of an element inside; null where it is absent or empty."""
+    found = F.trim(F.regexp_extract(tag, rf"<{name}\b[^>]*>([^<]*)</{name}>", 1))
+    return F.when(found != "", unescaped(found))
+
+
+def unescaped(text: Column) -> Column:
+    for code, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(code), F.lit(letter))
+    return text
+
+
+_CHANNEL = r"(?s)<Channel\b(?:[^>]*/>|[^>]*[^/>]>.*?</Channel>|>.*?</Channel>)"
+
+
+def czi_channels(xml: Column) -> Column:
+    """Name, colour, wavelengths and dye of the channels in a CZI file's metadata.
+
+    Channels are those of the image's dimensions (else of the first list of channels); a colour is their own, as a number or #AARRGGBB, or that
+    of the display setting of the same name, as #RRGGBB. Null where there are none.
+    """
+    inner = F.regexp_extract(xml, r"(?s)<Dimensions\b.*?<Channels\b[^>]*>(.*?)</Channels>", 1)
+    inner = F.when(inner != "", inner).otherwise(F.regexp_extract(xml, r"(?s)<Channels\b[^>]*>(.*?)</Channels>", 1))
+    tags = F.regexp_extract_all(inner, F.lit(_CHANNEL), 0)
+    shown = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)<DisplaySetting\b.*</DisplaySetting>", 0), F.lit(_CHANNEL), 0)
+    display = F.transform(shown, lambda t: F.struct(F.coalesce(F.when(_attribute(t, "Name") != "", _attribute(t, "Name")), _attribute(t, "Id")).alias("name"), _element(t, "Color").alias("color")))
+    display = F.filter(display, lambda d: d["color"].rlike("^#.{6}$"))
+
+    def one(t: Column) -> Column:
+        name, own = _attribute(t, "Name"), _attribute(t, "Color")
+        from_display = F.try_element_at(F.filter(display, lambda d: (d["name"] == name) & (name != "")), F.lit(-1))["color"]
+        told = F.coalesce(M.rgba_hex(F.trim(own).try_cast("long")), F.when(own.rlike("^#.{8}$"), F.upper(F.substring(own, 4, 6))), F.upper(F.substring(from_display, 2, 6)))
+        return F.struct(name.alias("name"), told.alias("color"), _element(t, "EmissionWavelength").try_cast("double").alias("em"), _element(t, "ExcitationWavelength").try_cast("double").alias("ex"), F.coalesce(_element(t, "DyeName"), _element(t, "Fluor")).alias("dye"))
+
+    return F.when(F.size(tags) > 0, F.transform(tags, one))
+
+
+def channel_info(format: Column, czi_xml: Column, ome_xml: Column) -> Column:
+    """The channels that a file describes: of a CZI file by its own metadata, else (and for all others) by OME-XML; null where none are told."""
+    own = F.when(F.lower(format) == "czi", czi_channels(czi_xml))
+    general = channels(F.coalesce(F.when(ome_xml != "", ome_xml), czi_xml))
+    return F.coalesce(own, F.when(F.size(general) > 0, general))
+
+
+def omero(found: Column, dtype: Column, shape: Column, names: Column, windows: Column | None = None) -> Column:
+    """The display block: a channel for each place of the axis c (described, made up, or left out), and how they are drawn.
+
+    ``found``: an array of channels or null. ``windows``: an array of (low, high) by channel where values were looked at; else by the type.
+    """
+    at = lambda axis: F.array_position(F.transform(names, F.lower), axis).cast("int")
+    extent = lambda axis: F.when(at(axis) > 0, F.get(shape, at(axis) - 1)).otherwise(1)
+    n = extent("c")
+    low, high = M.dtype_window(dtype)
+
+    def one(i: Column) -> Column:
+        c = F.get(found, i.cast("int"))
+        seen = F.get(windows, i.cast("int")) if windows is not None else None
+        first, last = (low, high) if seen is None else (F.coalesce(seen["low"].cast("double"), low), F.coalesce(seen["high"].cast("double"), high))
+        window = F.struct(first.alias("start"), last.alias("end"), first.alias("min"), last.alias("max"))
+        return F.struct(
+            (i < 3).alias("active"), F.lit(1).alias("coefficient"), M.channel_color(c["color"], c["em"], c["ex"], i, n).alias("color"), F.lit("linear").alias("family"),
+            F.lit(False).alias("inverted"), M.channel_label(c["name"], c["em"], c["ex"], c["dye"], i).alias("label"), window.alias("window"),
+        )
+
+    model = F.when((n > 1) & (n < 8), "color").otherwise("greyscale")
+    rdefs = F.struct(F.lit(0).alias("defaultT"), F.floor(extent("z") / 2).alias("defaultZ"), model.alias("model"))
+    return F.struct(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), one).alias("channels"), rdefs.alias("rdefs"))
+
+
 def voxel_nm(group: Column, path: Column, defaults: tuple[str, ...] = ("s0", "0")) -> Column:
     """x, y, z in nanometres of the level ``path`` (none given: the first with a default name); axes without a scale count 1."""
     first = group["multiscales"][0]

@@ -22,6 +22,15 @@ def half_even(total: str, count: str) -> Column:
     return F.when(2 * r > n, q + 1).when(2 * r < n, q).otherwise(q + F.pmod(q, F.lit(2)))
 
 
+def half_even_wide(total: str, count: str) -> Column:
+    """The same of decimals without places, for totals beyond 64 bits."""
+    n = f"CAST({count} AS DECIMAL(20, 0))"
+    rest = f"pmod({total}, {n})"
+    r, q = F.expr(rest), F.expr(f"CAST(({total} - {rest}) / {n} AS DECIMAL(20, 0))")
+    odd = F.pmod(q, F.lit(2).cast("decimal(20,0)"))
+    return F.when(2 * r > F.expr(n), q + 1).when(2 * r < F.expr(n), q).otherwise(q + odd)
+
+
 def downsample(df: DataFrame, method: str = "mean", **factor: int) -> DataFrame:
     """Blocks of ``axis=factor`` reduced to one value of the same type; edges hold what there is."""
     kind, other = dict(df.dtypes)["v"], [c for c in df.columns if c not in (*factor, "v")]
@@ -30,8 +39,9 @@ def downsample(df: DataFrame, method: str = "mean", **factor: int) -> DataFrame:
         for a, f in factor.items():
             df = df.where(F.col(a) % f == 0)
         return df.withColumns(at)
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-    mean = half_even("sum(CAST(v AS BIGINT))", "count(v)") if whole else F.avg("v")
+    whole = kind in ("tinyint", "smallint", "int")
+    wide = kind == "bigint" or kind.startswith("decimal")  # sums beyond 64 bits
+    mean = half_even("sum(CAST(v AS BIGINT))", "count(v)") if whole else half_even_wide("sum(CAST(v AS DECIMAL(20, 0)))", "count(v)") if wide else F.avg("v")
     agg = {"mean": mean, "mode": F.mode("v", True), "median": F.expr("percentile_disc(0.5) within group (order by v)"), "min": F.min("v"), "max": F.max("v")}[method]
     return df.groupBy(*other, *[c.alias(a) for a, c in at.items()]).agg(agg.cast(kind).alias("v"))
 
@@ -136,6 +146,31 @@ def sorted_blocks(a: np.ndarray, factor: list[int]) -> tuple[np.ndarray, np.ndar
     return a.ravel()[by], np.cumsum(n) - n, n
 
 
+def _block_sums(a: np.ndarray, cut: list[np.ndarray]) -> np.ndarray:
+    for axis, c in enumerate(cut):
+        a = np.add.reduceat(a, c, axis=axis)
+    return a
+
+
+def mean_block(a: np.ndarray, cut: list[np.ndarray]) -> np.ndarray:
+    """Means of the blocks that begin at ``cut``; integers half to even, exact for all of 64 bits: their halves of 32 bits are summed apart."""
+    sizes = [np.diff(np.append(c, n)) for c, n in zip(cut, a.shape, strict=True)]
+    n = np.ones([1] * a.ndim, np.int64)
+    for axis, size in enumerate(sizes):
+        n = n * size.reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+    if a.dtype.kind == "f":
+        return _block_sums(a.astype(float), cut) / n
+    if a.dtype.itemsize < 8:
+        q, r = np.divmod(_block_sums(a.astype(np.int64), cut), n)
+    else:
+        half = np.array(32, a.dtype)
+        high, low = _block_sums((a >> half).astype(np.int64), cut), _block_sums((a & np.array(0xFFFFFFFF, a.dtype)).astype(np.int64), cut)
+        q_high, rest = np.divmod(high, n)
+        q_low, r = np.divmod((rest << 32) + low, n)
+        q = (q_high.astype(a.dtype) << half) + q_low.astype(a.dtype)
+    return q + ((2 * r > n) | ((2 * r == n) & (q % 2 == 1))).astype(q.dtype)
+
+
 def reduce_block(a: np.ndarray, factor: list[int], method: str) -> np.ndarray:
     """One chunk reduced; ties of the mode go to the smallest value, the median is the lower one."""
     cut = [np.arange(0, n, f) for n, f in zip(a.shape, factor, strict=True)]
@@ -146,14 +181,7 @@ def reduce_block(a: np.ndarray, factor: list[int], method: str) -> np.ndarray:
             a = (np.minimum if method == "min" else np.maximum).reduceat(a, c, axis=axis)
         return a
     if method == "mean":
-        wide = float if a.dtype.kind == "f" else "<u8" if a.dtype.kind == "u" else "<i8"
-        out, n = a.astype(wide), np.ones(a.shape, wide)
-        for axis, c in enumerate(cut):
-            out, n = np.add.reduceat(out, c, axis=axis), np.add.reduceat(n, c, axis=axis)
-        if a.dtype.kind == "f":
-            return out / n
-        q, r = np.divmod(out, n)
-        return q + ((2 * r > n) | ((2 * r == n) & (q % 2 == 1))).astype(wide)
+        return mean_block(a, cut)
     if method not in METHODS:
         raise ValueError(method)
     values, start, n = sorted_blocks(a, factor)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from .blocks import downsample
 
@@ -31,19 +32,25 @@ def power_of_two_error(magnification: float) -> float:
     return abs(magnification - nearest) / nearest
 
 
-def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int = 1, least_bytes: int = 64**3, least_shape: int = 64, most: int = 20) -> list[dict]:
+def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int = 2, least_bytes: int | None = None, least_shape: int | list[int] | None = None, most: int = 20, chunk: list[int] | None = None) -> list[dict]:
     """One dict per level from 0: shape, factor, cumulative factor, voxel size and translation.
 
-    Stops when a level would be smaller than a chunk in bytes or along every axis, when the whole magnification
-    of a spatial axis would be 4 % off a power of 2, or after ``most``.
+    Stops when a level would be smaller than ``least_bytes``, or along every axis (channels and times too) than ``least_shape``, one number
+    or one for each axis; when the whole magnification of a spatial axis would be 4 % off a power of 2; or after ``most``.
+    The limits are those of a ``chunk`` where one is given, else 512 KiB and 32.
     """
+    if chunk is not None:
+        least_bytes = math.prod(chunk) * item_bytes if least_bytes is None else least_bytes
+        least_shape = list(chunk) if least_shape is None else least_shape
+    least_bytes = 512 << 10 if least_bytes is None else least_bytes
+    least = [32 if least_shape is None else least_shape] * len(shape) if not isinstance(least_shape, list) else least_shape
     levels = [{"level": 0, "shape": list(shape), "factor": [1] * len(shape), "cumulative": [1] * len(shape), "voxel": list(voxel), "translation": [0.0] * len(shape)}]
     floor_shape = list(shape)
     while len(levels) <= most:
         last = levels[-1]
         f = factors(last["voxel"], axes)
         floor_shape = [max(1, n // k) for n, k in zip(floor_shape, f, strict=True)]
-        if math.prod(floor_shape) * item_bytes < least_bytes or all(n < least_shape for n, a in zip(floor_shape, axes, strict=True) if a in SPATIAL):
+        if math.prod(floor_shape) * item_bytes < least_bytes or all(n < m for n, m in zip(floor_shape, least, strict=True)):
             break
         if any(power_of_two_error(n / m) > 0.04 for n, m, a in zip(shape, floor_shape, axes, strict=True) if a in SPATIAL):
             break
@@ -57,9 +64,17 @@ def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int
     return levels
 
 
-def levels_table(spark: SparkSession, levels: list[dict]) -> DataFrame:
-    schema = "level int, shape array<long>, factor array<int>, cumulative array<int>, voxel array<double>, translation array<double>"
-    return spark.createDataFrame([tuple(x[k] for k in ("level", "shape", "factor", "cumulative", "voxel", "translation")) for x in levels], schema)
+def plans(volumes: DataFrame, key: str, **limits) -> DataFrame:
+    """(key, level, shape, factor, cumulative, voxel, translation): the levels of every row of ``volumes`` (key, shape, voxel, axes)."""
+    names = ("level", "shape", "factor", "cumulative", "voxel", "translation")
+    kind = dict(volumes.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, *(x[n] for n in names)) for k, shape, voxel, axes in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in plan(shape, voxel, axes, **limits)]
+            yield pa.RecordBatch.from_pylist([dict(zip((key, *names), r, strict=True)) for r in rows], schema=pa.schema([(key, batch.column(0).type), ("level", pa.int32()), *((n, pa.list_(pa.int64() if n in ("shape", "factor", "cumulative") else pa.float64())) for n in names[1:])]))
+
+    return volumes.select(key, "shape", "voxel", "axes").mapInArrow(run, f"{key} {kind}, level int, shape array<long>, factor array<long>, cumulative array<long>, voxel array<double>, translation array<double>")
 
 
 def chained(base: DataFrame, steps: list[dict[str, int]], method: str = "mean", store=None) -> list[DataFrame]:

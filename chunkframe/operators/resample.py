@@ -30,7 +30,7 @@ def lookup(spark, n: int, out: int, order: int) -> DataFrame:
 
 
 def upsample(df: DataFrame, extents: dict[str, tuple[int, int]], method: str = "trilinear") -> DataFrame:
-    """``axis=(n, out)``; nearest keeps values, trilinear rounds half up. Lookups grow with an axis, not the volume."""
+    """``axis=(n, out)``; nearest keeps values, trilinear rounds halves away from zero, like the chunk form. Lookups grow with an axis, not the volume."""
     if method not in ("nearest", "trilinear"):
         raise ValueError(f"{method} needs chunks: upsample_chunks")
     kind, axes = dict(df.dtypes)["v"], [c for c in df.columns if c != "v"]
@@ -40,7 +40,8 @@ def upsample(df: DataFrame, extents: dict[str, tuple[int, int]], method: str = "
         out = out.join(table, a).withColumn("w", F.col("w") * F.col(f"{a}_w")).drop(a, f"{a}_w").withColumnRenamed(f"{a}_k", a)
     if method == "nearest":
         return out.select(*axes, "v")
-    return out.groupBy(*axes).agg(F.floor(F.round(F.sum(F.col("v") * F.col("w")), 6) + 0.5).cast(kind).alias("v"))
+    total = F.round(F.sum(F.col("v") * F.col("w")), 6)
+    return out.groupBy(*axes).agg((total if kind in ("float", "double") else F.signum(total) * F.floor(F.abs(total) + 0.5)).cast(kind).alias("v"))
 
 
 ORDERS = {"nearest": 0, "trilinear": 1, "cubic": 3}

@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import containers, layouts, upsampling  # noqa: F401  their queries register themselves
+    from . import containers, layouts, scalars, upsampling  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import containers, layouts, upsampling  # noqa: F401
+    from . import containers, layouts, scalars, upsampling  # noqa: F401
 
     return dict(_SQL)
 
@@ -40,14 +40,6 @@ def img(name: str = "image") -> str:
     return f"({SQL[name]}) AS src"
 
 
-def rows(spark: SparkSession, columns: str, *values: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t({columns})")
-
-
-def vals(columns: str, *values: str) -> str:
-    return f"(VALUES {', '.join(values)}) AS t({columns})"
-
-
 # -- index domain ---------------------------------------------------------------------------
 
 
@@ -145,35 +137,11 @@ def stack_channels(spark, d):
 # -- chunks and shards ----------------------------------------------------------------------
 
 
-@query("SELECT CAST(i AS BIGINT) AS chunk_id, CAST(i // 16 % 5 * 20 AS BIGINT) AS z_start, least(CAST(i // 16 % 5 * 20 + 20 AS BIGINT), 83) AS z_stop, CAST(i // 4 % 4 * 32 AS BIGINT) AS y_start, least(CAST(i // 4 % 4 * 32 + 32 AS BIGINT), 100) AS y_stop, CAST(i % 4 * 2 AS BIGINT) AS x_start, least(CAST(i % 4 * 2 + 2 AS BIGINT), 7) AS x_stop FROM range(80) t(i)")
-def chunk_enumerate(spark, d):
-    return blocks.chunk_grid(spark, {"z": 83, "y": 100, "x": 7}, {"z": 20, "y": 32, "x": 2})
-
-
-@query("SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(ceil(a / 64.0) * ceil(b / 32.0) AS BIGINT) AS n FROM " + vals("a, b", "(500, 64)", "(64, 32)", "(65, 33)", "(1, 1)", "(4096, 100)"))
-def chunk_count(spark, d):
-    shape, chunk = F.array("a", "b"), F.array(F.lit(64), F.lit(32))
-    n = F.aggregate(F.zip_with(shape, chunk, lambda s, c: F.ceil(s / c)), F.lit(1).cast("long"), lambda p, q: p * q)
-    return rows(spark, "a, b", "(500L, 64L)", "(64L, 32L)", "(65L, 33L)", "(1L, 1L)", "(4096L, 100L)").select("a", "b", n.alias("n"))
-
-
 @query(f"SELECT CAST(y // 64 * 4 + x // 16 AS BIGINT) AS chunk_id, count(*) AS n, CAST(min(v) AS INTEGER) AS least, CAST(max(v) AS INTEGER) AS most, CAST(sum(v) AS BIGINT) AS total FROM {img()} GROUP BY 1")
 def chunk_stats(spark, d):
     return fixtures.image(spark, d).groupBy(blocks.chunk_id({"y": 2000, "x": 64}, {"y": 64, "x": 16}).alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v").cast("long")).alias("total"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS chunk_id, CAST((i // 4 * 64 // 256) * 2 + (i % 4 * 16) // 32 AS BIGINT) AS shard_id FROM range(32) t(i)")
-def shard_chunks(spark, d):
-    shape, chunk, shard = {"y": 500, "x": 64}, {"y": 64, "x": 16}, {"y": 256, "x": 32}
-    grid = blocks.chunk_grid(spark, shape, chunk)
-    return grid.select("chunk_id", blocks.shard_id(grid, shape, shard).alias("shard_id"))
-
-
-@query("SELECT CAST(nt - 1 AS BIGINT) AS job, min(i) AS start, max(i) + 1 AS stop FROM (SELECT i, ntile(7) OVER (ORDER BY i) AS nt FROM range(80) t(i)) GROUP BY nt")
-def chunk_ranges(spark, d):
-    return blocks.chunk_ranges(spark, 80, 7)
-
-
 @query(f"SELECT CAST(y // 64 * 4 + x // 16 AS BIGINT) AS chunk_id, y, x, v FROM {img()} WHERE y // 64 * 4 + x // 16 BETWEEN 5 AND 11")
 def chunk_partial_range(spark, d):
     tagged = fixtures.image(spark, d).withColumn("chunk_id", blocks.chunk_id({"y": 2000, "x": 64}, {"y": 64, "x": 16}))
@@ -268,26 +236,6 @@ def pyramid_direct_mean(spark, d):
     return pyramid.direct(fixtures.image(spark, d), [{"y": 2, "x": 2}] * 2)
 
 
-@query("SELECT * FROM (VALUES (0, 1000, 1024, 1024, 1, 1, 40.0::DOUBLE, 8.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1000, 512, 512, 1, 2, 40, 16, 0, 4), (2, 1000, 256, 256, 1, 4, 40, 32, 0, 12), (3, 500, 128, 128, 2, 8, 80, 64, 20, 28), (4, 250, 64, 64, 4, 16, 160, 128, 60, 60)) AS t(level, z, y, x, cz, cx, vz, vx, tz, tx)")
-def pyramid_plan(spark, d):
-    table = pyramid.levels_table(spark, pyramid.plan([1000, 1024, 1024], [40.0, 8.0, 8.0], ["z", "y", "x"]))
-    at = lambda c, i: F.element_at(c, i)
-    return table.select("level", *[at("shape", i + 1).cast("int").alias(a) for i, a in enumerate("zyx")], at("cumulative", 1).alias("cz"), at("cumulative", 3).alias("cx"), at("voxel", 1).alias("vz"), at("voxel", 3).alias("vx"), at("translation", 1).alias("tz"), at("translation", 3).alias("tx"))
-
-
-@query("WITH RECURSIVE f(level, factor, total) AS (SELECT 0, CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT level + 1, CAST(CASE WHEN level % 2 = 0 THEN 2 ELSE 3 END AS BIGINT), total * CASE WHEN level % 2 = 0 THEN 2 ELSE 3 END FROM f WHERE level < 6) SELECT level, factor, total AS cumulative FROM f")
-def cumulative_factors(spark, d):
-    levels = spark.range(7).select(F.col("id").cast("int").alias("level"), F.when(F.col("id") == 0, 1).when(F.col("id") % 2 == 1, 2).otherwise(3).cast("long").alias("factor"))
-    upto = F.collect_list("factor").over(Window.orderBy("level"))
-    return levels.select("level", "factor", F.aggregate(upto, F.lit(1).cast("long"), lambda a, b: a * b).alias("cumulative"))
-
-
-@query("SELECT level, CAST(8 * pow(2, level) AS DOUBLE) AS scale, CAST((pow(2, level) - 1) * 8 / 2 AS DOUBLE) AS translation FROM range(6) t(level)")
-def level_scale_translation(spark, d):
-    scale = F.lit(8.0) * F.pow(F.lit(2.0), F.col("level"))
-    return spark.range(6).withColumnRenamed("id", "level").select("level", scale.alias("scale"), ((scale - 8.0) / 2).alias("translation"))
-
-
 # -- aggregates -----------------------------------------------------------------------------
 
 
@@ -323,25 +271,6 @@ def events_time_axis(spark, d):
     return time_bins(fixtures.table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-STATUS = ("('a', 'DONE')", "('b', 'EXIT')", "('c', 'RUN')", "('d', 'DONE')", "('e', 'PEND')", "('f', 'DONE')")
-
-
-@query(f"SELECT status, count(*) AS n, CAST(round(100.0 * count(*) / (SELECT count(*) FROM {vals('f, s', *STATUS)}), 1) AS DOUBLE) AS percent FROM {vals('file, status', *STATUS)} GROUP BY status")
-def batch_status(spark, d):
-    files = rows(spark, "file, status", *STATUS)
-    counts = files.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    total = files.agg(F.count(F.lit(1)).alias("all")).first()["all"]
-    return counts.select("status", "n", F.round(100.0 * F.col("n") / F.lit(total), 1).alias("percent"))
-
-
-LEVELS = ("(1)", "(2)", "(3)", "(5)", "(6)")
-
-
-@query(f"SELECT count(*) AS num_scales FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM {vals('n', *LEVELS)}) WHERE island = 0")
-def consecutive_levels(spark, d):
-    return rows(spark, "n", *LEVELS).withColumn("island", F.col("n") - F.row_number().over(Window.orderBy("n"))).where("island = 0").agg(F.count(F.lit(1)).alias("num_scales"))
-
-
 # -- upsampling -----------------------------------------------------------------------------
 
 
@@ -355,238 +284,29 @@ def upsample_nearest(spark, d):
     return resample.upsample(fixtures.labels(spark, d), {"x": (20, 45)}, "nearest").select("y", "x", "v")
 
 
-@query(f"SELECT y, k AS x, CAST(floor(round(sum(v * w), 6) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN {lin(64, 142)} l ON l.i = x GROUP BY 1, 2")
+@query(f"SELECT y, k AS x, CAST(sign(round(sum(v * w), 6)) * floor(abs(round(sum(v * w), 6)) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN {lin(64, 142)} l ON l.i = x GROUP BY 1, 2")
 def upsample_linear(spark, d):
     return resample.upsample(fixtures.image(spark, d), {"x": (64, 142)})
 
 
-@query(f"SELECT a.k AS y, b.k AS x, CAST(floor(round(sum(v * a.w * b.w), 6) + 0.5::DOUBLE) AS INTEGER) AS v FROM (SELECT * FROM {img()} WHERE y < 50) s JOIN {lin(50, 80)} a ON a.i = s.y JOIN {lin(64, 100)} b ON b.i = s.x GROUP BY 1, 2")
-def upsample_linear_2d(spark, d):
-    return resample.upsample(domain.crop(fixtures.image(spark, d), y=(0, 50)), {"y": (50, 80), "x": (64, 100)})
-
-
 LIN_HEIGHT = "WITH h AS (SELECT max(vec_id) + 1 AS n FROM embeddings), p AS (SELECT n, unnest(range(n * 8 // 5)) AS k FROM h), q AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) * n / (n * 8 // 5) - 0.5::DOUBLE, 0), n - 1) AS s FROM p) SELECT k, CAST(floor(s) AS BIGINT) AS i, 1 - (s - floor(s)) AS w FROM q UNION ALL SELECT k, least(CAST(floor(s) AS BIGINT) + 1, n - 1), s - floor(s) FROM q WHERE s > floor(s)"
 
 
-@query(f"SELECT a.k AS y, b.k AS x, CAST(floor(round(sum(v * a.w * b.w), 6) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN ({LIN_HEIGHT}) a ON a.i = y JOIN {lin(64, 100)} b ON b.i = x GROUP BY 1, 2")
+@query(f"SELECT a.k AS y, b.k AS x, CAST(sign(round(sum(v * a.w * b.w), 6)) * floor(abs(round(sum(v * a.w * b.w), 6)) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN ({LIN_HEIGHT}) a ON a.i = y JOIN {lin(64, 100)} b ON b.i = x GROUP BY 1, 2")
 def upsample_linear_2d_whole(spark, d):
     """The whole image, however high."""
     n = _height(spark, d)
     return resample.upsample(fixtures.image(spark, d), {"y": (n, n * 8 // 5), "x": (64, 100)})
 
 
-ZOOM = ("(32, 9.0::DOUBLE, 9.0::DOUBLE)", "(16, 20.0::DOUBLE, 9.0::DOUBLE)", "(5, 1.0::DOUBLE, 2.0::DOUBLE)")
-
-
-@query(f"SELECT n, source / target AS zoom, CAST(round_even(n * source / target, 0) AS INTEGER) AS extent FROM {vals('n, source, target', *ZOOM)}")
-def zoom_factors(spark, d):
-    zoom = F.col("source") / F.col("target")
-    table = rows(spark, "n, source, target", "(32, 9.0D, 9.0D)", "(16, 20.0D, 9.0D)", "(5, 1.0D, 2.0D)")
-    return table.select("n", zoom.alias("zoom"), F.bround(F.col("n") * zoom).cast("int").alias("extent"))
-
-
 # -- axes, units, types, colours ------------------------------------------------------------
 
-AXES = ("('X')", "('channel')", "('v')", "('T')", "('c')", "('z')", "('other')")
-
-
-@query(f"SELECT a, CASE lower(a) WHEN 'channel' THEN 'c' WHEN 'v' THEN 't' ELSE lower(a) END AS name, CASE WHEN lower(a) IN ('c', 'channel') THEN 'channel' WHEN lower(a) IN ('t', 'v') THEN 'time' ELSE 'space' END AS kind, CASE WHEN lower(a) IN ('c', 'channel') THEN NULL WHEN lower(a) IN ('t', 'v') THEN 'millisecond' ELSE 'nanometer' END AS unit FROM {vals('a', *AXES)}")
-def axis_types_units(spark, d):
-    a = F.col("a")
-    return rows(spark, "a", *AXES).select("a", M.axis_name(a).alias("name"), M.axis_type(a).alias("kind"), M.axis_unit(a).alias("unit"))
-
-
-@query("SELECT * FROM (VALUES ('100,200', 'y,x'), ('3,100,200', 'c,y,x'), ('50,100,200', 'z,y,x'), ('2,3,50,100,200', 't,c,z,y,x'), ('3,64,128,128', 'c,z,y,x'), ('2,3,100,200', 't,c,y,x'), ('5,5,5', 'z,y,x')) AS t(shape, names)")
-def infer_dimension_names(spark, d):
-    shapes = ([100, 200], [3, 100, 200], [50, 100, 200], [2, 3, 50, 100, 200], [3, 64, 128, 128], [2, 3, 100, 200], [5, 5, 5])
-    return spark.createDataFrame([(",".join(map(str, s)), ",".join(M.infer_axes(s))) for s in shapes], "shape string, names string")
-
-
-UNITS = ("(2.0::DOUBLE, 'nm')", "(2.0::DOUBLE, 'micrometer')", "(2.0::DOUBLE, 'µm')", "(0.5::DOUBLE, 'mm')", "(1.0::DOUBLE, 'm')", "(3.0::DOUBLE, 'parsec')", "(3.0::DOUBLE, '')", "(CAST(NULL AS DOUBLE), 'nm')")
-
-
-@query(f"SELECT unit, CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE value * CASE unit WHEN 'nm' THEN 1 WHEN '' THEN 1 WHEN 'mm' THEN 1000000 WHEN 'm' THEN 1000000000 ELSE 1000 END END AS nm FROM {vals('value, unit', *UNITS)}")
-def unit_to_nm(spark, d):
-    table = rows(spark, "value, unit", *[u.replace("::DOUBLE", "D") for u in UNITS])
-    return table.select("unit", M.to_nanometers(F.col("value"), F.col("unit")).alias("nm"))
-
-
-@query("SELECT rgba, hex FROM (VALUES (CAST(-16776961 AS INTEGER), 'FF0000'), (16711935, '00FF00'), (65535, '0000FF'), (-1, 'FFFFFF'), (255, '000000')) AS t(rgba, hex)")
-def rgba_hex(spark, d):
-    return rows(spark, "rgba", "(-16776961)", "(16711935)", "(65535)", "(-1)", "(255)").select("rgba", M.rgba_hex(F.col("rgba")).alias("hex"))
-
-
-CHANNELS = ("(0, 3, 'AABBCC', 'DAPI', 450.0::DOUBLE, 405.0::DOUBLE, 'd')", "(1, 3, NULL, NULL, 525.0::DOUBLE, NULL, NULL)", "(2, 3, NULL, '', NULL, 640.0::DOUBLE, NULL)", "(3, 8, NULL, NULL, NULL, NULL, 'dye')", "(7, 8, NULL, NULL, NULL, NULL, NULL)", "(0, 1, NULL, NULL, 700.0::DOUBLE, NULL, NULL)")
-_WAVE = "CASE WHEN {0} < 500 THEN '0000FF' WHEN {0} < 560 THEN '00FF00' WHEN {0} IS NOT NULL THEN 'FF0000' END"
-
-
-@query(f"SELECT i, n, coalesce(color, CASE WHEN n = 1 THEN '808080' END, {_WAVE.format('em')}, {_WAVE.format('ex')}, ['FF0000', '00FF00', '0000FF', 'FF00FF', '00FFFF', 'FFFF00'][i % 6 + 1]) AS color, coalesce(nullif(name, ''), 'Em ' || CAST(em AS INTEGER) || 'nm', 'Ex ' || CAST(ex AS INTEGER) || 'nm', dye, 'Channel ' || i) AS label FROM {vals('i, n, color, name, em, ex, dye', *CHANNELS)}")
-def channel_color_label(spark, d):
-    table = rows(spark, "i, n, color, name, em, ex, dye", *[c.replace("::DOUBLE", "D") for c in CHANNELS])
-    em, ex = F.col("em").cast("double"), F.col("ex").cast("double")
-    return table.select("i", "n", M.channel_color(F.col("color").cast("string"), em, ex, F.col("i"), F.col("n")).alias("color"), M.channel_label(F.col("name").cast("string"), em, ex, F.col("dye").cast("string"), F.col("i")).alias("label"))
-
-
-DTYPES = ("('uint8')", "('uint16')", "('int16')", "('float32')", "('uint32')", "('int8')")
-
-
-@query(f"SELECT dtype, CAST(CASE dtype WHEN 'int8' THEN -128 WHEN 'int16' THEN -32768 ELSE 0 END AS DOUBLE) AS low, CAST(CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 WHEN 'int16' THEN 32767 WHEN 'float32' THEN 1 ELSE 65535 END AS DOUBLE) AS high, dtype IN ('uint32', 'uint64', 'int32', 'int64') AS segmentation FROM {vals('dtype', *DTYPES)}")
-def dtype_window(spark, d):
-    low, high = M.dtype_window(F.col("dtype"))
-    return rows(spark, "dtype", *DTYPES).select("dtype", low.alias("low"), high.alias("high"), M.is_segmentation(F.col("dtype")).alias("segmentation"))
-
-
-@query("SELECT i AS label, CAST(floor(((i * 0.618033988749895::DOUBLE) % 1) * 1000) AS INTEGER) AS hue_1000 FROM range(1, 200) t(i)")
-def label_palette(spark, d):
-    return spark.range(1, 200).select(F.col("id").alias("label"), F.floor(M.label_hue(F.col("id").cast("double")) * 1000).cast("int").alias("hue_1000"))
-
-
-SHARDS = ("(1000, 64, 1024)", "(100, 64, 1024)", "(2000, 64, 1024)", "(64, 64, 1024)", "(1, 1, 1)", "(1023, 32, 512)", "(1024, 64, 1024)")
-
-
-@query(f"SELECT CAST(d AS BIGINT) AS d, CAST(c AS BIGINT) AS c, CAST(s AS BIGINT) AS s, CAST(CASE WHEN d < s THEN least(CAST(ceil(d / CAST(c AS DOUBLE)) AS BIGINT) * c, s) ELSE s END AS BIGINT) AS shard FROM {vals('d, c, s', *SHARDS)}")
-def shard_clamp(spark, d):
-    table = rows(spark, "d, c, s", *SHARDS).select(*[F.col(k).cast("long").alias(k) for k in "dcs"])
-    return table.select("d", "c", "s", M.clamp_shard(F.col("d"), F.col("c"), F.col("s")).alias("shard"))
-
-
-@query("SELECT CAST(g AS BIGINT) AS g, CASE WHEN g < 20 THEN 64 WHEN g < 100 THEN 128 ELSE 256 END AS chunk FROM (VALUES (1), (19), (20), (99), (100), (5000)) AS t(g)")
-def adaptive_chunk(spark, d):
-    return rows(spark, "g", "(1L)", "(19L)", "(20L)", "(99L)", "(100L)", "(5000L)").select("g", M.adaptive_chunk(F.col("g") * 1024**3).alias("chunk"))
-
-
-NAMES = ("('em_raw', 'uint8', NULL)", "('cell_labels', 'uint8', NULL)", "('s', 'uint64', NULL)", "('seg', 'uint64', 'jpeg')", "('x', 'uint8', 'compressed_segmentation')")
-
-
-@query(f"SELECT name, CASE WHEN encoding = 'compressed_segmentation' THEN 'segmentation' WHEN regexp_matches(lower(name), 'label|mask|seg|annotation|roi|binary|instance') THEN 'segmentation' WHEN dtype IN ('uint32', 'uint64', 'int32', 'int64') THEN 'segmentation' ELSE 'image' END AS kind FROM {vals('name, dtype, encoding', *NAMES)}")
-def classify_datasets(spark, d):
-    return rows(spark, "name, dtype, encoding", *NAMES).select("name", M.classify(F.col("name"), F.col("dtype"), F.col("encoding").cast("string")).alias("kind"))
-
-
-@query(f"SELECT kind, count(*) AS n, count(*) > 1 AS ambiguous FROM (SELECT CASE WHEN regexp_matches(lower(name), 'label|mask|seg') OR dtype LIKE '%64' THEN 'segmentation' ELSE 'image' END AS kind FROM {vals('name, dtype, encoding', *NAMES[:3])}) GROUP BY kind")
-def discovery_validation(spark, d):
-    found = rows(spark, "name, dtype, encoding", *NAMES[:3]).select(M.classify(F.col("name"), F.col("dtype"), F.col("encoding").cast("string")).alias("kind"))
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("ambiguous", F.col("n") > 1)
-
-
-PATHS = ("('/a/b/raw/s0')", "('/data/Labels/c/s0')", "('mask.zarr')", "('/seg/a/b/c/d/raw')")
-
-
-@query("SELECT * FROM (VALUES ('/a/b/raw/s0', 'mean'), ('/data/Labels/c/s0', 'mode'), ('mask.zarr', 'mode'), ('/seg/a/b/c/d/raw', 'mean')) AS t(path, method)")
-def downsample_method_auto(spark, d):
-    return rows(spark, "path", *PATHS).select("path", M.auto_method(F.col("path")).alias("method"))
-
-
-FILES = ("('img_10.tif')", "('img_2.tif')", "('img_1.tif')", "('img_100.tif')")
-
-
-@query(f"SELECT f, row_number() OVER (ORDER BY CAST(regexp_extract(f, '(\\d+)', 1) AS BIGINT)) AS place FROM {vals('f', *FILES)}")
-def natural_sort(spark, d):
-    return rows(spark, "f", *FILES).select("f", F.row_number().over(Window.orderBy(F.regexp_extract("f", r"(\d+)", 1).cast("long"))).cast("long").alias("place"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 4)")
 def skip_existing(spark, d):
     done = fixtures.table(spark, d, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
     return fixtures.table(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
-@query("SELECT CAST(pos AS INTEGER) AS idx, name FROM (VALUES (0, 'DAPI'), (1, 'GFP'), (2, '')) AS t(pos, name)")
-def ome_xml_channels(spark, d):
-    xml = '<Pixels><Channel ID="0" Name="DAPI"/><Channel ID="1" Name="GFP"/><Channel ID="2"/></Pixels>'
-    found = F.regexp_extract_all(F.lit(xml), F.lit("<Channel [^>]*>"), 0)
-    return spark.range(1).select(F.posexplode(found).alias("idx", "tag")).select("idx", F.regexp_extract("tag", 'Name="([^"]*)"', 1).alias("name"))
-
-
-JSON = '{"multiscales": [{"datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": [40.0, 8.0, 8.0]}]}, {"path": "s1", "coordinateTransformations": [{"type": "scale", "scale": [40.0, 16.0, 16.0]}]}]}]}'
-
-
-@query("SELECT * FROM (VALUES ('s0', 40.0::DOUBLE, 8.0::DOUBLE), ('s1', 40.0, 16.0)) AS t(path, z, x)")
-def json_scale_extract(spark, d):
-    schema = "multiscales array<struct<datasets:array<struct<path:string,coordinateTransformations:array<struct<type:string,scale:array<double>>>>>>>"
-    parsed = spark.range(1).select(F.inline(F.from_json(F.lit(JSON), schema)["multiscales"][0]["datasets"]))
-    scale = F.filter("coordinateTransformations", lambda t: t["type"] == "scale")[0]["scale"]
-    return parsed.select("path", scale[0].alias("z"), scale[2].alias("x"))
-
-
-@query("SELECT ['cells', 'nuclei', 'axons'] AS labels")
-def label_list_union(spark, d):
-    return spark.sql("SELECT array_distinct(concat(array('cells', 'nuclei'), array('nuclei', 'axons', 'cells'))) AS labels")
-
-
-@query("SELECT CAST(bytes AS BIGINT) AS bytes, shards, CAST(ceil(shards * CASE WHEN bytes < 1073741824 THEN 6 ELSE 12 END / (cores * 0.7::DOUBLE)) AS BIGINT) AS seconds FROM (VALUES (1000000, 40, 4), (2147483648, 100, 8)) AS t(bytes, shards, cores)")
-def job_resources(spark, d):
-    per = F.when(F.col("bytes") < 1024**3, 6).otherwise(12)
-    return rows(spark, "bytes, shards, cores", "(1000000L, 40, 4)", "(2147483648L, 100, 8)").select("bytes", "shards", F.ceil(F.col("shards") * per / (F.col("cores") * F.lit(0.7))).alias("seconds"))
-
-
-CODES = ("('|u1')", "('<u2')", "('>i4')", "('<f8')", "('float32')", "('<f2')")
-
-
-@query("SELECT * FROM (VALUES ('|u1', 'uint8'), ('<u2', 'uint16'), ('>i4', 'int32'), ('<f8', 'float64'), ('float32', 'float32'), ('<f2', '<f2')) AS t(code, name)")
-def numpy_types(spark, d):
-    return rows(spark, "code", *CODES).select("code", M.numpy_type(F.col("code")).alias("name"))
-
-
-SIZED = ("(0)", "(1023)", "(1024)", "(1536)", "(1048576)", "(5368709120)", "(1125899906842624)", "(2251799813685248)")
-
-
-@query(f"SELECT CAST(n AS BIGINT) AS n, CASE WHEN n < 1024 THEN printf('%.1f B', n * 1.0::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) WHEN n < 1125899906842624 THEN printf('%.1f TB', n / 1099511627776.0::DOUBLE) ELSE printf('%.1f PB', n / 1125899906842624.0::DOUBLE) END AS size FROM {vals('n', *SIZED)}")
-def human_sizes(spark, d):
-    return rows(spark, "n", *SIZED).select(F.col("n").cast("long").alias("n"), M.human_size(F.col("n").cast("double")).alias("size"))
-
-
-PLACES = ("('/in/a/tile 0.tif')", "('/in/v.zarr/raw/s0')", "('s3://b/k')", "('/in/B.N5/x')", "('/in/x.czi')", "('/in/noext')")
-
-
-@query(f"SELECT path, contains(path, '://') OR regexp_matches(lower(path) || '/', '[^/.][^/]*\\.(zarr|n5|precomputed)/') AS native FROM {vals('path', *PLACES)}")
-def native_sources(spark, d):
-    return rows(spark, "path", *PLACES).select("path", M.is_native(F.col("path")).alias("native"))
-
-
-@query("SELECT * FROM (VALUES ('/in/a/tile 0.tif', '/out/a/tile 0.zarr', 'job_tif_to_zarr3_tile_0'), ('/in/x.czi', '/out/x.zarr', 'job_czi_to_zarr3_x'), ('/in/noext', '/out/noext.zarr', 'job__to_zarr3_noext'), ('/in/a.b/c.d.nd2', '/out/a.b/c.d.zarr', 'job_nd2_to_zarr3_c.d')) AS t(path, target, job)")
-def output_names(spark, d):
-    table = rows(spark, "path", PLACES[0], PLACES[4], PLACES[5], "('/in/a.b/c.d.nd2')")
-    return table.select("path", M.output_path(F.col("path"), "/in/", "/out").alias("target"), M.job_name(F.col("path"), "zarr3").alias("job"))
-
-
-VOXELS = ("(8, 8, 40)", "(40, 8, 8)", "(8, 8, 8)", "(8, 9, 10)", "(8, 40, 8)")
-
-
-@query(f"SELECT x, y, z, x <> y AND (x = z OR y = z) AS swapped FROM {vals('x, y, z', *VOXELS)}")
-def axis_voxel_check(spark, d):
-    return rows(spark, "x, y, z", *VOXELS).select("x", "y", "z", M.axes_look_swapped(F.col("x"), F.col("y"), F.col("z")).alias("swapped"))
-
-
-RANKS = ("(2, 1, 1)", "(3, 1, 1)", "(4, 1, 3)", "(4, 5, 1)", "(4, 1, 1)", "(4, 5, 3)", "(5, 2, 3)")
-
-
-@query(f"SELECT r, t, c, CASE r WHEN 2 THEN 'yx' WHEN 3 THEN 'zyx' WHEN 5 THEN 'tczyx' ELSE CASE WHEN t > 1 AND c = 1 THEN 't' ELSE 'c' END || 'zyx' END AS axes FROM {vals('r, t, c', *RANKS)}")
-def axes_by_rank(spark, d):
-    return rows(spark, "r, t, c", *RANKS).select("r", "t", "c", M.axes_by_rank(F.col("r"), F.col("t"), F.col("c")).alias("axes"))
-
-
-EXTENTS = ("(0, 64, 128, '')", "(0, 4096, 128, '')", "(0, 64, 128, 'um')", "(-32, 32, 128, 'nm')", "(0, 128, 128, NULL)")
-
-
-@query(f"SELECT low, high, n, (high - low) / CAST(n AS DOUBLE) * CASE WHEN unit = 'um' OR coalesce(unit, '') = '' AND high - low < n THEN 1000 ELSE 1 END AS nm FROM {vals('low, high, n, unit', *EXTENTS)}")
-def extent_voxel_size(spark, d):
-    return rows(spark, "low, high, n, unit", *EXTENTS).select("low", "high", "n", M.extent_voxel_nm(F.col("low"), F.col("high"), F.col("n"), F.col("unit")).alias("nm"))
-
-
-@query(f"SELECT CAST(i AS INTEGER) AS i, i < 3 AS active, 'linear' AS family, CASE WHEN i = 0 THEN 'AABBCC' WHEN i = 1 THEN '00FF00' ELSE ['FF0000', '00FF00', '0000FF', 'FF00FF', '00FFFF', 'FFFF00'][i % 6 + 1] END AS color, CASE WHEN i = 0 THEN 'DAPI' WHEN i = 1 THEN 'Em 525nm' ELSE 'Channel ' || i END AS label, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, 'color' AS model FROM (SELECT c AS i, min(v) AS low, max(v) AS high FROM {img('channels')} GROUP BY c)")
-def omero_block(spark, d):
-    known = rows(spark, "i, name, color, em", "(0, 'DAPI', 'AABBCC', 450.0D)", "(1, NULL, NULL, 525.0D)")
-    windows = fixtures.channels(spark, d).groupBy(F.col("c").cast("int").alias("i")).agg(F.min("v").cast("long").alias("low"), F.max("v").cast("long").alias("high"))
-    n = windows.agg(F.count(F.lit(1)).alias("n"))
-    table = windows.join(F.broadcast(known), "i", "left").withColumn("n", F.lit(n.first()["n"]))  # channels: a handful
-    none = F.lit(None)
-    color = M.channel_color(F.col("color"), F.col("em"), none.cast("double"), F.col("i"), F.col("n"))
-    label = M.channel_label(F.col("name"), F.col("em"), none.cast("double"), none.cast("string"), F.col("i"))
-    model = F.when((F.col("n") > 1) & (F.col("n") < 8), "color").otherwise("greyscale")
-    return table.select("i", (F.col("i") < 3).alias("active"), F.lit("linear").alias("family"), color.alias("color"), label.alias("label"), "low", "high", model.alias("model"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Crop, rebase, and two chained mean levels."""
     base = domain.rebase(domain.crop(fixtures.image(spark, d), y=(100, 200), x=(8, 32)), y=100, x=8)

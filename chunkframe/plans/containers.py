@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
-from ..operators import blocks, discovery
-from ..sources import elements, fixtures, zarr
+from ..operators import blocks, discovery, redistribute
+from ..sources import convert, elements, fixtures, multiscale, zarr
 from ..sources.fixtures import SQL
 from .catalog import query
 from .layouts import VOL
@@ -141,15 +141,135 @@ def sharded_float_array(spark, d):
     return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "float64")
 
 
-@query("SELECT vec_id AS y, x, CASE WHEN vec_id < 64 THEN CAST(18446744073709551615 - vec_id * 16 - x AS DECIMAL(20, 0)) ELSE CAST(7 AS DECIMAL(20, 0)) END AS v FROM embeddings, (SELECT unnest(range(16)) AS x)")
+_GRID = f"WITH s AS (SELECT * FROM ({SQL['volume']})), e AS (SELECT max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM s), g AS (SELECT z, y, unnest(range(nx)) AS x FROM (SELECT z, unnest(range(ny)) AS y, nx FROM (SELECT unnest(range(nz)) AS z, ny, nx FROM e)))"
+
+
+def _volume_extent(src):
+    top = src.agg(*[(F.max(a) + 1).alias(a) for a in "zyx"]).first()
+    return {a: top[a] for a in "zyx"}
+
+
+@query(_GRID + " SELECT g.z, g.y, g.x, coalesce(CAST(18446744073709551615 - s.v AS DECIMAL(20, 0)), CAST(7 AS DECIMAL(20, 0))) AS v FROM g LEFT JOIN s USING (z, y, x)")
 def stored_unsigned_array(spark, d):
-    """64-bit unsigned values; chunks that were never written hold the fill value."""
+    """A sparse volume of 64-bit unsigned values as blosc frames; what was never stored holds the fill value."""
+    src = fixtures.volume(spark, d)
+    shape = _volume_extent(src)
+    rows = src.withColumn("v", F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("v"))
+    chunk = {"z": 16, "y": 64, "x": 4}
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    zarr.write_chunks(blocks.to_chunks(rows, shape, chunk, fill=7, dtype="uint64"), path, list(shape.values()), list(chunk.values()), "uint64", "zarr2", "blosc", fill=7)
+    return blocks.from_chunks(zarr.read_chunks(spark, path), ["z", "y", "x"], "uint64")
+
+
+def _stored_image(spark, d, **options):
+    """The image as an int32 array of chunks of 64 by 16; its place and shape."""
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}/s0"
+    zarr.write_chunks(blocks.to_chunks(fixtures.image(spark, d), {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32"), path, [n, 64], [64, 16], names=["y", "x"], **options)
+    return path, [n, 64]
+
+
+@query(f"SELECT y, x, v FROM ({SQL['image']}) AS src")
+def blosc_lz4_array(spark, d):
+    """An array of blosc frames (lz4 streams, bytes shuffled), written and read back."""
+    path, _ = _stored_image(spark, d, codec="blosc:lz4")
+    return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "int32")
+
+
+@query(f"SELECT y, x, v FROM ({SQL['image']}) AS src WHERE y >= 70 AND y < 310 AND x >= 20 AND x < 36")
+def sharded_box(spark, d):
+    """A3, A1: a box of a sharded array; of each shard the index and the chunks it touches are read."""
+    path, _ = _stored_image(spark, d, codec="zstd", shard=[256, 64])
+    elements.register(spark)
+    return spark.read.format(elements.ChunkedArray.name()).option("box", "y=70:310,x=20:36").load(path)
+
+
+@query(f"SELECT y, x, CAST(CASE WHEN y < 64 THEN v * 2 ELSE v END AS INTEGER) AS v FROM ({SQL['image']}) AS src")
+def committed_array(spark, d):
+    """Chunks written by the data source in one commit, then the first ones again, appended."""
     n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
-    rows = spark.range(64).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
-    rows = rows.withColumn("v", F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("y") * 16 - F.col("x"))
+    image = fixtures.image(spark, d)
+    chunks = lambda df: blocks.to_chunks(df, {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32").select("origin", "extent", "payload", "dtype")
     path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
-    zarr.write_chunks(blocks.to_chunks(rows, {"y": n, "x": 16}, {"y": 32, "x": 16}, fill=7, dtype="uint64"), path, [n, 16], [32, 16], "uint64", "zarr2", "zlib", fill=7)
-    return blocks.from_chunks(zarr.read_chunks(spark, path), ["y", "x"], "uint64")
+    elements.register(spark)
+    save = lambda df, mode, **more: df.write.format(elements.ChunkedArray.name()).mode(mode).options(**more).save(path)
+    save(chunks(image), "overwrite", shape=f"{n},64", chunk="64,16", codec="zstd", names="y,x")
+    save(chunks(image.where("y < 64").withColumn("v", F.col("v") * 2)), "append")
+    return spark.read.format(elements.ChunkedArray.name()).load(path)
+
+
+def _mean(df: str, y: int, x: int) -> str:
+    t, n = "sum(CAST(v AS BIGINT))", "count(*)"
+    q = f"CAST(floor({t} / {n}) AS BIGINT)"
+    r = f"({t} - {q} * {n})"
+    return f"SELECT y // {y} AS y, x // {x} AS x, CAST(CASE WHEN 2 * {r} > {n} THEN {q} + 1 WHEN 2 * {r} < {n} THEN {q} ELSE {q} + {q} % 2 END AS INTEGER) AS v FROM {df} GROUP BY 1, 2"
+
+
+_L1 = "(" + _mean(f"({SQL['image']})", 2, 2) + ")"
+_L2 = "(" + _mean(_L1, 3, 2) + ")"
+
+
+@query(f"SELECT 1 AS level, y, x, v FROM {_L1} UNION ALL SELECT 2, y, x, v FROM {_L2} UNION ALL SELECT 3, y, x, v FROM ({_mean(_L2, 2, 1)})")
+def written_pyramid(spark, d):
+    """H10, H14, F0, Mx8: three levels of a stored array, each from the stored one before it, read back."""
+    path, _ = _stored_image(spark, d, codec="zstd", shard=[128, 32])
+    group = path.rpartition("/")[0]
+    multiscale.generate_pyramid(spark, group, "mean", steps=[[2, 2], [3, 2], [2, 1]])
+    level = lambda i: blocks.from_chunks(zarr.read_chunks(spark, f"{group}/s{i}"), ["y", "x"], "int32").select(F.lit(i).alias("level"), "y", "x", "v")
+    return level(1).union(level(2)).union(level(3))
+
+
+@query(f"SELECT i AS level, CASE WHEN i = 0 THEN 'raw/s0' ELSE 'raw/s' || i END AS path, 4.0::DOUBLE * [1, 2, 6, 12][i + 1] AS scale_y, 8.0::DOUBLE * [1, 2, 4, 4][i + 1] AS scale_x, CASE WHEN i > 0 THEN 4.0::DOUBLE * ([1, 2, 6, 12][i + 1] - 1) / 2 END AS shift_y, CAST(ceil((SELECT max(vec_id) + 1 FROM embeddings) / [1, 2, 6, 12][i + 1]::DOUBLE) AS BIGINT) AS height FROM (SELECT unnest(range(4)) AS i)")
+def pyramid_metadata(spark, d):
+    """Mx8, Mx9, Mx12, H8, H9: the list of levels of the container above the group, after one run that ended early and one that went on."""
+    root = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}.zarr"
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    chunks = blocks.to_chunks(fixtures.image(spark, d), {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32")
+    zarr.write_chunks(chunks, f"{root}/raw/s0", [n, 64], [64, 16], codec="zstd", names=["y", "x"])
+    axes = [{"name": a, "type": "space", "unit": "nanometer"} for a in "yx"]
+    multiscale.write_group(f"{root}/raw", {"attributes": {"ome": {"version": "0.5", "multiscales": [{"axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": [4.0, 8.0]}]}]}]}}}, "zarr3")
+    multiscale.generate_pyramid(spark, f"{root}/raw", "mean", root=root, steps=[[2, 2]])
+    multiscale.generate_pyramid(spark, f"{root}/raw", "mean", root=root, steps=[[2, 2], [3, 2], [2, 1]])
+    step = "array<struct<type:string,scale:array<double>,translation:array<double>>>"
+    text = spark.read.option("wholetext", True).text([f"{root}/zarr.json"])
+    parsed = text.select(F.from_json("value", f"attributes struct<ome:struct<multiscales:array<struct<datasets:array<struct<path:string,coordinateTransformations:{step}>>>>>>").alias("j"))
+    levels = parsed.select(F.posexplode(F.col("j.attributes.ome.multiscales")[0]["datasets"]).alias("level", "x"))
+    height = F.udf(lambda p: zarr.json.loads(zarr.fetch(f"{root}/{p}/zarr.json"))["shape"][0], "long")
+    steps = F.col("x.coordinateTransformations")
+    return levels.select(F.col("level").cast("long").alias("level"), F.col("x.path").alias("path"), steps[0]["scale"][0].alias("scale_y"), steps[0]["scale"][1].alias("scale_x"), F.get(steps, F.lit(1))["translation"][0].alias("shift_y"), height("x.path").alias("height"))
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS c, x - 5 AS x, y - 30 AS y, CAST(least(greatest(v, 0), 255) AS SMALLINT) AS v FROM ({SQL['image']}) AS src WHERE x >= 5 AND x < 59 AND y >= 30")
+def redistributed_chunks(spark, d):
+    """Crop, transpose, new axis, cast and rechunk in one exchange of pieces."""
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    chunks = blocks.to_chunks(fixtures.image(spark, d), {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32")
+    moved = redistribute.redistribute(chunks, [1, 54, n - 30], [1, 10, 100], [None, 1, 0], [0, 5, 30], dtype="uint8")
+    return blocks.from_chunks(moved, ["c", "x", "y"], "uint8")
+
+
+@query(_mean(f"({SQL['image']})", 5, 3))
+def blocks_across_chunks(spark, d):
+    """blocks of 5 by 3, which chunks of 64 by 16 cut."""
+    n = fixtures.table(spark, d, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"] + 1
+    chunks = blocks.to_chunks(fixtures.image(spark, d), {"y": n, "x": 64}, {"y": 64, "x": 16}, dtype="int32")
+    return blocks.from_chunks(redistribute.downsample_chunks(chunks, [n, 64], [5, 3], [32, 8]), ["y", "x"], "int32")
+
+
+@query(_GRID + " SELECT CAST(0 AS BIGINT) AS c, g.x, g.y, g.z - 2 AS z, CAST(least(coalesce(s.v, 0), 255) AS SMALLINT) AS v FROM g LEFT JOIN s USING (z, y, x) WHERE g.z >= 2")
+def converted_volume(spark, d):
+    """A Zarr v2 container of blosc frames, cropped, turned to c, x, y, z, cast and stored as a sharded Zarr v3 container, read back."""
+    src = fixtures.volume(spark, d)
+    shape = _volume_extent(src)
+    chunk = {"z": 16, "y": 64, "x": 4}
+    root = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    zarr.write_chunks(blocks.to_chunks(src, shape, chunk), f"{root}/in.zarr/s0", list(shape.values()), list(chunk.values()), "int64", "zarr2", "blosc")
+    axes = [{"name": a, "type": "space", "unit": "nanometer"} for a in "zyx"]
+    multiscale.write_group(f"{root}/in.zarr", {"multiscales": [{"axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": [40.0, 8.0, 8.0]}]}]}]}, "zarr2")
+    options = convert.Options(box={"z": (2, shape["z"] - 2)}, order="cxyz", dtype="uint8", chunk=(1, 4, 32, 32), shard=(1, 8, 64, 64), kind="image")
+    done = convert.convert(spark, f"{root}/in.zarr", f"{root}/out.zarr", options)
+    elements.register(spark)
+    return spark.read.format(elements.ChunkedArray.name()).load(done["array"])
 
 
 @query(f"SELECT y, x, v FROM ({SQL['image']}) AS src WHERE y >= 70 AND y < 210 AND x >= 10 AND x < 40")
@@ -186,18 +306,23 @@ def listing(spark, d):
     return fixtures.table(spark, d, "orders").select(root.alias("root"), F.concat(F.lit("/d/"), root.cast("string"), F.lit("/"), name).alias("path"), k.alias("k"))
 
 
-@query(f"SELECT root, CASE any_value(root % 6) WHEN 0 THEN 'container' WHEN 1 THEN 'zarr' WHEN 2 THEN 'n5' WHEN 3 THEN 'precomputed' WHEN 4 THEN 'files' ELSE 'files' END AS format, any_value(root % 6) = 0 AS has_image, any_value(root % 6) = 0 AS has_labels FROM {LISTING} GROUP BY root HAVING count(*) = 10")
+_INNER = f"(SELECT root, k, substr(path, length('/d/' || root) + 2) AS name FROM {LISTING})"
+_MARKS = f"(SELECT root, count(*) AS files, bool_or(name IN ('zarr.json', '.zgroup')) AS grp, bool_or(regexp_matches(name, '^(raw|data|image|images|img|em)/((s0|0)/)?(zarr\\.json|\\.zarray)$')) AS image, bool_or(regexp_matches(name, '^(labels|label|seg)/([^/]+/)?((s0|0)/)?(zarr\\.json|\\.zarray)$')) AS labels, bool_or(name IN ('zarr.json', '.zarray', '.zgroup', 's0/zarr.json', 's0/.zarray', '0/zarr.json', '0/.zarray')) AS zarr, bool_or(name = 'attributes.json') AS n5, bool_or(name = 'info') AS info, bool_and(regexp_matches(name, '\\.tiff?$')) AND count(*) > 1 AS stack, bool_or(regexp_matches(lower(name), '\\.(tif|tiff|nd2|ims|h5|hdf5|czi)$')) AS known FROM {_INNER} GROUP BY root)"
+_FORMAT = "CASE WHEN grp AND (image OR labels) THEN 'container' WHEN zarr THEN 'zarr' WHEN n5 THEN 'n5' WHEN info THEN 'precomputed' ELSE 'files' END"
+
+
+@query(f"SELECT root, {_FORMAT} AS format, grp AND image AS has_image, grp AND labels AS has_labels FROM {_MARKS}")
 def folder_formats(spark, d):
-    """What each folder is, by its marker files."""
+    """What each folder is, by its marker files; folders of any size."""
     found = discovery.folders(listing(spark, d), "root", F.concat(F.lit("/d/"), F.col("root").cast("string")))
-    return found.where("files = 10").select("root", "format", "has_image", "has_labels")
+    return found.select("root", "format", "has_image", "has_labels")
 
 
-@query(f"SELECT root, CASE any_value(root % 6) WHEN 4 THEN 'batch_directory' WHEN 5 THEN 'discovered_folder' WHEN 0 THEN 'discovered_folder' ELSE 'single_file' END AS mode, any_value(root % 6) = 4 AS stack FROM {LISTING} GROUP BY root HAVING count(*) = 10")
+@query(f"SELECT root, CASE WHEN format = 'container' THEN 'discovered_folder' WHEN format <> 'files' THEN 'single_file' WHEN stack THEN 'batch_directory' WHEN known THEN 'discovered_folder' ELSE 'batch_directory' END AS mode, stack FROM (SELECT root, stack, known, {_FORMAT} AS format FROM {_MARKS})")
 def input_modes(spark, d):
     """One dataset, a folder of datasets, or files to convert one by one (a stack of images whose output is a folder)."""
     found = discovery.folders(listing(spark, d), "root", F.concat(F.lit("/d/"), F.col("root").cast("string")))
-    return found.where("files = 10").select("root", discovery.input_mode(F.lit("/out")).alias("mode"), "stack")
+    return found.select("root", discovery.input_mode(F.lit("/out")).alias("mode"), "stack")
 
 
 @query(f"SELECT root, CASE WHEN root % 6 IN (0, 2) THEN 's' WHEN root % 6 = 1 THEN '' ELSE 's' END AS prefix, max(CASE WHEN root % 6 = 0 THEN TRY_CAST(regexp_extract(path, '/raw/s([0-9]+)/zarr.json', 1) AS INTEGER) WHEN root % 6 = 1 THEN TRY_CAST(regexp_extract(path, '/([0-9]+)/.zarray', 1) AS INTEGER) WHEN root % 6 = 2 THEN TRY_CAST(regexp_extract(path, '/s([0-9]+)/attributes', 1) AS INTEGER) END) AS top FROM {LISTING} GROUP BY root")

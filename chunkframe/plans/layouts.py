@@ -103,7 +103,7 @@ def shapes_by_axis(spark, d):
     return _volumes(spark, d).select("k", text(L.shape_by_axis(F.col("axes"), 64)).alias("chunk"), text(L.padded_left(three, F.col("r"))).alias("padded"))
 
 
-@query(f"SELECT k, array_to_string(chunk, ',') AS chunk, array_to_string(list_transform(range(r), lambda i: least(chunk[i + 1] * CASE r WHEN 3 THEN 8 WHEN 4 THEN 4 WHEN 5 THEN 3 ELSE 2 END, shape[i + 1])), ',') AS shard FROM (SELECT k, r, shape, CASE WHEN r = 3 THEN [greatest(1, least(shape[1], 16777216 // (shape[2] * shape[3]))), shape[2], shape[3]] ELSE list_transform(shape, lambda n: least(n, CASE r WHEN 4 THEN 64 WHEN 5 THEN 27 ELSE 16 END)) END AS chunk FROM {VOL})")
+@query(f"SELECT k, array_to_string(chunk, ',') AS chunk, array_to_string(list_transform(range(r), lambda i: least(chunk[i + 1] * CASE r WHEN 3 THEN 7 WHEN 4 THEN 4 WHEN 5 THEN 3 ELSE 2 END, shape[i + 1])), ',') AS shard FROM (SELECT k, r, shape, CASE WHEN r = 3 THEN [greatest(1, least(shape[1], 16777216 // (shape[2] * shape[3]))), shape[2], shape[3]] ELSE list_transform(shape, lambda n: least(n, CASE r WHEN 4 THEN 64 WHEN 5 THEN 27 ELSE 15 END)) END AS chunk FROM {VOL})")
 def default_chunks_and_shards(spark, d):
     """32 MiB of two-byte items, 512 chunks a shard."""
     table = _volumes(spark, d).withColumn("found", L.default_chunk(F.col("shape"), F.lit(2)))
@@ -219,11 +219,11 @@ def order_and_voxel_arguments(spark, d):
     return _volumes(spark, d).select("k", valid.alias("valid"), F.when(valid, said).alias("said"), sizes["x"].cast("double").alias("x"), sizes["z"].cast("double").alias("z"))
 
 
-@query(f"SELECT k, k // 50 AS job, k % 50 AS row, '/in/' || word || '_' || k || '.tif' AS source, '/out/' || word || '_' || k || '.zarr' AS target FROM {VOL} WHERE k % 50 < 40")
+@query(f"SELECT k, k // 50 AS job, k % 50 AS row, '/in/' || word || '_' || k || '.tif' AS source, '/out/' || word || '_' || k || '.zarr' AS target FROM {VOL}")
 def index_files(spark, d):
     """K8, K7: lines of tab-separated indices, read back by their columns."""
     source = F.concat(F.lit("/in/"), "word", F.lit("_"), F.col("k").cast("string"), F.lit(".tif"))
-    lines = _volumes(spark, d).where("k % 50 < 40").select("k", F.expr("k div 50").alias("job"), F.concat_ws("\t", (F.col("k") % 50).cast("string"), source, M.output_path(source, "/in/", "/out")).alias("line"))
+    lines = _volumes(spark, d).select("k", F.expr("k div 50").alias("job"), F.concat_ws("\t", (F.col("k") % 50).cast("string"), source, M.output_path(source, "/in/", "/out")).alias("line"))
     parts = F.split("line", "\t")
     return lines.select("k", "job", F.get(parts, F.lit(0)).cast("long").alias("row"), F.get(parts, F.lit(1)).alias("source"), F.get(parts, F.lit(2)).alias("target"))
 
@@ -242,14 +242,24 @@ def format_routes(spark, d):
 # -- channels and labels --------------------------------------------------------------------
 
 
-_HUES = "SELECT label, CAST(floor(h * 6) AS INTEGER) AS s, h * 6 - floor(h * 6) AS f, 0.9::DOUBLE AS v, 0.9::DOUBLE * (1 - 0.7::DOUBLE) AS p FROM (SELECT i AS label, (i * 0.618033988749895::DOUBLE) % 1 AS h FROM range(1, 500) t(i))"
+_HUES = "SELECT label, CAST(floor(h * 6) AS INTEGER) AS s, h * 6 - floor(h * 6) AS f, 0.9::DOUBLE AS v, 0.9::DOUBLE * (1 - 0.7::DOUBLE) AS p FROM (SELECT DISTINCT l_partkey AS label, (l_partkey * 0.618033988749895::DOUBLE) % 1 AS h FROM lineitem)"
 _TURNS = "SELECT label, s, v, p, 0.9 * (1 - 0.7 * f) AS q, 0.9 * (1 - 0.7 * (1 - f)) AS u FROM (" + _HUES + ")"
 
 
+def _labels(spark, d):
+    return fixtures.table(spark, d, "lineitem").select(F.col("l_partkey").alias("label")).distinct()
+
+
 @query(f"SELECT label, list_transform([[v, u, p], [q, v, p], [p, v, u], [p, q, v], [u, p, v], [v, p, q]][s + 1], lambda c: CAST(floor(c * 255) AS INTEGER)) AS rgb FROM ({_TURNS})")
 def label_palette_rgb(spark, d):
-    """Whole colours."""
-    return spark.range(1, 500).select(F.col("id").alias("label"), F.slice(ome.label_rgba(F.col("id")), 1, 3).alias("rgb"))
+    """The colour of every label there is."""
+    return _labels(spark, d).select("label", F.slice(ome.label_rgba(F.col("label")), 1, 3).alias("rgb"))
+
+
+@query("SELECT DISTINCT l_partkey AS label, CAST(floor(((l_partkey * 0.618033988749895::DOUBLE) % 1) * 1000) AS INTEGER) AS hue_1000 FROM lineitem")
+def label_palette(spark, d):
+    """Hues."""
+    return _labels(spark, d).select("label", F.floor(M.label_hue(F.col("label").cast("double")) * 1000).cast("int").alias("hue_1000"))
 
 
 @query(f"SELECT k, 0 AS idx, word AS name, printf('%06X', k % 16777216) AS color, (450 + k % 200) + 0.5::DOUBLE AS em, CAST(NULL AS DOUBLE) AS ex, CAST(NULL AS VARCHAR) AS dye FROM {VOL} UNION ALL SELECT k, 1, NULL, NULL, NULL, CAST(400 + k % 100 AS DOUBLE), 'dye' || k % 4 FROM {VOL}")
@@ -259,14 +269,37 @@ def xml_channels(spark, d):
     return _volumes(spark, d).select("k", F.posexplode(ome.channels(xml)).alias("idx", "c")).select("k", "idx", "c.*")
 
 
-@query(f"SELECT k, i AS idx, CASE WHEN i = 0 THEN word ELSE 'second' END AS name, CASE WHEN i = 0 THEN printf('%06X', k % 16777216) END AS color FROM {VOL}, (SELECT unnest([0, 1]) AS i)")
+_HEX = "printf('%06X', k % 16777216)"
+_CZI = f"SELECT k, 0 AS idx, word || ' & ' || k AS name, CASE k % 4 WHEN 0 THEN {_HEX} WHEN 1 THEN {_HEX} WHEN 2 THEN {_HEX} END AS color, 450 + k % 200 + 0.5::DOUBLE AS em, CAST(NULL AS DOUBLE) AS ex, 'dye' || k % 4 AS dye FROM {VOL} WHERE k % 5 < 4 UNION ALL SELECT k, 1, NULL, NULL, NULL, CAST(400 + k % 100 AS DOUBLE), 'fluor' FROM {VOL} WHERE k % 5 < 4"
+
+
+@query(_CZI)
 def czi_channels(spark, d):
-    """Names by XPath, colours (#AARRGGBB) by a display map."""
-    xml = F.concat(F.lit('<M><Channels><Channel Name="'), F.col("word"), F.lit('"/><Channel Name="second"/></Channels><Display><Channel Name="'), F.col("word"), F.lit('" Color="#FF'), F.lpad(F.hex(F.col("k") % 16777216), 6, "0"), F.lit('"/></Display></M>'))
-    table = _volumes(spark, d).select("k", xml.alias("xml"))
-    at = lambda p: F.xpath("xml", F.lit(p))
-    shown = F.map_from_arrays(at("//Display/Channel/@Name"), at("//Display/Channel/@Color"))
-    return table.select("k", shown.alias("shown"), F.posexplode(at("//Channels/Channel/@Name")).alias("idx", "name")).select("k", "idx", "name", F.substring(F.col("shown")[F.col("name")], 4, 6).alias("color"))
+    """Channels of a CZI file's metadata; colours as a number, as #AARRGGBB, from the display setting, or none; a fifth of the files tell none."""
+    k = F.col("k")
+    hexes = F.lpad(F.hex(k % 16777216), 6, "0")
+    name = F.concat(F.col("word"), F.lit(" &amp; "), k.cast("string"))
+    own = F.when(k % 4 == 0, F.concat(F.lit(' Color="'), (k * 256 + 255).cast("int").cast("string"), F.lit('"'))).when(k % 4 == 1, F.concat(F.lit(' Color="#ff'), F.lower(hexes), F.lit('"'))).otherwise("")
+    first = F.concat(F.lit('<Channel Id="Channel:0" Name="'), name, F.lit('"'), own, F.lit("><EmissionWavelength>"), (450 + k % 200).cast("string"), F.lit(".5</EmissionWavelength><DyeName>dye"), (k % 4).cast("string"), F.lit("</DyeName><Fluor>other</Fluor></Channel>"))
+    second = F.concat(F.lit('<Channel Id="Channel:1"><ExcitationWavelength>'), (400 + k % 100).cast("string"), F.lit("</ExcitationWavelength><DyeName/><Fluor>fluor</Fluor></Channel>"))
+    display = F.when(k % 4 == 2, F.concat(F.lit('<DisplaySetting><Channels><Channel Id="x" Name="'), name, F.lit('"><Color>#'), F.lower(hexes), F.lit("</Color></Channel></Channels></DisplaySetting>"))).otherwise("")
+    listed = F.when(k % 5 < 4, F.concat(F.lit("<Channels>"), first, second, F.lit("</Channels>"))).otherwise("")
+    xml = F.concat(F.lit("<ImageDocument><Metadata><Information><Image><Dimensions>"), listed, F.lit("</Dimensions></Image></Information>"), F.when(k % 5 < 4, display).otherwise(""), F.lit("</Metadata></ImageDocument>"))
+    return _volumes(spark, d).select("k", F.posexplode(ome.czi_channels(xml)).alias("idx", "c")).select("k", "idx", "c.*")
+
+
+_OMERO_COLOR = "CASE WHEN i = 0 AND k % 3 = 0 THEN 'ABCDEF' WHEN n = 1 THEN '808080' WHEN i = 0 AND k % 3 = 1 THEN CASE WHEN 450 + k % 200 < 500 THEN '0000FF' WHEN 450 + k % 200 < 560 THEN '00FF00' ELSE 'FF0000' END ELSE ['FF0000', '00FF00', '0000FF', 'FF00FF', 'FFFF00', '00FFFF'][i % 6 + 1] END"
+
+
+@query(f"SELECT k, i, i < 3 AS active, {_OMERO_COLOR} AS color, CASE WHEN i = 0 AND k % 3 = 0 THEN word WHEN i = 0 AND k % 3 = 1 THEN CAST(450 + k % 200 AS VARCHAR) ELSE 'Channel ' || i END AS label, CAST(CASE dtype WHEN 'int8' THEN -128 WHEN 'int16' THEN -32768 ELSE 0 END AS DOUBLE) AS low, CAST(CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 WHEN 'int16' THEN 32767 WHEN 'float32' THEN 1 WHEN 'float64' THEN 1 ELSE 65535 END AS DOUBLE) AS high, CASE WHEN n > 1 AND n < 8 THEN 'color' ELSE 'greyscale' END AS model, z // 2 AS default_z FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT k, word, dtype, shape[r - 2] AS z, CASE WHEN r >= 4 THEN shape[r - 3] ELSE 1 END AS n FROM {VOL}))")
+def omero_blocks(spark, d):
+    """The display block of every volume by the builder, out of OME-XML where a file has one."""
+    k = F.col("k")
+    xml = F.when(k % 3 == 0, F.concat(F.lit('<OME><Channel ID="0" Name="'), "word", F.lit('" Color="-1412567041"/></OME>'))).when(k % 3 == 1, F.concat(F.lit('<OME><Channel ID="0" EmissionWavelength="'), (450 + k % 200).cast("string"), F.lit('"/></OME>')))
+    found = ome.channel_info(F.lit("tiff"), F.lit(None).cast("string"), xml)
+    block = ome.omero(found, F.col("dtype"), F.col("shape"), F.col("axes"))
+    table = _volumes(spark, d).select("k", block.alias("b")).select("k", F.col("b.rdefs").alias("rdefs"), F.posexplode("b.channels").alias("i", "c"))
+    return table.select("k", F.col("i").cast("long").alias("i"), "c.active", "c.color", "c.label", F.col("c.window.start").alias("low"), F.col("c.window.end").alias("high"), "rdefs.model", F.col("rdefs.defaultZ").alias("default_z"))
 
 
 @query(f"SELECT k, i AS idx, CASE WHEN i < known THEN 'c' || i END AS name, i < 3 AS active, CASE WHEN n > 1 AND n < 8 THEN 'color' ELSE 'greyscale' END AS model, z // 2 AS default_z FROM (SELECT k, CASE WHEN r >= 4 THEN shape[r - 3] ELSE 1 END AS n, shape[r - 2] AS z, k % 5 AS known, unnest(range(CASE WHEN r >= 4 THEN shape[r - 3] ELSE 1 END)) AS i FROM {VOL})")

@@ -21,7 +21,7 @@ def _upsampled(spark, d, method: str, dtype: str = "int32"):
     return blocks.from_chunks(resample.upsample_chunks(chunks, {"y": (n, n * 8 // 5), "x": (64, 100)}, CHUNK, method), ["y", "x"], dtype)
 
 
-@query(f"SELECT a.k AS y, b.k AS x, CAST(floor(round(sum(v * a.w * b.w), 6) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN ({LIN_HEIGHT}) a ON a.i = y JOIN {lin(64, 100)} b ON b.i = x GROUP BY 1, 2")
+@query(f"SELECT a.k AS y, b.k AS x, CAST(sign(round(sum(v * a.w * b.w), 6)) * floor(abs(round(sum(v * a.w * b.w), 6)) + 0.5::DOUBLE) AS INTEGER) AS v FROM {img()} JOIN ({LIN_HEIGHT}) a ON a.i = y JOIN {lin(64, 100)} b ON b.i = x GROUP BY 1, 2")
 def upsample_linear_chunks(spark, d):
     """Both axes of the whole image, chunk by chunk with a halo."""
     return _upsampled(spark, d, "trilinear")
@@ -56,7 +56,7 @@ def upsample_cubic_chunks(spark, d):
 _LEVELS = "SELECT CAST(max(z) + 1 AS BIGINT) AS n, max(y) + 1 AS ny, max(x) + 1 AS nx FROM s"
 
 
-@query(f"WITH s AS (SELECT * FROM {img('volume')}), e AS ({_LEVELS}), g AS (SELECT n, unnest(range(2 * n)) AS k FROM e), p AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), n - 1) AS u FROM g), w AS (SELECT k, CAST(floor(u) AS BIGINT) AS i, 1 - (u - floor(u)) AS w FROM p UNION ALL SELECT k, CAST(floor(u) AS BIGINT) + 1, u - floor(u) FROM p WHERE u > floor(u)), o AS (SELECT k, unnest(range(ny)) AS y FROM g, e), a AS (SELECT k, y, unnest(range(nx)) AS x FROM o, e), t AS (SELECT k, y, x, sum(v * w) AS v FROM s JOIN w ON i = z GROUP BY ALL) SELECT k AS z, y, x, CAST(floor(round(coalesce(t.v, 0), 6) + 0.5::DOUBLE) AS BIGINT) AS v FROM a LEFT JOIN t USING (k, y, x)")
+@query(f"WITH s AS (SELECT * FROM {img('volume')}), e AS ({_LEVELS}), g AS (SELECT n, unnest(range(2 * n)) AS k FROM e), p AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), n - 1) AS u FROM g), w AS (SELECT k, CAST(floor(u) AS BIGINT) AS i, 1 - (u - floor(u)) AS w FROM p UNION ALL SELECT k, CAST(floor(u) AS BIGINT) + 1, u - floor(u) FROM p WHERE u > floor(u)), o AS (SELECT k, unnest(range(ny)) AS y FROM g, e), a AS (SELECT k, y, unnest(range(nx)) AS x FROM o, e), t AS (SELECT k, y, x, sum(v * w) AS v FROM s JOIN w ON i = z GROUP BY ALL) SELECT k AS z, y, x, CAST(sign(round(coalesce(t.v, 0), 6)) * floor(abs(round(coalesce(t.v, 0), 6)) + 0.5::DOUBLE) AS BIGINT) AS v FROM a LEFT JOIN t USING (k, y, x)")
 def isotropic_volume(spark, d):
     """A volume of 20 by 10 by 10 nm to 10 nm; what was never stored is 0."""
     src = fixtures.volume(spark, d)

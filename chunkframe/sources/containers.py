@@ -1,15 +1,18 @@
 """Arrays put into place whole: modes of writing, and labels added to a container that exists.
 
-Tasks write to a folder beside the place; the driver renames it there when all of it is written, so what is
-read under a final name is complete. A job that fails leaves that folder and the old array as they were.
+Tasks write to a folder beside the place; when all of it is written, the driver moves the old array aside, the new one
+to its place, and deletes the old one, so what is read under a final name is complete. A job that fails leaves the old array as it was.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +25,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return any(zarr.read_json(spark, f"{path}/{name}") is not None for name in ("zarr.json", ".zarray", "attributes.json"))
 
 
-def replace(spark: SparkSession, staged: str, path: str) -> None:
-    """A staged folder in the place of whatever is at ``path``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    source, target = at(staged), at(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(source, target):
-        raise OSError(f"{staged} could not be renamed to {path}")
+@contextmanager
+def locked(spark: SparkSession, folder: str, seconds: float = 60.0, name: str = ".chunkframe.lock"):
+    """Alone among those who take this lock of a folder: a file that only one can create. An error after ``seconds`` of waiting."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    until = time.monotonic() + seconds
+    while True:
+        try:
+            if fs.createNewFile(at):
+                break
+        except Py4JJavaError:  # some stores answer so when the file is there
+            if not fs.exists(at):
+                raise
+        if time.monotonic() > until:
+            raise TimeoutError(f"{folder} is locked by {name}; delete it if its writer is gone")
+        time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
 
 
 def _whole_shards(chunks: DataFrame, shape: list[int], chunk: list[int], shard: list[int]) -> bool:
@@ -65,7 +79,7 @@ def write_array(spark: SparkSession, chunks: DataFrame, path: str, shape: list[i
         return zarr.write_chunks(chunks, path, shape, chunk, dtype, **options)
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     done = zarr.write_chunks(chunks, staged, shape, chunk, dtype, **options)
-    replace(spark, staged, path)
+    zarr.take_over(staged, path)
     return done
 
 
@@ -78,21 +92,21 @@ def add_label(spark: SparkSession, container: str, name: str, chunks: DataFrame,
     if format not in ("zarr3", "zarr2"):
         raise ValueError(f"labels in {format}")
     file = "zarr.json" if format == "zarr3" else ".zattrs"
-    root = zarr.read_json(spark, f"{container}/{file}")
-    if root is None:
+    if zarr.read_json(spark, f"{container}/{file}") is None:
         raise FileNotFoundError(f"no container at {container}")
     staged = f"{container}/{parent}.{uuid.uuid4().hex}.tmp"
     zarr.write_chunks(chunks, f"{staged}/s0", shape, chunk, dtype, **options)
     image = {"name": name, "type": "image", "axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": voxel}]}]}
     if format == "zarr3":
         group = {"zarr.json": {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [image], "image-label": {"version": "0.5"}}}}}
-        holder = root.setdefault("attributes", {}).setdefault("ome", {})
     else:
         group = {".zgroup": {"zarr_format": 2}, ".zattrs": {"multiscales": [{"version": "0.4"} | image], "image-label": {"version": "0.4"}}}
-        holder = root
     for at, value in group.items():
         zarr.put(f"{staged}/{at}", json.dumps(value).encode())
-    replace(spark, staged, f"{container}/{parent}/{name}")
-    holder["labels"] = sorted({*holder.get("labels", []), name})
-    zarr.put(f"{container}/{file}", json.dumps(root).encode())
+    zarr.take_over(staged, f"{container}/{parent}/{name}")
+    with locked(spark, container):  # labels that are added at once each read the list that the one before wrote
+        root = zarr.read_json(spark, f"{container}/{file}")
+        holder = root.setdefault("attributes", {}).setdefault("ome", {}) if format == "zarr3" else root
+        holder["labels"] = sorted({*holder.get("labels", []), name})
+        zarr.put(f"{container}/{file}", json.dumps(root).encode())
     return holder["labels"]

@@ -1,26 +1,35 @@
-"""A Spark data source over stored arrays: one row per element, chunk files chosen by a box.
+"""A Spark data source over stored arrays: one row per element (or chunk), chunk files chosen by a box; chunks written with a commit.
 
 ``register(spark)``, then ``spark.read.format("chunked_array").option("box", "z=10:20").load(path)`` opens only the chunks
-(or shards) that the box touches. The box is an option and no pushed filter, since Spark 4.1 keeps the filters pushed into
-a Python source for the next query on the same DataFrame, which would then lack rows.
+that the box touches; of a shard it reads the index and those chunks. The box is an option and no pushed filter, since Spark 4.1 keeps the
+filters pushed into a Python source for the next query on the same DataFrame, which would then lack rows.
+
+``chunks.write.format("chunked_array").mode("overwrite").option("shape", "200,64").option("chunk", "64,16").save(path)`` stores rows
+(origin, extent, payload, dtype). Tasks write beside the place and report which files they made; the driver's commit checks
+that none was made twice and puts the array in its place, or (``append``) the files into the array there. A job that fails is aborted: what it
+wrote is deleted, and nothing at the place has changed.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators.blocks import SPARK_TYPES
 from . import zarr
 
-#: Files read by one task at most.
-FILES = 64
+#: Partitions of one scan at most; each has as many more chunks as that takes.
+PARTITIONS = 10_000
 
 
 def _load(path: str) -> dict | None:
@@ -28,8 +37,8 @@ def _load(path: str) -> dict | None:
     return None if data is None else json.loads(data)
 
 
-class Files(InputPartition):
-    """Numbers, first to last, of the chosen places of the grid."""
+class Chunks(InputPartition):
+    """Numbers, first to last, of chunks: by the files that the box touches, and within a shard by their place there."""
 
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -51,21 +60,34 @@ class ElementReader(DataSourceReader):
     def __init__(self, path: str, info: dict, axes: list[str], dtype: str, box: list[tuple[int, int]]):
         self.path, self.info, self.axes, self.dtype, self.box = path, info, axes, dtype, box
         self.grid = [range(lo // c, -(-hi // c)) if lo < hi else range(0) for (lo, hi), c in zip(box, info.get("shard") or info["chunk"], strict=True)]
-
-    def partitions(self) -> list[Files]:
-        total = math.prod(map(len, self.grid))
-        return [Files(i, min(i + FILES, total)) for i in range(0, total, FILES)] or [Files(0, 0)]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for n in range(partition.first, partition.last):
-            place = [g[int(i)] for g, i in zip(self.grid, np.unravel_index(n, [len(g) for g in self.grid]), strict=True)]
-            data = zarr.fetch(f"{self.path}/{zarr.file_of(self.info, place)}")
-            for origin, extent, payload, kind in zarr.rows_of_file(self.info, place, data):
-                cut = [(max(lo - o, 0), min(hi - o, e)) for (lo, hi), o, e in zip(self.box, origin, extent, strict=True)]
-                if all(lo < hi for lo, hi in cut):
-                    block = np.frombuffer(payload, kind).reshape(extent)[tuple(slice(*c) for c in cut)]
-                    at = np.indices(block.shape).reshape(len(extent), -1) + np.array([o + lo for o, (lo, _) in zip(origin, cut, strict=True)])[:, None]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, at.astype("i8")), self._column(block.ravel())], names=[*self.axes, "v"])
+        self.inside = math.prod(s // c for s, c in zip(info["shard"], info["chunk"], strict=True)) if info.get("shard") else 1
+
+    def partitions(self) -> list[Chunks]:
+        total = math.prod(map(len, self.grid)) * self.inside
+        each = max(-(-total // PARTITIONS), -(-total // zarr.tasks_for(self.info, total)) if total else 1)
+        return [Chunks(i, min(i + each, total)) for i in range(0, total, each)] or [Chunks(0, 0)]
+
+    def _touched(self, origin: list[int], extent: list[int]) -> bool:
+        return all(max(lo, o) < min(hi, o + e) for (lo, hi), o, e in zip(self.box, origin, extent, strict=True))
+
+    def _chunks(self, partition: Chunks) -> Iterator[tuple]:
+        sizes = [len(g) for g in self.grid]
+        for file in range(partition.first // self.inside, -(-partition.last // self.inside)):
+            place = [g[int(i)] for g, i in zip(self.grid, np.unravel_index(file, sizes), strict=True)]
+            path = f"{self.path}/{zarr.file_of(self.info, place)}"
+            if self.info.get("shard"):
+                numbers = range(max(partition.first - file * self.inside, 0), min(partition.last - file * self.inside, self.inside))
+                yield from zarr.rows_of_shard(self.info, place, lambda at, n, path=path: zarr.fetch_range(path, at, n), numbers, wanted=self._touched)
+            else:
+                yield from zarr.rows_of_file(self.info, place, zarr.fetch(path))
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        for origin, extent, payload, kind in self._chunks(partition):
+            cut = [(max(lo - o, 0), min(hi - o, e)) for (lo, hi), o, e in zip(self.box, origin, extent, strict=True)]
+            if all(lo < hi for lo, hi in cut):
+                block = np.frombuffer(payload, kind).reshape(extent)[tuple(slice(*c) for c in cut)]
+                at = np.indices(block.shape).reshape(len(extent), -1) + np.array([o + lo for o, (lo, _) in zip(origin, cut, strict=True)])[:, None]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, at.astype("i8")), self._column(block.ravel())], names=[*self.axes, "v"])
 
     def _column(self, values: np.ndarray) -> pa.Array:
         if self.dtype == "uint64":
@@ -73,8 +95,59 @@ class ElementReader(DataSourceReader):
         return pa.array(values.astype({"uint8": "i2", "uint16": "i4", "uint32": "i8"}.get(self.dtype, self.dtype)))
 
 
+class ChunkReader(ElementReader):
+    """Whole chunks, those that the box touches."""
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        yield from zarr.chunk_batches(row for row in self._chunks(partition) if self._touched(row[0], row[1]))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The numbers of the files that a task made, packed."""
+
+    files: bytes
+
+
+class ChunkWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, layout: zarr.Layout, add: bool):
+        self.path, self.layout, self.add = path, layout, add
+        self.staged = f"{path}.{uuid.uuid4().hex}.tmp"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        grid = self.layout.grid()
+        rows = (tuple(batch.column(c)[i].as_py() for c in ("origin", "extent", "payload", "dtype")) for batch in iterator for i in range(batch.num_rows))
+        skip = 1 if self.layout.format == "zarr3" else 0
+        made = [int(np.ravel_multi_index([int(i) for i in file.split("/")[skip:]], grid)) for file in self.layout.write(rows, self.staged)]
+        return Written(zlib.compress(np.diff(np.sort(np.array(made, np.int64)), prepend=0).tobytes()))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        made = [np.cumsum(np.frombuffer(zlib.decompress(m.files), np.int64)) for m in messages if m]
+        numbers = np.sort(np.concatenate(made)) if made else np.zeros(0, np.int64)
+        if (twice := numbers[1:][numbers[1:] == numbers[:-1]]).size:
+            raise ValueError(f"{twice.size} files were written twice: give each chunk once, and the chunks of a shard to one task (zarr.by_shard)")
+        if self.add:
+            origins = np.stack(np.unravel_index(numbers, self.layout.grid())).T * np.array(self.layout.shard or self.layout.chunk) if numbers.size else []
+            zarr.move_files(self.staged, self.path, (self.layout.file(o.tolist()) for o in origins))
+            return
+        for name, value in self.layout.metadata().items():
+            zarr.put(f"{self.staged}/{name}", json.dumps(value).encode())
+        zarr.take_over(self.staged, self.path)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        quiet, until = 0, time.monotonic() + 30
+        while quiet < 4 and time.monotonic() < until:  # tasks that are being stopped may still finish a file
+            quiet = 0 if zarr.delete_folder(self.staged) else quiet + 1
+            time.sleep(0.25)
+
+
 class ChunkedArray(DataSource):
-    """Options: ``path``, ``axes`` (names with commas; else those of the metadata, else d0, d1, ...), ``box``."""
+    """Reading: ``path``, ``axes`` (names with commas; else those of the metadata, else d0, d1, ...), ``box``, ``form`` (elements or chunks).
+
+    Writing chunks: ``path``, ``shape``, ``chunk``, ``shard`` (numbers with commas), ``dtype``, ``store`` (zarr3, zarr2, n5), ``codec`` (none for raw),
+    ``names``, ``fill``, ``attributes`` (JSON), and ``exists`` = error, which refuses a place that has an array. Of an array that chunks are appended to,
+    ``shape`` and the others may be left out; a chunk takes the place of the one stored there, and chunks of a shard that of the whole shard.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -88,12 +161,35 @@ class ChunkedArray(DataSource):
         return info, names, np.dtype(info["dtype"]).newbyteorder("=").name
 
     def schema(self) -> str:
+        if self.options.get("form") == "chunks":
+            return zarr.CHUNK_SCHEMA
         _, names, dtype = self._array()
         return ", ".join(f"`{n}` long" for n in names) + f", v {SPARK_TYPES[dtype]}"
 
     def reader(self, schema) -> ElementReader:
         info, axes, dtype = self._array()
-        return ElementReader(self.options["path"].rstrip("/"), info, axes, dtype, box_of(self.options.get("box", ""), axes, info["shape"]))
+        kind = ChunkReader if self.options.get("form") == "chunks" else ElementReader
+        return kind(self.options["path"].rstrip("/"), info, axes, dtype, box_of(self.options.get("box", ""), axes, info["shape"]))
+
+    def writer(self, schema, overwrite: bool) -> ChunkWriter:
+        if missing := {"origin", "extent", "payload", "dtype"} - set(schema.fieldNames()):
+            raise ValueError(f"chunks lack {sorted(missing)}")
+        path, o = self.options["path"].rstrip("/"), self.options
+        try:
+            have = zarr.described(path, _load)
+        except FileNotFoundError:
+            have = None
+        if have and o.get("exists") == "error":
+            raise FileExistsError(path)
+        ints = lambda name: [int(v) for v in o[name].split(",")] if o.get(name) else None
+        if have and not overwrite and not o.get("shape"):
+            layout = zarr.layout_of(have)
+        else:
+            codec = o.get("codec", "gzip")
+            layout = zarr.Layout(ints("shape"), ints("chunk"), o.get("dtype", "int32"), o.get("store", "zarr3"), None if codec == "none" else codec, json.loads(o.get("attributes", "{}")), o["names"].split(",") if o.get("names") else None, ints("shard"), float(o["fill"]) if "." in o.get("fill", "") else int(o.get("fill", "0")))
+        if have and not overwrite and not layout.same_as(have):
+            raise ValueError(f"the array at {path} has another layout")
+        return ChunkWriter(path, layout, bool(have) and not overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -17,10 +17,11 @@ def image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(z, y, x, v): line items by month, supplier and line number, a sparse volume whose fill is 0."""
-    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
-    rows = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01'")
-    return rows.groupBy(month.cast("long").alias("z"), F.col("l_suppkey").alias("y"), (F.col("l_linenumber") - 1).cast("long").alias("x")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    """(z, y, x, v): all line items by month (from the first there is), supplier and line number, a sparse volume whose fill is 0."""
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    rows = table(spark, sf_dir, "lineitem")
+    first = rows.agg(F.min(month).alias("first")).first()["first"] or 0
+    return rows.groupBy((month - first).cast("long").alias("z"), F.col("l_suppkey").alias("y"), (F.col("l_linenumber") - 1).cast("long").alias("x")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same volumes for DuckDB.
 SQL = {
     "image": "SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 32) AS INTEGER) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)",
-    "volume": "SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS BIGINT) AS z, l_suppkey AS y, CAST(l_linenumber - 1 AS BIGINT) AS x, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL",
+    "volume": "SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - (SELECT min(year(l_shipdate) * 12 + month(l_shipdate)) FROM lineitem) AS BIGINT) AS z, l_suppkey AS y, CAST(l_linenumber - 1 AS BIGINT) AS x, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY ALL",
     "channels": "SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS BIGINT) AS c, CAST(hour(ts) AS BIGINT) AS x, count(*) AS v FROM events GROUP BY ALL",
     "labels": "SELECT vec_id // 20 AS y, vec_id % 20 AS x, CAST(label AS INTEGER) AS v FROM embeddings",
 }
