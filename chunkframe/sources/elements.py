@@ -26,7 +26,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators.blocks import SPARK_TYPES
-from . import zarr
+from . import precomputed, zarr
 
 #: Partitions of one scan at most; each has as many more chunks as that takes.
 PARTITIONS = 10_000
@@ -72,6 +72,13 @@ class ElementReader(DataSourceReader):
 
     def _chunks(self, partition: Chunks) -> Iterator[tuple]:
         sizes = [len(g) for g in self.grid]
+        if self.info.get("sharding"):
+            bits = precomputed.grid_bits(precomputed.grid_of(self.info)[:3])
+            shards = precomputed.Minishards(precomputed.folder_of(self.path, self.info), self.info["sharding"])
+            places = ([g[int(i)] for g, i in zip(self.grid, np.unravel_index(n, sizes), strict=True)] for n in range(partition.first, partition.last))
+            for code, place in sorted((precomputed.morton(place, bits), place) for place in places):
+                yield from precomputed.decode_chunk(self.info, place, shards.get(code))
+            return
         for file in range(partition.first // self.inside, -(-partition.last // self.inside)):
             place = [g[int(i)] for g, i in zip(self.grid, np.unravel_index(file, sizes), strict=True)]
             path = f"{self.path}/{zarr.file_of(self.info, place)}"

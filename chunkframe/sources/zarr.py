@@ -75,11 +75,14 @@ def described(path: str, read: Callable[[str], dict | None]) -> dict:
         if codec not in ("raw", "gzip", "blosc"):
             raise ValueError(f"compression {codec}")
         return {"format": "n5", "shape": m["dimensions"], "chunk": m["blockSize"], "dtype": ">" + DTYPES[m["dataType"]], "fill": 0, "codecs": {"transpose": None, "order": "F", "steps": [] if codec == "raw" else [codec]}, "prefix": "", "separator": "/", "names": m.get("axes"), "attributes": m}
+    from . import precomputed  # which reads through this module
+
     if m := read(f"{path}/info"):
-        scale = m["scales"][0]
-        if scale["encoding"] != "raw" or scale.get("sharding"):
-            raise ValueError(f"encoding {scale['encoding']}, sharding {scale.get('sharding')}")
-        return {"format": "precomputed", "shape": [*scale["size"], m["num_channels"]], "chunk": [*scale["chunk_sizes"][0], m["num_channels"]], "dtype": "<" + DTYPES[m["data_type"]], "fill": 0, "codecs": {"transpose": None, "order": "F", "steps": []}, "prefix": scale["key"], "separator": "_", "offset": [*scale.get("voxel_offset", [0, 0, 0]), 0], "names": ["x", "y", "z", "c"], "attributes": m}
+        return precomputed.describe_scale(m, m["scales"][0], m["scales"][0]["key"])
+    root, _, key = path.rstrip("/").rpartition("/")
+    for scale in ((read(f"{root}/info") or {}).get("scales") or []) if root else []:
+        if scale["key"] == key:  # a scale by its own folder
+            return precomputed.describe_scale(read(f"{root}/info"), scale, "")
     raise FileNotFoundError(f"no array at {path}")
 
 
@@ -253,7 +256,7 @@ def file_of(info: dict, place: list[int]) -> str:
     if info["format"] == "precomputed":
         low = [i * c for i, c in zip(place, info["chunk"], strict=True)][:3]
         high = [min(o + c, s) for o, c, s in zip(low, info["chunk"], info["shape"], strict=False)]
-        return info["prefix"] + "/" + "_".join(f"{lo + o}-{hi + o}" for lo, hi, o in zip(low, high, info["offset"], strict=False))
+        return (info["prefix"] + "/" if info["prefix"] else "") + "_".join(f"{lo + o}-{hi + o}" for lo, hi, o in zip(low, high, info["offset"], strict=False))
     name = info["separator"].join(map(str, place))
     return f"{info['prefix']}{info['separator']}{name}" if info["prefix"] else name
 
@@ -264,6 +267,11 @@ def rows_of_file(info: dict, place: list[int], data: bytes | None) -> Iterator[t
     start = [i * c for i, c in zip(place, chunk, strict=True)]
     if min(s - o for s, o in zip(shape, start, strict=True)) <= 0:
         return
+    if info["format"] == "precomputed":
+        from . import precomputed
+
+        yield from precomputed.decode_chunk(info, place, data)
+        return
     if data is None:
         yield _row(info, start, None)
         return
@@ -272,8 +280,6 @@ def rows_of_file(info: dict, place: list[int], data: bytes | None) -> Iterator[t
         mode, dims = int.from_bytes(data[:2], "big"), int.from_bytes(data[2:4], "big")
         size = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "big") for i in range(dims)]
         data = data[4 + 4 * dims + (4 if mode == 1 else 0) :]
-    elif info["format"] == "precomputed":
-        size = [min(c, s - o) for c, s, o in zip(chunk, shape, start, strict=True)]
     yield _row(info, start, decode_block(data, info["codecs"], info["dtype"], size))
 
 
@@ -310,6 +316,10 @@ def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> Da
     info = describe(spark, path)
     if info.get("shard"):
         return _read_shards(spark, path, info, fill_missing)
+    if info.get("sharding"):
+        from . import precomputed
+
+        return precomputed.read_shards(spark, path, info, fill_missing)
     counts = [-(-s // c) for s, c in zip(info["shape"], info["chunk"], strict=True)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{info['prefix']}" if info["prefix"] else path)
 
