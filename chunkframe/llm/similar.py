@@ -240,7 +240,8 @@ def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tu
 
     Each set outside the largest component meets the sets of all others. Sure links join components at once. Of candidates,
     the nearest by its bitmap stands for all between two trees of a second forest, in which candidates join too,
-    and each set tells ``more`` others; a candidate joins no components, so what it stands for stays open until it is verified.
+    and each set tells ``more`` others; a candidate joins no components, so what it stands for stays open until it is verified
+    (with ``more`` = 0 without a look at the bitmaps, which most such pairs never need, as their components have joined by then).
     """
     codes = np.unique(np.array(cell["component"], np.int64), return_inverse=True)[1]
     if not codes.any():
@@ -283,6 +284,11 @@ def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tu
             if sure_tree[k] != sure_tree[x]:
                 tell(x, k, True)
         y = y[~sure & (sure_tree[y] != sure_tree[x])]
+        if not more:  # the first turn looks at no pair that a candidate may stand for; it waits until that is verified
+            waits = tree[y] == tree[x]
+            is_open[y[waits]] = True
+            is_open[x] |= waits.any()
+            y = y[~waits]
         if len(refused[x]):
             y = y[~np.isin(sets[y], refused[x])]
         apart, least = np.zeros(len(y), np.int64), np.minimum(words[y], words[x])
