@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import SUFFIXES
@@ -53,3 +53,32 @@ def levels(listing: DataFrame, key: str) -> DataFrame:
     rows = listing.where(~F.col("path").rlike(rf"/({LABEL_GROUPS})/"))
     found = listing.select(key).distinct().join(rows.groupBy(key).agg(F.max(number("s")).alias("s"), F.max(number("")).alias("plain")), key, "left")
     return found.select(key, F.when(F.col("s").isNull() & F.col("plain").isNotNull(), "").otherwise("s").alias("prefix"), F.coalesce("s", "plain").alias("top"))
+
+
+# Folders that are looked into first, in this order.
+FIRST_FOLDERS = ("s0", "em", "raw", "data", "volumes", "recon-1", "setup0")
+
+
+def first_arrays(listing: DataFrame, key: str, is_array: Column, depth: int = 4, most: int = 10) -> DataFrame:
+    """(key, path, depth): the first array below each root, level by level, in at most ``most`` folders of each folder and ``depth`` levels down.
+
+    ``listing``: key and ``inner``, the path of a file below its root. ``is_array``: whether a file marks its folder as an array. Folders are
+    looked into by ``FIRST_FOLDERS``, then by name; the order of a level follows that of the folders above.
+    """
+    parts = F.split("inner", "/")
+    above = F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth)))
+    paths = F.transform(F.sequence(F.lit(1), F.size(above)), lambda i: F.struct(F.array_join(F.slice(above, 1, i - 1), "/").alias("parent"), F.get(above, i - 1).alias("name")))
+    folders_ = listing.where(F.size(parts) > 1).select(key, F.explode(paths).alias("p")).select(key, "p.parent", "p.name").distinct()
+    names = F.array(*map(F.lit, FIRST_FOLDERS))
+    place = F.array_position(names, F.col("name"))
+    siblings = Window.partitionBy(key, "parent").orderBy(F.when(place > 0, place).otherwise(100), "name")
+    ranked = folders_.withColumn("place", F.row_number().over(siblings)).where(F.col("place") <= most)
+    level = ranked.where("parent = ''").select(key, F.col("name").alias("path"), F.array("place").alias("places"))
+    seen = level
+    for _ in range(depth - 1):
+        inside = ranked.select(key, F.col("parent").alias("path"), "name", "place")
+        level = level.join(inside, [key, "path"]).select(key, F.concat_ws("/", "path", "name").alias("path"), F.concat("places", F.array("place")).alias("places"))
+        seen = seen.union(level)
+    arrays = listing.where(is_array).select(key, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path")).distinct()
+    found = seen.join(arrays, [key, "path"]).groupBy(key).agg(F.min(F.struct(F.size("places").alias("depth"), "places", "path")).alias("first"))
+    return found.select(key, "first.path", "first.depth")

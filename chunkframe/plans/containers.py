@@ -11,8 +11,9 @@ from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
 from ..operators import blocks, discovery, redistribute
-from ..sources import convert, elements, fixtures, multiscale, zarr
+from ..sources import convert, elements, fixtures, multiscale, precomputed, zarr
 from ..sources.fixtures import SQL
+from ..streaming import incremental
 from .catalog import query
 from .layouts import VOL
 
@@ -338,6 +339,59 @@ def first_files(spark, d):
     return files.select("root", "path", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("place")).where("place <= 4")
 
 
+_TREE = "SELECT l_suppkey AS root, CASE WHEN l_partkey % 17 = 0 THEN 'raw' WHEN l_partkey % 17 = 1 THEN 's0' ELSE 'g' || l_partkey % 17 END || '/n' || l_orderkey % 13 || '/' || CASE WHEN l_linenumber = 1 THEN 'em' ELSE 'p' || l_linenumber END || CASE WHEN l_linenumber = 7 THEN '/q/deep' WHEN l_linenumber = 6 THEN '/q' ELSE '' END || CASE WHEN l_quantity > 46 THEN '/.zarray' ELSE '/note.txt' END AS file FROM lineitem"
+_ORDER = "CASE name WHEN 's0' THEN 1 WHEN 'em' THEN 2 WHEN 'raw' THEN 3 ELSE 100 END"
+
+
+@query(f"""WITH RECURSIVE files AS (SELECT DISTINCT root, string_split(file, '/') AS parts FROM ({_TREE})),
+dirs AS (SELECT DISTINCT root, array_to_string(parts[1:i - 1], '/') AS parent, parts[i] AS name FROM (SELECT root, parts, unnest(range(1, len(parts))) AS i FROM files)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY root, parent ORDER BY {_ORDER}, name) AS place FROM dirs QUALIFY place <= 10),
+walk(root, path, places, depth) AS (SELECT root, name, [place], 1 FROM ranked WHERE parent = '' UNION ALL SELECT w.root, w.path || '/' || r.name, list_append(w.places, r.place), w.depth + 1 FROM walk w JOIN ranked r ON r.root = w.root AND r.parent = w.path WHERE w.depth < 4),
+arrays AS (SELECT DISTINCT root, array_to_string(parts[1:len(parts) - 1], '/') AS path FROM files WHERE parts[len(parts)] = '.zarray')
+SELECT root, path, depth FROM walk JOIN arrays USING (root, path) QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, places) = 1""")
+def first_arrays(spark, d):
+    """The first array below each root, level by level, in the first ten folders of each and four levels down."""
+    name = lambda c, m: F.concat(F.lit(c), m.cast("string"))
+    part, line = F.col("l_partkey") % 17, F.col("l_linenumber")
+    top = F.when(part == 0, "raw").when(part == 1, "s0").otherwise(name("g", part))
+    deep = F.when(line == 7, "/q/deep").when(line == 6, "/q").otherwise("")
+    inner = F.concat(top, F.lit("/"), name("n", F.col("l_orderkey") % 13), F.lit("/"), F.when(line == 1, "em").otherwise(name("p", line)), deep, F.when(F.col("l_quantity") > 46, "/.zarray").otherwise("/note.txt"))
+    files = fixtures.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("root"), inner.alias("inner"))
+    return discovery.first_arrays(files, "root", F.col("inner").endswith("/.zarray"))
+
+
+def _dense_channels(cells: str) -> str:
+    return f"(SELECT g.t, g.c, g.x, coalesce(s.v, 0) AS v FROM (SELECT a.t, b.c, e.x FROM range(30) a(t), range(5) b(c), range(24) e(x)) g LEFT JOIN ({cells}) s USING (t, c, x))"
+
+
+@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(c AS BIGINT) AS c, CAST(x AS BIGINT) AS x, CAST(v AS INTEGER) AS v FROM {_dense_channels(SQL['channels'])}")
+def incremental_array(spark, d):
+    """R: an array that three batches of a stream fill; a second stream with the same batches changes nothing, as their records are there."""
+    root = f"{zarr.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    cells = fixtures.channels(spark, d).withColumn("part", F.col("t") % 3)
+    for i in range(3):
+        cells.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    incremental.create(f"{root}/a", ["t", "c", "x"], [1, 5, 24], [7, 2, 24], "int32")
+    rows = spark.readStream.schema("t long, c long, x long, v long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    for run in ("first", "again"):
+        stream = incremental.append_stream(rows, f"{root}/a", ["t", "c", "x"], f"{root}/state", f"{root}/{run}", "c")
+        stream.awaitTermination()
+    return blocks.from_chunks(zarr.read_chunks(spark, f"{root}/a"), ["t", "c", "x"], "int32")
+
+
+@query(f"SELECT x, y, z, c, CAST(v AS DECIMAL(20, 0)) AS v FROM (SELECT y // 5 AS x, y % 5 AS y, x AS z, CAST(0 AS BIGINT) AS c, v FROM ({SQL['labels']}))")
+def precomputed_labels(spark, d):
+    """A6, Mx14: labels as compressed blocks in shards, by hashed codes, written and read back."""
+    src = fixtures.labels(spark, d).select(F.expr("y div 5").alias("x"), F.expr("y % 5").alias("y"), F.col("x").alias("z"), F.lit(0).cast("long").alias("c"), F.col("v").cast("decimal(20,0)").alias("v"))
+    top = src.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
+    shape = {"x": top["x"], "y": top["y"], "z": top["z"], "c": 1}
+    path = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    chunks = blocks.to_chunks(src, shape, {"x": 4, "y": 4, "z": 8, "c": 1}, dtype="uint64")
+    scale = precomputed.write_scale(chunks, path, [shape[a] for a in "xyz"], [4, 4, 8], "uint64", [8.0, 8.0, 8.0], "compressed_segmentation", {"minishard_bits": 1, "shard_bits": 1})
+    precomputed.write_info(path, "uint64", [scale], "segmentation")
+    return blocks.from_chunks(zarr.read_chunks(spark, path), ["x", "y", "z", "c"], "uint64")
+
+
 @query("SELECT o_custkey AS batch, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus IN ('F', 'P')) = count(*) AS complete, min(o_orderkey) FILTER (o_orderstatus = 'O') AS first_failure FROM orders GROUP BY o_custkey")
 def batch_reports(spark, d):
     """Counts by status of every batch, whether it is complete, its first failure."""

@@ -1,4 +1,4 @@
-"""Streams of events binned on the time axis, and folders whose new files are converted once."""
+"""Streams of events binned on the time axis."""
 
 from __future__ import annotations
 
