@@ -11,7 +11,7 @@ from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
 from ..operators import blocks, discovery, redistribute
-from ..sources import convert, elements, fixtures, multiscale, precomputed, zarr
+from ..sources import convert, elements, fixtures, multiscale, precomputed, tiff, zarr
 from ..sources.fixtures import SQL
 from ..streaming import incremental
 from .catalog import query
@@ -283,6 +283,19 @@ def stored_box(spark, d):
     return spark.read.format(elements.ChunkedArray.name()).option("box", "y=70:210,x=10:40").load(path)
 
 
+@query(_GRID + " SELECT g.z, g.y, g.x, CAST(coalesce(s.v, 0) AS INTEGER) AS v FROM g LEFT JOIN s USING (z, y, x)")
+def tiff_stack(spark, d):
+    """A folder of pages in natural order (deflate strips with differences), converted to a Zarr array and read back."""
+    src = fixtures.volume(spark, d)
+    shape = _volume_extent(src)
+    root = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    pages = blocks.to_chunks(src, shape, {"z": 1, "y": shape["y"], "x": shape["x"]}, dtype="uint16")
+    tiff.write_pages(redistribute.with_missing(pages, list(shape.values()), [1, shape["y"], shape["x"]], "uint16"), f"{root}/pages", "plane {}.tif")
+    done = convert.convert(spark, f"{root}/pages", f"{root}/out.zarr")
+    elements.register(spark)
+    return spark.read.format(elements.ChunkedArray.name()).load(done["array"])
+
+
 # -- listings -------------------------------------------------------------------------------
 
 #: What the ten files of a folder are called, by the kind of folder; {k} is a number.

@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.redistribute import redistribute
-from . import containers, elements, multiscale, zarr
+from . import containers, elements, multiscale, tiff, zarr
 
 SPATIAL = ("z", "y", "x")
 #: Edge of a chunk by the bytes of the whole array, edge of a shard, and most chunks along an axis of a shard whose chunk was capped.
@@ -133,9 +133,11 @@ def clamped_shard(shape: list[int], chunk: list[int], shard: list[int]) -> list[
 
 
 def base_array(spark: SparkSession, source: str) -> tuple[str, dict | None]:
-    """The array to read at a path, and the multiscale it is the first level of: the path itself, or of a group
+    """The array to read at a path, and the multiscale it is the first level of: a stack of pages or the array itself, or of a group
     the first level its metadata list, else ``s0`` or ``0``, looked for in the group and in its one image."""
     source = source.rstrip("/").removeprefix("precomputed://")
+    if is_stack(spark, source):
+        return source, None
     if containers.exists(spark, source) or zarr.read_json(spark, f"{source}/info") is not None:
         try:
             zarr.describe(spark, source)
@@ -153,6 +155,29 @@ def base_array(spark: SparkSession, source: str) -> tuple[str, dict | None]:
     raise FileNotFoundError(f"no array at {source}")
 
 
+def is_stack(spark: SparkSession, source: str) -> bool:
+    """Whether a path is a TIFF file, or a folder with TIFF files and no array's metadata."""
+    if source.lower().endswith((".tif", ".tiff")):
+        return True
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return False
+    if any(zarr.read_json(spark, f"{source}/{m}") is not None for m in ("zarr.json", ".zgroup", ".zarray", "attributes.json", "info")):
+        return False
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{source}/*.[tT][iI][fF]*"))
+    return bool(found) and len(found) > 0
+
+
+def describe_source(spark: SparkSession, array: str) -> dict:
+    """``zarr.describe`` of an array, or the like of a stack of pages: frame by frame, its chunks are pages."""
+    if not is_stack(spark, array):
+        return zarr.describe(spark, array)
+    found = tiff.describe(spark, array)
+    page = [1] * (len(found["shape"]) - 2 - (found["samples"] > 1)) + ([found["samples"]] if found["samples"] > 1 else []) + found["shape"][-2:]
+    return {"format": "tiff", "shape": found["shape"], "chunk": page, "dtype": zarr.np.dtype(found["dtype"]).newbyteorder("<").str, "fill": 0, "names": found["axes"], "attributes": {"voxel": found["voxel"]}}
+
+
 def _parent_scale(spark: SparkSession, array: str) -> dict | None:
     parent, _, name = array.rpartition("/")
     for format in ("zarr3", "zarr2"):
@@ -182,6 +207,8 @@ def _voxel(info: dict, scale: dict | None, axes: list[str]) -> dict[str, float]:
         if told:
             return {a: v * (nm.get(units.get(a, ""), 1.0) if a in SPATIAL else 1.0) for a, v in zip(axes, told[0], strict=False)}
     meta = info["attributes"]
+    if info["format"] == "tiff":
+        return dict(meta["voxel"])
     if info["format"] == "precomputed":
         return dict(zip("xyz", map(float, meta["scales"][0]["resolution"]), strict=False))
     if info["format"] == "n5":
@@ -194,7 +221,7 @@ def _voxel(info: dict, scale: dict | None, axes: list[str]) -> dict[str, float]:
 
 def plan(spark: SparkSession, source: str, options: Options = Options()) -> Plan:  # noqa: B008
     array, scale = base_array(spark, source)
-    info = zarr.describe(spark, array)
+    info = describe_source(spark, array)
     axes = source_axes(info, scale, options.axes)
     shape = dict(zip(axes, info["shape"], strict=True))
     pick = dict(options.pick) | {a: 0 for a in options.squeeze}
@@ -221,7 +248,10 @@ def plan(spark: SparkSession, source: str, options: Options = Options()) -> Plan
     if target not in zarr.DTYPES:
         raise ValueError(f"type {target}")
     item = zarr.np.dtype(target).itemsize
-    chunk = by_axis(order, options.chunk or chunk_edge(extent, item))
+    chunk, asked = by_axis(order, options.chunk or chunk_edge(extent, item)), options.shard
+    if info["format"] == "tiff" and not options.chunk:  # read page by page
+        native = dict(zip(axes, info["chunk"], strict=True))
+        chunk, _ = capped(order, extent, [native.get(a, 1) for a in order], chunk_edge(extent, item), by_axis(order, asked) if asked else None)
     chunk = [max(1, min(c, n)) for c, n in zip(chunk, extent, strict=True)]
     shard = clamped_shard(extent, chunk, by_axis(order, options.shard)) if options.shard and options.format == "zarr3" else None
     at = {a: i for i, a in enumerate(axes)}
@@ -240,6 +270,8 @@ def plan(spark: SparkSession, source: str, options: Options = Options()) -> Plan
 
 def chunks_of(spark: SparkSession, job: Plan) -> DataFrame:
     """The target's chunks, from those of the source that the box touches."""
+    if is_stack(spark, job.array):
+        return redistribute(tiff.read_chunks(spark, job.array, "".join(job.source_axes)), job.shape, job.chunk, job.order, job.start, job.pick, job.dtype, job.fill)
     elements.register(spark)
     rows = spark.read.format("chunked_array").options(form="chunks", axes=",".join(job.source_axes), box=job.box).load(job.array)
     return redistribute(rows, job.shape, job.chunk, job.order, job.start, job.pick, job.dtype, job.fill, job.source_chunk)

@@ -350,7 +350,9 @@ def read_chunks(spark: SparkSession, path: str, fill_missing: bool = True) -> Da
 def _file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):  # as Spark writes such paths: not encoded, with one to three slashes
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def fetch(path: str) -> bytes | None:
