@@ -44,6 +44,19 @@ def scratch(spark: SparkSession, keep: tuple[str, ...]):
                 place.getFileSystem(conf).delete(place, True)
 
 
+def discard(spark: SparkSession, *names: str, keep: int = 0) -> None:
+    """Deletes the tables of these names ``written`` in the innermost ``scratch``, but for the last ``keep`` of each; for those that nothing reads again."""
+    if not _scratch:
+        return
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        mine = [t for t in _scratch[-1] if t[0] == name]
+        for table in mine[: len(mine) - keep]:
+            place = hadoop(table[1])
+            place.getFileSystem(conf).delete(place, True)
+            _scratch[-1].remove(table)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession

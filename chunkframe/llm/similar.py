@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
@@ -44,10 +45,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_rows, components, give_back, prepare, scratch, written
+from .common import arrow_map, batch_rows, components, discard, give_back, prepare, scratch, written
 
 WIDTH, AT_LEAST = 3, 90  # words of a shingle, per cent
-CELLS, CHUNKS, BLOCK, ROUNDS, TURNS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 1, 40, 64, 1 << 23
+CELLS, CHUNKS, BLOCK, FEW, ROUNDS, TURNS, SHARED, BLOOM_BITS = 1 << 20, 64, 2048, 24, 1, 40, 64, 1 << 23
 Features = Callable[[str | None], np.ndarray]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -240,9 +241,10 @@ def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tu
 
     Each set outside the largest component meets the sets of all others. Sure links join components at once. Of candidates,
     the nearest by its bitmap stands for all between two trees of a second forest, in which candidates join too,
-    and each set tells ``more`` others; a candidate joins no components, so what it stands for stays open until it is verified
-    (with ``more`` = 0 without a look at the bitmaps, which most such pairs never need, as their components have joined by then).
+    and each set tells ``more`` others; a candidate joins no components, so what it stands for stays open until it is verified.
     """
+    if len(cell["set"]) <= FEW:
+        return near_few(cell, at_least, more)
     codes = np.unique(np.array(cell["component"], np.int64), return_inverse=True)[1]
     if not codes.any():
         return [], set()
@@ -284,11 +286,6 @@ def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tu
             if sure_tree[k] != sure_tree[x]:
                 tell(x, k, True)
         y = y[~sure & (sure_tree[y] != sure_tree[x])]
-        if not more:  # the first turn looks at no pair that a candidate may stand for; it waits until that is verified
-            waits = tree[y] == tree[x]
-            is_open[y[waits]] = True
-            is_open[x] |= waits.any()
-            y = y[~waits]
         if len(refused[x]):
             y = y[~np.isin(sets[y], refused[x])]
         apart, least = np.zeros(len(y), np.int64), np.minimum(words[y], words[x])
@@ -310,6 +307,74 @@ def near_pairs(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tu
     return found, set(sets[is_open].tolist())
 
 
+def near_few(cell: dict[str, list], at_least: int, more: int) -> tuple[list[tuple[int, int, bool]], set[int]]:
+    """``near_pairs`` for the many cells of a few sets, pair by pair with whole numbers for bitmaps."""
+    n, pos, block, guest, hub, far, sets = (cell[c] for c in ("n", "pos", "block", "guest", "hub", "distance", "set"))
+    sure_tree, tree = list(cell["component"]), list(cell["component"])
+    counts = Counter(sure_tree)
+    if len(counts) == 1:
+        return [], set()
+    largest, cross = max(counts.items(), key=lambda c: (c[1], -c[0]))[0], cell["low"][0] != cell["high"][0]
+    bitmaps: list[int | None] = [None] * len(n)
+    words, found, is_open = [len(s) for s in cell["sketch"]], [], set()
+
+    def apart(x: int, y: int) -> int:
+        for i in (x, y):
+            if bitmaps[i] is None:
+                bitmaps[i] = int.from_bytes(cell["sketch"][i], "little")
+        a, b = bitmaps[x], bitmaps[y]
+        long, short = max(words[x], words[y]), min(words[x], words[y])
+        if long > short:
+            fold = a if words[x] == long else b
+            while long > short:
+                long //= 2
+                fold = fold & (1 << 8 * long) - 1 ^ fold >> 8 * long
+            a, b = fold, b if words[x] > words[y] else a
+        return (a ^ b).bit_count()
+
+    def tell(x: int, y: int, sure: bool) -> None:
+        found.append((min(sets[x], sets[y]), max(sets[x], sets[y]), sure))
+        for trees in (sure_tree, tree) if sure else (tree,):
+            old, new = trees[x], trees[y]
+            trees[:] = [new if t == old else t for t in trees]
+
+    done = set()
+    for x, own in enumerate(cell["component"]):
+        if own == largest:
+            continue
+        done.add(x)
+        waiting, left, size = [], n[x] - pos[x], n[x]
+        for y in range(len(n)):
+            if y in done or sure_tree[y] == sure_tree[x] or (block[y] != block[x]) != cross or (guest[x] and guest[y]):
+                continue
+            both = size + n[y]
+            if too_far(size, n[y], both - 2 * min(left, n[y] - pos[y], size, n[y]), at_least):
+                continue
+            if hub[x] is not None and hub[x] == hub[y]:
+                if too_far(size, n[y], abs(far[x] - far[y]), at_least):
+                    continue
+                if not too_far(size, n[y], far[x] + far[y], at_least):
+                    tell(x, y, True)
+                    continue
+            waiting.append(y)
+        no = set(cell["refused"][x] or ())
+        near = []
+        for y in waiting:
+            if sure_tree[y] != sure_tree[x] and sets[y] not in no:
+                bits = apart(x, y)
+                if not too_far(size, n[y], bits, at_least):
+                    near.append((bits, sets[y], y))
+        spare = more
+        for _, _, y in sorted(near):
+            is_open |= {sets[x], sets[y]}
+            if tree[y] != tree[x]:
+                tell(x, y, False)
+            elif spare:
+                spare -= 1
+                found.append((min(sets[x], sets[y]), max(sets[x], sets[y]), False))
+    return found, is_open
+
+
 def cell_pairs(rows: DataFrame, at_least: int, more: int = 0) -> DataFrame:
     """(a, b, sure, key): what ``near_pairs`` finds in each list; pairs without a key, and rows (key, a) that are open.
 
@@ -392,6 +457,7 @@ def _joined(docs: DataFrame, at_least: int, rounds: int, features: Features) ->
         return written(found.select("key", "m", *hub), "lists")
 
     state = written(rows.join(hubs(rows, 0), "key"), "state").withColumn("component", F.col("set"))  # each set its own at first
+    discard(spark, "lists")
     relabel = lambda: components(reduce(DataFrame.union, links)).withColumnRenamed("node", "set")
     base = ["key", "set", "n", "pos"]
 
@@ -399,7 +465,10 @@ def _joined(docs: DataFrame, at_least: int, rounds: int, features: Features) ->
         """``state`` with new components, the lists that are still mixed, and their hubs."""
         now = state.select(*base).join(relabel(), "set", "left").withColumn("component", F.coalesce("component", "set"))
         now = written(now, "renamed")
-        return written(now.join(hubs(now, turn), "key"), "state")
+        state = written(now.join(hubs(now, turn), "key"), "state")
+        discard(spark, "renamed", "lists", "links", "parent", "label", "need", "near", "told")
+        discard(spark, "state", keep=1)
+        return state
 
     for turn in range(rounds):
         least = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"), "n", "hub_n")

@@ -71,8 +71,10 @@ def near_threshold_group(rng, g, at_least=90):
     return texts
 
 
+@pytest.mark.parametrize("few", [0, 24])
 @pytest.mark.parametrize("seed", range(5))
-def test_rounds_of_a_cell_lose_no_link(seed):
+def test_rounds_of_a_cell_lose_no_link(seed, few, monkeypatch):
+    monkeypatch.setattr(similar, "FEW", few)
     rng = random.Random(seed)
     for g in range(500):
         found = [np.unique(similar.shingles(t)) for t in near_threshold_group(rng, g)]
@@ -110,6 +112,24 @@ def test_rounds_of_a_cell_lose_no_link(seed):
         assert named(links) == want
 
 
+def test_small_cells_tell_what_large_ones_do(monkeypatch):
+    rng = random.Random(3)
+    for g in range(400):
+        found = [np.unique(similar.shingles(t)) for t in near_threshold_group(rng, g)] * rng.randrange(1, 3)
+        m, hubs = len(found), [rng.choice([None, 1, 2]) for _ in found]
+        cell = {"component": [rng.randrange(m) for _ in found], "n": [len(f) for f in found], "pos": [rng.randrange(3) for _ in found], "block": [rng.randrange(2) for _ in found], "guest": [rng.random() < 0.2 for _ in found]}
+        cell |= {"hub": hubs, "distance": [None if h is None else rng.randrange(0, 40) for h in hubs], "low": [0], "high": [rng.randrange(2)], "sketch": [similar.parities(f) for f in found], "set": list(range(m))}
+        refused = [{j for j in range(m) if (i * 7 + j * 7) % 11 == 0} for i in range(m)]
+        cell["refused"] = [sorted(r) or None for r in refused]
+        for more in (0, 1, 5):
+            told = []
+            for few in (0, 1000):
+                monkeypatch.setattr(similar, "FEW", few)
+                pairs, still = similar.near_pairs(cell, 90, more)
+                told.append((still, {p for p in pairs if p[2]}, len(pairs)))
+            assert told[0][0] == told[1][0] and len(told[0][1]) == len(told[1][1])
+
+
 def test_similar_components_of_many_groups_near_the_threshold(spark):
     rng, rows, want = random.Random(11), [], []
     for g in range(400):
