@@ -3,7 +3,8 @@
 Templates are few and known, so their index travels with the code. A text is read as words; the
 hashes of its ``GRAM`` words in a row are winnowed (the least of every ``WINDOW``) and looked up
 in the inverted index. Hits vote for a template and a diagonal, and around each the template is
-aligned with the text word by word in a band of up to ``BAND`` words. A match is reported with the
+aligned with the text word by word in a band of up to ``BAND`` words (``WIDE`` for whole licences, which need
+more hits to become candidates). A match is reported with the
 share of the template it covers and its span in the text, in characters. The words that tell a
 licence from its siblings (name, version) must stand in it.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,6 +71,11 @@ TELLING = {
     "GPL-3.0": ["gnu general public license version 3"], "GPL-3.0-notice": ["gnu general public license", "version 3 of"],
     "LGPL-2.1-notice": ["gnu lesser general public license", "version 2 1 of"], "LGPL-3.0-notice": ["gnu lesser general public license", "version 3 of"], "AGPL-3.0-notice": ["gnu affero general public license", "version 3 of"],
 } | {n: [re.search(r"(creative commons|cc) .* 4 0", " ".join(re.findall(r"[^\W_]+", t.lower())))[0]] for n, t in TEMPLATES.items() if n.startswith("CC-")}
+#: Whole texts, as their licensors publish them: one file for each, in ``license_texts``.
+WHOLE = {f"{f.stem}-whole": f.read_text(encoding="utf-8") for f in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+ALL = TEMPLATES | WHOLE
+#: From so many words on a template is long: it needs a hit for every ``VOTE`` of its words near a diagonal, and its band is ``WIDE``.
+LONG, VOTE, WIDE = 256, 64, 40
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _hashes: dict[str, int] = {}
@@ -102,7 +109,7 @@ def winnowed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """The inverted index of the templates' fingerprints."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, templates: dict[str, str] = ALL):
         self.names = sorted(templates)
         self.words = [_numbers(_WORD.findall(templates[n].lower())) for n in self.names]
         self.telling = [[_numbers(p.split()) for p in (TELLING.get(n, []) if TEMPLATES.get(n) == templates[n] else [])] for n in self.names]
@@ -127,19 +134,20 @@ class Index:
         hit = np.isin(grams, self.keys)
         if not hit.any():
             return []
-        diagonals: dict[int, set[int]] = defaultdict(set)
+        votes: dict[int, list[int]] = defaultdict(list)
         for g, a in zip(grams[hit].tolist(), at[hit].tolist(), strict=True):
             for t, b in self.where[g]:
-                diagonals[t].add(a - b)
+                votes[t].append(a - b)
+        diagonals = {t: candidates(ds, len(self.words[t])) for t, ds in votes.items()}
         spans = [m.span() for m in _WORD.finditer(low)]
         found = []
         for t, ds in diagonals.items():
-            own, last, band = [], None, min(BAND, len(self.words[t]) // 4)
+            own, last, band = [], None, band_of(len(self.words[t]))
             for d in sorted(ds):
                 if last is not None and d - last <= band // 2:
                     continue  # the band of the last one holds this diagonal
                 last = d
-                matched, first, stop = align(self.words[t], numbers, d, band)
+                matched, first, stop = (align if len(self.words[t]) < LONG else align_long)(self.words[t], numbers, d, band)
                 if matched >= COVERAGE * len(self.words[t]) and all(stands_in(p, numbers[first:stop]) for p in self.telling[t]):
                     own.append((-matched, first, stop))
             taken: list[tuple[int, int]] = []
@@ -154,6 +162,25 @@ class Index:
         return sorted((f[4] for f in best), key=lambda f: (f[3], f[0], f[4]))
 
 
+def band_of(words: int) -> int:
+    return WIDE if words >= LONG else min(BAND, words // 4)
+
+
+def candidates(diagonals: list[int], words: int) -> list[int]:
+    """The diagonals that are aligned, rising: all of a short template's; of a long one those with enough hits within the band, the densest of those that would overlap."""
+    if words < LONG:
+        return sorted(set(diagonals))
+    d, band = np.sort(np.array(diagonals, np.int64)), band_of(words)
+    near = np.searchsorted(d, d + band, side="right") - np.searchsorted(d, d - band, side="left")
+    out: list[int] = []
+    for i in np.lexsort((d, -near)).tolist():  # the densest first; matches less than half a template apart would overlap, and count once
+        if near[i] * VOTE < words:
+            break
+        if all(abs(int(d[i]) - o) > words // 2 for o in out):
+            out.append(int(d[i]))
+    return sorted(out)
+
+
 def stands_in(phrase: np.ndarray, text: np.ndarray) -> bool:
     """Whether the words of a phrase stand in a row in a text."""
     n = len(text) - len(phrase) + 1
@@ -186,10 +213,38 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return (n, s, e) if n else (0, 0, 0)
 
 
+def align_long(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = WIDE) -> tuple[int, int, int]:
+    """``align`` a row at a time: a cell is one number, the count above the place of the start above (the complement of) that of the end."""
+    width, base = 2 * band + 1, diagonal - band
+    bits, top = 21, (1 << 21) - 1
+    if len(template) + width >= top:
+        raise ValueError("a template of more than two million words")
+    places = np.arange(width, dtype=np.int64)
+    best = np.zeros(width + 1, np.int64)  # the last cell lies outside of the band
+    for i, word in enumerate(template.tolist()):
+        j = i + base + places
+        inside = (j >= 0) & (j < len(text))
+        same = np.zeros(width, bool)
+        same[inside] = text[j[inside]] == word
+        row = best[1:].copy()
+        if same.any():
+            k = np.nonzero(same)[0]
+            held = best[k]
+            at = i + k + 1  # places from the band's first one on, counted from 1
+            start = np.where(held > 0, held >> bits & top, at)
+            row[k] = np.maximum(row[k], ((held >> 2 * bits) + 1) << 2 * bits | start << bits | top - at)
+        best[:width] = np.maximum.accumulate(row)
+        best[width] = 0
+    cell = int(best.max())
+    if not cell:
+        return 0, 0, 0
+    return cell >> 2 * bits, (cell >> bits & top) - 1 + base, top - (cell & top) + base
+
+
 _built: dict[int, Index] = {}
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL) -> DataFrame:
     """(doc_id, template, coverage, matched_words, span_start, span_end), one row per match."""
     key = hash(tuple(sorted(templates.items())))
 

@@ -251,3 +251,82 @@ def test_sibling_licenses_are_told_apart():
     assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0-line"] and names("Licensed under CC BY-NC 3.0.") == []
     bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("3. Neither", "* Neither").replace("the copyright holder nor", "Foo Inc nor")
     assert names(bsd) == ["BSD-3-Clause"]
+
+
+def test_whole_licenses_are_matched_over_their_whole_span():
+    index = licenses.Index()
+    for name in ("GPL-3-whole", "Apache-2.0-whole", "LGPL-2.1-whole", "MPL-2.0-whole", "LGPL-3-whole"):
+        text = licenses.WHOLE[name]
+        before = "Some words first. " * 30
+        (match,) = index.scan(before + text + " And more.")
+        assert match[0] == name and match[1] == 1.0 and match[4] - match[3] > 0.99 * len(text.strip()) and match[3] >= len(before)
+        words = text.split()
+        for i in range(0, len(words), 40):
+            words[i] = "changed"
+        del words[len(words) // 2 : len(words) // 2 + 10]
+        (match,) = index.scan(" ".join(words))
+        assert match[0] == name and 0.9 < match[1] < 1.0 and match[4] - match[3] > 0.8 * len(" ".join(words))
+    twice = index.scan(licenses.WHOLE["CC0-1.0-whole"] + " and again " + licenses.WHOLE["CC0-1.0-whole"])
+    assert [m[0] for m in twice] == ["CC0-1.0-whole"] * 2 and twice[0][4] < twice[1][3]
+    half = licenses.WHOLE["GPL-2-whole"]
+    assert "GPL-2-whole" not in [m[0] for m in index.scan(half[: len(half) // 2])]  # below the share that counts
+
+
+def test_both_alignments_agree():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        template, text = (rng.integers(0, 9, rng.integers(1, n)).astype(np.uint64) for n in (30, 50))
+        diagonal, band = int(rng.integers(-5, 20)), int(rng.integers(1, 9))
+        assert licenses.align(template, text, diagonal, band) == licenses.align_long(template, text, diagonal, band)
+
+
+def brute_language(docs_rows):
+    """Prototypes and cosines written out: letters, n-grams, sums, one at a time."""
+    import unicodedata
+    import zlib as z
+
+    letters = {}
+
+    def letter(c):
+        if c not in letters:
+            letters[c] = np.random.default_rng(c + 1).choice(np.array([-1, 1], np.int8), language.DIMENSIONS).astype(int)
+        return letters[c]
+
+    grams = {}
+
+    def vector(text):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+        kept = " ".join(kept.split())
+        if not any(unicodedata.category(c)[0] == "L" for c in kept):
+            return None
+        line, total = f" {kept} ", np.zeros(language.DIMENSIONS)
+        for i in range(len(line) - 2):
+            g = line[i : i + 3]
+            if g not in grams:
+                grams[g] = np.roll(letter(ord(g[0])), 0) * np.roll(letter(ord(g[1])), 1) * np.roll(letter(ord(g[2])), 2)
+            total += grams[g]
+        return total / np.linalg.norm(total) if np.linalg.norm(total) else total
+
+    sums = {}
+    for doc_id, text, lang in docs_rows:
+        v = vector(text)
+        if v is not None and lang is not None and z.crc32(str(doc_id).encode()) % 5 != 0:
+            sums[lang] = sums.get(lang, 0) + v
+    prototypes = {n: v / np.linalg.norm(v) for n, v in sums.items()}
+    out = {}
+    for doc_id, text, _ in docs_rows:
+        v = vector(text)
+        scores = {} if v is None else {n: float(v @ p) for n, p in prototypes.items()}
+        out[doc_id] = scores
+    return out
+
+
+def test_language_equals_a_second_way(docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = brute_language(rows)
+    for r in language.identify(docs).collect():
+        scores = want[r["doc_id"]]
+        if not scores:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+        else:
+            assert abs(max(scores.values()) - scores[r["lang_pred"]]) < 1e-4 and abs(r["score"] - max(0.0, min(1.0, scores[r["lang_pred"]]))) < 1e-4
