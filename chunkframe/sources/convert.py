@@ -15,12 +15,13 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.redistribute import redistribute
-from . import containers, elements, multiscale, tiff, zarr
+from . import containers, elements, hdf5, multiscale, tiff, zarr
 
 SPATIAL = ("z", "y", "x")
 #: Edge of a chunk by the bytes of the whole array, edge of a shard, and most chunks along an axis of a shard whose chunk was capped.
 CHUNK_EDGES, SHARD_EDGE, MOST_ALONG = ((20 << 30, 64), (100 << 30, 128), (None, 256)), 1024, 8
 LABEL_TYPES = ("uint32", "uint64", "int32", "int64")
+HDF5, IMARIS = (".h5", ".hdf5", ".hdf"), ".ims"
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class Options:
 
     ``box``: axis to (first, size), on the source's axes. ``pick``: the place of an axis that goes (channel, time, view).
     ``squeeze``: axes of extent 1 that go. ``order``: the target's axes (``ome``: others first, then z, y, x); axes
-    that the source lacks are new, of extent 1. ``chunk``, ``shard``: one number for spatial axes, or one for each of the target's. ``presets``: see ``PRESETS``.
+    that the source lacks are new, of extent 1. ``chunk``, ``shard``: one number for spatial axes, or one for each of the target's. ``dataset``: that of an HDF5 file.
+    ``preset`` gives options by purpose.
     """
 
     box: dict[str, tuple[int, int]] = field(default_factory=dict)
@@ -51,6 +53,7 @@ class Options:
     group: str | None = None
     pyramid: bool = False
     method: str = "auto"
+    dataset: str | None = None
 
 
 #: Options by purpose; a preset gives what isn't asked for otherwise.
@@ -93,6 +96,7 @@ class Plan:
     is_label: bool
     method: str
     exchange: bool
+    dataset: str | None = None
 
     def described(self) -> dict:
         """The plan as plain values, for a preview."""
@@ -136,7 +140,7 @@ def base_array(spark: SparkSession, source: str) -> tuple[str, dict | None]:
     """The array to read at a path, and the multiscale it is the first level of: a stack of pages or the array itself, or of a group
     the first level its metadata list, else ``s0`` or ``0``, looked for in the group and in its one image."""
     source = source.rstrip("/").removeprefix("precomputed://")
-    if is_stack(spark, source):
+    if is_stack(spark, source) or source.lower().endswith((*HDF5, IMARIS)):
         return source, None
     if containers.exists(spark, source) or zarr.read_json(spark, f"{source}/info") is not None:
         try:
@@ -169,8 +173,35 @@ def is_stack(spark: SparkSession, source: str) -> bool:
     return bool(found) and len(found) > 0
 
 
-def describe_source(spark: SparkSession, array: str) -> dict:
-    """``zarr.describe`` of an array, or the like of a stack of pages: frame by frame, its chunks are pages."""
+# Attributes of an HDF5 dataset that tell its unit, and the size of a voxel along an axis, the first one wins.
+UNIT_NAMES = ("unit", "units", "voxel_unit", "pixel_unit", "resolution_unit", "spatial_unit", "voxel_units", "pixel_units")
+SIZE_NAMES = ("voxel_size_{}", "pixel_size_{}", "resolution_{}", "d{}", "scale_{}")
+
+
+def attribute_voxel(attributes: dict) -> dict[str, float]:
+    """Nanometres by axis from the attributes of an HDF5 dataset: one for each axis in a unit of its own attribute, or z, y, x in micrometres together."""
+    together = attributes.get("element_size_um")
+    if isinstance(together, list) and len(together) == 3:
+        return dict(zip("zyx", (float(v) * 1e3 for v in together), strict=True))
+    unit = next((str(attributes[n]).strip().lower() for n in UNIT_NAMES if n in attributes), "")
+    factor = 1.0 if unit in ("", "nm") or "nanom" in unit else 1e6 if unit == "mm" or "millim" in unit else 1e9 if unit in ("m", "meter", "meters") else 1e3
+    out = {}
+    for a in "xyz":
+        told = next((attributes[n.format(a)] for n in SIZE_NAMES if isinstance(attributes.get(n.format(a)), (int, float))), None)
+        if told is not None:
+            out[a] = float(told) * factor
+    return out
+
+
+def describe_source(spark: SparkSession, array: str, dataset: str | None = None) -> dict:
+    """``zarr.describe`` of an array, or the like of a file: a stack of pages is read frame by frame, its chunks are pages;
+    of an HDF5 file the dataset that is named, or the largest; of an Imaris file its finest level."""
+    if array.lower().endswith(IMARIS):
+        found = hdf5.describe_imaris(array)
+        return {"format": "imaris", "fill": 0, "names": found["axes"], "attributes": {"voxel": found["voxel"]}} | {k: found[k] for k in ("shape", "chunk", "dtype")}
+    if array.lower().endswith(HDF5):
+        found = hdf5.describe(array, dataset)
+        return {"format": "hdf5", "names": None, "attributes": {"voxel": attribute_voxel(found["attributes"])}} | {k: found[k] for k in ("shape", "chunk", "dtype", "fill")}
     if not is_stack(spark, array):
         return zarr.describe(spark, array)
     found = tiff.describe(spark, array)
@@ -207,7 +238,7 @@ def _voxel(info: dict, scale: dict | None, axes: list[str]) -> dict[str, float]:
         if told:
             return {a: v * (nm.get(units.get(a, ""), 1.0) if a in SPATIAL else 1.0) for a, v in zip(axes, told[0], strict=False)}
     meta = info["attributes"]
-    if info["format"] == "tiff":
+    if info["format"] in ("tiff", "hdf5", "imaris"):
         return dict(meta["voxel"])
     if info["format"] == "precomputed":
         return dict(zip("xyz", map(float, meta["scales"][0]["resolution"]), strict=False))
@@ -221,7 +252,7 @@ def _voxel(info: dict, scale: dict | None, axes: list[str]) -> dict[str, float]:
 
 def plan(spark: SparkSession, source: str, options: Options = Options()) -> Plan:  # noqa: B008
     array, scale = base_array(spark, source)
-    info = describe_source(spark, array)
+    info = describe_source(spark, array, options.dataset)
     axes = source_axes(info, scale, options.axes)
     shape = dict(zip(axes, info["shape"], strict=True))
     pick = dict(options.pick) | {a: 0 for a in options.squeeze}
@@ -264,12 +295,16 @@ def plan(spark: SparkSession, source: str, options: Options = Options()) -> Plan
     return Plan(
         array, axes, info["shape"], info["chunk"], order, to, start, {at[a]: i for a, i in pick.items()}, ",".join(f"{a}={f}:{f + n}" for a, (f, n) in box.items()),
         extent, chunk, shard, target, dtype, info["fill"] if options.fill is None else options.fill, [voxel[a] for a in order], options.unit, is_label,
-        ("mode" if is_label else "mean") if options.method == "auto" else options.method, not inside_source(to, start, chunk, info["chunk"]),
+        ("mode" if is_label else "mean") if options.method == "auto" else options.method, not inside_source(to, start, chunk, info["chunk"]), options.dataset,
     )
 
 
 def chunks_of(spark: SparkSession, job: Plan) -> DataFrame:
     """The target's chunks, from those of the source that the box touches."""
+    low = job.array.lower()
+    if low.endswith((*HDF5, IMARIS)):
+        rows = hdf5.read_imaris(spark, job.array) if low.endswith(IMARIS) else hdf5.read_chunks(spark, job.array, job.dataset)
+        return redistribute(rows, job.shape, job.chunk, job.order, job.start, job.pick, job.dtype, job.fill)
     if is_stack(spark, job.array):
         return redistribute(tiff.read_chunks(spark, job.array, "".join(job.source_axes)), job.shape, job.chunk, job.order, job.start, job.pick, job.dtype, job.fill)
     elements.register(spark)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_resample import whole
 
-from chunkframe.sources import hdf5, zarr
+from chunkframe.sources import convert, hdf5, zarr
 
 RNG = np.random.default_rng(9)
 NO = 2**64 - 1
@@ -200,3 +200,25 @@ def test_what_is_not_read():
         hdf5.undone(b"x", [(32000, [])], 0, 1)
     with pytest.raises(ValueError, match="version 4"):
         hdf5._layout(b"\x04\x02")
+
+
+def test_files_are_converted(spark):
+    a = RNG.integers(0, 900, (7, 12, 10)).astype("<u2")
+    m = Maker()
+    path = saved(m.done(m.group({"small": m.dataset(a[:2]), "big": m.dataset(a, (3, 8, 8), (hdf5.DEFLATE,), skip=(0,), attributes=[m.attribute("element_size_um", [2.0, 0.5, 0.5])])})))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = convert.plan(spark, path)
+    assert (job.shape, job.axes, job.voxel) == ([7, 12, 10], ["z", "y", "x"], [2000.0, 500.0, 500.0])
+    done = convert.convert(spark, path, f"{folder}/a.zarr", convert.Options(order="xyz", chunk=4))
+    want = a.copy()
+    want[:3, :8, :8] = 0  # the chunk that is not stored
+    assert (whole(zarr.read_chunks(spark, done["array"]), (10, 12, 7), "uint16") == want.transpose(2, 1, 0)).all()
+    small = convert.convert(spark, path, f"{folder}/b.zarr", convert.Options(dataset="/small"))
+    assert (whole(zarr.read_chunks(spark, small["array"]), (2, 12, 10), "uint16") == a[:2]).all()
+
+
+def test_sizes_in_attributes():
+    sizes = convert.attribute_voxel
+    assert sizes({"element_size_um": [2.0, 0.5, 0.25]}) == {"z": 2000.0, "y": 500.0, "x": 250.0} and sizes({}) == {}
+    assert sizes({"voxel_size_x": 4.0, "dx": 9.0, "dy": 5, "scale_z": 2.0, "unit": "um"}) == {"x": 4000.0, "y": 5000.0, "z": 2000.0}
+    assert sizes({"pixel_size_x": 8.0}) == {"x": 8.0} and sizes({"dx": "8", "units": "mm"}) == {}
