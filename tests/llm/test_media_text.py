@@ -330,3 +330,30 @@ def test_language_equals_a_second_way(docs):
             assert r["lang_pred"] == "und" and r["score"] == 0
         else:
             assert abs(max(scores.values()) - scores[r["lang_pred"]]) < 1e-4 and abs(r["score"] - max(0.0, min(1.0, scores[r["lang_pred"]]))) < 1e-4
+
+
+def spots_in_words(text):
+    """Spots as tuples of words, found word by word."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        if w in spots.ANCHORS:
+            chain = [v for v in words[i + 1 :] if v not in spots.ANCHORS][: spots.CHAIN]
+            if len(chain) == spots.CHAIN:
+                out.add((w, *chain))
+    if not out and len(words) > spots.CHAIN:
+        out = set(zip(words, words[1:], words[2:], strict=False))
+    return out or ({(w,) for w in words} if words else {("", text or "")})
+
+
+def test_spots_equal_a_second_way(docs, odd):
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()][:120] + [r["text"] for r in odd.collect()]
+    texts = [t if t is None or len(t) < 8000 else t[:8000] for t in texts]  # the second way takes a square of the length
+    by_words = [spots_in_words(t) for t in texts]
+    by_hash = [spots.spots(t) for t in texts]
+    for a, h in zip(by_words, by_hash, strict=True):
+        assert len(a) == len(h)
+    for i in range(1, len(texts)):
+        for j in {i - 1, i * 7 % len(texts)}:
+            a, b = by_words[i], by_words[j]
+            assert abs(spots.jaccard(by_hash[i], by_hash[j]) - len(a & b) / len(a | b)) < 1e-12
