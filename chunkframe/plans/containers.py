@@ -11,7 +11,7 @@ from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
 from ..operators import blocks, discovery, redistribute
-from ..sources import convert, elements, fixtures, multiscale, precomputed, tiff, zarr
+from ..sources import convert, elements, fixtures, hdf5, multiscale, precomputed, tiff, zarr
 from ..sources.fixtures import SQL
 from ..streaming import incremental
 from .catalog import query
@@ -128,6 +128,8 @@ def source_summaries(spark, d):
     return _volumes(spark, d).select("k", F.array_join("axes", "").alias("order_"), F.array_join(F.transform("shape", lambda n: n.cast("string")), "x").alias("extent"), F.when(_is_label(), "segmentation").otherwise("image").alias("hint"), (F.array_max("voxel") > F.array_min("voxel")).alias("anisotropic"))
 
 
+_DENSE = f"(SELECT g.t, g.c, g.x, coalesce(s.v, 0) AS v FROM (SELECT a.t, b.c, e.x FROM range(30) a(t), range(5) b(c), range(24) e(x)) g LEFT JOIN ({SQL['channels']}) s USING (t, c, x))"
+
 # -- stored arrays --------------------------------------------------------------------------
 
 
@@ -296,6 +298,18 @@ def tiff_stack(spark, d):
     return spark.read.format(elements.ChunkedArray.name()).load(done["array"])
 
 
+@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(c AS BIGINT) AS c, CAST(x AS BIGINT) AS x, CAST(v AS INTEGER) AS v FROM {_DENSE}")
+def hdf5_files(spark, d):
+    """An HDF5 file for each day, read by its own walk; the file's name tells the day."""
+    shape = {"t": 30, "c": 5, "x": 24}
+    chunks = blocks.to_chunks(fixtures.channels(spark, d), shape, {"t": 1, "c": 5, "x": 24}, dtype="int32")
+    root = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    hdf5.write_files(redistribute.with_missing(chunks, list(shape.values()), [1, 5, 24], "int32"), root, "day {}.h5")
+    day = F.regexp_extract("path", r"day (\d+)\.h5$", 1).cast("long")
+    rows = hdf5.read_files(spark, root).select(F.concat(F.array(day), "origin").alias("origin"), F.concat(F.array(F.lit(1).cast("long")), "extent").alias("extent"), "payload", "dtype")
+    return blocks.from_chunks(rows, ["t", "c", "x"], "int32")
+
+
 # -- listings -------------------------------------------------------------------------------
 
 #: What the ten files of a folder are called, by the kind of folder; {k} is a number.
@@ -373,11 +387,7 @@ def first_arrays(spark, d):
     return discovery.first_arrays(files, "root", F.col("inner").endswith("/.zarray"))
 
 
-def _dense_channels(cells: str) -> str:
-    return f"(SELECT g.t, g.c, g.x, coalesce(s.v, 0) AS v FROM (SELECT a.t, b.c, e.x FROM range(30) a(t), range(5) b(c), range(24) e(x)) g LEFT JOIN ({cells}) s USING (t, c, x))"
-
-
-@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(c AS BIGINT) AS c, CAST(x AS BIGINT) AS x, CAST(v AS INTEGER) AS v FROM {_dense_channels(SQL['channels'])}")
+@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(c AS BIGINT) AS c, CAST(x AS BIGINT) AS x, CAST(v AS INTEGER) AS v FROM {_DENSE}")
 def incremental_array(spark, d):
     """R: an array that three batches of a stream fill; a second stream with the same batches changes nothing, as their records are there."""
     root = f"{zarr.shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -429,6 +429,66 @@ def read_chunks(spark: SparkSession, path: str, dataset: str | None = None) -> D
     return table.repartition(max(1, len(jobs))).mapInArrow(run, zarr.CHUNK_SCHEMA)
 
 
+def file_of(datasets: dict[str, np.ndarray]) -> bytes:
+    """A file of a few contiguous datasets in one group."""
+    out = bytearray(96)
+
+    def put(data: bytes) -> int:
+        at = len(out)
+        out.extend(data + bytes(-len(data) % 8))
+        return at
+
+    def header(messages: list[tuple[int, bytes]]) -> int:
+        body = b"".join(struct.pack("<HHI", kind, len(data) + -len(data) % 8, 0) + data + bytes(-len(data) % 8) for kind, data in messages)
+        return put(struct.pack("<BBHIII", 1, 0, len(messages), 1, len(body), 0) + body)
+
+    names, places, objects = bytearray(8), {}, {}
+    for name, a in datasets.items():
+        kind = a.dtype.newbyteorder("<")
+        number = struct.pack("<HH", 0, 8 * kind.itemsize) if kind.kind != "f" else bytes(12)
+        said = struct.pack("<BBBBI", 0x11 if kind.kind == "f" else 0x10, 8 if kind.kind == "i" else 0, 0, 0, kind.itemsize) + number
+        data = np.ascontiguousarray(a).astype(kind).tobytes()
+        shape = struct.pack("<BBBBI", 1, a.ndim, 0, 0, 0) + struct.pack(f"<{a.ndim}Q", *a.shape)
+        objects[name] = header([(SPACE, shape), (DATATYPE, said), (LAYOUT, struct.pack("<BBQQ", 3, 1, put(data), len(data)))])
+        places[name] = len(names)
+        names += name.encode() + bytes(8 - len(name.encode()) % 8)
+    heap = put(b"HEAP" + bytes(4) + struct.pack("<QQQ", len(names), UNDEFINED, put(bytes(names))))
+    node = put(b"SNOD" + struct.pack("<BBH", 1, 0, len(objects)) + b"".join(struct.pack("<QQ", places[n], objects[n]) + bytes(24) for n in sorted(objects)))
+    tree = put(b"TREE" + struct.pack("<BBHQQ", 0, 0, 1, UNDEFINED, UNDEFINED) + struct.pack("<QQQ", 0, node, places[max(objects)]))
+    root = header([(TABLE, struct.pack("<QQ", tree, heap))])
+    out[:96] = MAGIC + bytes([0, 0, 0, 0, 0, 8, 8, 0]) + struct.pack("<HHI", 16, 16, 0) + struct.pack("<QQQQ", 0, UNDEFINED, len(out), UNDEFINED) + struct.pack("<QQ", 0, root) + bytes(24)
+    return bytes(out)
+
+
+def write_files(chunks: DataFrame, folder: str, name: str = "part_{}.h5") -> int:
+    """Every chunk (one place of the first axis) as a file with the dataset ``data``, named by that place; how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for i in range(b.num_rows):
+                origin, extent, payload, kind = (c[i].as_py() for c in b.columns)
+                zarr.put(f"{folder}/{name.format(origin[0])}", file_of({"data": np.frombuffer(payload, kind).reshape(extent[1:])}))
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return chunks.select("origin", "extent", "payload", "dtype").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0]
+
+
+def read_files(spark: SparkSession, folder: str, dataset: str | None = None) -> DataFrame:
+    """(path, origin, extent, payload, dtype) of the chunks of every HDF5 file of a folder; of each the dataset that is named, or its largest."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{h5,hdf5}").load(folder).select("path")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                name = dataset or largest(path)
+                for found in zarr.chunk_batches(_rows(path, name, iter(_jobs(path, name)))):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * found.num_rows), *found.columns], names=["path", *found.schema.names])
+
+    return files.mapInArrow(rows, "path string, " + zarr.CHUNK_SCHEMA)
+
+
 # -- Imaris ---------------------------------------------------------------------------------
 
 
