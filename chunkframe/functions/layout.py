@@ -174,3 +174,9 @@ def running_products(values: Column) -> Column:
 def consecutive(numbers: Column) -> Column:
     """How many of 1, 2, 3, ... are there before the first that lacks."""
     return F.size(F.filter(F.array_distinct(numbers), lambda n: (n > 0) & F.forall(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda i: F.array_contains(numbers, i))))
+
+
+def output_spec(shape: Column, axes: Column, edge: int = 64, shard: int = 1024) -> Column:
+    """shard and v2_chunk of an output: shards of ``shard`` clamped to the chunks that cover an axis, v2 chunks no longer than the axis."""
+    chunk = shape_by_axis(axes, edge)
+    return F.struct(clamped(shape, chunk, shape_by_axis(axes, shard)).alias("shard"), F.zip_with(chunk, shape, lambda c, n: F.least(c, n)).alias("v2_chunk"))

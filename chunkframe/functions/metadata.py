@@ -212,3 +212,33 @@ def format_of(path: Column) -> Column:
     for name, ends in SUFFIXES.items():
         found = found.when(F.element_at(F.split(low, r"\."), -1).isin(*ends), name)
     return found.otherwise("other")
+
+
+def level_path(root: Column, level: Column, prefix: Column, group: Column | None = None) -> Column:
+    """Where a level lies: in a group of the container (``raw``, ``labels/<name>``) or in the container itself."""
+    name = F.concat(prefix, level.cast("string"))
+    return F.concat_ws("/", root, *([group] if group is not None else []), name)
+
+
+def label_group(name: Column) -> Column:
+    return F.concat(F.lit("labels/"), name)
+
+
+def order_argument(said: Column, axes: Column) -> Column:
+    """The letters of an order, where they are those of the axes, each once; else null."""
+    return F.when(F.array_sort(F.split(said, "")) == F.array_sort(axes), said)
+
+
+def voxel_argument(said: Column) -> Column:
+    """Sizes by axis from x=..,y=..,z=..; blanks don't count, and what is no positive number is null."""
+    sizes = F.str_to_map(F.replace(said, F.lit(" "), F.lit("")), F.lit(","), F.lit("="))
+    return F.transform_values(sizes, lambda _, v: F.when(v.try_cast("double") > 0, v.try_cast("double")))
+
+
+INFO = "data_type string, scales array<struct<encoding:string>>"
+
+
+def classify_info(info: Column) -> Column:
+    """segmentation or image of a precomputed volume's parsed metadata (``INFO``): by the first scale's encoding and the type; without scales an image."""
+    first = F.get(info["scales"], F.lit(0))["encoding"]
+    return F.when(F.size(info["scales"]) == 0, "image").otherwise(classify(F.lit(""), info["data_type"], first))

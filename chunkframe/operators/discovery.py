@@ -82,3 +82,9 @@ def first_arrays(listing: DataFrame, key: str, is_array: Column, depth: int = 4,
     arrays = listing.where(is_array).select(key, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path")).distinct()
     found = seen.join(arrays, [key, "path"]).groupBy(key).agg(F.min(F.struct(F.size("places").alias("depth"), "places", "path")).alias("first"))
     return found.select(key, "first.path", "first.depth")
+
+
+def validated(found: DataFrame, folder: str, key: str) -> DataFrame:
+    """(folder, kind, n, ambiguous, first): datasets of each kind in a folder; more than one of a kind leaves open which is meant."""
+    many = F.count(F.lit(1))
+    return found.groupBy(folder, "kind").agg(many.alias("n"), (many > 1).alias("ambiguous"), F.min(key).alias("first"))

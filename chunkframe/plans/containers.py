@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
-from ..operators import blocks, discovery, redistribute
+from ..operators import blocks, discovery, redistribute, reports
 from ..sources import convert, elements, fixtures, hdf5, multiscale, precomputed, tiff, zarr
 from ..sources.fixtures import SQL
 from ..streaming import incremental
@@ -115,11 +115,9 @@ def voxels_of_metadata(spark, d):
 def classify_by_info(spark, d):
     """Precomputed info files by their first scale; without scales an image."""
     scales = F.when(F.col("k") % 7 == 0, F.array().cast("array<struct<encoding:string>>")).otherwise(F.array(F.struct(F.col("encoding"))))
-    info = F.from_json(F.to_json(F.struct(F.col("dtype").alias("data_type"), scales.alias("scales"))), "data_type string, scales array<struct<encoding:string>>")
+    info = F.from_json(F.to_json(F.struct(F.col("dtype").alias("data_type"), scales.alias("scales"))), M.INFO)
     table = _volumes(spark, d).select("k", info.alias("info"))
-    first = F.get(F.col("info")["scales"], F.lit(0))["encoding"]
-    kind = F.when(F.size(F.col("info")["scales"]) == 0, "image").otherwise(M.classify(F.lit(""), F.col("info")["data_type"], first))
-    return table.select("k", kind.alias("kind"), F.size(F.col("info")["scales"]).alias("scales"))
+    return table.select("k", M.classify_info(F.col("info")).alias("kind"), F.size(F.col("info")["scales"]).alias("scales"))
 
 
 @query(f"SELECT k, array_to_string(axes, '') AS order_, array_to_string(shape, 'x') AS extent, CASE WHEN {_LABELS} THEN 'segmentation' ELSE 'image' END AS hint, list_max(voxel) > list_min(voxel) AS anisotropic FROM {VOL}")
@@ -415,12 +413,11 @@ def precomputed_labels(spark, d):
     return blocks.from_chunks(zarr.read_chunks(spark, path), ["x", "y", "z", "c"], "uint64")
 
 
-@query("SELECT o_custkey AS batch, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus IN ('F', 'P')) = count(*) AS complete, min(o_orderkey) FILTER (o_orderstatus = 'O') AS first_failure FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS batch, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus IN ('F', 'P')) = count(*) AS complete, min(o_orderkey) FILTER (o_orderstatus = 'O') AS first_failure, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER (o_orderstatus = 'O'))[1:10], ','), '') AS failures FROM orders GROUP BY o_custkey")
 def batch_reports(spark, d):
-    """Counts by status of every batch, whether it is complete, its first failure."""
-    of = lambda *s: F.count_if(F.col("o_orderstatus").isin(*s))
-    orders = fixtures.table(spark, d, "orders")
-    return orders.groupBy(F.col("o_custkey").alias("batch")).agg(F.count(F.lit(1)).alias("total"), of("F").alias("done"), of("O").alias("failed"), of("P").alias("skipped"), (of("F", "P") == F.count(F.lit(1))).alias("complete"), F.min(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("first_failure"))
+    """Counts by status of every batch, whether it is complete, its first ten failures."""
+    found = reports.batch_report(fixtures.table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", "F", "O", "P")
+    return found.select(F.col("o_custkey").alias("batch"), "total", "done", "failed", "skipped", "complete", F.get("failures", F.lit(0)).alias("first_failure"), F.array_join(F.transform("failures", lambda x: x.cast("string")), ",").alias("failures"))
 
 
 @query(f"SELECT i.root, i.path AS image, l.path AS label FROM {LISTING.replace('AS listing', 'AS i')} JOIN {LISTING.replace('AS listing', 'AS l')} ON i.root = l.root WHERE contains(i.path, '/raw/s') AND regexp_matches(i.path, '/raw/s[0-9]+/zarr.json$') AND regexp_matches(l.path, '/labels/[^/]+/s[0-9]+/zarr.json$') AND regexp_extract(i.path, '/s([0-9]+)/', 1) = regexp_extract(l.path, '/s([0-9]+)/', 1)")

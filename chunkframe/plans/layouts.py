@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import metadata as M
 from ..functions import ome
-from ..sources import fixtures
+from ..operators import discovery, reports
+from ..sources import fixtures, zarr
 from ..sources.fixtures import SQL
 from .catalog import query
 
@@ -47,7 +50,7 @@ def classify_volumes(spark, d):
 def validate_folders(spark, d):
     """A folder with more than one dataset of a kind is ambiguous."""
     found = _volumes(spark, d).select("k", F.expr("k div 100").alias("folder"), M.classify(F.col("word"), F.col("dtype"), F.col("encoding")).alias("kind"))
-    return found.groupBy("folder", "kind").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("ambiguous"), F.min("k").alias("first_k"))
+    return discovery.validated(found, "folder", "k").withColumnRenamed("first", "first_k")
 
 
 @query(f"SELECT k, array_to_string(o, ',') AS places, array_to_string(list_transform(range(r), lambda i: list_position(o, i) - 1), ',') AS back FROM (SELECT k, r, list_concat(list_filter(range(r), lambda i: axes[i + 1] NOT IN {SPACE}), list_filter(range(r), lambda i: axes[i + 1] IN {SPACE})) AS o FROM (SELECT k, r, list_reverse(axes) AS axes FROM {VOL}))")
@@ -113,10 +116,8 @@ def default_chunks_and_shards(spark, d):
 @query(f"SELECT k, array_to_string(list_transform(range(r), lambda i: CASE WHEN axes[i + 1] NOT IN {SPACE} THEN 1 WHEN shape[i + 1] < 1024 THEN least((shape[i + 1] + 63) // 64 * 64, 1024) ELSE 1024 END), ',') AS shard, array_to_string(list_transform(range(r), lambda i: CASE WHEN axes[i + 1] IN {SPACE} THEN least(64, shape[i + 1]) ELSE 1 END), ',') AS v2_chunk, CASE WHEN k % 2 = 0 THEN 5 ELSE 1 END AS zstd_level FROM {VOL}")
 def output_specs(spark, d):
     """Shards of 1024 clamped to the chunks that cover an axis, v2 chunks no longer than the axis, levels by sharding."""
-    axes, shape = F.col("axes"), F.col("shape")
-    shard = L.clamped(shape, L.shape_by_axis(axes, 64), L.shape_by_axis(axes, 1024))
-    v2 = F.zip_with(L.shape_by_axis(axes, 64), shape, lambda c, n: F.least(c, n))
-    return _volumes(spark, d).select("k", whole(shard).alias("shard"), whole(v2).alias("v2_chunk"), F.when(F.col("k") % 2 == 0, 5).otherwise(1).alias("zstd_level"))
+    spec = _volumes(spark, d).select("k", L.output_spec(F.col("shape"), F.col("axes")).alias("s"))
+    return spec.select("k", whole(F.col("s.shard")).alias("shard"), whole(F.col("s.v2_chunk")).alias("v2_chunk"), F.when(F.col("k") % 2 == 0, 5).otherwise(1).alias("zstd_level"))
 
 
 _ONE = "CASE WHEN z / y >= 2 AND z / x >= 2 THEN [1, 2, 2] WHEN z / y <= 0.5 AND z / x <= 0.5 THEN [2, 1, 1] WHEN y / z >= 2 AND y / x >= 2 THEN [2, 1, 2] WHEN y / z <= 0.5 AND y / x <= 0.5 THEN [1, 2, 1] WHEN x / z >= 2 AND x / y >= 2 THEN [2, 2, 1] WHEN x / z <= 0.5 AND x / y <= 0.5 THEN [1, 1, 2] ELSE [2, 2, 2] END"
@@ -203,29 +204,30 @@ def provenance_keys(spark, d):
 @query(f"SELECT k, '/out/' || word || '.zarr/' || CASE WHEN k % 2 = 0 THEN 's' ELSE '' END || k % 5 AS level, '/out/' || word || '.zarr/raw/s0' AS image, '/out/' || word || '.zarr/labels/' || word || '/s0' AS label FROM {VOL}")
 def level_paths(spark, d):
     """K9."""
-    root = F.concat(F.lit("/out/"), F.col("word"), F.lit(".zarr"))
-    name = F.concat(F.when(F.col("k") % 2 == 0, "s").otherwise(""), (F.col("k") % 5).cast("string"))
-    return _volumes(spark, d).select("k", F.concat_ws("/", root, name).alias("level"), F.concat_ws("/", root, F.lit("raw"), F.lit("s0")).alias("image"), F.concat_ws("/", root, F.lit("labels"), F.col("word"), F.lit("s0")).alias("label"))
+    root, zero = F.concat(F.lit("/out/"), F.col("word"), F.lit(".zarr")), F.lit(0)
+    level = M.level_path(root, F.col("k") % 5, F.when(F.col("k") % 2 == 0, "s").otherwise(""))
+    image, label = M.level_path(root, zero, F.lit("s"), F.lit("raw")), M.level_path(root, zero, F.lit("s"), M.label_group(F.col("word")))
+    return _volumes(spark, d).select("k", level.alias("level"), image.alias("image"), label.alias("label"))
 
 
 @query(f"SELECT k, k % 3 <> 2 AS valid, CASE WHEN k % 3 <> 2 THEN array_to_string(list_reverse(axes), '') END AS said, voxel[r] * 2 AS x, voxel[r - 2] AS z FROM {VOL}")
 def order_and_voxel_arguments(spark, d):
     """K3, K4: letters that must be a permutation of the axes, and sizes given as x=..,y=..,z=.."""
     said = F.when(F.col("k") % 3 == 2, F.concat(F.array_join(F.slice(F.reverse("axes"), 1, 2), ""), F.lit("xx"))).otherwise(F.array_join(F.reverse("axes"), ""))
-    letters = F.split(said, "")
-    valid = F.array_sort(letters) == F.array_sort("axes")
+    order = M.order_argument(said, F.col("axes"))
     given = F.concat(F.lit("x="), (F.get("voxel", F.col("r") - 1) * 2).cast("string"), F.lit(",y=1, z="), F.get("voxel", F.col("r") - 3).cast("string"))
-    sizes = F.str_to_map(F.replace(given, F.lit(" "), F.lit("")), F.lit(","), F.lit("="))
-    return _volumes(spark, d).select("k", valid.alias("valid"), F.when(valid, said).alias("said"), sizes["x"].cast("double").alias("x"), sizes["z"].cast("double").alias("z"))
+    sizes = M.voxel_argument(given)
+    return _volumes(spark, d).select("k", order.isNotNull().alias("valid"), order.alias("said"), sizes["x"].alias("x"), sizes["z"].alias("z"))
 
 
-@query(f"SELECT k, k // 50 AS job, k % 50 AS row, '/in/' || word || '_' || k || '.tif' AS source, '/out/' || word || '_' || k || '.zarr' AS target FROM {VOL}")
+@query(f"SELECT k // 50 AS job, k % 50 AS row, '/in/' || word || '_' || k || '.tif' AS source, '/out/' || word || '_' || k || '.zarr' AS target FROM {VOL}")
 def index_files(spark, d):
-    """K8, K7: lines of tab-separated indices, read back by their columns."""
+    """K8, K7: an index of jobs and their files, written as lines and read back."""
     source = F.concat(F.lit("/in/"), "word", F.lit("_"), F.col("k").cast("string"), F.lit(".tif"))
-    lines = _volumes(spark, d).select("k", F.expr("k div 50").alias("job"), F.concat_ws("\t", (F.col("k") % 50).cast("string"), source, M.output_path(source, "/in/", "/out")).alias("line"))
-    parts = F.split("line", "\t")
-    return lines.select("k", "job", F.get(parts, F.lit(0)).cast("long").alias("row"), F.get(parts, F.lit(1)).alias("source"), F.get(parts, F.lit(2)).alias("target"))
+    files = _volumes(spark, d).select(F.expr("k div 50").alias("job"), (F.col("k") % 50).alias("row"), source.alias("source"), M.output_path(source, "/in/", "/out").alias("target"))
+    path = f"{zarr.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    reports.write_index(files, path)
+    return reports.read_index(spark, path)
 
 
 ENDS = (".zarr", ".zarr/raw/s0", ".n5", ".n5/x", ".precomputed", ".tif", ".tiff", ".nd2", ".ims", ".h5", ".hdf5", ".czi", ".vsi")
@@ -305,7 +307,9 @@ def omero_blocks(spark, d):
 @query(f"SELECT k, i AS idx, CASE WHEN i < known THEN 'c' || i END AS name, i < 3 AS active, CASE WHEN n > 1 AND n < 8 THEN 'color' ELSE 'greyscale' END AS model, z // 2 AS default_z FROM (SELECT k, CASE WHEN r >= 4 THEN shape[r - 3] ELSE 1 END AS n, shape[r - 2] AS z, k % 5 AS known, unnest(range(CASE WHEN r >= 4 THEN shape[r - 3] ELSE 1 END)) AS i FROM {VOL})")
 def padded_channels(spark, d):
     """A channel for each place of the axis, however many were described, and how they are shown."""
-    table = _volumes(spark, d).select("k", F.when(F.col("r") >= 4, F.get("shape", F.col("r") - 4)).otherwise(1).alias("n"), F.get("shape", F.col("r") - 3).alias("z"), (F.col("k") % 5).alias("known"))
-    given = F.transform(F.sequence(F.lit(0), F.greatest(F.col("known") - 1, F.lit(0))), lambda i: F.concat(F.lit("c"), i.cast("string")))
-    name = F.when(F.col("idx") < F.col("known"), F.get(given, F.col("idx").cast("int")))
-    return table.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("k", "idx", name.alias("name"), (F.col("idx") < 3).alias("active"), F.when((F.col("n") > 1) & (F.col("n") < 8), "color").otherwise("greyscale").alias("model"), F.expr("z div 2").alias("default_z"))
+    k = F.col("k")
+    given = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(k % 5 - 1, F.lit(0))), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("name"), *(F.lit(None).cast(t).alias(n) for n, t in (("color", "string"), ("em", "double"), ("ex", "double"), ("dye", "string")))))
+    block = ome.omero(F.when(k % 5 > 0, given), F.col("dtype"), F.col("shape"), F.col("axes"))
+    table = _volumes(spark, d).select("k", (k % 5).alias("known"), block.alias("b")).select("k", "known", "b.rdefs", F.posexplode("b.channels").alias("i", "c"))
+    idx = F.col("i").cast("long")
+    return table.select("k", idx.alias("idx"), F.when(idx < F.col("known"), F.col("c.label")).alias("name"), "c.active", "rdefs.model", F.col("rdefs.defaultZ").alias("default_z"))
