@@ -242,3 +242,11 @@ def classify_info(info: Column) -> Column:
     """segmentation or image of a precomputed volume's parsed metadata (``INFO``): by the first scale's encoding and the type; without scales an image."""
     first = F.get(info["scales"], F.lit(0))["encoding"]
     return F.when(F.size(info["scales"]) == 0, "image").otherwise(classify(F.lit(""), info["data_type"], first))
+
+
+def box_argument(said: Column) -> Column:
+    """(origin, size) of six numbers with commas, three each; null for anything else, and for sizes that aren't positive."""
+    parts = F.transform(F.split(said, ","), lambda x: F.when(F.trim(x).rlike("^[+-]?[0-9]+$"), F.trim(x).try_cast("long")))
+    whole = (F.size(parts) == 6) & F.forall(parts, lambda x: x.isNotNull())
+    found = F.struct(F.slice(parts, 1, 3).alias("origin"), F.slice(parts, 4, 3).alias("size"))
+    return F.when(whole & F.forall(F.slice(parts, 4, 3), lambda x: x > 0), found)

@@ -345,3 +345,13 @@ def parsed_shapes(spark, d):
     said = whole(F.col("shape"), ", ")
     total = F.aggregate(M.parse_ints(said), F.lit(0).cast("long"), lambda a, n: a + n)
     return _volumes(spark, d).select("k", F.replace(said, F.lit(" "), F.lit("")).alias("said"), total.alias("total"))
+
+
+@query(f"SELECT k, k % 5 > 1 AS valid, CASE WHEN k % 5 > 1 THEN -(k % 9) END AS origin, CASE WHEN k % 5 > 1 THEN shape[r] END AS size FROM {VOL}")
+def box_arguments(spark, d):
+    """D3: boxes written as six numbers; some lack one, some have a size of 0."""
+    k = F.col("k")
+    size = F.when(k % 5 == 1, "0").otherwise(F.get("shape", F.col("r") - 1).cast("string"))
+    said = F.concat_ws(", ", F.lit("12"), F.lit("7"), (-(k % 9)).cast("string"), F.lit("3"), F.when(k % 5 > 0, "5"), size)
+    box = M.box_argument(said)
+    return _volumes(spark, d).select("k", box.isNotNull().alias("valid"), F.get(box["origin"], F.lit(2)).alias("origin"), F.get(box["size"], F.lit(2)).alias("size"))

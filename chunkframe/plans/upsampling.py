@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import blocks, resample
-from ..sources import fixtures
+from ..sources import convert, elements, fixtures, multiscale, zarr
 from .catalog import LIN_HEIGHT, _height, img, lin, query
 
 CHUNK = {"y": 100, "x": 32}
@@ -56,7 +58,10 @@ def upsample_cubic_chunks(spark, d):
 _LEVELS = "SELECT CAST(max(z) + 1 AS BIGINT) AS n, max(y) + 1 AS ny, max(x) + 1 AS nx FROM s"
 
 
-@query(f"WITH s AS (SELECT * FROM {img('volume')}), e AS ({_LEVELS}), g AS (SELECT n, unnest(range(2 * n)) AS k FROM e), p AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), n - 1) AS u FROM g), w AS (SELECT k, CAST(floor(u) AS BIGINT) AS i, 1 - (u - floor(u)) AS w FROM p UNION ALL SELECT k, CAST(floor(u) AS BIGINT) + 1, u - floor(u) FROM p WHERE u > floor(u)), o AS (SELECT k, unnest(range(ny)) AS y FROM g, e), a AS (SELECT k, y, unnest(range(nx)) AS x FROM o, e), t AS (SELECT k, y, x, sum(v * w) AS v FROM s JOIN w ON i = z GROUP BY ALL) SELECT k AS z, y, x, CAST(sign(round(coalesce(t.v, 0), 6)) * floor(abs(round(coalesce(t.v, 0), 6)) + 0.5::DOUBLE) AS BIGINT) AS v FROM a LEFT JOIN t USING (k, y, x)")
+_ISOTROPIC = f"WITH s AS (SELECT * FROM {img('volume')}), e AS ({_LEVELS}), g AS (SELECT n, unnest(range(2 * n)) AS k FROM e), p AS (SELECT n, k, least(greatest((k + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), n - 1) AS u FROM g), w AS (SELECT k, CAST(floor(u) AS BIGINT) AS i, 1 - (u - floor(u)) AS w FROM p UNION ALL SELECT k, CAST(floor(u) AS BIGINT) + 1, u - floor(u) FROM p WHERE u > floor(u)), o AS (SELECT k, unnest(range(ny)) AS y FROM g, e), a AS (SELECT k, y, unnest(range(nx)) AS x FROM o, e), t AS (SELECT k, y, x, sum(v * w) AS v FROM s JOIN w ON i = z GROUP BY ALL) SELECT k AS z, y, x, CAST(sign(round(coalesce(t.v, 0), 6)) * floor(abs(round(coalesce(t.v, 0), 6)) + 0.5::DOUBLE) AS BIGINT) AS v FROM a LEFT JOIN t USING (k, y, x)"
+
+
+@query(_ISOTROPIC)
 def isotropic_volume(spark, d):
     """A volume of 20 by 10 by 10 nm to 10 nm; what was never stored is 0."""
     src = fixtures.volume(spark, d)
@@ -66,6 +71,21 @@ def isotropic_volume(spark, d):
     return blocks.from_chunks(resample.upsample_to_isotropic(chunks, shape, {"z": 20.0, "y": 10.0, "x": 10.0}, {"z": 16, "y": 64, "x": 64})[0], ["z", "y", "x"])
 
 
+@query(_ISOTROPIC)
+def isotropic_container(spark, d):
+    """The same from a stored container to a stored container, whose metadata tell the new sizes."""
+    src = fixtures.volume(spark, d)
+    top = src.agg(*[(F.max(a) + 1).alias(a) for a in "zyx"]).first()
+    shape, chunk = {a: top[a] for a in "zyx"}, {"z": 16, "y": 64, "x": 4}
+    root = f"{zarr.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    zarr.write_chunks(blocks.to_chunks(src, shape, chunk), f"{root}/in/s0", list(shape.values()), list(chunk.values()), "int64", codec="zstd", names=list("zyx"))
+    axes = [{"name": a, "type": "space", "unit": "nanometer"} for a in "zyx"]
+    multiscale.write_group(f"{root}/in", {"attributes": {"ome": {"version": "0.5", "multiscales": [{"axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": [20.0, 10.0, 10.0]}]}]}]}}}, "zarr3")
+    done = convert.upsample(spark, f"{root}/in", f"{root}/out.zarr", options=convert.Options(kind="image", chunk=32))
+    elements.register(spark)
+    return spark.read.format(elements.ChunkedArray.name()).load(done["array"])
+
+
 @query(f"SELECT y, x, v FROM (SELECT y // 4 AS y, x // 2 AS x, v, row_number() OVER (PARTITION BY y // 4, x // 2 ORDER BY count(*) DESC, v) AS place FROM {img()} GROUP BY 1, 2, 3) WHERE place = 1")
 def chunk_downsample_mode(spark, d):
     """F2 without an exchange by element."""

@@ -10,11 +10,13 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import re
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.redistribute import redistribute
+from ..operators import resample
+from ..operators.redistribute import redistribute, with_missing
 from . import containers, elements, hdf5, multiscale, tiff, zarr
 
 SPATIAL = ("z", "y", "x")
@@ -369,6 +371,46 @@ def convert(spark: SparkSession, source: str, target: str, options: Options = Op
     return report
 
 
+def upsample(spark: SparkSession, source: str, target: str, group: str = "raw", size: float | None = None, options: Options = Options()) -> dict:  # noqa: B008
+    """Store ``source`` with voxels of one size along all spatial axes (``size`` in nanometres, else the smallest) as the level ``s0`` of a group of
+    ``target``, with the metadata of the group and of the container above it. A report. An error where the sizes are all within a hundredth of it.
+
+    ``options.method``: nearest, trilinear or cubic; auto is nearest for labels. Axes that aren't spatial stay as they are.
+    """
+    job = plan(spark, source, options)
+    if options.format == "n5":
+        raise ValueError("upsampled arrays are stored as zarr3 or zarr2")
+    method = "auto" if options.method in ("auto", "mean", "mode") else options.method
+    named = lambda values: dict(zip(job.axes, values, strict=True))
+    rows = with_missing(chunks_of(spark, job), job.shape, job.chunk, job.dtype, job.fill)
+    chunks, shape, voxel = resample.upsample_to_isotropic(rows, named(job.shape), named(job.voxel), named(job.chunk), size, method, job.is_label)
+    chunk = [min(job.chunk[i], shape[a]) for i, a in enumerate(job.axes)]
+    if chunk != job.chunk:
+        chunks = redistribute(chunks, list(shape.values()), chunk)
+    done = replace(job, shape=list(shape.values()), voxel=list(voxel.values()), chunk=chunk)
+    root = target.rstrip("/")
+    place = f"{root}/{group}/s0"
+    extra = {"names": job.axes, "shard": clamped_shard(done.shape, chunk, by_axis(job.axes, options.shard)) if options.shard else None} if options.format == "zarr3" else {}
+    stored = containers.write_array(spark, chunks, place, done.shape, chunk, job.dtype, options.mode, format=options.format, codec=options.codec, fill=job.fill, **extra)
+    multiscale.write_group(f"{root}/{group}", (multiscale.read_group(spark, f"{root}/{group}", options.format) or {}) | group_metadata(done, options.name or group.rpartition("/")[2], options.format), options.format)
+    multiscale.propagate(spark, f"{root}/{group}", root)
+    return {"array": place, "chunks": stored, "shape": done.shape, "chunk": chunk, "dtype": job.dtype, "voxel": done.voxel}
+
+
+def box_argument(text: str, axes: list[str]) -> dict[str, tuple[int, int]]:
+    """A box from six numbers with commas: three origins and three sizes, on the spatial axes in the source's order."""
+    parts = [p.strip() for p in text.split(",")]
+    if len(parts) != 6 or not all(re.fullmatch(r"[+-]?[0-9]+", p) for p in parts):
+        raise ValueError(f"box {text}: three origins and three sizes")
+    values = [int(p) for p in parts]
+    if min(values[3:]) <= 0:
+        raise ValueError(f"box {text}: sizes are positive")
+    spatial = [a for a in axes if a in SPATIAL]
+    if len(spatial) != 3:
+        raise ValueError(f"a box of three axes for {''.join(axes)}")
+    return dict(zip(spatial, zip(values[:3], values[3:], strict=True), strict=True))
+
+
 def convert_many(spark: SparkSession, sources: list[str], targets: list[str], options: Options = Options(), skip_existing: bool = True) -> list[dict]:  # noqa: B008
     """Sources one after the other, each a Spark job of its own; a failure is reported and does not stop the others.
 

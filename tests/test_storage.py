@@ -435,3 +435,27 @@ def test_chunks_of_frames_are_capped():
     assert convert.capped(["z", "y", "x"], [500, 2048, 2048], [1, 2048, 2048], 64) == ([128, 128, 128], [1024, 1024, 1024])
     assert convert.capped(["c", "z", "y", "x"], [2, 500, 900, 900], [1, 1, 900, 900], 64, [1, 64, 128, 128]) == ([1, 8, 64, 64], [1, 64, 128, 128])
     assert convert.clamped_shard([100, 10], [32, 16], [1024, 1024]) == [128, 16]
+
+
+def test_upsampled_containers(spark):
+    folder = new()
+    a = np.repeat(15 * np.arange(16, dtype="uint8")[:, None], 6, axis=1)
+    zarr.write_chunks(chunked(spark, a, (8, 4)), f"{folder}/in/s0", [16, 6], [8, 4], "uint8", names=["z", "x"])
+    axes = [{"name": n, "type": "space", "unit": "nanometer"} for n in "zx"]
+    multiscale.write_group(f"{folder}/in", {"attributes": {"ome": {"multiscales": [{"axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": [20.0, 9.0]}]}]}]}}}, "zarr3")
+    for format in ("zarr3", "zarr2"):
+        done = convert.upsample(spark, f"{folder}/in", f"{folder}/{format}.zarr", "img", options=convert.Options(format=format))
+        got = load(spark, done["array"])
+        assert done["shape"] == [36, 6] and done["voxel"] == [9.0, 9.0] and got.shape == (36, 6) and (np.diff(got.astype(int), axis=0) >= 0).all() and got.max() == 225
+        for place, path in ((f"{folder}/{format}.zarr/img", "s0"), (f"{folder}/{format}.zarr", "img/s0")):
+            scale = multiscale._holder(multiscale.read_group(spark, place, format), format)["multiscales"][0]
+            assert scale["datasets"][0]["path"] == path and scale["datasets"][0]["coordinateTransformations"][0]["scale"] == [9.0, 9.0] and [x["name"] for x in scale["axes"]] == ["z", "x"]
+        with pytest.raises(ValueError, match="already isotropic"):
+            convert.upsample(spark, f"{folder}/{format}.zarr", f"{folder}/again.zarr")
+
+
+def test_box_arguments():
+    assert convert.box_argument("1, 2,3,4,5,6", ["c", "z", "y", "x"]) == {"z": (1, 4), "y": (2, 5), "x": (3, 6)}
+    for bad in ("1,2,3,4,5", "1,2,3,4,5,0", "1,2,3,4,5,x", ""):
+        with pytest.raises(ValueError):
+            convert.box_argument(bad, ["z", "y", "x"])
