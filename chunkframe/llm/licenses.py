@@ -134,10 +134,12 @@ class Index:
         hit = np.isin(grams, self.keys)
         if not hit.any():
             return []
+        fits = [len(numbers) >= COVERAGE * len(w) for w in self.words]  # a shorter text cannot hold enough of a template
         votes: dict[int, list[int]] = defaultdict(list)
         for g, a in zip(grams[hit].tolist(), at[hit].tolist(), strict=True):
             for t, b in self.where[g]:
-                votes[t].append(a - b)
+                if fits[t]:
+                    votes[t].append(a - b)
         diagonals = {t: candidates(ds, len(self.words[t])) for t, ds in votes.items()}
         spans = [m.span() for m in _WORD.finditer(low)]
         found = []
