@@ -131,7 +131,7 @@ class Index:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         numbers = _numbers(_WORD.findall(low))
         grams, at = winnowed(numbers)
-        hit = np.isin(grams, self.keys)
+        hit = self.keys[np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)] == grams if len(self.keys) else np.zeros(len(grams), bool)
         if not hit.any():
             return []
         fits = [len(numbers) >= COVERAGE * len(w) for w in self.words]  # a shorter text cannot hold enough of a template
