@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metadata as M
@@ -79,7 +79,7 @@ def label_rgba(i: Column, alpha: int = 255) -> Column:
 def channels(xml: Column) -> Column:
     """Name, colour, wavelengths and dye of every channel element; null where an attribute is absent."""
     tags = F.regexp_extract_all(xml, F.lit(r"<(?:OME:)?Channel\s+([^>]+?)/?>"), 1)
-    text = lambda t, name: F.when(t.rlike(rf'(^|\s){name}\s*=\s*"'), F.regexp_extract(t, rf'(?:^|\s){name}\s*=\s*"([^"]*)"', 1))
+    text = lambda t, name: F.get(F.regexp_extract_all(t, F.lit(rf'(?:^|\s){name}\s*=\s*"([^"]*)"'), 1), F.lit(0))
     return F.transform(tags, lambda t: F.struct(
         text(t, "Name").alias("name"), M.rgba_hex(text(t, "Color").try_cast("int")).alias("color"), text(t, "EmissionWavelength").try_cast("double").alias("em"),
         text(t, "ExcitationWavelength").try_cast("double").alias("ex"), text(t, "Fluor").alias("dye")))
@@ -131,8 +131,28 @@ def czi_channels(xml: Column) -> Column:
 def channel_info(format: Column, czi_xml: Column, ome_xml: Column) -> Column:
     """The channels that a file describes: of a CZI file by its own metadata, else (and for all others) by OME-XML; null where none are told."""
     own = F.when(F.lower(format) == "czi", czi_channels(czi_xml))
-    general = channels(F.coalesce(F.when(ome_xml != "", ome_xml), czi_xml))
-    return F.coalesce(own, F.when(F.size(general) > 0, general))
+    general = channels(F.coalesce(F.nullif(ome_xml, F.lit("")), czi_xml))
+    return F.coalesce(own, M.once(general, lambda found: F.when(F.size(found) > 0, found)))
+
+
+def _extent(shape: Column, names: Column, axis: str) -> Column:
+    """How long an axis is; 1 where there is none."""
+    at = F.array_position(names, axis).cast("int")
+    return F.when(at > 0, F.get(shape, at - 1)).otherwise(1).cast("long")
+
+
+def _shown(c: Column, i: Column, n: Column, first: Column, last: Column) -> Column:
+    """The entry of the channel ``c``, the i-th of n."""
+    window = F.struct(first.alias("start"), last.alias("end"), first.alias("min"), last.alias("max"))
+    return F.struct(
+        (i < 3).alias("active"), F.lit(1).alias("coefficient"), M.channel_color(c["color"], c["em"], c["ex"], i, n).alias("color"), F.lit("linear").alias("family"),
+        F.lit(False).alias("inverted"), M.channel_label(c["name"], c["em"], c["ex"], c["dye"], i).alias("label"), window.alias("window"),
+    )
+
+
+def _drawn(n: Column, z: Column) -> Column:
+    model = F.when((n > 1) & (n < 8), "color").otherwise("greyscale")
+    return F.struct(F.lit(0).alias("defaultT"), F.floor(z / 2).alias("defaultZ"), model.alias("model"))
 
 
 def omero(found: Column, dtype: Column, shape: Column, names: Column, windows: Column | None = None) -> Column:
@@ -140,24 +160,30 @@ def omero(found: Column, dtype: Column, shape: Column, names: Column, windows: C
 
     ``found``: an array of channels or null. ``windows``: an array of (low, high) by channel where values were looked at; else by the type.
     """
-    at = lambda axis: F.array_position(F.transform(names, F.lower), axis).cast("int")
-    extent = lambda axis: F.when(at(axis) > 0, F.get(shape, at(axis) - 1)).otherwise(1)
-    n = extent("c")
     low, high = M.dtype_window(dtype)
 
-    def one(i: Column) -> Column:
-        c = F.get(found, i.cast("int"))
-        seen = F.get(windows, i.cast("int")) if windows is not None else None
-        first, last = (low, high) if seen is None else (F.coalesce(seen["low"].cast("double"), low), F.coalesce(seen["high"].cast("double"), high))
-        window = F.struct(first.alias("start"), last.alias("end"), first.alias("min"), last.alias("max"))
-        return F.struct(
-            (i < 3).alias("active"), F.lit(1).alias("coefficient"), M.channel_color(c["color"], c["em"], c["ex"], i, n).alias("color"), F.lit("linear").alias("family"),
-            F.lit(False).alias("inverted"), M.channel_label(c["name"], c["em"], c["ex"], c["dye"], i).alias("label"), window.alias("window"),
-        )
+    def one(v: Column, i: Column) -> Column:
+        seen = F.get(v["windows"], i.cast("int")) if windows is not None else None
+        first, last = (v["low"], v["high"]) if seen is None else (F.coalesce(seen["low"].cast("double"), v["low"]), F.coalesce(seen["high"].cast("double"), v["high"]))
+        return _shown(F.get(v["found"], i.cast("int")), i, v["n"], first, last)
 
-    model = F.when((n > 1) & (n < 8), "color").otherwise("greyscale")
-    rdefs = F.struct(F.lit(0).alias("defaultT"), F.floor(extent("z") / 2).alias("defaultZ"), model.alias("model"))
-    return F.struct(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), one).alias("channels"), rdefs.alias("rdefs"))
+    def block(v: Column) -> Column:
+        return F.struct(F.transform(F.sequence(F.lit(0).cast("long"), v["n"] - 1), lambda i: one(v, i)).alias("channels"), _drawn(v["n"], v["z"]).alias("rdefs"))
+
+    # what every channel looks at is worked out once a volume
+    lower = F.transform(names, F.lower)
+    known = {"found": found, "n": _extent(shape, lower, "c"), "z": _extent(shape, lower, "z"), "low": low, "high": high} | ({"windows": windows} if windows is not None else {})
+    return M.once(F.struct(*(c.alias(name) for name, c in known.items())), block)
+
+
+def omero_rows(volumes: DataFrame, keep: list[str], found: Column, dtype: Column, shape: Column, names: Column) -> DataFrame:
+    """(keep, rdefs, i, c): the same block of every volume as a row for each channel, for tables of many volumes."""
+    low, high = M.dtype_window(dtype)
+    told = volumes.select(*keep, found.alias("found"), low.alias("low"), high.alias("high"), shape.alias("shape"), F.transform(names, F.lower).alias("names"))
+    sized = told.select(*keep, "found", "low", "high", *(_extent(F.col("shape"), F.col("names"), a).alias(name) for name, a in (("n", "c"), ("z", "z"))))
+    rows = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    c = _shown(F.get("found", F.col("i").cast("int")), F.col("i"), F.col("n"), F.col("low"), F.col("high"))
+    return rows.select(*keep, _drawn(F.col("n"), F.col("z")).alias("rdefs"), "i", c.alias("c"))
 
 
 def voxel_nm(group: Column, path: Column, defaults: tuple[str, ...] = ("s0", "0")) -> Column:
