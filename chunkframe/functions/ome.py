@@ -188,17 +188,21 @@ def omero_rows(volumes: DataFrame, keep: list[str], found: Column, dtype: Column
 
 def voxel_nm(group: Column, path: Column, defaults: tuple[str, ...] = ("s0", "0")) -> Column:
     """x, y, z in nanometres of the level ``path`` (none given: the first with a default name); axes without a scale count 1."""
-    first = group["multiscales"][0]
     base = lambda p: F.element_at(F.split(p, "/"), -1)
     level = F.filter(first["datasets"], lambda x: (x["path"] == path) | ((path == "") & (x["path"].isin(*defaults) | base(x["path"]).isin(*defaults))))[0]
     scale = F.filter(level["coordinateTransformations"], lambda t: t["type"] == "scale")[0]["scale"]
 
-    def of(axis: str) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(first["axes"]) - 1), lambda i: F.lower(F.get(first["axes"], i)["name"]) == axis)[0]
-        unit = F.coalesce(F.get(first["axes"], at)["unit"], F.lit("micrometer"))
-        return F.when(scale.isNotNull(), F.when(F.get(scale, at).isNull(), 1.0).otherwise(M.to_nanometers(F.get(scale, at), unit)))
+    def known(first: Column) -> Column:
+        level = F.filter(first["datasets"], lambda x: (x["path"] == path) | ((path == "") & (x["path"].isin(*defaults) | base(x["path"]).isin(*defaults))))[0]
+        scale = F.filter(level["coordinateTransformations"], lambda t: t["type"] == "scale")[0]["scale"]
+        return F.struct(scale.alias("scale"), F.transform(first["axes"], lambda a: F.lower(a["name"])).alias("names"), first["axes"]["unit"].alias("units"))
 
-    return F.struct(*(of(a).alias(a) for a in "xyz"))
+    def of(v: Column, axis: str) -> Column:
+        at = F.array_position(v["names"], axis).cast("int") - 1  # -1, that is no place, where there is none
+        unit = F.coalesce(F.get(v["units"], at), F.lit("micrometer"))
+        return F.when(v["scale"].isNotNull(), F.when(F.get(v["scale"], at).isNull(), 1.0).otherwise(M.to_nanometers(F.get(v["scale"], at), unit)))
+
+    return M.once(M.once(group["multiscales"][0], known), lambda v: F.struct(*(of(v, a).alias(a) for a in "xyz")))
 
 
 def precomputed_info(kind: Column, dtype: Column, channels_: Column, size: Column, resolution: Column, chunk: Column) -> Column:

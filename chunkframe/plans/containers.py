@@ -106,9 +106,9 @@ def voxels_of_metadata(spark, d):
     names = F.array(*(F.struct(F.lit(a).alias("name"), F.lit("space").alias("type"), unit.alias("unit")) for a in "zyx"))
     scale = F.slice("voxel", F.col("r") - 2, F.when(F.col("k") % 5 == 0, 2).otherwise(3))
     json = F.to_json(F.struct(F.array(F.struct(names.alias("axes"), F.array(ome.dataset(F.lit("raw/s0"), scale), ome.dataset(F.lit("raw/s1"), scale)).alias("datasets"))).alias("multiscales")))
-    group = F.from_json("json", ome.GROUP)
-    found = F.filter(group["multiscales"][0]["axes"], lambda a: (a["type"] == "space"))[0]["unit"]
-    return _volumes(spark, d).select("k", json.alias("json")).select("k", ome.voxel_nm(group, F.lit("")).alias("v"), F.coalesce(found, F.lit("micrometer")).alias("unit")).select("k", "v.x", "v.y", "v.z", "unit")
+    found = F.filter(F.col("group")["multiscales"][0]["axes"], lambda a: (a["type"] == "space"))[0]["unit"]
+    parsed = _volumes(spark, d).select("k", F.from_json(json, ome.GROUP).alias("group"))
+    return parsed.select("k", ome.voxel_nm(F.col("group"), F.lit("")).alias("v"), F.coalesce(found, F.lit("micrometer")).alias("unit")).select("k", "v.x", "v.y", "v.z", "unit")
 
 
 @query(f"SELECT k, CASE WHEN k % 7 = 0 THEN 'image' WHEN encoding = 'compressed_segmentation' THEN 'segmentation' WHEN dtype IN ('uint32', 'uint64', 'int32', 'int64') THEN 'segmentation' ELSE 'image' END AS kind, CASE WHEN k % 7 = 0 THEN 0 ELSE 1 END AS scales FROM {VOL}")
