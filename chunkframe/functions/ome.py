@@ -87,14 +87,12 @@ def channels(xml: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute of an element's opening tag; null where it is absent."""
-    pattern = rf'^<[^>]*?\s{name}\s*=\s*"([^"]*)"'
-    return F.when(tag.rlike(pattern), unescaped(F.regexp_extract(tag, pattern, 1)))
+    return unescaped(F.get(F.regexp_extract_all(tag, F.lit(rf'^<[^>]*?\s{name}\s*=\s*"([^"]*)"'), 1), F.lit(0)))
 
 
 def _element(tag: Column, name: str) -> Column:
     """The text of an element inside; null where it is absent or empty."""
-    found = F.trim(F.regexp_extract(tag, rf"<{name}\b[^>]*>([^<]*)</{name}>", 1))
-    return F.when(found != "", unescaped(found))
+    return unescaped(F.nullif(F.trim(F.regexp_extract(tag, rf"<{name}\b[^>]*>([^<]*)</{name}>", 1)), F.lit("")))
 
 
 def unescaped(text: Column) -> Column:
@@ -113,19 +111,22 @@ def czi_channels(xml: Column) -> Column:
     of the display setting of the same name, as #RRGGBB. Null where there are none.
     """
     inner = F.regexp_extract(xml, r"(?s)<Dimensions\b.*?<Channels\b[^>]*>(.*?)</Channels>", 1)
-    inner = F.when(inner != "", inner).otherwise(F.regexp_extract(xml, r"(?s)<Channels\b[^>]*>(.*?)</Channels>", 1))
+    inner = F.coalesce(F.nullif(inner, F.lit("")), F.regexp_extract(xml, r"(?s)<Channels\b[^>]*>(.*?)</Channels>", 1))
     tags = F.regexp_extract_all(inner, F.lit(_CHANNEL), 0)
     shown = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)<DisplaySetting\b.*</DisplaySetting>", 0), F.lit(_CHANNEL), 0)
-    display = F.transform(shown, lambda t: F.struct(F.coalesce(F.when(_attribute(t, "Name") != "", _attribute(t, "Name")), _attribute(t, "Id")).alias("name"), _element(t, "Color").alias("color")))
+    display = F.transform(shown, lambda t: F.struct(F.coalesce(F.nullif(_attribute(t, "Name"), F.lit("")), _attribute(t, "Id")).alias("name"), _element(t, "Color").alias("color")))
     display = F.filter(display, lambda d: d["color"].rlike("^#.{6}$"))
 
-    def one(t: Column) -> Column:
-        name, own = _attribute(t, "Name"), _attribute(t, "Color")
+    def described(t: Column, name: Column, own: Column, display: Column) -> Column:
         from_display = F.try_element_at(F.filter(display, lambda d: (d["name"] == name) & (name != "")), F.lit(-1))["color"]
         told = F.coalesce(M.rgba_hex(F.trim(own).try_cast("long")), F.when(own.rlike("^#.{8}$"), F.upper(F.substring(own, 4, 6))), F.upper(F.substring(from_display, 2, 6)))
         return F.struct(name.alias("name"), told.alias("color"), _element(t, "EmissionWavelength").try_cast("double").alias("em"), _element(t, "ExcitationWavelength").try_cast("double").alias("ex"), F.coalesce(_element(t, "DyeName"), _element(t, "Fluor")).alias("dye"))
 
-    return F.when(F.size(tags) > 0, F.transform(tags, one))
+    def all_(s: Column) -> Column:
+        one = lambda t: M.once(F.struct(_attribute(t, "Name").alias("name"), _attribute(t, "Color").alias("own")), lambda x: described(t, x["name"], x["own"], s["display"]))
+        return F.when(F.size(s["tags"]) > 0, F.transform(s["tags"], one))
+
+    return M.once(F.struct(tags.alias("tags"), display.alias("display")), all_)
 
 
 def channel_info(format: Column, czi_xml: Column, ome_xml: Column) -> Column:
@@ -189,8 +190,6 @@ def omero_rows(volumes: DataFrame, keep: list[str], found: Column, dtype: Column
 def voxel_nm(group: Column, path: Column, defaults: tuple[str, ...] = ("s0", "0")) -> Column:
     """x, y, z in nanometres of the level ``path`` (none given: the first with a default name); axes without a scale count 1."""
     base = lambda p: F.element_at(F.split(p, "/"), -1)
-    level = F.filter(first["datasets"], lambda x: (x["path"] == path) | ((path == "") & (x["path"].isin(*defaults) | base(x["path"]).isin(*defaults))))[0]
-    scale = F.filter(level["coordinateTransformations"], lambda t: t["type"] == "scale")[0]["scale"]
 
     def known(first: Column) -> Column:
         level = F.filter(first["datasets"], lambda x: (x["path"] == path) | ((path == "") & (x["path"].isin(*defaults) | base(x["path"]).isin(*defaults))))[0]
