@@ -297,15 +297,15 @@ def json_scale_extract(spark, d):
     return parsed.select("k", "path", F.element_at(scale, -3).alias("z"), F.element_at(scale, -1).alias("x"))
 
 
-@query(f"SELECT i, i < 3 AS active, ['FF0000', '00FF00', '0000FF', 'FF00FF', 'FFFF00', '00FFFF'][i % 6 + 1] AS color, 'Channel ' || i AS label, CAST(least AS DOUBLE) AS low, CAST(most AS DOUBLE) AS high, CASE WHEN count(*) OVER () > 1 AND count(*) OVER () < 8 THEN 'color' ELSE 'greyscale' END AS model FROM (SELECT c AS i, min(v) AS least, max(v) AS most FROM {img('channels')} GROUP BY c)")
+@query(f"SELECT i, i < 3 AS active, 'linear' AS family, CASE WHEN i = 0 THEN 'AABBCC' WHEN count(*) OVER () = 1 THEN '808080' WHEN i = 1 THEN '00FF00' ELSE ['FF0000', '00FF00', '0000FF', 'FF00FF', 'FFFF00', '00FFFF'][i % 6 + 1] END AS color, CASE WHEN i = 0 THEN 'DAPI' WHEN i = 1 THEN '525' ELSE 'Channel ' || i END AS label, CAST(least AS DOUBLE) AS low, CAST(most AS DOUBLE) AS high, CASE WHEN count(*) OVER () > 1 AND count(*) OVER () < 8 THEN 'color' ELSE 'greyscale' END AS model FROM (SELECT c AS i, min(v) AS least, max(v) AS most FROM {img('channels')} GROUP BY c)")
 def omero_block(spark, d):
-    """Windows by the values of each channel."""
+    """Windows by the values of each channel, beside what is told of the first two."""
     windows = fixtures.channels(spark, d).groupBy("c").agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("w"))
     one = windows.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("windows"))  # one row a channel
-    none = F.lit(None).cast("array<struct<name:string,color:string,em:double,ex:double,dye:string>>")
-    block = ome.omero(none, F.lit("uint16"), F.array(F.size("windows").cast("long"), F.lit(1).cast("long")), F.array(F.lit("c"), F.lit("x")), F.col("windows"))
+    told = F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(c, (("name", "string"), ("color", "string"), ("em", "double"), ("ex", "double"), ("dye", "string")), strict=True))) for c in (("DAPI", "AABBCC", 450.0, None, None), (None, None, 525.0, None, None))))
+    block = ome.omero(told, F.lit("uint16"), F.array(F.size("windows").cast("long"), F.lit(1).cast("long")), F.array(F.lit("c"), F.lit("x")), F.col("windows"))
     table = one.select(block.alias("b")).select(F.col("b.rdefs.model").alias("model"), F.posexplode("b.channels").alias("i", "c"))
-    return table.select(F.col("i").cast("long").alias("i"), "c.active", "c.color", "c.label", F.col("c.window.start").alias("low"), F.col("c.window.end").alias("high"), "model")
+    return table.select(F.col("i").cast("long").alias("i"), "c.active", "c.family", "c.color", "c.label", F.col("c.window.start").alias("low"), F.col("c.window.end").alias("high"), "model")
 
 
 # -- names and paths ------------------------------------------------------------------------
