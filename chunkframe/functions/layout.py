@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,6 +163,30 @@ def shard_of(start: Column, shape: Column, shard: Column) -> Column:
 
 def work_ranges(total: Column, jobs: Column) -> Column:
     """(job, start, stop): ranges whose sizes differ by one at most, larger ones first."""
+def chunk_at(number: Column, shape: list[Column], chunk: list[Column]) -> list[tuple[Column, Column]]:
+    """(start, stop) along each axis of the chunk with a row-major number, as plain columns; ``shape``, ``chunk``: a column for each axis."""
+    out, left = [], number
+    for n, c in zip(reversed(shape), reversed(chunk), strict=True):
+        counts = F.ceil(n / c)
+        start = left % counts * c
+        out.append((start, F.least(start + c, n)))
+        left = F.call_function("div", left, counts)
+    return out[::-1]
+
+
+def chunk_numbers(shape: list[Column], chunk: list[Column]) -> Column:
+    """0 to the number of chunks - 1."""
+    return F.sequence(F.lit(0).cast("long"), reduce(lambda a, b: a * b, (F.ceil(n / c) for n, c in zip(shape, chunk, strict=True))) - 1)
+
+
+def shard_number(start: list[Column], shape: list[Column], shard: list[Column]) -> Column:
+    """``shard_of`` with a column for each axis."""
+    out = F.lit(0).cast("long")
+    for a, n, s in zip(start, shape, shard, strict=True):
+        out = out * F.ceil(n / s) + F.call_function("div", a, s)
+    return out
+
+
     q, r = F.floor(total / jobs), total % jobs
     start = lambda j: j * q + F.least(j, r)
     return F.transform(F.sequence(F.lit(0).cast("long"), jobs - 1), lambda j: F.struct(j.alias("job"), start(j).alias("start"), start(j + 1).alias("stop")))

@@ -30,17 +30,21 @@ _CHUNKS = f"(SELECT *, gz * gy * gx AS total, unnest(range(gz * gy * gx)) AS id
 
 
 def _cubes(spark, d):
-    """The last three axes of every volume, about three chunks along each."""
-    last = F.slice("shape", F.col("r") - 2, 3)
-    return _volumes(spark, d).select("k", last.alias("shape"), F.transform(last, lambda n: F.floor((n + 2) / 3)).alias("chunk"))
+    """The last three axes of every volume (n_z, n_y, n_x), about three chunks along each (c_z, c_y, c_x)."""
+    n = {a: F.get("shape", F.col("r") - 3 + i) for i, a in enumerate("zyx")}
+    return _volumes(spark, d).select("k", *(c.alias(f"n_{a}") for a, c in n.items())).withColumns({f"c_{a}": F.floor((F.col(f"n_{a}") + 2) / 3) for a in "zyx"})
+
+
+def _by_axis(name: str):
+    return [F.col(f"{name}_{a}") for a in "zyx"]
 
 
 @query(f"SELECT k, id AS chunk_id, id // (gy * gx) * cz AS z_start, least((id // (gy * gx) + 1) * cz, z) AS z_stop, id // gx % gy * cy AS y_start, least((id // gx % gy + 1) * cy, y) AS y_stop, id % gx * cx AS x_start, least((id % gx + 1) * cx, x) AS x_stop FROM {_CHUNKS}")
 def chunk_enumerate(spark, d):
     """Every chunk of every volume, cut at the edges."""
-    table = _cubes(spark, d).select("k", F.inline(L.enumerated(F.col("shape"), F.col("chunk"))))
-    ends = [F.get(c, F.lit(i)).alias(f"{a}_{c}") for i, a in enumerate("zyx") for c in ("start", "stop")]
-    return table.select("k", F.col("id").alias("chunk_id"), *ends)
+    table = _cubes(spark, d).select("*", F.explode(L.chunk_numbers(_by_axis("n"), _by_axis("c"))).alias("chunk_id"))
+    ends = [c.alias(f"{a}_{name}") for a, at in zip("zyx", L.chunk_at(F.col("chunk_id"), _by_axis("n"), _by_axis("c")), strict=True) for name, c in zip(("start", "stop"), at, strict=True)]
+    return table.select("k", "chunk_id", *ends)
 
 
 @query(f"SELECT k, CAST(list_product(list_transform(range(r), lambda i: (shape[i + 1] + [1, 64][CASE WHEN axes[i + 1] IN ('z', 'y', 'x') THEN 2 ELSE 1 END] - 1) // [1, 64][CASE WHEN axes[i + 1] IN ('z', 'y', 'x') THEN 2 ELSE 1 END])) AS BIGINT) AS n FROM {VOL}")
@@ -52,9 +56,10 @@ def chunk_count(spark, d):
 @query(f"SELECT k, shard_id, count(*) AS chunks FROM (SELECT k, (id // (gy * gx) // 2 * ((gy + 1) // 2) + id // gx % gy // 2) * ((gx + 1) // 2) + id % gx // 2 AS shard_id FROM {_CHUNKS}) GROUP BY ALL")
 def shard_chunks(spark, d):
     """How many chunks each shard of two a side holds; those at the edges hold fewer."""
-    shard = F.transform("chunk", lambda c: c * 2)
-    table = _cubes(spark, d).select("k", "shape", shard.alias("shard"), F.inline(L.enumerated(F.col("shape"), F.col("chunk"))))
-    return table.groupBy("k", L.shard_of(F.col("start"), F.col("shape"), F.col("shard")).alias("shard_id")).agg(F.count(F.lit(1)).alias("chunks"))
+    # dealt by volume before the chunks are listed: the groups of shards lie where their volume does, and chunks don't move
+    table = _cubes(spark, d).repartition("k").select("*", F.explode(L.chunk_numbers(_by_axis("n"), _by_axis("c"))).alias("id"))
+    start = [a for a, _ in L.chunk_at(F.col("id"), _by_axis("n"), _by_axis("c"))]
+    return table.groupBy("k", L.shard_number(start, _by_axis("n"), [c * 2 for c in _by_axis("c")]).alias("shard_id")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"SELECT k, job, min(i) AS start, max(i) + 1 AS stop FROM (SELECT k, i, CASE WHEN i < (total // jobs + 1) * (total % jobs) THEN i // (total // jobs + 1) ELSE total % jobs + (i - (total // jobs + 1) * (total % jobs)) // (total // jobs) END AS job FROM (SELECT k, 10 + k % 90 AS total, 1 + k % 7 AS jobs, unnest(range(10 + k % 90)) AS i FROM {VOL})) GROUP BY ALL")
