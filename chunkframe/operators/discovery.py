@@ -65,23 +65,22 @@ def first_arrays(listing: DataFrame, key: str, is_array: Column, depth: int = 4,
     ``listing``: key and ``inner``, the path of a file below its root. ``is_array``: whether a file marks its folder as an array. Folders are
     looked into by ``FIRST_FOLDERS``, then by name; the order of a level follows that of the folders above.
     """
-    parts = F.split("inner", "/")
-    above = F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth)))
-    paths = F.transform(F.sequence(F.lit(1), F.size(above)), lambda i: F.struct(F.array_join(F.slice(above, 1, i - 1), "/").alias("parent"), F.get(above, i - 1).alias("name")))
-    folders_ = listing.where(F.size(parts) > 1).select(key, F.explode(paths).alias("p")).select(key, "p.parent", "p.name").distinct()
+    up_to = lambda path, i: F.substring_index(path, "/", i)
+    files = listing.select(key, "inner", F.split("inner", "/").alias("parts"), is_array.alias("is_array"))
+    size = F.size("parts") - 1  # folders above the file
+    steps = [F.when(size >= i, F.struct(F.lit(i).alias("level"), up_to("inner", i - 1).alias("parent"), F.get("parts", F.lit(i - 1)).alias("name"))) for i in range(1, depth + 1)]
+    folders_ = files.select(key, F.explode(F.array(*steps)).alias("p")).where("p is not null").select(key, "p.*").distinct()
     names = F.array(*map(F.lit, FIRST_FOLDERS))
     place = F.array_position(names, F.col("name"))
-    siblings = Window.partitionBy(key, "parent").orderBy(F.when(place > 0, place).otherwise(100), "name")
+    siblings = Window.partitionBy(key, "level", "parent").orderBy(F.when(place > 0, place).otherwise(100), "name")
     ranked = folders_.withColumn("place", F.row_number().over(siblings)).where(F.col("place") <= most)
-    level = ranked.where("parent = ''").select(key, F.col("name").alias("path"), F.array("place").alias("places"))
-    seen = level
-    for _ in range(depth - 1):
-        inside = ranked.select(key, F.col("parent").alias("path"), "name", "place")
-        level = level.join(inside, [key, "path"]).select(key, F.concat_ws("/", "path", "name").alias("path"), F.concat("places", F.array("place")).alias("places"))
-        seen = seen.union(level)
-    arrays = listing.where(is_array).select(key, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path")).distinct()
-    found = seen.join(arrays, [key, "path"]).groupBy(key).agg(F.min(F.struct(F.size("places").alias("depth"), "places", "path")).alias("first"))
-    return found.select(key, "first.path", "first.depth")
+    ranked = ranked.select(key, "level", F.when(F.col("level") == 1, F.col("name")).otherwise(F.concat("parent", F.lit("/"), "name")).alias("folder"), "place")
+    # every array meets the places of all folders above it; one of them that wasn't looked into leaves it out
+    arrays = files.where(F.col("is_array") & (size <= depth) & (size > 0)).select(key, size.alias("depth"), F.array_join(F.slice("parts", 1, size), "/").alias("path")).distinct()
+    above = arrays.select("*", F.explode(F.sequence(F.lit(1), "depth")).alias("level")).withColumn("folder", F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("level")))
+    met = above.join(ranked, [key, "level", "folder"]).groupBy(key, "depth", "path").agg(F.array_sort(F.collect_list(F.struct("level", "place"))).alias("p"))
+    reached = met.where(F.size("p") == F.col("depth")).select(key, F.struct("depth", F.col("p.place").alias("places"), "path").alias("first"))
+    return reached.groupBy(key).agg(F.min("first").alias("first")).select(key, "first.path", "first.depth")
 
 
 def validated(found: DataFrame, folder: str, key: str) -> DataFrame:
