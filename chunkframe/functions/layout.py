@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .metadata import once
+
 SPACE = ("z", "y", "x")
 
 
@@ -102,12 +104,18 @@ def memory_order(inner: Column) -> Column:
 def anisotropic_factors(axes: Column, voxel: Column, low: float = 0.5, high: float = 2.0) -> Column:
     """2 along spatial axes; the first one that is coarse (fine) against all others is left out (taken alone)."""
     at = F.filter(places(axes), lambda i: spatial(F.get(axes, i)))
-    others = lambda i, test: F.forall(at, lambda j: (j == i) | test(F.get(voxel, i) / F.get(voxel, j)))
-    kind = F.transform(at, lambda i: F.when(others(i, lambda r: r >= high), 1).when(others(i, lambda r: r <= low), 2).otherwise(0))
-    first = F.get(F.filter(places(at), lambda p: F.get(kind, p) > 0), F.lit(0))
-    odd, how = F.get(at, first), F.get(kind, first)
-    factor = lambda i: F.when(~spatial(F.get(axes, i)), 1).when((F.size(at) == 1) | first.isNull(), 2).when(how == 1, F.when(i == odd, 1).otherwise(2)).otherwise(F.when(i == odd, 2).otherwise(1))
-    return F.transform(places(axes), factor)
+
+    def odd_ones(v: Column) -> Column:
+        """The axes that are coarse or fine against all others: place and how."""
+        others = lambda i, test: F.forall(v["at"], lambda j: (j == i) | test(F.get(v["voxel"], i) / F.get(v["voxel"], j)))
+        kind = F.transform(v["at"], lambda i: F.struct(i.alias("at"), F.when(others(i, lambda r: r >= high), 1).when(others(i, lambda r: r <= low), 2).otherwise(0).alias("how")))
+        return F.struct(F.size(v["at"]).alias("n"), F.get(F.filter(kind, lambda x: x["how"] > 0), F.lit(0)).alias("odd"))
+
+    def all_(v: Column) -> Column:
+        odd, how = v["odd"]["at"], v["odd"]["how"]
+        return F.transform(axes, lambda a, i: F.when(~spatial(a), 1).when((v["n"] == 1) | odd.isNull(), 2).when(how == 1, F.when(i == odd, 1).otherwise(2)).otherwise(F.when(i == odd, 2).otherwise(1)))
+
+    return once(once(F.struct(at.alias("at"), voxel.alias("voxel")), odd_ones), all_)
 
 
 def ambiguous_ratio(voxel: Column) -> Column:
@@ -155,14 +163,6 @@ def enumerated(shape: Column, chunk: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), product(counts) - 1), one)
 
 
-def shard_of(start: Column, shape: Column, shard: Column) -> Column:
-    """The row-major number of the shard that a chunk begins in."""
-    steps = F.arrays_zip(F.zip_with(start, shard, lambda a, s: F.floor(a / s)).alias("at"), chunk_counts(shape, shard).alias("g"))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda out, x: out * x["g"] + x["at"])
-
-
-def work_ranges(total: Column, jobs: Column) -> Column:
-    """(job, start, stop): ranges whose sizes differ by one at most, larger ones first."""
 def chunk_at(number: Column, shape: list[Column], chunk: list[Column]) -> list[tuple[Column, Column]]:
     """(start, stop) along each axis of the chunk with a row-major number, as plain columns; ``shape``, ``chunk``: a column for each axis."""
     out, left = [], number
@@ -187,6 +187,14 @@ def shard_number(start: list[Column], shape: list[Column], shard: list[Column])
     return out
 
 
+def shard_of(start: Column, shape: Column, shard: Column) -> Column:
+    """The row-major number of the shard that a chunk begins in."""
+    steps = F.arrays_zip(F.zip_with(start, shard, lambda a, s: F.floor(a / s)).alias("at"), chunk_counts(shape, shard).alias("g"))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda out, x: out * x["g"] + x["at"])
+
+
+def work_ranges(total: Column, jobs: Column) -> Column:
+    """(job, start, stop): ranges whose sizes differ by one at most, larger ones first."""
     q, r = F.floor(total / jobs), total % jobs
     start = lambda j: j * q + F.least(j, r)
     return F.transform(F.sequence(F.lit(0).cast("long"), jobs - 1), lambda j: F.struct(j.alias("job"), start(j).alias("start"), start(j + 1).alias("stop")))
