@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -64,6 +65,46 @@ def plan(shape: list[int], voxel: list[float], axes: list[str], item_bytes: int
     return levels
 
 
+def _factors(voxel: np.ndarray, at: list[int], low: float = 0.5, high: float = 2.0) -> np.ndarray:
+    """``factors`` of many volumes with the same axes; ``at``: the places of the spatial ones."""
+    out = np.ones(voxel.shape, np.int64)
+    out[:, at] = 2
+    open_ = np.full(len(voxel), len(at) > 1)
+    for i in at if len(at) > 1 else []:
+        ratios = voxel[:, [i]] / voxel[:, [j for j in at if j != i]]
+        coarse = open_ & (ratios.min(axis=1) >= high)
+        fine = open_ & ~coarse & (ratios.max(axis=1) <= low)
+        out[coarse, i] = 1
+        out[np.ix_(fine, [j for j in at if j != i])] = 1
+        open_ &= ~(coarse | fine)
+    return out
+
+
+def plan_many(shape: np.ndarray, voxel: np.ndarray, axes: list[str], item_bytes: int = 2, least_bytes: int | None = None, least_shape: int | list[int] | None = None, most: int = 20, chunk: list[int] | None = None) -> list[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """``plan`` of many volumes (rows) with the same axes: for each level the rows that have it, and its values."""
+    if chunk is not None:
+        least_bytes = math.prod(chunk) * item_bytes if least_bytes is None else least_bytes
+        least_shape = list(chunk) if least_shape is None else least_shape
+    least_bytes = 512 << 10 if least_bytes is None else least_bytes
+    least, at = np.asarray(32 if least_shape is None else least_shape), [i for i, a in enumerate(axes) if a in SPATIAL]
+    rows, ones, first = np.arange(len(shape)), np.ones(shape.shape, np.int64), shape
+    now = {"shape": shape, "factor": ones, "cumulative": ones, "voxel": voxel, "translation": np.zeros(voxel.shape)}
+    out, floor_shape = [(rows, now)], shape
+    while len(out) <= most and len(rows):
+        f = _factors(now["voxel"], at)
+        floor_shape = np.maximum(1, floor_shape // f)
+        small = (floor_shape.astype(float).prod(axis=1) * item_bytes < least_bytes) | (floor_shape < least).all(axis=1)
+        grown = first[rows][:, at] / floor_shape[:, at]
+        nearest = 2.0 ** np.rint(np.log2(grown))
+        on = ~small & ~(np.abs(grown - nearest) / nearest > 0.04).any(axis=1)
+        rows, floor_shape, f = rows[on], floor_shape[on], f[on]
+        last = {name: values[on] for name, values in now.items()}
+        cumulative = last["cumulative"] * f
+        now = {"shape": -(-last["shape"] // f), "factor": f, "cumulative": cumulative, "voxel": last["voxel"] * f, "translation": (cumulative - 1) * voxel[rows] / 2}
+        out.append((rows, now))
+    return out
+
+
 def plans(volumes: DataFrame, key: str, **limits) -> DataFrame:
     """(key, level, shape, factor, cumulative, voxel, translation): the levels of every row of ``volumes`` (key, shape, voxel, axes)."""
     names = ("level", "shape", "factor", "cumulative", "voxel", "translation")
@@ -71,8 +112,20 @@ def plans(volumes: DataFrame, key: str, **limits) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(k, *(x[n] for n in names)) for k, shape, voxel, axes in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in plan(shape, voxel, axes, **limits)]
-            yield pa.RecordBatch.from_pylist([dict(zip((key, *names), r, strict=True)) for r in rows], schema=pa.schema([(key, batch.column(0).type), ("level", pa.int32()), *((n, pa.list_(pa.int64() if n in ("shape", "factor", "cumulative") else pa.float64())) for n in names[1:])]))
+            alike: dict[tuple, list[int]] = {}
+            for i, axes in enumerate(batch.column(3).to_pylist()):
+                alike.setdefault(tuple(axes), []).append(i)
+            for axes, at in alike.items():
+                part = batch.take(pa.array(at))
+                shape, voxel = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(at), len(axes)).astype(kind) for c, kind in ((1, np.int64), (2, float)))
+                levels = plan_many(shape, voxel, list(axes), **limits)
+                rows = np.concatenate([r for r, _ in levels])
+                columns = {key: part.column(0).take(pa.array(rows)), "level": pa.array(np.repeat(np.arange(len(levels)), [len(r) for r, _ in levels]), pa.int32())}
+                offsets = pa.array(np.arange(len(rows) + 1) * len(axes), pa.int32())
+                for n in names[1:]:
+                    values = np.concatenate([x[n] for _, x in levels]).astype(np.int64 if n in ("shape", "factor", "cumulative") else float)
+                    columns[n] = pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return volumes.select(key, "shape", "voxel", "axes").mapInArrow(run, f"{key} {kind}, level int, shape array<long>, factor array<long>, cumulative array<long>, voxel array<double>, translation array<double>")
 
