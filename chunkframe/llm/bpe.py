@@ -11,6 +11,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import heapq
@@ -22,14 +23,16 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, most_frequent, prepare, written
 
-#: Words in the automaton, words a worker remembers, and words that the library reads as one text.
-LEXICON_WORDS, REMEMBERED, JOINED = 131_072, 800_000, 512
+#: Words in the automaton, words and chunks a worker remembers of each, letters of a chunk it remembers, and words that the library reads as one text.
+LEXICON_WORDS, REMEMBERED, LONGEST, JOINED = 131_072, 1_000_000, 64, 512
 
 # The split pattern of byte_bpe_50k.json, and white space as Unicode has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,6 +41,8 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}{_N}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
+_WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_WS}]", chr(c)))
+_COUNTED = regex.compile(r"[\p{L}\p{N}]")
 
 
 def pretokens(text: str) -> list[str]:
@@ -209,14 +214,83 @@ class Lexicon:
         return [self.ids[self.starts[n] : self.starts[n + 1]].tolist() if k else None for k, n in zip(known.tolist(), number.tolist(), strict=True)]
 
 
-class WordCodec:
-    """Texts to packed ids through a bounded memory of words; ``ids_of`` gives the packed ids of those it has not met.
+class Memory:
+    """A bounded dict of two halves: when the newer one is full it becomes the older one, and what is met again moves on."""
+
+    def __init__(self):
+        self.seen, self.older = {}, {}
+
+    def room(self) -> None:
+        if len(self.seen) > REMEMBERED // 2:
+            self.seen, self.older = {}, self.seen
+
+    def again(self, key: str) -> bytes | None:
+        """What the older half holds of a key that the newer one lacks."""
+        found = self.older.get(key)
+        if found is not None:
+            self.seen[key] = found
+        return found
 
-    The memory has two halves: when the newer one is full it becomes the older one, and words met again move on.
+
+class Chunks:
+    """Texts cut where no word goes on, by Arrow: at single blanks, single new lines, and before a stop or comma behind a letter or number.
+
+    A chunk is what follows a blank, but ``BARE`` and what follows none, or ``LINE`` for a new line. Cuts are
+    only right with no other white space beside a blank or new line, and no other sign before a stop or comma; ``plain`` says of each text whether they are.
     """
 
+    BARE, LINE = "\1", "\2"
+
+    def __init__(self, texts: list[str]):
+        cut = pa.array(texts, pa.large_string())
+        for sign, to in ((".", " \1."), (",", " \1,"), ("\n", " \2 \1")):
+            cut = pc.replace_substring(cut, sign, to)
+        cut = pc.split_pattern(cut, " ")
+        self.bounds, coded = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        self.indices, self.at = coded.indices, coded.indices.to_numpy()
+        self.names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        _, offsets, data = coded.dictionary.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(self.names) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
+        size = np.diff(ends)
+        byte = lambda i, least: np.where(size >= least, data[np.minimum(np.maximum(i, 0), len(data) - 1)], 0) if len(data) else np.zeros(len(size), np.uint8)
+        first, second, last = byte(ends[:-1], 1), byte(ends[:-1] + 1, 2), byte(ends[1:] - 1, 1)
+        stop, line = (first == 1) & np.isin(second, (44, 46)), (first == 2) & (size == 1)
+        counted = ((last >= 48) & (last <= 57)) | ((last | 32) >= 97) & ((last | 32) <= 122) & (last < 128)
+        for k in np.nonzero(last >= 128)[0].tolist():
+            counted[k] = ends_counted(self.names[k][-1])
+        self.odd = (size == 0) | (first == 1) & (size == 1) | (first == 2) & (size > 1)
+        before = np.concatenate((self.at[:1], self.at[:-1]))
+        wrong = (stop[self.at] & ~counted[before]) | (((first == 1) & ~stop)[self.at] & ~line[before])
+        wrong[self.bounds[:-1][self.bounds[:-1] < len(wrong)]] = False  # a text's first chunk is read apart
+        self.wrong = wrong
+
+    def text(self, k: int) -> str:
+        name = self.names[k]
+        return name[1:] if name[0] == self.BARE else "\n" if name == self.LINE else " " + name
+
+    def plain(self) -> np.ndarray:
+        """Whether a text's chunks are all as they should be; ``odd`` is known by then."""
+        n = np.concatenate(([0], np.cumsum(self.wrong | self.odd[self.at])))
+        return n[self.bounds[1:]] == n[self.bounds[:-1]]
+
+
+@functools.cache
+def ends_counted(sign: str) -> bool:
+    return bool(_COUNTED.match(sign))
+
+
+def edged(chunk: str) -> bool:
+    """Whether a chunk begins or ends with white space."""
+    return chunk[0] in _WHITE or chunk[-1] in _WHITE or (chunk[0] == Chunks.BARE and chunk[1] in _WHITE)
+
+
+class WordCodec:
+    """Texts to packed ids through bounded memories of words, and of what stands between single blanks; ``ids_of`` gives the packed ids of words it has not met."""
+
     def __init__(self, vocab: Vocabulary, ids_of):
-        self.vocab, self.ids_of, self.seen, self.older = vocab, ids_of, {}, {}
+        self.vocab, self.ids_of, self.words, self.chunks = vocab, ids_of, Memory(), Memory()
+        self.special = {s: array("I", [i]).tobytes() for s, i in vocab.special.items()}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; nothing here makes cycles, so their collector can wait."""
@@ -229,18 +303,48 @@ class WordCodec:
                 gc.enable()
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        split = [[pretokens(p) if i % 2 == 0 else p for i, p in enumerate(self.vocab.parts(t))] for t in texts]
-        used = set().union(*(words for parts in split for words in parts[::2]))
-        new = used.difference(self.seen)
-        if len(self.seen) + len(new) > REMEMBERED // 2:
-            self.seen, self.older, new = {}, self.seen, used
-        older = new.intersection(self.older)
-        self.seen.update((w, self.older[w]) for w in older)
-        if new := list(new.difference(older)):
-            self.seen.update(zip(new, self.ids_of(new), strict=True))
-        special = {s: array("I", [i]).tobytes() for s, i in self.vocab.special.items()}
-        get = self.seen.__getitem__
-        return [b"".join(map(get, parts[0])) if len(parts) == 1 else b"".join(special[p] if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)) for parts in split]
+        """Each chunk of the batch is looked up once. Texts with special strings, or that ``Chunks`` can't cut, are read word by word."""
+        self.chunks.room()
+        cut, seen, new = Chunks(texts), self.chunks.seen, []
+        names = cut.names
+        packed: list = list(map(seen.get, names))
+        for k in [k for k, p in enumerate(packed) if p is None]:
+            if cut.odd[k] or edged(names[k]) and names[k] != cut.LINE:
+                cut.odd[k], packed[k] = True, b""
+            elif (p := self.chunks.again(names[k])) is None:
+                new.append(k)
+            else:
+                packed[k] = p
+        never = (*self.special, cut.BARE, cut.LINE)
+        plain = [ok and not any(map(t.__contains__, never)) for t, ok in zip(texts, cut.plain().tolist(), strict=True)]
+        parts = [[names[cut.at[b]]] if ok else self.vocab.parts(t) for t, ok, b in zip(texts, plain, cut.bounds[:-1].tolist(), strict=True)]  # of a plain text its first chunk, which has no blank
+        for k, ids in zip(new, self._new([cut.text(k) for k in new]), strict=True):
+            packed[k] = ids
+            if len(names[k]) <= LONGEST:
+                seen[names[k]] = ids
+        ids = iter(self._known([q for p in parts for q in p[::2]]))
+        taken = pa.array(packed, pa.large_binary()).take(cut.indices)
+        offsets, data = np.frombuffer(taken.buffers()[1], np.int64), memoryview(taken.buffers()[2] or b"")
+        out = []
+        for p, ok, a, b in zip(parts, plain, offsets[np.minimum(cut.bounds[:-1] + 1, cut.bounds[1:])].tolist(), offsets[cut.bounds[1:]].tolist(), strict=True):
+            start = b"".join([self.special[q] if i % 2 else next(ids) for i, q in enumerate(p)])
+            out.append(b"".join((start, data[a:b])) if ok else start)
+        return out
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of chunks; most are one word that was not met before."""
+        split = [(c,) if c[1:].isalpha() and c.isascii() else pretokens(c) for c in chunks]
+        words = sorted(set().union(*split))  # neighbours share merges
+        found = dict(zip(words, self.ids_of(words), strict=True))
+        return [found[w[0]] if len(w) == 1 else b"".join(map(found.__getitem__, w)) for w in split]
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The packed ids of parts of texts, whose words are remembered."""
+        self.words.room()
+        split, seen = list(map(pretokens, parts)), self.words.seen
+        new = [w for w in set().union(*split).difference(seen) if self.words.again(w) is None]
+        seen.update(zip(new, self.ids_of(new), strict=True))
+        return [b"".join(map(seen.__getitem__, words)) for words in split]
 
 
 _workers: dict = {}
@@ -305,8 +409,6 @@ def frequent_words(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> list
     """The most frequent words of all texts, at most ``top``."""
 
     def count(batches):
-        import pyarrow as pa
-
         c: Counter = Counter()
 
         def told():

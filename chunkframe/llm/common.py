@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; texts can be long, so batches stay small.
 BATCH_ROWS = 200
 
+#: Bytes of the batches that are read together where a larger one has more words in common.
+TOGETHER = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a new one under the warehouse only where none is set."""
@@ -92,8 +95,21 @@ def give_back() -> None:
         trim(0)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow with columns as lists: ``fn`` gets and returns a dict of lists per batch."""
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, size: int = 0) -> DataFrame:
+    """mapInArrow with columns as lists: ``fn`` gets and returns a dict of lists per batch, or for batches of ``size`` bytes together."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -101,7 +117,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     arrow = to_arrow_schema(StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else _parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, size):
             if batch.num_rows:
                 out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import by_library
-from .common import arrow_map, written
+from .common import TOGETHER, arrow_map, written
 
 SIZE, BEST = 2048, 4
 
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
                     out[name].append(v)
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", TOGETHER)
 
 
 def patterns(count: np.ndarray, best: int = BEST) -> list[tuple[int, ...]]:

@@ -44,6 +44,29 @@ def test_split_and_merges_equal_the_library(library):
             assert np.frombuffer(packed, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_are_cut_where_no_word_goes_on(library):
+    rng = np.random.default_rng(4)
+    signs = ["a", "Bc", "é", "7", "ж", "漢", "’", ".", ",", "\n", " ", " ", "\t", "\xa0", "\1", "\2", "'s", "-", "...", "<|endoftext|>", *bpe.vocabulary(PATH).special]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(4000)] + ["One, two.\nThree é. Four", ".a", "a.", "a.\n", "\nb"]
+    vocab = bpe.vocabulary(PATH)
+    for codec in (bpe.WordCodec(vocab, lambda ws: [np.array(vocab.merge(w.encode()), "<u4").tobytes() for w in ws]), bpe.by_library(PATH)):
+        for at in (0, 0, 1):  # known chunks, and other ones beside them
+            for t, packed in zip(texts[at:], codec.packed(texts[at:]), strict=True):
+                assert np.frombuffer(packed, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_chunk_is_split_once(monkeypatch):
+    read, pretokens = [], bpe.pretokens
+    monkeypatch.setattr(bpe, "pretokens", lambda t: read.append(len(t)) or pretokens(t))
+    vocab = bpe.vocabulary(PATH)
+    codec = bpe.WordCodec(vocab, lambda ws: [np.array(vocab.merge(w.encode()), "<u4").tobytes() for w in ws])
+    texts = [f"Nun {k} Wörter, élan, und das.\nDann " + "noch mehr, viel mehr. " * 50 + "Ende" for k in range(40)]
+    first = codec.packed(texts)
+    assert sum(read) < 1000 < sum(map(len, texts))
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)  # the memory turns over at each batch
+    assert codec.packed(texts) == codec.packed(texts) == first
+
+
 def test_round_trip(odd, empty, library):
     want = defaultdict(list)
     for r in odd.collect():
