@@ -20,12 +20,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out
+from .common import TOGETHER, arrow_map, held_out
 
-BUCKETS, DIMENSIONS, WINDOW, SAMPLE, EPOCHS, GRAMS, LEAST_ROWS, REMEMBERED, RATE, SMOOTH = 1 << 19, 8, 4, 1000, 25, (3, 6), 5, 100_000, 0.02, 3.0
+BUCKETS, DIMENSIONS, WINDOW, SAMPLE, EPOCHS, GRAMS, LEAST_ROWS, REMEMBERED, RATE, SMOOTH = 1 << 19, 8, 4, 1000, 25, (3, 6), 5, 800_000, 0.02, 3.0
 LONGEST, PIECE, STEP = 40, 12, 4  # letters
 _WORD = re.compile(r"[^\W_]+")
 
@@ -127,27 +128,93 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return fit([r["text"] or "" for r in found], [chosen[r["doc_id"]] for r in found])
 
 
+def _steps() -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32 goes on by a 32-bit code point as the tables of its lower and upper half, put together."""
+    byte = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        byte = (byte >> 1) ^ np.where(byte & 1, np.uint32(0xEDB88320), np.uint32(0))
+    out = []
+    for shift in (0, 16):
+        v = np.arange(1 << 16, dtype=np.uint32) << np.uint32(shift)
+        for _ in range(4):
+            v = (v >> np.uint32(8)) ^ byte[v & 255]
+        out.append(v)
+    return out[0], out[1]
+
+
+def subwords_of_all(words: list[str], steps: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of what ``subwords`` gives for each word: its n-grams by length, then itself."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # letters from here to the word's end
+    low, high = steps
+    bucket, of = [], []
+    crc, at = np.full(len(code), 0xFFFFFFFF, np.uint32), np.arange(len(code))
+    for k in range(1, GRAMS[1] + 1):
+        ok = left[at] >= k
+        crc, at = crc[ok], at[ok]
+        crc ^= code[at + k - 1]
+        crc = low[crc & 0xFFFF] ^ high[crc >> 16]
+        if k >= GRAMS[0]:
+            bucket.append((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % BUCKETS)
+            of.append(owner[at])
+    bucket.append(np.array([zlib.crc32(w.encode("utf-32-le")) % BUCKETS for w in words], np.int64))
+    of.append(np.arange(len(words)))
+    return np.concatenate(bucket), np.concatenate(of)
+
+
 class Scorer:
-    """Texts to scores with a bounded memory of words."""
+    """Texts to scores. What stands between white space is looked up once a batch, in a bounded memory of two halves:
+    when the newer one is full it becomes the older one, and what is met again moves on."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
+        self.model, self.steps, self.seen, self.older = model, _steps(), {}, {}
+
+    def logits(self, words: list[str]) -> np.ndarray:
+        """The mean of the logits of each word's learned subwords, 0 without any."""
+        bucket, of = subwords_of_all(words, self.steps)
+        value = self.model[bucket]
+        known = ~np.isnan(value)
+        of, value = of[known], value[known]
+        return np.bincount(of, value, len(words)) / np.maximum(np.bincount(of, minlength=len(words)), 1)
+
+    def chunks(self, names: list[str]) -> list[bytes]:
+        """The logits of each chunk's words, as packed doubles."""
+        if len(self.seen) > REMEMBERED // 2:
+            self.seen, self.older = {}, self.seen
+        seen, older = self.seen, self.older
+        out: list = list(map(seen.get, names))
+        new = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            out[k] = v = older.get(names[k])
+            if v is None:
+                new.append(k)
+            else:
+                seen[names[k]] = v
+        words = [words_of(names[k]) for k in new]
+        different = sorted(set().union(*words))
+        if different:
+            packed = self.logits(different).tobytes()
+            found = {w: packed[8 * i : 8 * i + 8] for i, w in enumerate(different)}
+        for k, ws in zip(new, words, strict=True):
+            out[k] = b"".join([found[w] for w in ws])
+            if len(names[k]) <= LONGEST:
+                seen[names[k]] = out[k]
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[float]:
+        split = pa.array([(t or "").lower().split() for t in texts], pa.large_list(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        packed = pa.array(self.chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[split.offsets.to_numpy()] // 8
+        d = np.frombuffer(packed.buffers()[2] or b"", np.float64)
         out = []
-        for t in texts:
-            words = words_of(t)
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            seen = self.seen
-            for w in set(words).difference(seen):
-                known = [v for v in self.model[subwords(w)].tolist() if v == v]
-                seen[w] = sum(known) / len(known) if known else 0.0
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             worst = 0.0
-            if words:
-                d = np.fromiter(map(seen.__getitem__, words), float, len(words))
-                k = min(WINDOW, len(d))
-                worst = float(sum(d[i : len(d) - k + 1 + i] for i in range(k)).max() / k)
+            if b > a:
+                k = min(WINDOW, b - a)
+                worst = float(sum(d[a + i : b - k + 1 + i] for i in range(k)).max() / k)
             out.append(float(1 / (1 + np.exp(-np.clip(worst + self.model[-1], -50, 50)))))
         return out
 
@@ -167,7 +234,7 @@ def score(docs: DataFrame, model: np.ndarray | None, keep: list[str] | None = No
         return {k: x[k] for k in keep} | {into[0]: s, into[1]: [int(v >= 0.5) for v in s]}
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
-    return arrow_map(docs.select(*columns), run, f"{schema}, `{into[0]}` double, `{into[1]}` int")
+    return arrow_map(docs.select(*columns), run, f"{schema}, `{into[0]}` double, `{into[1]}` int", TOGETHER)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -168,6 +168,21 @@ def test_score_is_that_of_the_worst_window():
         assert np.isclose(toxicity.Scorer(model)([text])[0], 1 / (1 + np.exp(-(worst + model[-1]))))
 
 
+def test_toxicity_reads_a_chunk_once(monkeypatch):
+    read, words_of = [], toxicity.words_of
+    monkeypatch.setattr(toxicity, "words_of", lambda t: read.append(len(t)) or words_of(t))
+    score = toxicity.Scorer(np.random.default_rng(2).normal(0, 1, toxicity.BUCKETS + 1))
+    texts = [f"Nr. {k}: Größe, é漢字😀\u2003" + "noch mehr; viel-mehr Σας " * 60 + "x" * 90 for k in range(30)] + ["", None, "...", "Ein"]
+    first = score(texts)
+    assert sum(read) < 1000
+    assert first == [score([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 4)  # the memory turns over at each batch
+    assert score(texts) == score(texts) == first
+    words = sorted({w for t in texts for w in words_of(t)})
+    bucket, of = toxicity.subwords_of_all(words, score.steps)
+    assert all(bucket[of == i].tolist() == toxicity.subwords(w) for i, w in enumerate(words))
+
+
 def test_toxicity_sees_every_place():
     clean = [f"the {a} of the {b} is near a {c}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city") for c in ("tree", "road", "hill")]
     toxic = [f"you worthless idiot said the {a} of the {b}" for a in ("house", "garden", "river") for b in ("friend", "teacher", "city")]
