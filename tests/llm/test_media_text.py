@@ -170,7 +170,7 @@ def test_score_is_that_of_the_worst_window():
 
 def test_toxicity_reads_a_chunk_once(monkeypatch):
     read, words_of = [], toxicity.words_of
-    monkeypatch.setattr(toxicity, "words_of", lambda t: read.append(len(t)) or words_of(t))
+    monkeypatch.setattr(toxicity, "words_of", lambda t: read.append(len(t or "")) or words_of(t))
     score = toxicity.Scorer(np.random.default_rng(2).normal(0, 1, toxicity.BUCKETS + 1))
     texts = [f"Nr. {k}: Größe, é漢字😀\u2003" + "noch mehr; viel-mehr Σας " * 60 + "x" * 90 for k in range(30)] + ["", None, "...", "Ein"]
     first = score(texts)
