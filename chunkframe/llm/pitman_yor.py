@@ -10,6 +10,8 @@ Seating is sampled by Gibbs, a dish at a time: all customers of a dish leave the
 seated again, given all other tables there and the parent's chances; the parent's customers are the tables
 below it, and predictive probabilities are averaged over the sweeps after the burn-in.
 
+These are the restaurants of the classes; ``word_pairs`` puts one for every word below them.
+
 All training words are counted by Spark; tables of bounded size (contexts by classes, frequent words) are
 broadcast, and all other words meet their counts in a join.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -200,25 +203,53 @@ def training_counts(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     return contexts.reshape(size)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
+@dataclass
+class Trained:
+    """The model of the classes, and the counts it was made of."""
+
+    rare: DataFrame  # words without a number, with their counts
+    numbered: Numbered
+    singles: np.ndarray  # counts by word number
+    contexts: np.ndarray
+    train: int
+    distinct: int
+    by_context: np.ndarray
+    others: np.ndarray
+    tail: CountModel
+
+    @property
+    def ends(self) -> int:
+        return int(self.singles[END])
+
+    @property
+    def below(self) -> float:
+        return float(np.log10(self.train + 0.5 * (self.distinct + 1)))
+
+
+def trained(docs: DataFrame) -> Trained:
     counts = written(word_counts(docs), "words")
     all_ = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).first()
     frequent = [(bytes(w), n) for w, n in most_frequent(counts, CLASSES - 2 + FREQUENT)]
     words, least = [w for w, _ in frequent], min((n for _, n in frequent), default=1 << 62)
     rare = counts.where(F.col("n") < least)
     contexts = training_counts(docs, words)
-    ends = int(contexts[:, END].sum())
-    top, n_words = contexts.shape[1], len(words) + 2
-    singles = np.array([ends, 0, *(n for _, n in frequent)], np.int64)  # by word number
+    ends, top = int(contexts[:, END].sum()), contexts.shape[1]
+    singles = np.array([ends, 0, *(n for _, n in frequent)], np.int64)
     train, distinct = (all_["n"] or 0) + ends, all_["words"] + (ends > 0)
     by_context = context_model(contexts)
     outside_c = np.append(singles[top:], train - singles.sum())  # frequent words outside the classes; last: the rest
     others = dish_model(outside_c)
     hist = rare.groupBy(count_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("c")).orderBy("bin").collect()
     tail = CountModel(np.array([round(r["c"]) for r in hist], np.int64), np.array([r["k"] for r in hist], float))
-    model = spark.sparkContext.broadcast((by_context, others, np.log10(singles + 0.5), Numbered(words)))  # bounded tables
+    return Trained(rare, Numbered(words), singles, contexts, train, distinct, by_context, others, tail)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; by the model of the classes alone."""
+    spark = docs.sparkSession
+    of = trained(docs)
+    rare, tail, ends, n_words, top = of.rare, of.tail, of.ends, len(of.singles), of.numbered.top
+    model = spark.sparkContext.broadcast((of.by_context, of.others, np.log10(of.singles + 0.5), of.numbered))  # bounded tables
 
     def run(x):
         table, other, logs, numbered = model.value
@@ -248,10 +279,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     extra = met.withColumn("p", chance("c")).groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_rare"), F.sum(F.col("times") * F.col("p")).alias("score_rare"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    below = float(np.log10(train + 0.5 * (distinct + 1)))
     joined = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(extra, "row", "left")
     total = F.col("score") + zero(F.col("score_rare"))
     return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero(F.col("known_rare"))).alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") + zero(F.col("base_rare")) - F.col("n_tokens") * F.lit(below)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero(F.col("known_rare"))).alias("n_known"), F.lit(of.train).cast("long").alias("train_tokens"),
+        (F.col("base") + zero(F.col("base_rare")) - F.col("n_tokens") * F.lit(of.below)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cascade, chats, language, licenses, middle, packing, pitman_yor, similar, spots, tiff, toxicity, whitening
+from . import bpe, cascade, chats, language, licenses, middle, packing, similar, spots, tiff, toxicity, whitening, word_pairs
 
 #: The tokenizer of the packing and encoding queries.
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,7 +53,7 @@ def op8_similar_sets(spark, sf_dir):
 
 
 def op9_pitman_yor(spark, sf_dir):
-    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+    return word_pairs.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark, sf_dir):

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from chunkframe.llm import chats, pitman_yor, similar
+from chunkframe.llm import chats, pitman_yor, registry, similar, word_pairs
 
 
 def brute_components(rows):
@@ -255,3 +255,73 @@ def test_tables_need_customers():
     rng = np.random.default_rng(3)
     t = pitman_yor.tables(np.array([0, 1, 5, 100_000]), 1.0, np.full(4, 0.25), 0.5, rng)
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 5000
+
+
+def is_held(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+def test_pairs_of_rare_words_have_a_chance_of_their_own(spark, tmp_path):
+    """Same counts, same last bytes: only the pair tells the two held-out texts apart."""
+    train = (i for i in range(10_000) if not is_held(i))
+    rows = [(next(train), " ".join(f"c{k}" for k in range(1100))) for _ in range(6)]
+    rows += [(next(train), f"x{k}ab y{k}cd") for k in range(300) for _ in range(2)]
+    first, second = [i for i in range(10_000, 10_100) if is_held(i)][:2]
+    spark.createDataFrame([*rows, (first, "x5ab y5cd"), (second, "x5ab y6cd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in registry.op9_pitman_yor(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 2 and got[first] > got[second] + 1
+
+
+def test_score_of_pairs_equals_a_model_counted_by_hand(spark, monkeypatch):
+    """One table a pair; every count, restaurant and sum is made here by dictionaries."""
+    monkeypatch.setattr(pitman_yor, "CLASSES", 6)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 9)
+    monkeypatch.setattr(word_pairs, "BUCKET", 300)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(rng.randrange(0, 60)))) for i in range(120)]
+    table = spark.createDataFrame([*rows, (None, "w1 w2"), (500, None)], "doc_id long, text string").repartition(3)
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in table.collect()]
+    of, c = pitman_yor.trained(table), Counter()
+    for d, ws in rows:
+        if not is_held(d):
+            c.update(zip([None, *ws], [*ws, ""], strict=True))
+    count, number = Counter(), of.numbered.number
+    for (_, w), n in c.items():
+        count[w] += n
+    top, rank = of.numbered.top, lambda w: 0 if w == "" else number.get(w, 1 << 30)
+    of_class = lambda u: u is None or rank(u) < top
+    apart = {(u, w): n for (u, w), n in c.items() if not (of_class(u) and rank(w) < top)}
+    customers, opened = Counter(), Counter()
+    for (u, _), n in apart.items():
+        customers[u] += n
+        opened[u] += 1
+    one, two = sum(n == 1 for n in apart.values()), sum(n == 2 for n in apart.values())
+    disc = min(max(one / (one + 2 * two), 0.05), 0.95)
+
+    def outside(w):
+        return of.others[rank(w) - top] if w in number else of.others[-1] + of.tail.log10(np.array([count[w]]))[0]
+
+    def chance(u, w):
+        context = top if u is None else rank(u) if of_class(u) else top + 1 + pitman_yor.tail_of(u)
+        inner = rank(w) < top
+        above = of.by_context[context, rank(w) if inner else 1]
+        if of_class(u) and inner:
+            return above
+        up = outside(w) if of_class(u) else above + (0 if inner else outside(w))
+        p = (max(c[u, w] - disc, 0) + (1 + disc * opened[u]) * 10**up) / (1 + customers[u])
+        return math.log10(p) + (above if of_class(u) else 0)
+
+    want = {d: sum(chance(u, w) for u, w in zip([None, *ws], [*ws, ""], strict=True)) for d, ws in rows}
+    found = word_pairs.score_documents(table, seat=lambda n, others, parent, d, rng: np.minimum(n, 1)).collect()
+    got = {r["doc_id"]: r["score"] for r in found}
+    assert got.keys() == want.keys() and all(np.isclose(got[d], want[d]) for d in want)
+    seated = {r["doc_id"]: r["score"] for r in word_pairs.score_documents(table).collect()}
+    assert seated.keys() == want.keys() and all(s < 0 for s in seated.values()) and seated == {r["doc_id"]: r["score"] for r in word_pairs.score_documents(table.repartition(2)).collect()}
+
+
+def test_pair_scores_of_odd_tables(spark, docs, odd, empty):
+    for table in (docs, odd):
+        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+        got, want = (sorted(f(table).collect(), key=key) for f in (word_pairs.score_documents, pitman_yor.score_documents))
+        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r["base_score"] for r in got], [r["base_score"] for r in want])
+    assert word_pairs.score_documents(empty).count() == 0
