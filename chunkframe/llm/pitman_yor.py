@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +174,7 @@ class Numbered:
     def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """A text's words, their numbers and the end, and the context of each."""
         ws, get, unknown = words_of(text), self.number.get, self.unknown
-        now = np.array([*[get(w, unknown) for w in ws], END], np.int64)
+        now = np.append(np.fromiter(map(get, ws, repeat(unknown)), np.int64, len(ws)), END)
         before = np.concatenate(([-1], now[:-1]))
         tails = [tail_of(ws[i]) for i in np.nonzero(now[:-1] == unknown)[0].tolist()]
         return ws, now, contexts_of(before, self.top, unknown, tails, self.tails)

@@ -17,6 +17,7 @@ the pair's count for the word's, since the word's is known only later (the chanc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,11 @@ class Pairs:
         self.at = np.where(near, self.u, 0)  # the restaurant: numbered words, then the bucket's rare ones
         self.at[~near] = model.numbers + place
         self.customers = np.concatenate((model.customers, np.bincount(place, self.n[~near], len(far)).astype(np.int64)))
-        self.parent = model.parent(self.u, self.w)
+        self.model = model
+
+    @cached_property
+    def parent(self) -> np.ndarray:
+        return self.model.parent(self.u, self.w)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, x, len(self.customers))
@@ -291,8 +296,9 @@ def score_documents(docs: DataFrame, seat=tables) -> DataFrame:
     def chance(c: pa.Array) -> pa.Array:
         return pa.array(10 ** tail.log10(c.to_numpy(zero_copy_only=False).astype(float)))
 
-    far = far.join(of.rare.select("h", "n"), "h", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    far = far.select("row", F.log10(F.col("own").cast("double") + F.col("rest").cast("double") * chance("c")).alias("s"), F.log10(F.col("c") + 0.5).alias("base"), (F.col("c") > 0).cast("long").alias("n_known"))
+    rare = of.rare.select("h", "n", chance("n").alias("p"))  # once a word
+    far = far.join(rare, "h", "left").withColumn("c", F.coalesce("n", F.lit(0))).withColumn("p", F.coalesce("p", F.lit(float(10 ** tail.log10(np.array([0]))[0]))))
+    far = far.select("row", F.log10(F.col("own").cast("double") + F.col("rest").cast("double") * F.col("p")).alias("s"), F.log10(F.col("c") + 0.5).alias("base"), (F.col("c") > 0).cast("long").alias("n_known"))
     total = read.unionByName(far, allowMissingColumns=True).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("s", "base", "n_known", "n_tokens")], F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"))
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(of.train).cast("long").alias("train_tokens"),
